@@ -190,3 +190,23 @@ def longest_zero_run(df: DataFrame, keys: Sequence[str], ts: str, target: str, *
         .groupBy(*keys)
         .agg(F.count("*").alias("run_count"), F.max("row_count").alias("longest_run"))
     )
+
+
+def history_before_splits(
+    df: DataFrame, keys: Sequence[str], ts: str, window: int, first_split: str = "train", **options
+) -> DataFrame:
+    """Contiguous rows, at most ``window``, that lie directly before each later split of a series.
+
+    The rows may come from several earlier splits; the run through all of them is what counts.
+    """
+    keys = list(keys)
+    runs = contiguous_runs(df.select(*keys, ts, "split"), keys, ts, **options)
+    first = runs.filter(F.col("split") != first_split).groupBy(*keys, "split").agg(
+        F.min_by(F.struct(ts, "run_position", "previous_ts"), ts).alias("_first")
+    )
+    place = F.col("_first.run_position")
+    return first.select(
+        *keys, "split", F.col(f"_first.{ts}").alias("first_ts"),
+        F.least(place, F.lit(window)).alias("history_rows"),
+        F.when(place > 0, F.col("_first.previous_ts")).alias("history_end"),
+    )

@@ -159,3 +159,27 @@ def complete_panel(
     seen = readings.withColumn("observed", F.lit(True))
     joined = full.join(seen, [*keys, entity, ts], "left")
     return joined.withColumn("observed", F.coalesce("observed", F.lit(False)))
+
+
+def presence_counts(
+    readings: DataFrame, value: str, keys: Sequence[str] = (), entity: str = "building_id", ts: str = "timestamp"
+) -> DataFrame:
+    """Cells of the entity x timestamp grid per state: absent, zero or reading.
+
+    Absent cells are what is left of the full grid, so the grid itself is never built.
+    """
+    keys = list(keys)
+    if not keys:
+        return presence_counts(readings.withColumn("_all", F.lit(0)), value, ["_all"], entity, ts).drop("_all")
+    present = readings.groupBy(*keys).agg(
+        F.count_if(F.col(value) == 0).alias("zero"),
+        F.count_if(F.col(value) != 0).alias("reading"),
+    )
+    entities = readings.select(*keys, entity).distinct().groupBy(*keys).agg(F.count("*").alias("_entities"))
+    times = readings.select(*keys, ts).distinct().groupBy(*keys).agg(F.count("*").alias("_times"))
+    counted = (
+        present.join(entities, keys)
+        .join(times, keys)
+        .withColumn("absent", F.col("_entities") * F.col("_times") - F.col("zero") - F.col("reading"))
+    )
+    return counted.unpivot(keys, ["zero", "reading", "absent"], "state", "cells").filter("cells > 0")

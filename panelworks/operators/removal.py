@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 from panelworks.operators.summaries import peak_holders
 
 
-def removal_candidates(
-    daily: DataFrame, peak_limit: float | None = None, top_holders: int = 12, entity="building_id", value="meter_reading"
-) -> list:
-    """Entities that ever exceed ``peak_limit``, and those that hold the daily peak most often."""
-    holders = (
+def frequent_holders(daily: DataFrame, top: int = 12, entity="building_id", value="meter_reading") -> DataFrame:
+    """Entities that hold the daily peak most often; ties in id order."""
+    return (
         peak_holders(daily, ["date"], entity, value)
         .groupBy(entity)
         .agg(F.count("*").alias("days"))
         .orderBy(F.desc("days"), entity)
-        .limit(top_holders)
+        .limit(top)
         .select(entity)
     )
+
+
+def removal_candidates(
+    daily: DataFrame, peak_limit: float | None = None, top_holders: int = 12, entity="building_id", value="meter_reading"
+) -> list:
+    """Entities that ever exceed ``peak_limit``, and those that hold the daily peak most often."""
+    chosen = frequent_holders(daily, top_holders, entity, value)
     if peak_limit is not None:
-        holders = holders.unionByName(daily.filter(F.col(value) > peak_limit).select(entity)).distinct()
-    return sorted(row[0] for row in holders.collect())
+        chosen = chosen.union(daily.filter(F.col(value) > peak_limit).select(entity)).distinct()
+    return sorted(row[0] for row in chosen.collect())
 
 
 def _days_with_ranked_candidates(daily: DataFrame, candidates: Sequence, entity: str, value: str) -> DataFrame:

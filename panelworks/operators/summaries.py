@@ -228,3 +228,12 @@ def fill_with_median(df: DataFrame, column: str, default: float) -> DataFrame:
     middle = exact_median(df, column).first()
     fill = default if middle is None or middle["median"] is None else middle["median"]
     return df.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(float(fill))))
+
+
+def labelled_union(parts: dict[str, DataFrame], label: str) -> DataFrame:
+    """Stack tables of the same columns, each marked with its name."""
+    marked = [df.select(F.lit(name).alias(label), *df.columns) for name, df in parts.items()]
+    result = marked[0]
+    for more in marked[1:]:
+        result = result.unionByName(more)
+    return result

@@ -37,7 +37,7 @@ def main() -> int:
             result = queries[name](spark, folder).toArrow()
             took = time.time() - start
             if name in oracles:
-                expected = con.execute(oracles[name]).to_arrow_table()
+                expected = con.sql(oracles[name]).to_arrow_table()
                 notes = differences(result, expected)
             else:
                 notes = [] if result.num_rows else ["no rows"]
