@@ -1 +1,203 @@
-"""To be filled."""
+"""Queries over the historical profile, fitted models, roll-outs and experiments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from panelworks.catalogue.registry import query, rounded
+from panelworks.catalogue.sql import (
+    METER_HOURS, READINGS, SUPPLIER_DAYS, metrics_of, ranges_of, runs_of, split_of, with_,
+)
+from panelworks.functions.calendar import DAY, calendar_columns
+from panelworks.operators import metrics, models, ridge, splits, summaries
+from panelworks.plans import forecasting
+from panelworks.plans.preparation import build_features, prepare_splits
+from panelworks.scale import cut_lineage
+from panelworks.sources import stand_ins
+
+SCALED = """scaled AS (SELECT building_id, meter, timestamp, split, target_min, target_max,
+  CAST(isodow(timestamp) - 1 AS INTEGER) AS day_week, CAST(hour(timestamp) AS INTEGER) AS hour_datetime,
+  CASE WHEN target_max - target_min <= 0 THEN 0 ELSE (ln(1 + meter_reading) - target_min) / (target_max - target_min) END AS meter_reading
+  FROM prepared JOIN ranges USING (meter))"""
+PROFILE = """train AS (SELECT * FROM scaled WHERE split = 'train'),
+one AS (SELECT building_id, meter, day_week, hour_datetime, avg(meter_reading) AS p1 FROM train GROUP BY 1, 2, 3, 4),
+two AS (SELECT building_id, meter, hour_datetime, avg(meter_reading) AS p2 FROM train GROUP BY 1, 2, 3),
+three AS (SELECT meter, day_week, hour_datetime, avg(meter_reading) AS p3 FROM train GROUP BY 1, 2, 3),
+predicted AS (SELECT s.*, coalesce(p1, p2, p3, (SELECT avg(meter_reading) FROM train)) AS prediction,
+  CASE WHEN p1 IS NOT NULL THEN 'building_meter_weekday_hour' WHEN p2 IS NOT NULL THEN 'building_meter_hour'
+    WHEN p3 IS NOT NULL THEN 'meter_weekday_hour' ELSE 'global_mean' END AS level
+  FROM scaled s LEFT JOIN one USING (building_id, meter, day_week, hour_datetime) LEFT JOIN two USING (building_id, meter, hour_datetime)
+    LEFT JOIN three USING (meter, day_week, hour_datetime))"""
+STEPS = [READINGS, split_of("readings", ["meter"]), ranges_of("prepared", ["meter"]), SCALED, PROFILE]
+
+
+def prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """Scaled readings with split, calendar columns and building attributes."""
+    wide = build_features(
+        stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder), stand_ins.weather(spark, folder)
+    )
+    return cut_lineage(prepare_splits(wide), "prepared")
+
+
+def prepared_slim(spark: SparkSession, folder: str) -> DataFrame:
+    """Scaled readings with split and calendar columns only."""
+    rows = stand_ins.readings(spark, folder).withColumns(calendar_columns(F.col("timestamp")))
+    return prepare_splits(cut_lineage(rows, "readings"))
+
+
+@query("profile_forecast_scores", with_(*STEPS, metrics_of("predicted", "meter_reading", "prediction", ["meter", "split"])))
+def profile_forecast_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(forecasting.profile_scores(prepared_slim(spark, folder)))
+
+
+@query("profile_forecast_scores_raw", with_(*STEPS, """
+raw AS (SELECT meter, split, exp(meter_reading * (target_max - target_min) + target_min) - 1 AS y,
+  exp(prediction * (target_max - target_min) + target_min) - 1 AS p FROM predicted)""", metrics_of("raw", "y", "p", ["meter", "split"])
+  .replace(", 6)", ", 4)")))
+def profile_forecast_scores_raw(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(forecasting.profile_scores(prepared_slim(spark, folder), raw=True), 4)
+
+
+@query("profile_predictions", with_(*STEPS, """
+SELECT building_id, meter, timestamp, split, round(prediction, 6) AS prediction, level FROM predicted"""))
+def profile_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    scored = forecasting.profile_forecast(prepared_slim(spark, folder))
+    return rounded(scored.select("building_id", "meter", "timestamp", "split", "prediction", "level"))
+
+
+FEATURES = ["site_id", "primary_use", "square_feet", "age", "floor_count", "wind_direction", "wind_speed", "beaufort_scale",
+            "hour_datetime", "day_week", "day_month_datetime", "square_feet_missing", "wind_speed_missing"]
+
+
+@query("ridge_forecast")
+def ridge_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prepared(spark, folder)
+    model = ridge.fit_ridge(rows, FEATURES, "meter_reading")
+    return models.score_and_measure(model, rows, "meter_reading", ["meter", "split"])
+
+
+# One standardised feature has a closed form: the ridge weight is Sxy / (Sxx + alpha), and Sxx is the row count.
+@query("ridge_single_feature", with_(METER_HOURS, split_of("meter_hours", ["meter"]), """
+rows AS (SELECT meter, split, timestamp, meter_reading AS y, CAST(hour(timestamp) AS DOUBLE) AS x FROM prepared)""", """
+facts AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n FROM rows WHERE split = 'train')""", """
+weights AS (SELECT sum((x - mx) / sx * (y - my)) / (max(n) + 1.0) AS w FROM rows CROSS JOIN facts WHERE split = 'train')""", """
+SELECT meter, split, timestamp, round(my + w * (x - mx) / sx, 6) AS prediction FROM rows CROSS JOIN facts CROSS JOIN weights"""))
+def ridge_single_feature(spark: SparkSession, folder: str) -> DataFrame:
+    rows = splits.time_split(stand_ins.meter_hours(spark, folder), "timestamp", ["meter"])
+    rows = rows.withColumn("hour", F.hour("timestamp").cast("double"))
+    model = ridge.fit_ridge(rows, ["hour"], "meter_reading", alpha=1.0)
+    return rounded(model.score(rows, None, None).select("meter", "split", "timestamp", "prediction"))
+
+
+def _trees(rows: DataFrame, rounds: int = 5):
+    return models.fit_boosted_trees(rows, FEATURES, "meter_reading", depth=4, rounds=rounds, step=0.2, max_bins=64)
+
+
+@query("boosted_trees_forecast")
+def boosted_trees_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prepared(spark, folder)
+    return models.score_and_measure(_trees(rows), rows, "meter_reading", ["meter", "split"])
+
+
+@query("importance_ranking")
+def importance_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return summaries.rank_importance(_trees(prepared(spark, folder), 3).importances(spark), top=12)
+
+
+@query("per_meter_training")
+def per_meter_training(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prepared(spark, folder)
+    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", keys=["meter"])
+    scored = ridge.score_ridge_family(rows, family, FEATURES, ["meter"])
+    return models.measure_family(scored, "meter_reading", ["meter", "split"])
+
+
+@query("best_penalty")
+def best_penalty(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prepared(spark, folder)
+    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", [0.1, 10.0, 1000.0])
+    scored = ridge.score_ridge_family(rows.filter("split = 'valid'"), family, FEATURES)
+    return models.select_best(models.measure_family(scored, "meter_reading", []), "alpha")
+
+
+@query("feature_ablation")
+def feature_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prepared(spark, folder)
+    weather = {"wind_direction", "wind_speed", "beaufort_scale"}
+    calendar = {"hour_datetime", "day_week", "day_month_datetime"}
+    variants = {
+        "baseline": FEATURES,
+        "no_weather": [f for f in FEATURES if f not in weather],
+        "no_calendar": [f for f in FEATURES if f not in calendar],
+        "no_missing_flags": [f for f in FEATURES if not f.endswith("_missing")],
+    }
+    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", keys=["meter"], variants=variants)
+    scored = ridge.score_ridge_family(rows.filter("split = 'test'"), family, FEATURES, ["meter"])
+    per_meter = models.measure_family(scored, "meter_reading", ["meter"])
+    return metrics.delta_from_baseline(metrics.pool_metrics(per_meter, ["variant"]), "rmsle")
+
+
+# With one standardised feature per meter the family has the same closed form.
+@query("ridge_family_single_feature", with_(METER_HOURS, split_of("meter_hours", ["meter"]), """
+rows AS (SELECT meter, split, timestamp, meter_reading AS y, CAST(hour(timestamp) AS DOUBLE) AS x FROM prepared)""", """
+facts AS (SELECT meter, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n FROM rows WHERE split = 'train' GROUP BY 1)""", """
+alphas AS (SELECT unnest([1.0, 50.0]) AS alpha)""", """
+weights AS (SELECT meter, alpha, sum((x - mx) / sx * (y - my)) / (max(n) + max(alpha)) AS w
+  FROM rows JOIN facts USING (meter) CROSS JOIN alphas WHERE split = 'train' GROUP BY 1, 2)""", """
+scored AS (SELECT meter, split, alpha, y, my + w * (x - mx) / sx AS p FROM rows JOIN facts USING (meter) JOIN weights USING (meter))""",
+    f"""measured AS ({metrics_of("scored", "y", "p", ["meter", "split", "alpha"])})""", """
+SELECT meter, split, CAST(alpha AS DOUBLE) AS alpha, round(mse, 3) AS mse, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
+  round(smape, 4) AS smape, round(rmsle, 4) AS rmsle, evaluated_row_count FROM measured""").replace("round(sse / n, 6)", "round(sse / n, 9)"))
+def ridge_family_single_feature(spark: SparkSession, folder: str) -> DataFrame:
+    rows = splits.time_split(stand_ins.meter_hours(spark, folder), "timestamp", ["meter"])
+    rows = rows.withColumn("hour", F.hour("timestamp").cast("double"))
+    family = ridge.fit_ridge_family(rows, ["hour"], "meter_reading", [1.0, 50.0], ["meter"])
+    scored = ridge.score_ridge_family(rows, family, ["hour"], ["meter"], None, None)
+    scores = models.measure_family(scored, "meter_reading", ["meter", "split"]).drop("variant")
+    return rounded(rounded(scores.withColumn("mse", F.round("mse", 3)), 4))
+
+
+@query("autoregressive_forecast")
+def autoregressive_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    hours = cut_lineage(stand_ins.meter_hours(spark, folder).withColumn("building_id", F.lit(0)), "hours")
+    rows = cut_lineage(prepare_splits(hours), "prepared")
+    scored = forecasting.autoregressive_forecast(rows, ["meter"], window=6)
+    return metrics.regression_metrics(scored, "meter_reading", "prediction", ["meter"])
+
+
+def _rollout_sql(source: str, keys: list[str], step: str, weights: tuple[float, ...]) -> str:
+    """Recursive roll-out with fixed weights: the state is the last values, newest first."""
+    ks = ", ".join(keys)
+    size = len(weights)
+    on = " AND ".join(f"r.{k} = s.{k}" for k in keys)
+    first = " + ".join(f"{w}::DOUBLE * h{i}" for i, w in enumerate(weights))
+    state = ["s.guess", *[f"s.h{i}" for i in range(size - 1)]]
+    following = " + ".join(f"{w}::DOUBLE * {h}" for w, h in zip(weights, state))
+    starts = ", ".join(f"lag(meter_reading, {i + 1}) OVER w AS h{i}" for i in range(size))
+    return f"""WITH RECURSIVE {source}, {split_of(source.split(' AS')[0], [])}, {runs_of('prepared', keys, step)},
+lagged AS (SELECT {ks}, timestamp, split, run_position, run_start, meter_reading, {starts},
+    lag(split) OVER w AS before, lag(run_position) OVER w AS before_place FROM runs WINDOW w AS (PARTITION BY {ks} ORDER BY timestamp)),
+todo AS (SELECT * FROM lagged WHERE split = 'test' AND run_position >= {size}),
+firsts AS (SELECT * FROM todo WHERE before <> 'test' OR before_place < {size}),
+rolled AS (
+  SELECT {ks}, timestamp, meter_reading, {first} AS guess, {', '.join(f'h{i}' for i in range(size))} FROM firsts
+  UNION ALL
+  SELECT {', '.join('s.' + k for k in keys)}, r.timestamp, r.meter_reading, {following} AS guess, {', '.join(state)}
+  FROM rolled s JOIN todo r ON {on} AND r.timestamp = s.timestamp + INTERVAL '{step}')
+SELECT {ks}, timestamp, round(meter_reading, 6) AS meter_reading, round(guess, 6) AS prediction FROM rolled"""
+
+
+@query("rollout_fixed_weights", _rollout_sql(METER_HOURS, ["meter"], "1 hour", (0.4700000013, 0.3100000007, 0.1900000003)))
+def rollout_fixed_weights(spark: SparkSession, folder: str) -> DataFrame:
+    rows = splits.time_split(stand_ins.meter_hours(spark, folder), "timestamp")
+    rolled = models.roll_out_forecast(rows, ["meter"], "timestamp", "meter_reading", [0.4700000013, 0.3100000007, 0.1900000003])
+    return rounded(rolled.select("meter", "timestamp", "meter_reading", "prediction"))
+
+
+@query("rollout_daily_series", _rollout_sql(SUPPLIER_DAYS, ["building_id"], "1 day", (0.6, 0.4)))
+def rollout_daily_series(spark: SparkSession, folder: str) -> DataFrame:
+    rows = splits.time_split(stand_ins.supplier_days(spark, folder), "timestamp", slice_days=384)
+    rolled = models.roll_out_forecast(
+        rows, ["building_id"], "timestamp", "meter_reading", [0.6, 0.4], step_seconds=DAY
+    )
+    return rounded(rolled.select("building_id", "timestamp", "meter_reading", "prediction"))

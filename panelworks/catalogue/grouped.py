@@ -227,7 +227,7 @@ def string_cardinality(spark: SparkSession, folder: str) -> DataFrame:
 @query("median_fill", with_(BUILDINGS, """
 SELECT building_id, round(coalesce(square_feet, (SELECT median(square_feet) FROM buildings)), 6) AS square_feet FROM buildings"""))
 def median_fill(spark: SparkSession, folder: str) -> DataFrame:
-    filled = summaries.fill_with_median(stand_ins.buildings(spark, folder), "square_feet", 0.0)
+    filled = summaries.fill_with_median(stand_ins.buildings(spark, folder), ["square_feet"], 0.0)
     return rounded(filled.select("building_id", "square_feet"))
 
 

@@ -123,16 +123,15 @@ def panel_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("sequence_windows", with_(METER_HOURS, runs_of("meter_hours", ["meter"]), """
-listed AS (SELECT meter, timestamp, run_position, round(meter_reading, 6) AS next_target,
-  list(round(meter_reading, 6)) OVER (PARTITION BY meter ORDER BY timestamp ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS sequence FROM runs)""", """
-SELECT meter, timestamp, sequence, next_target FROM listed WHERE run_position >= 6"""))
+targets AS (SELECT meter, timestamp, round(meter_reading, 6) AS next_target FROM runs WHERE run_position >= 6)""", """
+SELECT t.meter, t.timestamp, CAST(6 - date_diff('hour', h.timestamp, t.timestamp) AS INTEGER) AS place,
+  round(h.meter_reading, 6) AS history, next_target
+FROM targets t JOIN meter_hours h ON h.meter = t.meter AND h.timestamp < t.timestamp AND h.timestamp >= t.timestamp - INTERVAL '6 hours'"""))
 def sequence_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = stand_ins.meter_hours(spark, folder)
     found = windows.sequence_windows(rows, ["meter"], "timestamp", ["timestamp", "meter_reading"], "meter_reading", 6)
-    return found.select(
-        "meter", "timestamp", F.transform("sequence", lambda s: tidy(s["meter_reading"])).alias("sequence"),
-        tidy(F.col("next_target")).alias("next_target"),
-    )
+    each = found.select("meter", "timestamp", "next_target", F.posexplode("sequence").alias("place", "row"))
+    return rounded(each.select("meter", "timestamp", "place", F.col("row.meter_reading").alias("history"), "next_target"))
 
 
 @query("sequence_windows_stride_4", with_(METER_HOURS, runs_of("meter_hours", ["meter"]), """

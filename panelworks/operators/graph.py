@@ -39,8 +39,7 @@ def similarity_attributes(buildings: DataFrame, entity: str = "building_id", ref
         ).alias("age"),
         to_number(F.col("floor_count")).alias("floor_count"),
     )
-    for column in ("square_feet", "age", "floor_count"):
-        named = fill_with_median(named, column, 0.0)
+    named = fill_with_median(named, ("square_feet", "age", "floor_count"), 0.0)
     size = F.log1p(F.greatest(F.col("square_feet"), F.lit(0.0)))
     return named.select(entity, "site_id", "primary_use", size.alias("size"), "age", "floor_count")
 

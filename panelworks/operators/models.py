@@ -1,67 +1,20 @@
-"""Ridge regression, boosted trees, rolled-out forecasts and experiments over them."""
+"""Boosted trees, batch scoring, model selection and rolled-out forecasts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelworks.functions.calendar import HOUR, epoch_seconds
 from panelworks.functions.scaling import clip, to_number
 from panelworks.operators import metrics
 from panelworks.operators.continuity import contiguous_runs
-from panelworks.operators.splits import fit_imputed_scaler, scaler_values, standardise
-
-
-@dataclass
-class LinearModel:
-    """Weights of a linear forecast on standardised features."""
-
-    features: list[str]
-    weights: list[float]
-    intercept: float
-    scaler: dict[str, tuple[float, float]]
-
-    def prediction(self) -> Column:
-        """The forecast of standardised columns as one plain expression."""
-        terms = [F.col(c) * F.lit(w) for c, w in zip(self.features, self.weights)]
-        return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-
-    def score(self, df: DataFrame, low: float | None = 0.0, high: float | None = 1.0, output="prediction") -> DataFrame:
-        """Add the clipped prediction; the features of ``df`` stay unscaled."""
-        renamed = {f"_{c}": F.col(c) for c in self.features}
-        ready = standardise(df.withColumns(renamed), {f"_{c}": v for c, v in self.scaler.items()}, impute_first=True)
-        terms = [F.col(f"_{c}") * F.lit(w) for c, w in zip(self.features, self.weights)]
-        value = reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
-        return ready.withColumn(output, clip(value, low, high)).drop(*renamed)
-
-
-def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> LinearModel:
-    """Ridge regression on mean-imputed, standardised features of the training rows.
-
-    The penalty is ``alpha`` times the squared weights against the plain sum of squared errors, with
-    an unpenalised intercept; the regularisation parameter is rescaled to that convention.
-    """
-    features = list(features)
-    scaler = scaler_values(fit_imputed_scaler(df, features))
-    train = standardise(df.filter("split = 'train'").select(*features, target), scaler, impute_first=True)
-    facts = train.agg(F.count("*").alias("n"), F.avg(target).alias("mean"), F.stddev_pop(target).alias("std")).first()
-    if not facts["n"]:
-        raise ValueError("no training rows")
-    if not facts["std"]:
-        return LinearModel(features, [0.0] * len(features), float(facts["mean"]), scaler)
-    ready = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", target)
-    fitted = LinearRegression(
-        featuresCol="_x", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=False,
-        regParam=alpha * facts["std"] / facts["n"],
-    ).fit(ready)
-    return LinearModel(features, [float(w) for w in fitted.coefficients], float(fitted.intercept), scaler)
 
 
 @dataclass
@@ -114,23 +67,16 @@ def fit_boosted_trees(
     return TreeModel(list(features), fitted)
 
 
+def measure_family(scored: DataFrame, target: str, groups: Sequence[str]) -> DataFrame:
+    """Metrics of every model of a scored family."""
+    return metrics.regression_metrics(scored, target, "prediction", [*groups, "variant", "alpha"])
+
+
 def score_and_measure(model, df: DataFrame, target: str, groups: Sequence[str] = ("split",)) -> DataFrame:
     """Batch scoring followed by the metrics of each group."""
     return metrics.regression_metrics(model.score(df), target, "prediction", groups)
 
 
-def train_per_value(
-    df: DataFrame, column: str, values: Iterable, fit: Callable[[DataFrame], object], target: str
-) -> DataFrame:
-    """One model per meter value, with the metrics of all of them in one table."""
-    results = []
-    for value in values:
-        part = df.filter(F.col(column) == F.lit(value))
-        model = fit(part)
-        results.append(score_and_measure(model, part, target).withColumn(column, F.lit(value)))
-    return reduce(DataFrame.unionByName, results)
-
-
 def select_best(scores: DataFrame, candidate: str, score: str = "rmse", groups: Sequence[str] = ()) -> DataFrame:
     """The candidate with the lowest validation score; the first candidate wins a tie."""
     best = F.min_by(F.struct(candidate, score), F.struct(score, candidate))
@@ -150,18 +96,6 @@ def early_stop(history: Iterable[tuple[int, float]], patience: int = 3) -> tuple
     return best_round, best_score
 
 
-def run_variants(
-    df: DataFrame, variants: dict[str, Sequence[str]], target: str, alpha: float = 1.0, split: str = "test"
-) -> DataFrame:
-    """Fit one ridge model per feature set and compare the variants on one split."""
-    results = []
-    for name, features in variants.items():
-        model = fit_ridge(df, features, target, alpha)
-        scored = score_and_measure(model, df.filter(F.col("split") == split), target, [])
-        results.append(scored.withColumn("variant", F.lit(name)))
-    return metrics.delta_from_baseline(reduce(DataFrame.unionByName, results), "rmsle")
-
-
 def _roll_out(weights: np.ndarray, intercept: float, low: float | None, high: float | None, target: str):
     window = len(weights)
 
@@ -224,10 +158,3 @@ def roll_out_forecast(
     low, high = write_back if write_back else (None, None)
     roll = _roll_out(np.asarray(weights, dtype=float), float(intercept), low, high, target)
     return rows.groupBy(*keys, "run_start").applyInPandas(roll, schema).drop("run_start")
-
-
-def lag_weights(model: LinearModel) -> tuple[list[float], float]:
-    """Weights and intercept of a lag model on unscaled values, as the roll-out needs them."""
-    raw = [w / model.scaler[c][1] for c, w in zip(model.features, model.weights)]
-    shift = sum(w * model.scaler[c][0] for c, w in zip(model.features, raw))
-    return raw, model.intercept - shift

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelworks.scale import attach
+from panelworks.scale import attach, cut_lineage
 
 LEVELS = ("building_meter_weekday_hour", "building_meter_hour", "meter_weekday_hour", "global_mean")
 
@@ -28,10 +28,12 @@ def fit_profile(
     weekday: str = "day_week",
     hour: str = "hour_datetime",
 ) -> HistoricalProfile:
-    """One aggregation of the training rows; the coarser levels roll its sums up."""
-    finest = train.groupBy(entity, meter, weekday, hour).agg(
-        F.sum(target).alias("_sum"), F.count(target).alias("_n")
-    )
+    """One aggregation of the training rows; the coarser levels roll its sums up.
+
+    The sums feed three tables, so they are written once instead of being recomputed.
+    """
+    sums = train.groupBy(entity, meter, weekday, hour).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"))
+    finest = cut_lineage(sums, "profile")
     mean = F.sum("_sum") / F.sum("_n")
     weekday_means = F.map_from_entries(F.collect_list(F.struct(F.col(weekday), F.col("_sum") / F.col("_n"))))
     return HistoricalProfile(

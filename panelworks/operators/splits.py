@@ -203,6 +203,8 @@ def fit_imputed_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.lit(name).alias("column"),
                 F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
                 F.when(spread > 0, spread).otherwise(1.0).alias("std"),
+                F.coalesce(spread, F.lit(0.0)).alias("spread"),
+                F.count("*").alias("row_count"),
             )
         )
     train = df.filter("split = 'train'")

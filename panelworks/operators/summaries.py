@@ -223,11 +223,15 @@ def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), accurac
     return ranked.groupBy(*groups).agg(((at(lower) + at(upper)) / 2).alias("median"))
 
 
-def fill_with_median(df: DataFrame, column: str, default: float) -> DataFrame:
-    """Replace nulls by the median of the known values, or by a default when none is known."""
-    middle = exact_median(df, column).first()
-    fill = default if middle is None or middle["median"] is None else middle["median"]
-    return df.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(float(fill))))
+def fill_with_median(df: DataFrame, columns: Sequence[str], default: float) -> DataFrame:
+    """Replace nulls by the column's median, or by a default when no value is known; one search for all columns."""
+    columns = list(columns)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    middles = exact_median(numbers.unpivot([], columns, "_column", "_number"), "_number", ["_column"])
+    known = {row["_column"]: row["median"] for row in middles.collect()}
+    return df.withColumns(
+        {c: F.coalesce(F.col(c).cast("double"), F.lit(float(known.get(c, default)))) for c in columns}
+    )
 
 
 def labelled_union(parts: dict[str, DataFrame], label: str) -> DataFrame:

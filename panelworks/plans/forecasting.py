@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from panelworks.functions.calendar import HOUR
 from panelworks.operators import metrics
-from panelworks.operators.models import fit_ridge, lag_weights, roll_out_forecast
+from panelworks.operators.models import roll_out_forecast
 from panelworks.operators.profile import fit_profile, predict_profile
+from panelworks.operators.ridge import fit_ridge, lag_weights
 from panelworks.operators.windows import lag_features
 
 
@@ -43,9 +44,3 @@ def autoregressive_forecast(
     model = fit_ridge(lagged, [f"lag_{k}" for k in range(1, window + 1)], target, alpha)
     weights, intercept = lag_weights(model)
     return roll_out_forecast(prepared, keys, ts, target, weights, intercept, split, clip_to, step_seconds)
-
-
-def forecast_summary(scored: DataFrame, target: str = "meter_reading", groups: Sequence[str] = ("meter",)) -> DataFrame:
-    """Metrics of a rolled-out forecast, and mean values for a plain look at its level."""
-    means = scored.groupBy(*groups).agg(F.avg(target).alias("mean_actual"), F.avg("prediction").alias("mean_predicted"))
-    return metrics.regression_metrics(scored, target, "prediction", groups).join(means, list(groups))

@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, functions as F
 from panelworks.operators.enrich import encode_labels, engineered_features, join_buildings, join_weather, missing_flags
 from panelworks.operators.screening import is_listed
 from panelworks.operators.splits import check_target, scale_target, split_summary, time_split
+from panelworks.scale import cut_lineage
 
 
 def build_features(
     readings: DataFrame, buildings: DataFrame, weather: DataFrame, flag_gaps: bool = True, reference_year: int = 2016
 ) -> DataFrame:
-    """Join buildings and weather, encode the use, add engineered columns and missing-value flags."""
+    """Join buildings and weather, encode the use, add engineered columns and missing-value flags.
+
+    The joined table is written once: finding the columns with gaps, the split bounds and the target
+    range then scan a few of its columns instead of joining again.
+    """
     coded = encode_labels(buildings, "primary_use")
     wide = join_weather(join_buildings(readings, coded), weather)
-    featured = engineered_features(wide, reference_year=reference_year)
+    featured = cut_lineage(engineered_features(wide, reference_year=reference_year), "features")
     return missing_flags(featured) if flag_gaps else featured
 
 
