@@ -38,7 +38,9 @@ def contiguous_runs(
         .withColumn("_row", F.row_number().over(in_slice))
         .withColumn("_cut", F.coalesce(sec - F.col("_prev_sec") != step_seconds, F.lit(False)))
         .withColumn("_cuts", F.sum(F.col("_cut").cast("long")).over(so_far))
-        .withColumn("_head", F.max(F.when(F.col("_cut"), F.struct("_row", ts))).over(so_far))
+        # both grow along the series, so their maximum so far is the latest run start in the slice
+        .withColumn("_head_row", F.max(F.when(F.col("_cut"), F.col("_row"))).over(so_far))
+        .withColumn("_head_ts", F.max(F.when(F.col("_cut"), F.col(ts))).over(so_far))
     )
     summary = local.groupBy(*keys, "_slice").agg(
         F.min("_sec").alias("_first"),
@@ -47,7 +49,8 @@ def contiguous_runs(
         F.max(ts).alias("_last_ts"),
         F.count("*").alias("_n"),
         F.max("_cuts").alias("_n_cuts"),
-        F.max("_head").alias("_tail"),
+        F.max("_head_row").alias("_tail_row"),
+        F.max("_head_ts").alias("_tail_ts"),
     )
     by_series = Window.partitionBy(*keys).orderBy("_slice")
     series_so_far = by_series.rowsBetween(Window.unboundedPreceding, 0)
@@ -63,9 +66,9 @@ def contiguous_runs(
         .withColumn("_chain", F.sum(F.col("_opens").cast("long")).over(series_so_far))
         .withColumn(
             "_tail_rows",
-            F.sum(F.col("_n") - F.coalesce(F.col("_tail._row") - 1, F.lit(0))).over(in_chain),
+            F.sum(F.col("_n") - F.coalesce(F.col("_tail_row") - 1, F.lit(0))).over(in_chain),
         )
-        .withColumn("_tail_start", F.first(F.coalesce(F.col(f"_tail.{ts}"), F.col("_first_ts"))).over(in_chain))
+        .withColumn("_tail_start", F.first(F.coalesce("_tail_ts", "_first_ts")).over(in_chain))
         .withColumn("_carry_rows", F.when(F.col("_joined"), F.lag("_tail_rows").over(by_series)).otherwise(0))
         .withColumn("_carry_start", F.when(F.col("_joined"), F.lag("_tail_start").over(by_series)))
         .withColumn(
@@ -81,18 +84,18 @@ def contiguous_runs(
     first_in_slice = F.col("_row") == 1
     in_first_run = F.col("_cuts") == 0
     return (
-        local.join(slices, [*keys, "_slice"])
+        local.join(slices, [*keys, "_slice"], "left")
         .withColumn("previous_ts", F.when(first_in_slice, F.col("_prev_last_ts")).otherwise(F.col("_prev")))
         .withColumn("is_gap", F.when(first_in_slice, F.col("_boundary_cut")).otherwise(F.col("_cut")))
         .withColumn("segment", F.col("_segments_before") + F.col("_cuts"))
         .withColumn(
             "run_start",
-            F.when(in_first_run, F.coalesce("_carry_start", "_first_ts")).otherwise(F.col(f"_head.{ts}")),
+            F.when(in_first_run, F.coalesce("_carry_start", "_first_ts")).otherwise(F.col("_head_ts")),
         )
         .withColumn(
             "run_position",
             F.when(in_first_run, F.col("_row") - 1 + F.col("_carry_rows")).otherwise(
-                F.col("_row") - F.col("_head._row")
+                F.col("_row") - F.col("_head_row")
             ),
         )
         .select(*df.columns, "previous_ts", "is_gap", "segment", "run_start", "run_position")
@@ -166,7 +169,7 @@ def forward_fill(
     carried = last_of_slice.select(*keys, "_slice", F.last("_row", ignorenulls=True).over(earlier).alias("_carried"))
     filled = (
         sliced.withColumn("_local", F.last(row, ignorenulls=True).over(in_slice))
-        .join(carried, [*keys, "_slice"])
+        .join(carried, [*keys, "_slice"], "left")
         .withColumn("_filled", F.coalesce("_local", "_carried"))
     )
     values = {

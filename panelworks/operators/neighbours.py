@@ -163,7 +163,9 @@ def nearest_neighbours(
     source = cut_lineage(nodes.select(F.col(node).cast("long").alias("node"), *features), "nodes")
 
     grouped = source.groupBy(*features).agg(F.min("node").alias("profile"), F.count("*").alias("members"))
-    profiles = cut_lineage(grouped, "profiles")
+    # comparing is heavy for few bytes, so the spread is set by the cores and not by the size
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    profiles = cut_lineage(grouped.repartition(tasks, "profile"), "profiles")
     n = profiles.count()
     wanted = pivot_count or min(MAX_PIVOTS, max(1, math.isqrt(n)))
     pivots = profiles.orderBy(F.xxhash64("profile"), "profile").limit(wanted).select(*features).toPandas()
@@ -208,9 +210,12 @@ def nearest_neighbours(
         F.pmod(slot, F.col("search_blocks")).alias("search_block"),
     )
     block = ["cell", "member_block", "search_block"]
+    # one shuffle per side, with as many partitions as there are blocks, up to the cores of the cluster
+    block_count = sum(math.ceil(r["n"] / block_rows) * math.ceil(demand.get(r["cell"], 1) / block_rows) for r in sizes)
+    spread = min(block_count, 4 * tasks)
     pairs = (
-        queries.groupBy(*block)
-        .cogroup(members.groupBy(*block))
+        queries.repartition(spread, *block).groupBy(*block)
+        .cogroup(members.repartition(spread, *block).groupBy(*block))
         .applyInPandas(_search_block(metric, k, digits), "profile long, other long, similarity double")
     )
     order = [F.desc("similarity"), F.asc("other")]

@@ -36,7 +36,7 @@ def row_positions(
     offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = sliced.withColumn("_local", F.row_number().over(within) - 1)
     return (
-        numbered.join(offsets, [*keys, "_slice"])
+        numbered.join(offsets, [*keys, "_slice"], "left")
         .withColumn(position, F.col("_local") + F.col("_before"))
         .drop("_slice", "_local", "_before")
     )
