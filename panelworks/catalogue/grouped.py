@@ -9,6 +9,7 @@ from panelworks.catalogue.sql import (
     BUILDINGS, READINGS, SUPPLIER_READINGS, WEATHER, ZERO_INFLATED, ranges_of, split_of, with_,
 )
 from panelworks.operators import enrich, metrics, removal, screening, splits, summaries
+from panelworks.scale import cut_lineage
 from panelworks.sources import stand_ins
 
 DAILY = """daily AS (
@@ -291,3 +292,69 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
     late = rows.filter("l_shipdate >= timestamp_ntz'2001-10-01'").select("building_id")
     early = rows.filter("l_shipdate < timestamp_ntz'1995-01-08'").select("building_id")
     return late.subtract(early)
+
+
+RATIO_LIMIT = 1.34
+PEAK_SHARE = 1.2
+REMOVAL = [READINGS, """
+daily AS (SELECT CAST(timestamp AS DATE) AS date, building_id, sum(meter_reading) AS v FROM readings WHERE meter = 'purchase' GROUP BY 1, 2)""", """
+tops AS (SELECT date, building_id, v FROM daily QUALIFY row_number() OVER (PARTITION BY date ORDER BY v DESC, building_id) = 1)""", f"""
+candidates AS (SELECT building_id, row_number() OVER (ORDER BY building_id) - 1 AS i FROM (
+  SELECT building_id FROM daily WHERE v > {PEAK_SHARE} * (SELECT median(v) FROM tops)
+  UNION SELECT building_id FROM (SELECT building_id, count(*) AS days FROM tops GROUP BY 1 ORDER BY days DESC, building_id LIMIT 2)))""", """
+subsets AS (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM candidates)) AS BIGINT))) AS s)""", """
+peaks AS (SELECT s, date, max(v) AS peak FROM subsets CROSS JOIN daily LEFT JOIN candidates USING (building_id)
+  WHERE i IS NULL OR (s >> i) & 1 = 0 GROUP BY 1, 2)""", """
+tried AS (SELECT s, bit_count(s) AS size, max(peak) AS max, avg(peak) AS mean, median(peak) AS median, max(peak) / median(peak) AS ratio
+  FROM peaks GROUP BY 1)""", f"""
+solved AS (SELECT * FROM tried WHERE ratio <= {RATIO_LIMIT} AND size = (SELECT min(size) FROM tried WHERE ratio <= {RATIO_LIMIT}))""", """
+best AS (SELECT s FROM solved ORDER BY round(ratio, 9), round(max, 9), round(mean, 9) LIMIT 1)"""]
+
+
+def removal_search(spark: SparkSession, folder: str):
+    """Readings of one meter, their daily totals, the candidates, the solutions and the search log."""
+    rows = stand_ins.readings(spark, folder).filter("meter = 'purchase'")
+    daily = cut_lineage(summaries.daily_totals(rows, ["building_id"]), "daily")
+    middle = summaries.series_summary(summaries.peak_holders(daily, ["date"]), "meter_reading").first()["median"]
+    candidates = removal.removal_candidates(daily, PEAK_SHARE * middle, top_holders=2)
+    solutions, log = removal.minimal_removal(daily, candidates, RATIO_LIMIT)
+    return rows, daily, solutions, log
+
+
+@query("minimal_removal", with_(*REMOVAL, """
+SELECT CAST(size AS INTEGER) AS removed_count, (SELECT string_agg(building_id, ',' ORDER BY building_id) FROM candidates WHERE (s >> i) & 1 = 1) AS removed,
+  round(max, 6) AS max, round(mean, 6) AS mean, round(median, 6) AS median, round(ratio, 6) AS ratio FROM solved"""))
+def minimal_removal(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, solutions, _ = removal_search(spark, folder)
+    listed = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return rounded(solutions.select(F.size("removed").alias("removed_count"), listed.alias("removed"), "max", "mean", "median", "ratio"))
+
+
+@query("removal_search_log", with_(*REMOVAL, f"""
+SELECT CAST(size AS BIGINT) AS remove_count, count(*) AS combinations, count(*) FILTER (WHERE ratio <= {RATIO_LIMIT}) AS solutions FROM tried
+WHERE size <= coalesce((SELECT min(size) FROM solved), 99) GROUP BY 1"""))
+def removal_search_log(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, _, log = removal_search(spark, folder)
+    return spark.createDataFrame(log, "remove_count bigint, combinations bigint, solutions bigint")
+
+
+@query("removal_impact", with_(*REMOVAL, """
+SELECT building_id, count(*) AS rows_to_delete FROM readings JOIN candidates USING (building_id)
+WHERE meter = 'purchase' AND ((SELECT s FROM best) >> i) & 1 = 1 GROUP BY 1"""))
+def removal_impact(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _, solutions, _ = removal_search(spark, folder)
+    best = solutions.first()
+    return removal.removal_impact(rows, best["removed"] if best else [])
+
+
+@query("removal_comparison", with_(READINGS, """
+cells AS (SELECT CAST(timestamp AS DATE) AS date, building_id, meter_reading AS v FROM readings WHERE meter = 'purchase')""", """
+schemes AS (SELECT 'none' AS scheme, CAST([] AS BIGINT[]) AS ids UNION ALL SELECT 'three', [2, 42, 121] UNION ALL SELECT 'six', [2, 42, 121, 3, 8, 11])""", """
+peaks AS (SELECT scheme, date, max(v) FILTER (WHERE NOT list_contains(ids, building_id)) AS peak,
+  count(*) FILTER (WHERE list_contains(ids, building_id)) AS removed FROM schemes CROSS JOIN cells GROUP BY 1, 2)""", """
+SELECT scheme, CAST(sum(removed) AS BIGINT) AS removed_rows, round(max(peak), 6) AS max, round(avg(peak), 6) AS mean, round(median(peak), 6) AS median,
+  round(max(peak) / median(peak), 6) AS ratio FROM peaks GROUP BY 1"""))
+def removal_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stand_ins.readings(spark, folder).filter("meter = 'purchase'")
+    schemes = {"none": [], "three": [2, 42, 121], "six": [2, 42, 121, 3, 8, 11]}
+    return rounded(removal.compare_removals(rows, schemes))

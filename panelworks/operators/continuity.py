@@ -30,17 +30,20 @@ def contiguous_runs(
     sec = F.col("_sec")
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("_sec")
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, 0)
-    local = (
-        df.withColumn("_sec", epoch_seconds(F.col(ts)))
-        .withColumn("_slice", time_slice(F.col(ts), slice_days))
-        .withColumn("_prev", F.lag(ts).over(in_slice))
-        .withColumn("_prev_sec", F.lag("_sec").over(in_slice))
-        .withColumn("_row", F.row_number().over(in_slice))
-        .withColumn("_cut", F.coalesce(sec - F.col("_prev_sec") != step_seconds, F.lit(False)))
-        .withColumn("_cuts", F.sum(F.col("_cut").cast("long")).over(so_far))
-        # both grow along the series, so their maximum so far is the latest run start in the slice
-        .withColumn("_head_row", F.max(F.when(F.col("_cut"), F.col("_row"))).over(so_far))
-        .withColumn("_head_ts", F.max(F.when(F.col("_cut"), F.col(ts))).over(so_far))
+    placed = df.withColumns({"_sec": epoch_seconds(F.col(ts)), "_slice": time_slice(F.col(ts), slice_days)}).withColumns(
+        {
+            "_prev": F.lag(ts).over(in_slice),
+            "_row": F.row_number().over(in_slice),
+            "_cut": F.coalesce(sec - F.lag("_sec").over(in_slice) != step_seconds, F.lit(False)),
+        }
+    )
+    # row number and timestamp grow along the series: their maximum so far is the latest run start
+    local = placed.withColumns(
+        {
+            "_cuts": F.count_if("_cut").over(so_far),
+            "_head_row": F.max(F.when(F.col("_cut"), F.col("_row"))).over(so_far),
+            "_head_ts": F.max(F.when(F.col("_cut"), F.col(ts))).over(so_far),
+        }
     )
     summary = local.groupBy(*keys, "_slice").agg(
         F.min("_sec").alias("_first"),
@@ -56,49 +59,36 @@ def contiguous_runs(
     series_so_far = by_series.rowsBetween(Window.unboundedPreceding, 0)
     series_before = by_series.rowsBetween(Window.unboundedPreceding, -1)
     in_chain = Window.partitionBy(*keys, "_chain").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    slices = (
-        summary.withColumn("_prev_last", F.lag("_last").over(by_series))
-        .withColumn("_prev_last_ts", F.lag("_last_ts").over(by_series))
-        .withColumn("_joined", F.coalesce(F.col("_first") - F.col("_prev_last") == step_seconds, F.lit(False)))
-        .withColumn("_boundary_cut", F.col("_prev_last").isNotNull() & ~F.col("_joined"))
-        # a slice opens a new chain when the run at its end starts inside it
-        .withColumn("_opens", (F.col("_n_cuts") > 0) | ~F.col("_joined"))
-        .withColumn("_chain", F.sum(F.col("_opens").cast("long")).over(series_so_far))
-        .withColumn(
-            "_tail_rows",
-            F.sum(F.col("_n") - F.coalesce(F.col("_tail_row") - 1, F.lit(0))).over(in_chain),
-        )
-        .withColumn("_tail_start", F.first(F.coalesce("_tail_ts", "_first_ts")).over(in_chain))
-        .withColumn("_carry_rows", F.when(F.col("_joined"), F.lag("_tail_rows").over(by_series)).otherwise(0))
-        .withColumn("_carry_start", F.when(F.col("_joined"), F.lag("_tail_start").over(by_series)))
-        .withColumn(
-            "_segments_before",
-            F.coalesce(F.sum(F.col("_n_cuts") + F.col("_boundary_cut").cast("long")).over(series_before), F.lit(0))
-            + F.col("_boundary_cut").cast("long"),
-        )
-        .select(
-            *keys, "_slice", "_first_ts", "_prev_last_ts", "_boundary_cut",
-            "_carry_rows", "_carry_start", "_segments_before",
-        )
+    joined = F.coalesce(F.col("_first") - F.lag("_last").over(by_series) == step_seconds, F.lit(False))
+    linked = summary.withColumns({"_joined": joined, "_prev_last_ts": F.lag("_last_ts").over(by_series)})
+    boundary_cut = F.col("_prev_last_ts").isNotNull() & ~F.col("_joined")
+    # a slice opens a new chain when the run at its end starts inside it
+    chained = linked.withColumn("_chain", F.count_if((F.col("_n_cuts") > 0) | ~F.col("_joined")).over(series_so_far))
+    tails = chained.withColumns(
+        {
+            "_tail_rows": F.sum(F.col("_n") - F.coalesce(F.col("_tail_row") - 1, F.lit(0))).over(in_chain),
+            "_tail_start": F.first(F.coalesce("_tail_ts", "_first_ts")).over(in_chain),
+        }
+    )
+    cuts_before = F.coalesce(F.sum(F.col("_n_cuts") + boundary_cut.cast("long")).over(series_before), F.lit(0))
+    slices = tails.select(
+        *keys, "_slice", "_first_ts", "_prev_last_ts",
+        boundary_cut.alias("_boundary_cut"),
+        F.when(F.col("_joined"), F.lag("_tail_rows").over(by_series)).otherwise(0).alias("_carry_rows"),
+        F.when(F.col("_joined"), F.lag("_tail_start").over(by_series)).alias("_carry_start"),
+        (cuts_before + boundary_cut.cast("long")).alias("_segments_before"),
     )
     first_in_slice = F.col("_row") == 1
     in_first_run = F.col("_cuts") == 0
-    return (
-        local.join(slices, [*keys, "_slice"], "left")
-        .withColumn("previous_ts", F.when(first_in_slice, F.col("_prev_last_ts")).otherwise(F.col("_prev")))
-        .withColumn("is_gap", F.when(first_in_slice, F.col("_boundary_cut")).otherwise(F.col("_cut")))
-        .withColumn("segment", F.col("_segments_before") + F.col("_cuts"))
-        .withColumn(
-            "run_start",
-            F.when(in_first_run, F.coalesce("_carry_start", "_first_ts")).otherwise(F.col("_head_ts")),
-        )
-        .withColumn(
-            "run_position",
-            F.when(in_first_run, F.col("_row") - 1 + F.col("_carry_rows")).otherwise(
-                F.col("_row") - F.col("_head_row")
-            ),
-        )
-        .select(*df.columns, "previous_ts", "is_gap", "segment", "run_start", "run_position")
+    return local.join(slices, [*keys, "_slice"], "left").select(
+        *[F.col(c) for c in df.columns],
+        F.when(first_in_slice, F.col("_prev_last_ts")).otherwise(F.col("_prev")).alias("previous_ts"),
+        F.when(first_in_slice, F.col("_boundary_cut")).otherwise(F.col("_cut")).alias("is_gap"),
+        (F.col("_segments_before") + F.col("_cuts")).alias("segment"),
+        F.when(in_first_run, F.coalesce("_carry_start", "_first_ts")).otherwise(F.col("_head_ts")).alias("run_start"),
+        F.when(in_first_run, F.col("_row") - 1 + F.col("_carry_rows"))
+        .otherwise(F.col("_row") - F.col("_head_row"))
+        .alias("run_position"),
     )
 
 

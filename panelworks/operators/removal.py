@@ -76,11 +76,11 @@ def minimal_removal(
     ratio_limit: float = 2.0,
     entity: str = "building_id",
     value: str = "meter_reading",
-) -> tuple[DataFrame | None, list[tuple[int, int, int]]]:
+) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """All smallest removals that bring max / median to the limit, best first, and the search log.
 
     Sizes are tried upwards, one job per size, and the search ends at the first size with a solution.
-    The log has (size, combinations, solutions). Returns None when no removal works.
+    The log has (size, combinations, solutions). The table is empty when no removal works.
     """
     spark = daily.sparkSession
     names = F.array(*[F.lit(c) for c in candidates])
@@ -92,7 +92,7 @@ def minimal_removal(
             last = F.coalesce(F.try_element_at("chosen", F.lit(-1)), F.lit(-1))
             later = F.explode(F.sequence(last + 1, F.lit(len(candidates) - 1))).alias("_next")
             extended = level.filter(last < len(candidates) - 1).select("chosen", later)
-            level = extended.select(F.array_append("chosen", "_next").alias("chosen"))
+            level = extended.select(F.array_append("chosen", F.col("_next")).alias("chosen"))
         spread = level.repartition(spark.sparkContext.defaultParallelism)
         combinations = spread.select(F.transform("chosen", lambda i: F.get(names, i)).alias("removed"))
         scored = evaluate_removals(combinations, daily, candidates, entity, value)
@@ -100,8 +100,8 @@ def minimal_removal(
         found = solutions.count()
         log.append((size, level.count(), found))
         if found:
-            return solutions.orderBy("ratio", "max", "mean", "removed"), log
-    return None, log
+            break
+    return solutions.orderBy("ratio", "max", "mean", "removed"), log
 
 
 def removal_impact(df: DataFrame, removed: Sequence, entity: str = "building_id") -> DataFrame:

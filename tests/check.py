@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 import time
 from pathlib import Path
@@ -28,6 +29,7 @@ def main() -> int:
         .config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
