@@ -146,15 +146,14 @@ weights AS (SELECT meter, alpha, sum((x - mx) / sx * (y - my)) / (max(n) + max(a
   FROM rows JOIN facts USING (meter) CROSS JOIN alphas WHERE split = 'train' GROUP BY 1, 2)""", """
 scored AS (SELECT meter, split, alpha, y, my + w * (x - mx) / sx AS p FROM rows JOIN facts USING (meter) JOIN weights USING (meter))""",
     f"""measured AS ({metrics_of("scored", "y", "p", ["meter", "split", "alpha"])})""", """
-SELECT meter, split, CAST(alpha AS DOUBLE) AS alpha, round(mse, 3) AS mse, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2,
-  round(smape, 4) AS smape, round(rmsle, 4) AS rmsle, evaluated_row_count FROM measured""").replace("round(sse / n, 6)", "round(sse / n, 9)"))
+SELECT * REPLACE (CAST(alpha AS DOUBLE) AS alpha) FROM measured"""))
 def ridge_family_single_feature(spark: SparkSession, folder: str) -> DataFrame:
     rows = splits.time_split(stand_ins.meter_hours(spark, folder), "timestamp", ["meter"])
     rows = rows.withColumn("hour", F.hour("timestamp").cast("double"))
     family = ridge.fit_ridge_family(rows, ["hour"], "meter_reading", [1.0, 50.0], ["meter"])
     scored = ridge.score_ridge_family(rows, family, ["hour"], ["meter"], None, None)
     scores = models.measure_family(scored, "meter_reading", ["meter", "split"]).drop("variant")
-    return rounded(rounded(scores.withColumn("mse", F.round("mse", 3)), 4))
+    return rounded(scores)
 
 
 @query("autoregressive_forecast")

@@ -96,10 +96,10 @@ def missing_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("table_profile", with_(READINGS, """
 SELECT meter, count(*) AS row_count, count(DISTINCT building_id) AS building_count, min(timestamp) AS start_timestamp,
-  max(timestamp) AS end_timestamp, round(min(meter_reading), 4) AS reading_min, round(max(meter_reading), 4) AS reading_max,
-  round(avg(meter_reading), 4) AS reading_mean FROM readings GROUP BY 1"""))
+  max(timestamp) AS end_timestamp, round(min(meter_reading), 6) AS reading_min, round(max(meter_reading), 6) AS reading_max,
+  round(avg(meter_reading), 6) AS reading_mean FROM readings GROUP BY 1"""))
 def table_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(summaries.table_profile(stand_ins.readings(spark, folder), ["meter"]), 4)
+    return rounded(summaries.table_profile(stand_ins.readings(spark, folder), ["meter"]))
 
 
 @query("meter_distribution", with_(READINGS, """

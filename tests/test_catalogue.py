@@ -7,7 +7,7 @@ from oracle import connect, differences
 
 import __spark_entry__ as entry
 
-FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
