@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelworks.functions.scaling import to_number
 from panelworks.operators.enrich import value_codes
-from panelworks.operators.neighbours import AttributeSimilarity, CosineSimilarity, nearest_neighbours
+from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
 from panelworks.operators.summaries import fill_with_median
 from panelworks.scale import attach
 
@@ -22,7 +22,7 @@ AGE_SCALE = 10.0
 FLOOR_SCALE = 3.0
 TOP_K = 20
 
-ATTRIBUTES = AttributeSimilarity(
+ATTRIBUTES = attribute_metric(
     equal={"site_id": SITE_WEIGHT, "primary_use": PRIMARY_USE_WEIGHT},
     near={"size": (SIZE_WEIGHT, 1.0), "age": (AGE_WEIGHT, AGE_SCALE), "floor_count": (FLOOR_WEIGHT, FLOOR_SCALE)},
 )
@@ -54,7 +54,7 @@ def attribute_graph(
 
 def embedding_graph(embeddings: DataFrame, node: str, vector: str, k: int = TOP_K, **options) -> DataFrame:
     """Edges to the k nodes with the largest positive cosine similarity."""
-    return nearest_neighbours(embeddings.select(node, vector), node, CosineSimilarity(vector), k, **options)
+    return nearest_neighbours(embeddings.select(node, vector), node, cosine_metric(vector), k, **options)
 
 
 def normalise_rows(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -23,57 +24,51 @@ BLOCK_ROWS = 2048
 SLACK = 1e-5
 
 
-class AttributeSimilarity:
+# A metric is a namespace of plain functions, so that it travels to the workers by value:
+#   columns     the feature columns it compares
+#   similarity  matrix between two frames of features
+#   distance    turns similarities into distances that obey the triangle inequality
+#   total       similarity of equal nodes
+
+
+def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float]]) -> SimpleNamespace:
     """Weighted agreement of node attributes; 1 - similarity is a metric.
 
     Text columns count when equal; number columns count as exp(-distance / scale).
     """
+    total = sum(equal.values()) + sum(weight for weight, _ in near.values())
 
-    floor = 0.0
-
-    def __init__(self, equal: dict[str, float], near: dict[str, tuple[float, float]]):
-        self.equal, self.near = equal, near
-        self.total = sum(equal.values()) + sum(w for w, _ in near.values())
-
-    def columns(self) -> list[str]:
-        return [*self.equal, *self.near]
-
-    def similarity(self, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    def similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         score = np.zeros((len(a), len(b)))
-        for name, weight in self.equal.items():
+        for name, weight in equal.items():
             codes, _ = pd.factorize(pd.concat([a[name], b[name]], ignore_index=True))
             score += weight * (codes[: len(a), None] == codes[None, len(a) :])
-        for name, (weight, scale) in self.near.items():
+        for name, (weight, scale) in near.items():
             x, y = a[name].to_numpy(float), b[name].to_numpy(float)
             score += weight * np.exp(-np.abs(x[:, None] - y[None, :]) / scale)
         return score
 
-    def distance(self, similarity):
-        return np.maximum(self.total - similarity, 0.0)
+    def distance(score):
+        return np.maximum(total - score, 0.0)
 
+    return SimpleNamespace(columns=[*equal, *near], similarity=similarity, distance=distance, total=total)
 
-class CosineSimilarity:
-    """Cosine of vectors scaled to length 1, negative values cut to 0; the metric is the chord length."""
 
-    floor = 0.0
-    total = 1.0
+def cosine_metric(vector: str) -> SimpleNamespace:
+    """Cosine of vectors scaled to length 1; the metric is the chord length."""
 
-    def __init__(self, vector: str):
-        self.vector = vector
-
-    def columns(self) -> list[str]:
-        return [self.vector]
-
-    def similarity(self, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return np.clip(self._matrix(a) @ self._matrix(b).T, -1.0, 1.0)
-
-    def _matrix(self, frame: pd.DataFrame) -> np.ndarray:
-        rows = np.array(frame[self.vector].tolist(), dtype=float).reshape(len(frame), -1)
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        rows = np.array(frame[vector].tolist(), dtype=float).reshape(len(frame), -1)
         norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.maximum(norms, 1e-12)
 
-    def distance(self, similarity):
-        return np.sqrt(np.maximum(2.0 - 2.0 * similarity, 0.0))
+    def similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return np.clip(unit(a) @ unit(b).T, -1.0, 1.0)
+
+    def distance(score):
+        return np.sqrt(np.maximum(2.0 - 2.0 * score, 0.0))
+
+    return SimpleNamespace(columns=[vector], similarity=similarity, distance=distance, total=1.0)
 
 
 def _assign_to_pivots(metric, pivots: pd.DataFrame):
@@ -124,7 +119,7 @@ def _search_block(metric, k: int, digits: int):
             # columns are in id order, so a stable sort breaks ties by the smaller id
             best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
             top = np.take_along_axis(scores, best, axis=1)
-            row, col = np.nonzero(top > metric.floor)
+            row, col = np.nonzero(top > 0.0)
             found = {
                 "profile": left["profile"].to_numpy()[row],
                 "other": ids[best[row, col]],
@@ -155,7 +150,7 @@ def nearest_neighbours(
     Similarities are rounded to ``digits`` and ties go to the smaller id.
     """
     spark = nodes.sparkSession
-    features = metric.columns()
+    features = list(metric.columns)
     if k <= 0:
         empty = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                               T.StructField("weight", T.DoubleType())])
@@ -185,7 +180,7 @@ def nearest_neighbours(
     for row in lists:
         nearest[row["cell"], : len(row["d"])] = row["d"]
 
-    reach = float(metric.distance(metric.floor))
+    reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
     schema = T.StructType([*profiles.schema.fields, T.StructField("search_cell", T.ArrayType(T.IntegerType()))])
     searching = cut_lineage(
         assigned.mapInPandas(_choose_cells(metric, pivots, radius, nearest, k, reach), schema)

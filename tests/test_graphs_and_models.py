@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelworks.operators import graph, models, removal, ridge
-from panelworks.operators.neighbours import AttributeSimilarity, CosineSimilarity, nearest_neighbours
+from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
 from panelworks.scale import attach
 from panelworks.streaming.continuity_state import continuity_stream
 from panelworks.streaming.daily_profile import daily_profile, read_file_stream, run_to_table
 
-METRIC = AttributeSimilarity(equal={"site": 0.6}, near={"size": (0.4, 2.0)})
+METRIC = attribute_metric(equal={"site": 0.6}, near={"size": (0.4, 2.0)})
 
 
 def brute_force(ids, similarity, k):
@@ -48,7 +48,7 @@ def test_embedding_neighbours(spark, k):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     df = spark.createDataFrame(rows, "id bigint, v array<double>")
-    got = found(nearest_neighbours(df, "id", CosineSimilarity("v"), k, block_rows=16))
+    got = found(nearest_neighbours(df, "id", cosine_metric("v"), k, block_rows=16))
     assert got == brute_force(list(range(120)), unit @ unit.T, k)
 
 
