@@ -261,29 +261,19 @@ def top_entities_by_count(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("labelled_union", with_(SUPPLIER_READINGS, DAILY_MAX, """
 SELECT 'all' AS scenario, CAST(date AS TIMESTAMP) AS date, max(meter_reading) AS peak FROM daily_max GROUP BY 2
-UNION ALL SELECT 'without 10', CAST(date AS TIMESTAMP), max(meter_reading) FROM daily_max WHERE building_id >= 10 GROUP BY 2"""))
+UNION ALL SELECT 'screened', CAST(date AS TIMESTAMP), max(meter_reading) FROM daily_max WHERE building_id NOT IN (3, 8, 11) GROUP BY 2"""))
 def labelled_union(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily_maxima(spark, folder)
     return summaries.labelled_union(
         {
             "all": daily.groupBy("date").agg(F.max("meter_reading").alias("peak")),
-            "without 10": daily.filter("building_id >= 10").groupBy("date").agg(F.max("meter_reading").alias("peak")),
+            "screened": daily.filter(~screening.is_listed(F.col("building_id"), (3, 8, 11)))
+            .groupBy("date").agg(F.max("meter_reading").alias("peak")),
         },
         "scenario",
     )
 
 
-@query("candidate_union", with_(SUPPLIER_READINGS, DAILY_MAX, """
-holders AS (SELECT building_id, count(*) AS days FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY meter_reading DESC, building_id) AS place
-  FROM daily_max) WHERE place = 1 GROUP BY 1 ORDER BY days DESC, building_id LIMIT 8)""", """
-SELECT building_id FROM holders UNION SELECT building_id FROM daily_max WHERE meter_reading > 49 AND building_id < 20"""))
-def candidate_union(spark: SparkSession, folder: str) -> DataFrame:
-    daily = daily_maxima(spark, folder)
-    frequent = removal.frequent_holders(daily, 8)
-    high = daily.filter("meter_reading > 49 AND building_id < 20").select("building_id")
-    return frequent.union(high).distinct()
-
-
 @query("set_difference", """
 SELECT DISTINCT l_suppkey AS building_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01'
 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-08'""")
@@ -358,3 +348,10 @@ def removal_comparison(spark: SparkSession, folder: str) -> DataFrame:
     rows = stand_ins.readings(spark, folder).filter("meter = 'purchase'")
     schemes = {"none": [], "three": [2, 42, 121], "six": [2, 42, 121, 3, 8, 11]}
     return rounded(removal.compare_removals(rows, schemes))
+
+
+@query("candidate_union", with_(*REMOVAL[:4], "SELECT building_id FROM candidates"))
+def candidate_union(spark: SparkSession, folder: str) -> DataFrame:
+    daily = summaries.daily_totals(stand_ins.readings(spark, folder).filter("meter = 'purchase'"), ["building_id"])
+    middle = summaries.series_summary(summaries.peak_holders(daily, ["date"]), "meter_reading").first()["median"]
+    return removal.candidate_set(daily, PEAK_SHARE * middle, top_holders=2)

@@ -61,10 +61,12 @@ def dictionary_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("node_reindex", with_(BUILDINGS, """
-nodes AS (SELECT DISTINCT l_suppkey * 29 AS building_id FROM lineitem)""", """
+nodes AS (SELECT DISTINCT o_custkey AS building_id FROM orders UNION SELECT l_partkey FROM lineitem)""", """
 SELECT building_id, site_id, primary_use, floor_count FROM nodes LEFT JOIN buildings USING (building_id)"""))
 def node_reindex(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = stand_ins.table(spark, folder, "lineitem").select((F.col("l_suppkey") * 29).alias("building_id")).distinct()
+    buyers = stand_ins.table(spark, folder, "orders").select(F.col("o_custkey").alias("building_id"))
+    parts = stand_ins.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("building_id"))
+    nodes = buyers.union(parts).distinct()
     found = enrich.reindex(nodes, stand_ins.buildings(spark, folder))
     return found.select("building_id", "site_id", "primary_use", "floor_count")
 
@@ -103,13 +105,13 @@ def unseen_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("panel_grid", with_(SUPPLIER_DAYS, """
-nodes AS (SELECT DISTINCT building_id FROM supplier_days WHERE building_id % 2 = 0)""", """
+nodes AS (SELECT DISTINCT building_id FROM supplier_days)""", """
 SELECT month(timestamp) + year(timestamp) * 100 AS month, count(*) AS cells, count(meter_reading) AS observed,
   CAST(sum(meter_reading) AS DOUBLE) AS total
 FROM (SELECT DISTINCT timestamp FROM supplier_days) CROSS JOIN nodes LEFT JOIN supplier_days USING (timestamp, building_id) GROUP BY 1"""))
 def panel_grid(spark: SparkSession, folder: str) -> DataFrame:
     rows = stand_ins.supplier_days(spark, folder)
-    nodes = rows.filter("building_id % 2 = 0").select("building_id").distinct()
+    nodes = rows.select("building_id").distinct()
     panel = enrich.complete_panel(rows, nodes, slice_days=384)
     month = (F.month("timestamp") + F.year("timestamp") * 100).cast("bigint")
     return panel.groupBy(month.alias("month")).agg(

@@ -79,16 +79,18 @@ def window_targets_stride_4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("meter", "timestamp", "run_position")
 
 
-@query("panel_window_targets", with_(READINGS, """
-nodes AS (SELECT DISTINCT building_id FROM readings WHERE meter = 'click' AND building_id % 5 = 0)""", """
-hours AS (SELECT timestamp, max(CAST(building_id IN (SELECT building_id FROM nodes) AS INTEGER)) AS any_observed
-  FROM readings WHERE meter = 'click' GROUP BY 1)""", runs_of("hours", []), """
-SELECT timestamp, run_position FROM runs WHERE run_position >= 6 AND any_observed = 1"""))
+@query("panel_window_targets", with_(READINGS, split_of("readings", ["meter"]), """
+nodes AS (SELECT DISTINCT meter, building_id FROM prepared WHERE split = 'train')""", """
+hours AS (SELECT meter, timestamp, max(CAST(n.building_id IS NOT NULL AS INTEGER)) AS any_observed
+  FROM prepared LEFT JOIN nodes n USING (meter, building_id) GROUP BY 1, 2)""", runs_of("hours", ["meter"]), """
+SELECT meter, timestamp, run_position FROM runs WHERE run_position >= 6 AND any_observed = 1"""))
 def panel_window_targets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.readings(spark, folder).filter("meter = 'click'").select("building_id", "timestamp", "meter_reading")
-    nodes = rows.filter("building_id % 5 = 0").select("building_id").distinct()
-    panel = enrich.complete_panel(rows, nodes)
-    return continuity.panel_window_targets(panel, "timestamp", "observed", 6).select("timestamp", "run_position")
+    rows = splits.time_split(stand_ins.readings(spark, folder), "timestamp", ["meter"])
+    nodes = rows.filter("split = 'train'").select("meter", "building_id").distinct()
+    panel = enrich.complete_panel(rows, nodes, keys=["meter"])
+    return continuity.panel_window_targets(panel, "timestamp", "observed", 6, ["meter"]).select(
+        "meter", "timestamp", "run_position"
+    )
 
 
 EVALUABLE = with_(METER_HOURS, split_of("meter_hours", ["meter"]), runs_of("prepared", ["meter"]), """
@@ -105,21 +107,27 @@ def evaluable_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("panel_forward_fill", with_(SUPPLIER_DAYS, split_of("supplier_days", []), """
 panel AS (SELECT n.building_id, t.split, t.timestamp, p.meter_reading FROM (SELECT DISTINCT split, timestamp FROM prepared) t
-  CROSS JOIN (SELECT DISTINCT building_id FROM prepared WHERE building_id % 10 = 3) n
+  CROSS JOIN (SELECT DISTINCT building_id FROM prepared) n
   LEFT JOIN prepared p ON p.building_id = n.building_id AND p.timestamp = t.timestamp)""", """
-SELECT building_id, split, timestamp, meter_reading IS NOT NULL AS observed,
-  coalesce(last_value(meter_reading IGNORE NULLS) OVER (PARTITION BY building_id, split ORDER BY timestamp), 0) AS filled,
-  coalesce(last_value(CASE WHEN meter_reading IS NOT NULL THEN CAST(day(timestamp) AS INTEGER) END IGNORE NULLS)
-    OVER (PARTITION BY building_id, split ORDER BY timestamp), 0) AS filled_day FROM panel"""))
+filled AS (SELECT building_id, split, timestamp, meter_reading IS NOT NULL AS observed,
+  coalesce(last_value(meter_reading IGNORE NULLS) OVER w, 0) AS filled,
+  coalesce(last_value(CASE WHEN meter_reading IS NOT NULL THEN day(timestamp) END IGNORE NULLS) OVER w, 0) AS filled_day
+  FROM panel WINDOW w AS (PARTITION BY building_id, split ORDER BY timestamp))""", """
+SELECT building_id, split, month(timestamp) AS month, count(*) AS cells, count(*) FILTER (WHERE observed) AS observed,
+  CAST(sum(filled) AS DOUBLE) AS filled, CAST(sum(filled_day) AS BIGINT) AS filled_day FROM filled GROUP BY 1, 2, 3"""))
 def panel_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     rows = splits.time_split(stand_ins.supplier_days(spark, folder), "timestamp", slice_days=YEAR_SLICE)
     rows = rows.withColumn("filled_day", F.dayofmonth("timestamp")).withColumnRenamed("meter_reading", "filled")
-    nodes = rows.select("building_id").filter("building_id % 10 = 3").distinct()
+    nodes = rows.select("building_id").distinct()
     spread = nodes.withColumn("split", F.explode(F.array(*[F.lit(s) for s in splits.SPLITS])))
     panel = enrich.complete_panel(rows, spread, keys=["split"], slice_days=YEAR_SLICE)
-    return continuity.forward_fill(
+    filled = continuity.forward_fill(
         panel, ["building_id", "split"], "timestamp", ["filled", "filled_day"], "observed", 0, slice_days=YEAR_SLICE
-    ).select("building_id", "split", "timestamp", "observed", "filled", "filled_day")
+    )
+    return filled.groupBy("building_id", "split", F.month("timestamp").cast("bigint").alias("month")).agg(
+        F.count("*").alias("cells"), F.count_if("observed").alias("observed"), F.sum("filled").alias("filled"),
+        F.sum("filled_day").alias("filled_day"),
+    )
 
 
 @query("sequence_windows", with_(METER_HOURS, runs_of("meter_hours", ["meter"]), """

@@ -135,30 +135,30 @@ def complete_panel(
 ) -> DataFrame:
     """Every node at every timestamp that occurs, with ``observed`` marking the rows that exist.
 
-    The distinct timestamps are gathered per key and time slice (a bounded array each), the nodes
-    meet them by an equality join on key and slice, and the arrays are unfolded there. ``nodes`` has
-    the columns ``keys`` and ``entity``. Rows of other nodes are left out.
+    ``nodes`` has the columns ``keys`` and ``entity``; rows of other nodes are left out. Existing rows
+    pass through unshuffled. Only the missing cells are made: per node and time slice, the timestamps
+    of the slice minus those the node has, both arrays bounded by the hours of a slice.
     """
     keys = list(keys)
-    times = (
-        readings.select(*keys, ts)
-        .distinct()
-        .withColumn("_slice", time_slice(F.col(ts), slice_days))
-        .groupBy(*keys, "_slice")
-        .agg(F.collect_set(ts).alias("_times"))
-    )
+    nodes = nodes.select(*keys, entity).distinct()
+    stamps = readings.select(*keys, entity, ts).withColumn("_slice", time_slice(F.col(ts), slice_days))
+    times = stamps.select(*keys, "_slice", ts).distinct().groupBy(*keys, "_slice").agg(F.collect_set(ts).alias("_times"))
+    present = stamps.groupBy(*keys, entity, "_slice").agg(F.collect_set(ts).alias("_present"))
     if keys:
-        slices = times.groupBy(*keys).agg(F.collect_set("_slice").alias("_slices"))
-        spread = attach(nodes, slices, keys, "inner")
+        spread = attach(nodes, times.groupBy(*keys).agg(F.collect_set("_slice").alias("_slices")), keys, "inner")
     else:
         spread = nodes.withColumn("_slices", times.agg(F.collect_set("_slice")).scalar())
     spread = spread.select(*nodes.columns, F.explode("_slices").alias("_slice"))
     # a row of this side holds a whole slice of timestamps, so it is broadcast only when very short
-    grid = attach(spread, times, [*keys, "_slice"], "inner", row_limit=500)
-    full = grid.select(*nodes.columns, F.explode("_times").alias(ts))
-    seen = readings.withColumn("observed", F.lit(True))
-    joined = full.join(seen, [*keys, entity, ts], "left")
-    return joined.withColumn("observed", F.coalesce("observed", F.lit(False)))
+    cells = attach(spread, times, [*keys, "_slice"], "inner", row_limit=500)
+    absent = F.when(F.col("_present").isNull(), F.col("_times")).otherwise(F.array_except("_times", "_present"))
+    missing = (
+        cells.join(present, [*keys, entity, "_slice"], "left")
+        .select(*nodes.columns, F.explode(absent).alias(ts))
+        .withColumn("observed", F.lit(False))
+    )
+    known = readings.join(nodes, [*keys, entity], "left_semi").withColumn("observed", F.lit(True))
+    return known.unionByName(missing, allowMissingColumns=True)
 
 
 def presence_counts(

@@ -21,14 +21,22 @@ def frequent_holders(daily: DataFrame, top: int = 12, entity="building_id", valu
     )
 
 
-def removal_candidates(
+def candidate_set(
     daily: DataFrame, peak_limit: float | None = None, top_holders: int = 12, entity="building_id", value="meter_reading"
-) -> list:
-    """Entities that ever exceed ``peak_limit``, and those that hold the daily peak most often."""
+) -> DataFrame:
+    """Entities that ever exceed ``peak_limit``, united with those that hold the daily peak most often."""
     chosen = frequent_holders(daily, top_holders, entity, value)
     if peak_limit is not None:
         chosen = chosen.union(daily.filter(F.col(value) > peak_limit).select(entity)).distinct()
-    return sorted(row[0] for row in chosen.collect())
+    return chosen
+
+
+def removal_candidates(daily: DataFrame, *args, limit: int = 1000, **options) -> list:
+    """The candidate set as a sorted list; the search over its subsets needs it to be short."""
+    found = [row[0] for row in candidate_set(daily, *args, **options).limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} removal candidates; raise the peak limit")
+    return sorted(found)
 
 
 def _days_with_ranked_candidates(daily: DataFrame, candidates: Sequence, entity: str, value: str) -> DataFrame:

@@ -146,9 +146,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 25, groups: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins over the range of the whole table; the last bin is closed."""
     value = df.select(*groups, F.col(column).alias("_value")).filter("_value IS NOT NULL")
-    low, high = value.agg(F.min("_value")).scalar(), value.agg(F.max("_value")).scalar()
+    span = value.agg(F.struct(F.min("_value").alias("low"), F.max("_value").alias("high"))).scalar()
     return (
-        value.withColumn("bin", equal_width_bin(F.col("_value"), low, high, bins))
+        value.withColumn("bin", equal_width_bin(F.col("_value"), span["low"], span["high"], bins))
         .groupBy(*groups, "bin")
         .agg(F.count("*").alias("row_count"))
     )

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from panelworks.functions.calendar import HOUR
 from panelworks.operators import metrics
+from panelworks.operators.continuity import forward_fill
+from panelworks.operators.enrich import complete_panel
 from panelworks.operators.models import roll_out_forecast
+from panelworks.operators.ordering import SLICE_DAYS
 from panelworks.operators.profile import fit_profile, predict_profile
 from panelworks.operators.ridge import fit_ridge, lag_weights
+from panelworks.operators.splits import SPLITS
 from panelworks.operators.windows import lag_features
+from panelworks.scale import cut_lineage
 
 
 def profile_forecast(prepared: DataFrame, target: str = "meter_reading") -> DataFrame:
@@ -44,3 +49,33 @@ def autoregressive_forecast(
     model = fit_ridge(lagged, [f"lag_{k}" for k in range(1, window + 1)], target, alpha)
     weights, intercept = lag_weights(model)
     return roll_out_forecast(prepared, keys, ts, target, weights, intercept, split, clip_to, step_seconds)
+
+
+def panel_forecast(
+    prepared: DataFrame,
+    nodes: DataFrame,
+    weights: Sequence[float],
+    intercept: float = 0.0,
+    entity: str = "building_id",
+    ts: str = "timestamp",
+    target: str = "meter_reading",
+    split: str = "test",
+    step_seconds: int = HOUR,
+    clip_to: tuple[float, float] | None = (0.0, 1.0),
+    slice_days: int = SLICE_DAYS,
+) -> DataFrame:
+    """Roll a lag model out over the completed panel and return the observed cells of the split.
+
+    The history of a node is its forward-filled reading, filled within each split. Predictions are
+    written back for every node and hour of the panel, observed or not; only observed ones are scored.
+    """
+    rows = prepared.select(entity, ts, target, "split")
+    spread = nodes.select(entity).distinct().withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS])))
+    panel = complete_panel(rows, spread, entity, ts, ["split"], slice_days)
+    actual = panel.withColumn("_actual", F.col(target))
+    filled = forward_fill(actual, [entity, "split"], ts, [target], "observed", 0.0, slice_days)
+    cells = cut_lineage(filled, "panel")
+    rolled = roll_out_forecast(cells, [entity], ts, target, weights, intercept, split, clip_to, step_seconds)
+    return rolled.join(cells.filter("observed").select(entity, ts, F.col("_actual")), [entity, ts]).select(
+        entity, ts, F.col("_actual").alias(target), "split", "prediction"
+    )

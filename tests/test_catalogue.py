@@ -24,7 +24,11 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    result = QUERIES[name](spark, FOLDER).toArrow()
+    query = QUERIES[name](spark, FOLDER)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan, f"{name} plans a {operator}"
+    result = query.toArrow()
     if name in ORACLES:
         assert differences(result, connect(FOLDER).sql(ORACLES[name]).to_arrow_table()) == []
     else:
