@@ -1,9 +1,10 @@
 """Exact nearest neighbours of every node without comparing all pairs.
 
 Nodes with equal features are compared once, as one profile. Profiles are assigned to the nearest of
-a bounded set of pivots. The triangle inequality then tells, for each profile, which pivot cells can
-still hold one of its k nearest, and only those are searched. Cells and the profiles searching them
-are cut into blocks of bounded size, so a crowded cell becomes many tasks.
+a bounded set of pivots. Each profile first searches its own cell, which bounds the distance of its
+k-th neighbour; the triangle inequality then tells which other cells can still hold a nearer one, and
+only those are searched. Cells and the profiles searching them are cut into blocks of bounded size, so
+a crowded cell becomes many tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SLACK = 1e-5
 #   columns     the feature columns it compares
 #   similarity  matrix between two frames of features
 #   distance    turns similarities into distances that obey the triangle inequality
+#   distance_column  the same as a column expression
 #   total       similarity of equal nodes
 
 
@@ -51,7 +53,10 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
     def distance(score):
         return np.maximum(total - score, 0.0)
 
-    return SimpleNamespace(columns=[*equal, *near], similarity=similarity, distance=distance, total=total)
+    return SimpleNamespace(
+        columns=[*equal, *near], similarity=similarity, distance=distance, total=total,
+        distance_column=lambda score: F.greatest(total - score, F.lit(0.0)),
+    )
 
 
 def cosine_metric(vector: str) -> SimpleNamespace:
@@ -68,7 +73,10 @@ def cosine_metric(vector: str) -> SimpleNamespace:
     def distance(score):
         return np.sqrt(np.maximum(2.0 - 2.0 * score, 0.0))
 
-    return SimpleNamespace(columns=[vector], similarity=similarity, distance=distance, total=1.0)
+    return SimpleNamespace(
+        columns=[vector], similarity=similarity, distance=distance, total=1.0,
+        distance_column=lambda score: F.sqrt(F.greatest(2.0 - 2.0 * score, F.lit(0.0))),
+    )
 
 
 def _assign_to_pivots(metric, pivots: pd.DataFrame):
@@ -83,10 +91,11 @@ def _assign_to_pivots(metric, pivots: pd.DataFrame):
 
 
 def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.ndarray, k: int, reach: float):
-    """Per profile, the cells that may hold one of its k nearest.
+    """Per profile, the cells besides its own that may hold one of its k nearest.
 
-    ``nearest`` has, per cell, the k + 1 smallest distances of its members to the pivot (inf where
-    fewer). Pivot distance plus member distance bounds a true distance from above.
+    Two bounds hold for the distance of the k-th neighbour: the one found in the own cell (``bound``,
+    null if there were fewer), and pivot distance plus member distance. ``nearest`` has, per cell, the
+    k + 1 smallest distances of its members to the pivot (inf where fewer).
     """
 
     def choose(batches):
@@ -97,12 +106,15 @@ def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.
                 to_pivot = metric.distance(metric.similarity(part, pivots))
                 bounds = (to_pivot[:, :, None] + nearest[None]).reshape(len(part), -1)
                 # the k + 1 nearest include the profile itself
-                limit = np.minimum(np.partition(bounds, k, axis=1)[:, k], reach) + SLACK
-                own = to_pivot.min(axis=1, keepdims=True)
+                limit = np.minimum(np.partition(bounds, k, axis=1)[:, k], reach)
+                limit = np.fmin(limit, part["bound"].to_numpy(float)) + SLACK
+                home = part["cell"].to_numpy()
+                own = part["cell_distance"].to_numpy()[:, None]
                 below = np.maximum(to_pivot - radius, (to_pivot - own) / 2)
                 may_hold = (below <= limit[:, None]) & (radius >= 0)
+                may_hold[np.arange(len(part)), home] = False
                 cells += [np.flatnonzero(row).astype("int32") for row in may_hold]
-            yield batch.assign(search_cell=cells).drop(columns=["cell", "cell_distance"])
+            yield batch.assign(search_cell=cells).drop(columns=["cell", "cell_distance", "bound"])
 
     return choose
 
@@ -116,14 +128,17 @@ def _search_block(metric, k: int, digits: int):
             scores = np.round(metric.similarity(left, right), digits)
             scores[left["profile"].to_numpy()[:, None] == ids[None, :]] = -np.inf
             take = min(k, len(ids))
-            # columns are in id order, so a stable sort breaks ties by the smaller id
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-            top = np.take_along_axis(scores, best, axis=1)
-            row, col = np.nonzero(top > 0.0)
+            # everything at least as good as the k-th, ties included, then the smaller ids of a tie
+            limit = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+            row, col = np.nonzero(scores >= np.maximum(limit, np.nextafter(0.0, 1.0))[:, None])
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < take], col[place < take]
             found = {
                 "profile": left["profile"].to_numpy()[row],
-                "other": ids[best[row, col]],
-                "similarity": top[row, col],
+                "other": ids[col],
+                "similarity": scores[row, col],
             }
         return pd.DataFrame(found).astype({"profile": "int64", "other": "int64", "similarity": "float64"})
 
@@ -162,7 +177,8 @@ def nearest_neighbours(
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profiles = cut_lineage(grouped.repartition(tasks, "profile"), "profiles")
     n = profiles.count()
-    wanted = pivot_count or min(MAX_PIVOTS, max(1, math.isqrt(n)))
+    # what fits one block needs no cells
+    wanted = pivot_count or (1 if n <= block_rows else min(MAX_PIVOTS, 2 * math.isqrt(n) + 1))
     pivots = profiles.orderBy(F.xxhash64("profile"), "profile").limit(wanted).select(*features).toPandas()
 
     schema = T.StructType([*profiles.schema.fields, T.StructField("cell", T.IntegerType()),
@@ -181,39 +197,59 @@ def nearest_neighbours(
         nearest[row["cell"], : len(row["d"])] = row["d"]
 
     reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
-    schema = T.StructType([*profiles.schema.fields, T.StructField("search_cell", T.ArrayType(T.IntegerType()))])
-    searching = cut_lineage(
-        assigned.mapInPandas(_choose_cells(metric, pivots, radius, nearest, k, reach), schema)
-        .withColumn("cell", F.explode("search_cell")).drop("search_cell"),
-        "searches",
-    )
-    # both sides of a cell are cut into blocks of about block_rows
-    demand = {r["cell"]: r["n"] for r in searching.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    cuts = spark.createDataFrame(
-        [(r["cell"], math.ceil(r["n"] / block_rows), math.ceil(demand.get(r["cell"], 1) / block_rows)) for r in sizes],
-        "cell int, member_blocks int, search_blocks int",
-    )
-    slot = F.hash("profile")
-    members = assigned.join(F.broadcast(cuts), "cell").select(
-        "profile", *features, "cell",
-        F.pmod(slot, F.col("member_blocks")).alias("member_block"),
-        F.explode(F.sequence(F.lit(0), F.col("search_blocks") - 1)).alias("search_block"),
-    )
-    queries = searching.join(F.broadcast(cuts), "cell").select(
-        "profile", *features, "cell",
-        F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("member_block"),
-        F.pmod(slot, F.col("search_blocks")).alias("search_block"),
-    )
-    block = ["cell", "member_block", "search_block"]
-    # one shuffle per side, with as many partitions as there are blocks, up to the cores of the cluster
-    block_count = sum(math.ceil(r["n"] / block_rows) * math.ceil(demand.get(r["cell"], 1) / block_rows) for r in sizes)
-    spread = min(block_count, 4 * tasks)
-    pairs = (
-        queries.repartition(spread, *block).groupBy(*block)
-        .cogroup(members.repartition(spread, *block).groupBy(*block))
-        .applyInPandas(_search_block(metric, k, digits), "profile long, other long, similarity double")
-    )
+    reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
+
+    def search(queries: DataFrame, demand: dict[int, int]) -> DataFrame:
+        """The k best of each searched cell per profile, found block by block."""
+        cuts = [
+            (r["cell"], math.ceil(r["n"] / block_rows), math.ceil(demand[r["cell"]] / block_rows))
+            for r in sizes
+            if r["cell"] in demand
+        ]
+        table = F.broadcast(spark.createDataFrame(cuts, "cell int, member_blocks int, search_blocks int"))
+        slot = F.hash("profile")
+        right = assigned.join(table, "cell").select(
+            "profile", *features, "cell",
+            F.pmod(slot, F.col("member_blocks")).alias("member_block"),
+            F.explode(F.sequence(F.lit(0), F.col("search_blocks") - 1)).alias("search_block"),
+        )
+        left = queries.join(table, "cell").select(
+            "profile", *features, "cell",
+            F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("member_block"),
+            F.pmod(slot, F.col("search_blocks")).alias("search_block"),
+        )
+        block = ["cell", "member_block", "search_block"]
+        # both sides may come from the same table: fresh column identities keep them apart
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+        # one shuffle per side, with as many partitions as there are blocks, up to the cores of the cluster
+        spread = max(1, min(sum(m * q for _, m, q in cuts), 4 * tasks))
+        return (
+            left.repartition(spread, *block).groupBy(*block)
+            .cogroup(right.repartition(spread, *block).groupBy(*block))
+            .applyInPandas(_search_block(metric, k, digits), "profile long, other long, similarity double")
+        )
+
     order = [F.desc("similarity"), F.asc("other")]
+    at_home = search(assigned.select("profile", *features, "cell"), {r["cell"]: r["n"] for r in sizes})
+    near = cut_lineage(_bounded_top(at_home, ["profile"], order, k), "near")
+    pairs = near
+    if len(sizes) > 1:
+        # the k-th at home, less the rounding of similarities, is at most this far away; null if there is none
+        full = near.groupBy("profile").agg(F.min("similarity").alias("_worst"), F.count("*").alias("_found"))
+        known = full.filter(F.col("_found") == k).select(
+            "profile", metric.distance_column(F.col("_worst") - 10.0**-digits).alias("bound")
+        )
+        bounded = assigned.join(known, "profile", "left")
+        schema = T.StructType([*profiles.schema.fields, T.StructField("search_cell", T.ArrayType(T.IntegerType()))])
+        searching = cut_lineage(
+            bounded.select(*assigned.columns, "bound")
+            .mapInPandas(_choose_cells(metric, pivots, radius, nearest, k, reach), schema)
+            .withColumn("cell", F.explode("search_cell")).drop("search_cell"),
+            "searches",
+        )
+        demand = {r["cell"]: r["n"] for r in searching.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        if demand:
+            pairs = near.unionByName(search(searching, demand))
     best = _bounded_top(pairs, ["profile"], order, k)
 
     # a profile with several members is its own nearest neighbour

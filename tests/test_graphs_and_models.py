@@ -56,7 +56,7 @@ def test_search_leaves_far_cells_out(spark):
     rows = [(i, "s", float(100 * (i // 50) + i % 50 / 50)) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, site string, size double")
     sim = [[0.6 + 0.4 * np.exp(-abs(a[2] - b[2]) / 2.0) for b in rows] for a in rows]
-    assert found(nearest_neighbours(df, "id", METRIC, 4)) == brute_force([r[0] for r in rows], sim, 4)
+    assert found(nearest_neighbours(df, "id", METRIC, 4, block_rows=32)) == brute_force([r[0] for r in rows], sim, 4)
 
 
 def test_no_neighbours_for_k_zero(spark):
