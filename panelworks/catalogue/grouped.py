@@ -355,3 +355,18 @@ def candidate_union(spark: SparkSession, folder: str) -> DataFrame:
     daily = summaries.daily_totals(stand_ins.readings(spark, folder).filter("meter = 'purchase'"), ["building_id"])
     middle = summaries.series_summary(summaries.peak_holders(daily, ["date"]), "meter_reading").first()["median"]
     return removal.candidate_set(daily, PEAK_SHARE * middle, top_holders=2)
+
+
+@query("importance_from_correlation", """
+WITH strengths AS (SELECT l_returnflag, abs(corr(l_quantity, l_extendedprice)) AS l_quantity, abs(corr(l_discount, l_extendedprice)) AS l_discount,
+  abs(corr(l_tax, l_extendedprice)) AS l_tax, abs(corr(l_linenumber, l_extendedprice)) AS l_linenumber FROM lineitem GROUP BY 1),
+mean AS (SELECT feature, avg(strength) AS importance FROM (UNPIVOT strengths ON l_quantity, l_discount, l_tax, l_linenumber INTO NAME feature VALUE strength) GROUP BY 1)
+SELECT feature, round(importance, 6) AS importance, round(importance / (SELECT max(importance) FROM mean) * 100, 2) AS width_percent FROM mean""")
+def importance_from_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    strengths = (
+        stand_ins.table(spark, folder, "lineitem")
+        .groupBy("l_returnflag")
+        .agg(*[F.abs(F.corr(c, "l_extendedprice")).alias(c) for c in CORRELATED])
+        .unpivot(["l_returnflag"], list(CORRELATED), "feature", "importance")
+    )
+    return rounded(summaries.rank_importance(strengths))

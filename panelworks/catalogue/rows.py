@@ -317,3 +317,16 @@ FROM lineitem GROUP BY 1""")
 def meter_labels(spark: SparkSession, folder: str) -> DataFrame:
     rows = stand_ins.table(spark, folder, "lineitem").select(relabel(F.col("l_linenumber") % 5, METER_LABELS).alias("label"))
     return summaries.value_distribution(rows, "label", top=None)
+
+
+NARROWED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query("narrowed_types", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint'
+  WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int'
+  ELSE 'bigint' END AS type FROM lineitem""" for c in NARROWED) + """
+UNION ALL SELECT 'l_quantity', 'float'""")
+def narrowed_types(spark: SparkSession, folder: str) -> DataFrame:
+    narrow = screening.narrow_types(stand_ins.table(spark, folder, "lineitem").select(*NARROWED, "l_quantity"))
+    return tables.column_list(narrow).select("column", "type")
