@@ -71,10 +71,11 @@ def panel_forecast(
     """
     rows = prepared.select(entity, ts, target, "split")
     spread = nodes.select(entity).distinct().withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS])))
-    panel = complete_panel(rows, spread, entity, ts, ["split"], slice_days)
+    # the fill reads the panel twice, the roll-out reads the filled cells several times
+    panel = cut_lineage(complete_panel(rows, spread, entity, ts, ["split"], slice_days), "panel")
     actual = panel.withColumn("_actual", F.col(target))
     filled = forward_fill(actual, [entity, "split"], ts, [target], "observed", 0.0, slice_days)
-    cells = cut_lineage(filled, "panel")
+    cells = cut_lineage(filled, "filled")
     rolled = roll_out_forecast(cells, [entity], ts, target, weights, intercept, split, clip_to, step_seconds)
     return rolled.join(cells.filter("observed").select(entity, ts, F.col("_actual")), [entity, ts]).select(
         entity, ts, F.col("_actual").alias(target), "split", "prediction"
