@@ -38,12 +38,22 @@ def attach(
     return fact.join(side, list(keys), how)
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, or a temporary one where it is unset."""
+    """Folder every executor can reach: the cluster's setting.
+
+    Where it is unset, as in local tests, each application gets one temporary folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="panelworks-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.mkdtemp(prefix="panelworks-")
+        folder = _own_folders[application]
     return folder.rstrip("/")
 
 
