@@ -152,10 +152,7 @@ def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("bin", "n")), lambda a, b: F.coalesce(a["bin"], F.lit(-(10**6))) - F.coalesce(b["bin"], F.lit(-(10**6)))).alias("bins"), F.sum("n").alias("total"))
         .select(*groups, "ratio", "total", quantile(0.25).alias("lower"), quantile(0.75).alias("upper"))
         .groupBy(*groups)
-        .pivot("ratio", list(RATIOS))
-        .agg(F.first(fence))
-        .join(sketch.filter(F.col("ratio") == RATIOS[0]).groupBy(*[F.col(g).alias(f"of_{g}") for g in groups]).agg(F.sum("n").alias("n_documents")), [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups] or F.lit(True))
-        .drop(*(f"of_{g}" for g in groups))
+        .agg(F.max("total").alias("n_documents"), *(F.max(F.when(F.col("ratio") == r, fence)).alias(r) for r in RATIOS))
     )
 
 
@@ -164,15 +161,11 @@ def adaptive_limits(counts: DataFrame) -> DataFrame:
     fine = cut_lineage(sketches(counts, ["lang", "source"]), "quality-sketch")
     own = limits(fine, ["lang", "source"])
     of_lang = limits(merged(fine, ["lang"]), ["lang"])
-    of_all = limits(merged(fine.withColumn("everything", F.lit(1)), ["everything"]), ["everything"])
+    of_all = limits(merged(fine, []), []).first()  # a handful of numbers
     rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-    joined = (
-        own.join(rename(of_lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-        .withColumn("everything", F.lit(1))
-        .join(rename(of_all, "a"), F.col("everything") == F.col("a_everything"), "left")
-    )
+    joined = own.join(rename(of_lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     pick = lambda r: (
-        F.when(F.col("n_documents") >= GROUP_MINIMUM, F.col(r)).when(F.col("l_n_documents") >= GROUP_MINIMUM, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
+        F.when(F.col("n_documents") >= GROUP_MINIMUM, F.col(r)).when(F.col("l_n_documents") >= GROUP_MINIMUM, F.col(f"l_{r}")).otherwise(F.lit(of_all[r]).cast("double"))
     )
     return joined.select("lang", "source", *(pick(r).alias(f"{r}_limit") for r in RATIOS))
 
