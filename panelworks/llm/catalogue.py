@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("quality_rules", "token_orc", "window_packing", "hyper_language", "line_windows", "kneser_ney")
+MODULES = ("quality_rules", "token_orc", "window_packing", "hyper_language", "line_windows", "kneser_ney", "suffix_dedup")
 _PLANNED = (
     "html_style_tree", "line_windows", "hyper_language", "token_orc", "decontamination",
     "kneser_ney", "signature_tree", "window_packing", "suffix_dedup", "quality_rules",
