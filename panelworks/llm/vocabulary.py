@@ -9,7 +9,6 @@ characters beyond the extended Latin letters) go through the library as a whole.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -17,10 +16,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from panelworks.llm import kernel
+
 # Words that one worker remembers; beyond that it keeps those met more than once.
 REMEMBERED = 500_000
 
-_UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u0250-\U0010ffff]|[ \n][ \n]|<\|")
+_CONTROL = np.zeros(256, dtype=bool)
+_CONTROL[[*range(0x00, 0x0A), *range(0x0B, 0x20), 0x7F, *range(0xC9, 0x100)]] = True
+
+
+def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts go through the library as a whole: see above."""
+    found = _CONTROL[data]
+    if len(data) > 1:
+        one, two = data[:-1], data[1:]
+        blank = (data == 0x20) | (data == 0x0A)
+        found[:-1] |= (blank[:-1] & blank[1:]) | ((one == 0xC2) & (two <= 0xA0)) | ((one == 0x3C) & (two == 0x7C))
+    return kernel.sums_within(found, offsets) > 0
 
 
 class Vocabulary:
@@ -35,6 +47,7 @@ class Vocabulary:
         # A separator that is one token of its own; pieces that hold it are encoded one by one.
         self.mark = "\n" if lead else "0"
         (self.mark_id,) = self.model.encode(self.mark, add_special_tokens=False).ids
+        self.stops = {stop: self.model.encode(stop, add_special_tokens=False).ids[0] for stop in ",."}
         self.known: dict[str, int] = {}
         self._clear(1024, 4096)
 
@@ -72,42 +85,53 @@ class Vocabulary:
         self.used += len(flat)
         self.known.update(zip(pieces, range(at, at + more), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if self.mark in p or not p]
-        joined = [p for p in pieces if p and self.mark not in p]
-        encoded = [e.ids for e in self.model.encode_batch_fast(alone, add_special_tokens=False)]
+    def _learn(self, keys: set[str]) -> None:
+        """Encode unknown keys. A comma or full stop after a letter is a token of its own, so the word before it is enough."""
+        ended = [k for k in keys if k[-1:] in (",", ".") and k[-2:-1].isalpha()]
+        self._encode(list({k[:-1] for k in ended}.union(keys.difference(ended)) - self.known.keys()))
+        if ended:
+            base = np.fromiter((self.known[k[:-1]] for k in ended), np.int64, len(ended))
+            sizes = self.count[base]
+            flat = np.empty(int(sizes.sum()) + len(ended), dtype=np.uint32)
+            last = np.cumsum(sizes + 1) - 1
+            keep = np.ones(len(flat), dtype=bool)
+            keep[last] = False
+            flat[keep] = self._gather(base)
+            flat[last] = [self.stops[k[-1]] for k in ended]
+            self._add(ended, sizes + 1, flat)
+
+    def _encode(self, keys: list[str]) -> None:
+        alone = [k for k in keys if self.mark in k or not k]
+        joined = [k for k in keys if k and self.mark not in k]
+        encoded = [e.ids for e in self.model.encode_batch_fast([self._text(k) for k in alone], add_special_tokens=False)]
         self._add(alone, np.fromiter(map(len, encoded), np.int64, len(encoded)), np.fromiter((i for ids in encoded for i in ids), np.uint32))
         for first in range(0, len(joined), 1000):
             some = joined[first : first + 1000]
-            between = self.mark if self.lead else f" {self.mark} "
-            flat = np.asarray(self.model.encode(between.join(some), add_special_tokens=False).ids, dtype=np.uint32)
+            between = f"{self.mark} " if self.lead else f" {self.mark} "
+            whole = (" " if self.lead else "") + between.join(some)
+            flat = np.asarray(self.model.encode(whole, add_special_tokens=False).ids, dtype=np.uint32)
             marks = np.flatnonzero(flat == self.mark_id)
             if len(marks) != len(some) - 1:
                 raise ValueError("the separator is not a token of its own")
             edges = np.concatenate([[-1], marks, [len(flat)]])
             self._add(some, np.diff(edges) - 1, np.delete(flat, marks))
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces as keys; the blank before a piece is in the key, a line feed is a piece of its own."""
-        if not self.lead:
-            return text.split()
-        pieces = []
-        for number, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if number:
-                pieces.append("\n")
-            pieces.append(first)
-            pieces.extend([" " + p for p in rest])
-        return pieces
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _keys(self, text: str) -> list[str]:
+        """Where blanks matter, a key stands for a blank and the piece after it; one that begins with a line feed is the
+        rest as it is: the first piece of a line, or the line feed itself."""
+        return f"\n{text.replace('\n', ' \n\n \n')}".split(" ") if self.lead else text.split()
+
+    def _text(self, key: str) -> str:
+        return key if not self.lead else key[1:] if key[:1] == "\n" else " " + key
+
+    def encode(self, texts: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offset of each text plus the end."""
         plain, bounds, whole = [], [0], {}
         for row, text in enumerate(texts):
-            if _UNUSUAL.search(text):
+            if odd[row]:
                 whole[row] = None
             else:
-                plain.extend(self._pieces(text))
+                plain.extend(self._keys(text))
             bounds.append(len(plain))
         which = np.fromiter(map(self.known.get, plain, repeat(-1)), np.int64, len(plain))
         new = np.flatnonzero(which < 0).tolist()
@@ -117,7 +141,7 @@ class Vocabulary:
                 which = np.fromiter(map(self.known.get, plain, repeat(-1)), np.int64, len(plain))
                 new = np.flatnonzero(which < 0).tolist()
             words = [plain[i] for i in new]
-            self._learn(list(set(words)))
+            self._learn(set(words))
             which[new] = [self.known[w] for w in words]
         self.met += np.bincount(which, minlength=len(self.met))
         flat = self._gather(which)
@@ -163,9 +187,8 @@ def with_end(flat: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarra
 
 def encoded_slices(batches, path: str, lead: bool, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice of rows with its ids, end ids included, and their offsets; a null text is empty."""
-    from panelworks.llm import kernel
-
     model = vocabulary(path, lead)
     for batch in kernel.slices(batches, "text", 1 << 20):
-        flat, offsets = model.encode(pc.fill_null(batch.column("text"), "").to_pylist())
+        odd = unusual(*kernel.text_bytes(batch.column("text")))
+        flat, offsets = model.encode(pc.fill_null(batch.column("text"), "").to_pylist(), odd)
         yield batch, *with_end(flat, offsets, end)
