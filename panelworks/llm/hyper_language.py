@@ -26,6 +26,9 @@ from panelworks.llm.catalogue import read, registered
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+# Texts of this many characters that are less like their language than this are not taken for text in it: a cosine of
+# vectors that have nothing in common is about 0.03, and a few letters can't tell.
+LEAST_SCORE, LEAST_LENGTH = 0.05, 50
 # Texts and triples of one matrix product.
 TEXT_BLOCK, TRIPLE_BLOCK = 256, 4096
 _BITS = 21
@@ -188,3 +191,11 @@ def op3_hyper_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     found = predict(documents, learn(documents))
     return found.select("doc_id", remainder_is(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose text is recognised; a missing lang is filled in."""
+    found = predict(documents, learn(documents), tuple(documents.columns))
+    lang = F.coalesce("lang", "lang_pred")
+    foreign = (F.col("score") < least_score) & (F.length("text") >= LEAST_LENGTH)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign).withColumn("lang", lang).select(*documents.columns)

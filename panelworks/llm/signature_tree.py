@@ -412,3 +412,11 @@ def join_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 @registered("op7_signature_tree")
 def op7_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
     return join_components(read(spark, folder, "documents"))
+
+
+def one_of_each(documents: DataFrame, rule: Rule) -> DataFrame:
+    """The documents that are the smallest of their component; rows without a doc_id stay."""
+    found = join_components(documents, rule)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = documents.filter("doc_id is not null")
+    return named.join(stay, named["doc_id"].cast("long") == stay["_stay"], "left_semi").unionByName(documents.filter("doc_id is null"))
