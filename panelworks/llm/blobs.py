@@ -9,24 +9,26 @@ from panelworks.llm import kernel
 
 # Rows of every packed exchange: the part they meet in, what they hold, and the arrays.
 SCHEMA = "part int, kind int, payload binary"
-_codec = pa.Codec("zstd", 1) if pa.Codec.is_available("zstd") else pa.Codec("lz4")
+_ZSTD = pa.Codec.is_available("zstd")
+FAST, DENSE = (pa.Codec("zstd", 1), pa.Codec("zstd", 7)) if _ZSTD else (pa.Codec("lz4"),) * 2
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of any types, compressed together."""
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+def pack(*arrays: np.ndarray, codec: pa.Codec = FAST) -> bytes:
+    """Arrays of any types, compressed together; bytes of equal place stand together, as those of sorted numbers are alike."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
     head = np.array([len(raw), len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype="<i8")
-    return head.tobytes() + _codec.compress(raw, asbytes=True)
+    return head.tobytes() + codec.compress(raw, asbytes=True)
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
     size, n = (int(x) for x in np.frombuffer(payload, "<i8", 2))
     kinds = np.frombuffer(payload, "<i8", 2 * n, 16).reshape(n, 2)
-    raw = _codec.decompress(payload[16 + 16 * n :], decompressed_size=size, asbytes=True) if size else b""
+    raw = np.frombuffer(FAST.decompress(payload[16 + 16 * n :], decompressed_size=size, asbytes=True) if size else b"", np.uint8)
     out, at = [], 0
     for kind, length in kinds.tolist():
         dtype = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, dtype, length, at))
+        part = raw[at : at + length * dtype.itemsize]
+        out.append(part.reshape(dtype.itemsize, length).T.copy().view(dtype).ravel() if dtype.itemsize > 1 else part.view(dtype))
         at += length * dtype.itemsize
     return out
 

@@ -157,11 +157,17 @@ def _of_node(node: np.ndarray, parts: int) -> np.ndarray:
     return blobs.bucket(kernel.mix(node), parts)
 
 
+def _replies(node: np.ndarray, key: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    order = np.lexsort((key, node))
+    return blobs.split(_of_node(node[order], parts), _REPLIES, node[order], key[order])
+
+
 def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
     """Kind _KEYS: (key, smallest node, held by several) per task and bucket. Kind _REPLIES: keys that nodes of a task share."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, node = (np.concatenate(h) for h in zip(*held, strict=True))
+        key = key & ~np.uint64(0xFFFF)  # 48 bits: a key shared by chance costs a comparison, nothing else
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
@@ -173,7 +179,7 @@ def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
             rows = blobs.split(blobs.bucket(key, parts), _KEYS, key, node, several)
         else:
             shared = several | ~head
-            rows = blobs.split(_of_node(node[shared], parts), _REPLIES, node[shared], key[shared])
+            rows = _replies(node[shared], key[shared], parts)
         if rows:
             yield blobs.rows(rows)
 
@@ -205,7 +211,7 @@ def _shared(parts: int):
         head = np.flatnonzero(first)
         low, high = np.minimum.reduceat(node, head), np.maximum.reduceat(node, head)
         more = ((low != high) | np.logical_or.reduceat(several, head))[which]
-        return pa.Table.from_batches([blobs.rows(blobs.split(_of_node(node[more], parts), _REPLIES, node[more], key[more]))])
+        return pa.Table.from_batches([blobs.rows(_replies(node[more], key[more], parts))])
 
     return run
 
@@ -221,7 +227,7 @@ def _text_rows(documents: DataFrame, rule: Rule, parts: int) -> DataFrame:
             rows = []
             for part, some in blobs.groups(_of_node(node[own], parts)):
                 body = [data[offsets[i] : offsets[i + 1]] for i in own[some]]
-                rows.append((part, _TEXTS, blobs.pack(node[own[some]], np.array([len(b) for b in body], dtype=np.int64), np.concatenate(body))))
+                rows.append((part, _TEXTS, blobs.pack(node[own[some]], np.array([len(b) for b in body], dtype=np.int64), np.concatenate(body), codec=blobs.DENSE)))
             yield blobs.rows(rows)
 
     return documents.mapInArrow(run, blobs.SCHEMA)
