@@ -162,17 +162,20 @@ def _predictor(model: dict[str, np.ndarray]) -> Callable[[list[str]], tuple[list
     return predict
 
 
-def predict(documents: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
+def predict(
+    documents: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` of every row with the predicted language and its score, under ``names``."""
     guess = _predictor(model)
     kinds = dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, "text"):
-            names, score = guess(_texts(batch))
-            yield kernel.record_batch(**{c: batch.column(c) for c in keep}, lang_pred=pa.array(names, pa.string()), score=pa.array(score))
+            found, score = guess(_texts(batch))
+            columns = {c: batch.column(c) for c in keep} | dict(zip(names, (pa.array(found, pa.string()), pa.array(score)), strict=True))
+            yield kernel.record_batch(**columns)
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{names[0]} string, {names[1]} double"])
     return documents.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
 
@@ -195,7 +198,7 @@ def op3_hyper_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents whose text is recognised; a missing lang is filled in."""
-    found = predict(documents, learn(documents), tuple(documents.columns))
-    lang = F.coalesce("lang", "lang_pred")
-    foreign = (F.col("score") < least_score) & (F.length("text") >= LEAST_LENGTH)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & ~foreign).withColumn("lang", lang).select(*documents.columns)
+    found = predict(documents, learn(documents), tuple(documents.columns), ("_lang_pred", "_lang_score"))
+    foreign = (F.col("_lang_score") < least_score) & (F.length("text") >= LEAST_LENGTH)
+    known = found.filter((F.col("_lang_pred") != UNKNOWN) & ~foreign)
+    return known.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*documents.columns)

@@ -25,7 +25,8 @@ from panelworks.llm.catalogue import read, registered
 WINDOW = 3
 WHITE = " \t\n\x0b\x0c\r"
 _WINDOWS = "w long, v long, doc_id long, place int, lines array<int>"
-_GONE, _COUNTS = "_lines_gone", ("n_lines", "n_removed")
+_GONE, COUNTS = "_lines_gone", ("n_lines", "n_removed")
+_OWN_COUNTS = ("_n_lines", "_n_removed")
 
 
 def _filled_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,11 +86,11 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeated_lines(documents: DataFrame) -> DataFrame:
-    """All columns of ``documents`` with the cleaned text, and n_lines and n_removed (lines with words)."""
+def remove_repeated_lines(documents: DataFrame, counts: tuple[str, str] = COUNTS) -> DataFrame:
+    """All columns of ``documents`` with the cleaned text, and how many lines with words it had and lost, as ``counts``."""
     names = documents.columns
     kinds = dict(documents.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"{c} long" for c in _COUNTS)])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"{c} long" for c in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, "text"):
@@ -102,8 +103,8 @@ def remove_repeated_lines(documents: DataFrame) -> DataFrame:
                     texts[k] = "\n".join(line for i, line in enumerate(texts[k].split("\n")) if i not in out)
                     removed[k] = len(out)
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, batch.schema.field("text").type)}
-            counts = (np.bincount(row, minlength=len(texts)).astype(np.int64), removed)
-            yield kernel.record_batch(**columns, **dict(zip(_COUNTS, map(pa.array, counts), strict=True)))
+            numbers = (np.bincount(row, minlength=len(texts)).astype(np.int64), removed)
+            yield kernel.record_batch(**columns, **dict(zip(counts, map(pa.array, numbers), strict=True)))
 
     gone = repeated_lines(documents)
     joined = documents.join(gone, documents["doc_id"].cast("long") == gone["_of"], "left").select(*(documents[c] for c in names), _GONE)
@@ -112,8 +113,8 @@ def remove_repeated_lines(documents: DataFrame) -> DataFrame:
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents with cleaned texts; those whose every line was a repetition go."""
-    cleaned = remove_repeated_lines(documents)
-    return cleaned.filter("n_removed = 0 or n_removed < n_lines").drop(*_COUNTS)
+    cleaned = remove_repeated_lines(documents, _OWN_COUNTS)
+    return cleaned.filter("_n_removed = 0 or _n_removed < _n_lines").drop(*_OWN_COUNTS)
 
 
 SQL = r"""
@@ -145,4 +146,4 @@ from documents d left join counts c using (doc_id) left join removed g using (do
 
 @registered("op2_line_windows", SQL)
 def op2_line_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeated_lines(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *_COUNTS, "text")
+    return remove_repeated_lines(read(spark, folder, "documents").select("doc_id", "text")).select("doc_id", *COUNTS, "text")

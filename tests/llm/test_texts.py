@@ -37,7 +37,7 @@ def test_lines_against_plain_python(documents, corpus):
 
 
 def test_lines_keep_extra_columns_and_empty_tables(documents, nothing):
-    wide = documents.select("*", F.lit(1).alias("w"), F.lit("x").alias("place"), F.array(F.lit(2)).alias("lines"))
+    wide = documents.select("*", F.lit(1).alias("w"), F.lit("x").alias("place"), F.lit(8).alias("n_lines"), F.array(F.lit(2)).alias("lines"))
     assert without_repeated_lines(wide).columns == wide.columns
     assert without_repeated_lines(wide).filter("w <> 1 or place <> 'x' or lines[0] <> 2").count() == 0
     assert without_repeated_lines(nothing).count() == 0
