@@ -9,7 +9,7 @@ from panelworks.catalogue.sql import BUILDINGS, READINGS, with_
 from panelworks.operators import graph
 from panelworks.sources import stand_ins
 
-K = 8
+K = 20
 
 ATTRIBUTE_EDGES = ["""
 attributes AS (SELECT building_id, site_id, primary_use,

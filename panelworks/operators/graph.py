@@ -59,7 +59,8 @@ def embedding_graph(embeddings: DataFrame, node: str, vector: str, k: int = TOP_
 
 def normalise_rows(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """Add a self edge of weight 1 per node and divide by the row sum."""
-    loops = nodes.select(F.col(node).cast("long").alias("src"), F.col(node).cast("long").alias("dst"), F.lit(1.0).alias("weight"))
+    distinct = nodes.select(F.col(node).cast("long").alias("src")).distinct()
+    loops = distinct.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
     every = edges.filter("src <> dst").unionByName(loops)
     total = F.sum("weight").over(Window.partitionBy("src"))
     return every.withColumn("weight", F.col("weight") / total)

@@ -1,7 +1,7 @@
 """Exact nearest neighbours of every node without comparing all pairs.
 
 Nodes with equal features are compared once, as one profile. Profiles are assigned to the nearest of
-a bounded set of pivots. Each profile first searches its own cell, which bounds the distance of its
+about two times the square root of their number of pivots. Each profile first searches its own cell, which bounds the distance of its
 k-th neighbour; the triangle inequality then tells which other cells can still hold a nearer one, and
 only those are searched. Cells and the profiles searching them are cut into blocks of bounded size, so
 a crowded cell becomes many tasks.
@@ -17,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from panelworks.scale import attach, cut_lineage
+from panelworks.scale import cut_lineage
 
-MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
+# Numbers that one step of choosing cells holds at once.
+STEP_NUMBERS = 1 << 22
 # Bounds are widened by this much, far above the rounding of similarities and of float arithmetic.
 SLACK = 1e-5
 
@@ -36,7 +37,8 @@ SLACK = 1e-5
 def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float]]) -> SimpleNamespace:
     """Weighted agreement of node attributes; 1 - similarity is a metric.
 
-    Text columns count when equal; number columns count as exp(-distance / scale).
+    Text columns count when equal; number columns count as exp(-distance / scale). A missing value is a value of its own:
+    equal to a missing one, and without anything in common with the others.
     """
     total = sum(equal.values()) + sum(weight for weight, _ in near.values())
 
@@ -47,7 +49,9 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
             score += weight * (codes[: len(a), None] == codes[None, len(a) :])
         for name, (weight, scale) in near.items():
             x, y = a[name].to_numpy(float), b[name].to_numpy(float)
-            score += weight * np.exp(-np.abs(x[:, None] - y[None, :]) / scale)
+            agreement = np.exp(-np.abs(x[:, None] - y[None, :]) / scale)
+            missing = np.isnan(x)[:, None] & np.isnan(y)[None, :]
+            score += weight * np.where(np.isnan(agreement), missing, agreement)
         return score
 
     def distance(score):
@@ -101,8 +105,9 @@ def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.
     def choose(batches):
         for batch in batches:
             cells = []
-            for start in range(0, len(batch), 128):
-                part = batch.iloc[start : start + 128]
+            step = max(1, min(128, STEP_NUMBERS // max(1, nearest.size)))
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
                 to_pivot = metric.distance(metric.similarity(part, pivots))
                 bounds = (to_pivot[:, :, None] + nearest[None]).reshape(len(part), -1)
                 # the k + 1 nearest include the profile itself
@@ -162,7 +167,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """Edges (src, dst, weight) from every node to its k most similar others with similarity above 0.
 
-    Similarities are rounded to ``digits`` and ties go to the smaller id.
+    Similarities are rounded to ``digits`` and ties go to the smaller id. A node that is listed repeatedly counts once, with
+    the smallest of its features.
     """
     spark = nodes.sparkSession
     features = list(metric.columns)
@@ -170,15 +176,15 @@ def nearest_neighbours(
         empty = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                               T.StructField("weight", T.DoubleType())])
         return spark.createDataFrame([], empty)
-    source = cut_lineage(nodes.select(F.col(node).cast("long").alias("node"), *features), "nodes")
+    listed = nodes.select(F.col(node).cast("long").alias("node"), F.struct(*features).alias("_f"))
+    source = cut_lineage(listed.groupBy("node").agg(F.min("_f").alias("_f")).select("node", "_f.*"), "nodes")
 
     grouped = source.groupBy(*features).agg(F.min("node").alias("profile"), F.count("*").alias("members"))
     # comparing is heavy for few bytes, so the spread is set by the cores and not by the size
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profiles = cut_lineage(grouped.repartition(tasks, "profile"), "profiles")
     n = profiles.count()
-    # what fits one block needs no cells
-    wanted = pivot_count or (1 if n <= block_rows else min(MAX_PIVOTS, 2 * math.isqrt(n) + 1))
+    wanted = pivot_count or 2 * math.isqrt(n) + 1
     pivots = profiles.orderBy(F.xxhash64("profile"), "profile").limit(wanted).select(*features).toPandas()
 
     schema = T.StructType([*profiles.schema.fields, T.StructField("cell", T.IntegerType()),
@@ -197,7 +203,6 @@ def nearest_neighbours(
         nearest[row["cell"], : len(row["d"])] = row["d"]
 
     reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
-    reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
 
     def search(queries: DataFrame, demand: dict[int, int]) -> DataFrame:
         """The k best of each searched cell per profile, found block by block."""
@@ -257,7 +262,8 @@ def nearest_neighbours(
         "profile", F.col("profile").alias("other"), F.lit(float(metric.total)).alias("similarity")
     )
     links = best.unionByName(own)
-    members_of = source.join(profiles.select("profile", *features), features)
+    described = profiles.select("profile", *[F.col(f).alias(f"_{f}") for f in features])
+    members_of = source.join(described, [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in features])
     first_members = _bounded_top(members_of.select("profile", "node"), ["profile"], ["node"], k + 1)
     options = links.join(first_members.withColumnsRenamed({"profile": "other", "node": "dst"}), "other")
     ranked = _bounded_top(options, ["profile"], [F.desc("similarity"), F.asc("dst")], k + 1)

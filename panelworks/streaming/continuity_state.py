@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,12 +16,15 @@ def _continue_runs(keys: list[str], ts: str, window: int, step_seconds: int):
     def update(key, batches, state: GroupState):
         rows = pd.concat(list(batches), ignore_index=True).sort_values("_sec", kind="stable")
         last, length = state.get if state.exists else (None, 0)
-        places = []
-        for second in rows["_sec"].tolist():
-            length = length + 1 if last is not None and second - last == step_seconds else 1
-            last = second
-            places.append(length - 1)
-        state.update((last, length))
+        seconds = rows["_sec"].to_numpy()
+        if last is not None and len(seconds) and seconds[0] <= last:
+            raise ValueError(f"rows of {key} arrive out of time order: {seconds[0]} after {last}")
+        before = np.concatenate([[seconds[0] if last is None else last], seconds[:-1]])
+        # A row that does not follow the one before it begins a run; the first rows may go on with the run so far.
+        begins = np.where(seconds - before != step_seconds, np.arange(len(seconds)), -1)
+        begin = np.maximum.accumulate(begins)
+        places = np.arange(len(seconds)) - np.where(begin < 0, -length, begin)
+        state.update((int(seconds[-1]), int(places[-1]) + 1))
         out = pd.DataFrame({name: [value] * len(rows) for name, value in zip(keys, key)})
         out[ts] = rows[ts].to_numpy()
         out["run_position"] = places

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from panelworks.functions.calendar import DAY, epoch_seconds
 from panelworks.scale import scratch_path
 
 
@@ -25,8 +26,11 @@ def daily_profile(
     watermark: str | None = "2 days",
     window: str = "1 day",
 ) -> DataFrame:
-    """Rows, range and sum of readings per day and group; works on streams and on static tables."""
-    timed = stream.withColumn("_time", F.col(ts).cast("timestamp"))
+    """Rows, range and sum of readings per day and group; works on streams and on static tables.
+
+    Wall-clock time is taken for UTC, in which windows are cut at midnight, so the session time zone does not matter.
+    """
+    timed = stream.withColumn("_time", F.timestamp_seconds(epoch_seconds(F.col(ts))))
     if stream.isStreaming and watermark:
         timed = timed.withWatermark("_time", watermark)
     return (
@@ -37,24 +41,37 @@ def daily_profile(
             F.max(value).alias("reading_max"),
             F.sum(value).alias("reading_sum"),
         )
-        .select(F.to_date("_window.start").alias("date"), *groups, "row_count", "reading_min", "reading_max", "reading_sum")
+        .select(F.date_from_unix_date(F.floor(F.unix_seconds("_window.start") / DAY).cast("int")).alias("date"), *groups, "row_count", "reading_min", "reading_max", "reading_sum")
     )
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "complete") -> DataFrame:
-    """Drain the available input and return the last full state of the result.
+def write_in_order(rows: DataFrame, ts: str, slices: int, label: str) -> str:
+    """Write rows as files of a folder, one time slice after the other, for a stream to read in that order."""
+    folder = scratch_path(rows.sparkSession, label)
+    second = epoch_seconds(F.col(ts))
+    first, last = rows.agg(F.min(second), F.max(second)).first()
+    if first is None:
+        rows.write.parquet(folder)
+        return folder
+    step = (last - first) // slices + 1
+    for start in range(first, last + 1, step):
+        part = rows.filter((second >= start) & (second < start + step))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
 
-    Each batch is written to its own folder named by its number, so a repeated batch overwrites
-    itself and the result is exactly once.
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Drain the available input and return the result so far.
+
+    Each batch is written to its own folder named by its number, so a repeated batch overwrites itself and the result is
+    exactly once. A run with the ``folder`` of an earlier one goes on where that stopped, and returns the batches of both.
+    In update mode the last row of each of ``keys`` counts.
     """
     spark = stream.sparkSession
-    folder = scratch_path(spark, label)
-    written = []
+    folder = folder or scratch_path(spark, label)
 
     def keep(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/batch-{number}"
-        batch.write.mode("overwrite").parquet(path)
-        written.append(path)
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number:012d}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -64,7 +81,16 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "complete") -> DataF
         .start()
     )
     query.awaitTermination()
-    if not written:
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    if not _written(spark, folder):
         return spark.createDataFrame([], stream.schema)
-    paths = [written[-1]] if mode == "complete" else sorted(set(written))
-    return spark.read.schema(stream.schema).parquet(*paths)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    if mode == "update":
+        last = F.max_by(F.struct(*stream.columns), "_batch").alias("_last")
+        return rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(last).select("_last.*")
+    return rows.drop("_batch")
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

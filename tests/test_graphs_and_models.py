@@ -212,6 +212,46 @@ def test_streamed_profile_equals_batch(spark, tmp_path):
         ).coalesce(1).write.mode("append").parquet(source)
     table = spark.read.parquet(source)
     stream = read_file_stream(spark, source, "*.parquet", table.schema, files_per_batch=1)
-    got = run_to_table(daily_profile(stream, "ts", "v", ["meter"]), "test-profile")
+    got = run_to_table(daily_profile(stream, "ts", "v", ["meter"]), "test-profile", "update", keys=["date", "meter"])
     want = daily_profile(table, "ts", "v", ["meter"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_streamed_days_are_those_of_the_wall_clock(spark):
+    rows = spark.sql("SELECT timestamp_ntz'2016-01-01 23:30:00' AS ts, 1 AS meter, 2.0D AS v UNION ALL SELECT timestamp_ntz'2016-01-02 00:30:00', 1, 3.0D")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            days = sorted((str(r["date"]), r["reading_sum"]) for r in daily_profile(rows, "ts", "v", ["meter"]).collect())
+            assert days == [("2016-01-01", 2.0), ("2016-01-02", 3.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/out"
+    def add(first):
+        spark.range(first, first + 3).selectExpr("1 AS key", "timestamp_ntz'2016-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) AS timestamp").coalesce(1).write.mode("append").parquet(source)
+
+    def drain():
+        stream = read_file_stream(spark, source, "*.parquet", "key int, timestamp timestamp_ntz", files_per_batch=1)
+        rows = run_to_table(continuity_stream(stream, ["key"], "timestamp", 4), "resumed", "append", folder)
+        return sorted((r["timestamp"].hour, r["run_position"]) for r in rows.collect())
+
+    add(0)
+    assert drain() == [(0, 0), (1, 1), (2, 2)]
+    add(3)
+    assert drain() == [(h, h) for h in range(6)]
+
+
+def test_neighbours_of_repeated_nodes_and_missing_features(spark):
+    rows = [(1, "a", 1.0), (1, "a", 1.0), (2, None, 1.0), (3, "a", None), (4, None, 1.0), (5, "b", 9.0)]
+    nodes = spark.createDataFrame(rows, "node long, site string, size double")
+    metric = attribute_metric({"site": 0.5}, {"size": (0.5, 1.0)})
+    edges = {(r["src"], r["dst"]): round(r["weight"], 3) for r in nearest_neighbours(nodes, "node", metric, 4).collect()}
+    assert edges[2, 4] == edges[4, 2] == 1.0
+    assert edges[1, 2] == edges[2, 1] == 0.5 and edges[1, 3] == edges[3, 1] == 0.5
+    assert (2, 3) not in edges and not any(a == b for a, b in edges)
+    loops = [r for r in graph.normalise_rows(nearest_neighbours(nodes, "node", metric, 4), nodes, "node").collect() if r["src"] == r["dst"]]
+    assert len(loops) == 5
