@@ -16,8 +16,8 @@ DAILY = """daily AS (
   SELECT CAST(timestamp AS DATE) AS date, building_id, meter, sum(meter_reading) AS meter_reading
   FROM supplier_readings GROUP BY 1, 2, 3)"""
 DAILY_MAX = """daily_max AS (
-  SELECT date_trunc('day', timestamp) AS date, building_id, max(meter_reading) AS meter_reading
-  FROM supplier_readings WHERE meter = 'A' GROUP BY 1, 2)"""
+  SELECT date_trunc('day', timestamp) AS date, building_id, meter, max(meter_reading) AS meter_reading
+  FROM supplier_readings GROUP BY 1, 2, 3)"""
 OVERVIEW = """overview AS (
   SELECT date, meter, sum(meter_reading) AS total, avg(meter_reading) AS mean, max(meter_reading) AS peak,
     min(building_id) FILTER (WHERE place = 1) AS peak_holder
@@ -29,11 +29,10 @@ def daily_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_maxima(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.supplier_readings(spark, folder).filter("meter = 'A'")
-    return summaries.daily_maxima(rows)
+    return summaries.daily_maxima(stand_ins.supplier_readings(spark, folder), ["building_id", "meter"])
 
 
-@query("daily_entity_max", with_(SUPPLIER_READINGS, DAILY_MAX, "SELECT CAST(date AS TIMESTAMP) AS date, building_id, meter_reading FROM daily_max"))
+@query("daily_entity_max", with_(SUPPLIER_READINGS, DAILY_MAX, "SELECT CAST(date AS TIMESTAMP) AS date, building_id, meter, meter_reading FROM daily_max"))
 def daily_entity_max(spark: SparkSession, folder: str) -> DataFrame:
     return daily_maxima(spark, folder)
 
@@ -50,10 +49,10 @@ def daily_meter_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("daily_peak_holder", with_(SUPPLIER_READINGS, DAILY_MAX, """
-SELECT CAST(date AS TIMESTAMP) AS date, building_id, meter_reading
-FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY meter_reading DESC, building_id) AS place FROM daily_max) WHERE place = 1"""))
+SELECT CAST(date AS TIMESTAMP) AS date, meter, building_id, meter_reading
+FROM (SELECT *, row_number() OVER (PARTITION BY date, meter ORDER BY meter_reading DESC, building_id) AS place FROM daily_max) WHERE place = 1"""))
 def daily_peak_holder(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.peak_holders(daily_maxima(spark, folder), ["date"])
+    return summaries.peak_holders(daily_maxima(spark, folder), ["date", "meter"])
 
 
 @query("peak_holder_days", with_(SUPPLIER_READINGS, DAILY, OVERVIEW, """
@@ -260,15 +259,15 @@ def top_entities_by_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("labelled_union", with_(SUPPLIER_READINGS, DAILY_MAX, """
-SELECT 'all' AS scenario, CAST(date AS TIMESTAMP) AS date, max(meter_reading) AS peak FROM daily_max GROUP BY 2
-UNION ALL SELECT 'screened', CAST(date AS TIMESTAMP), max(meter_reading) FROM daily_max WHERE building_id NOT IN (3, 8, 11) GROUP BY 2"""))
+SELECT 'all' AS scenario, CAST(date AS TIMESTAMP) AS date, meter, max(meter_reading) AS peak FROM daily_max GROUP BY 2, 3
+UNION ALL SELECT 'screened', CAST(date AS TIMESTAMP), meter, max(meter_reading) FROM daily_max WHERE building_id NOT IN (3, 8, 11) GROUP BY 2, 3"""))
 def labelled_union(spark: SparkSession, folder: str) -> DataFrame:
     daily = daily_maxima(spark, folder)
     return summaries.labelled_union(
         {
-            "all": daily.groupBy("date").agg(F.max("meter_reading").alias("peak")),
+            "all": daily.groupBy("date", "meter").agg(F.max("meter_reading").alias("peak")),
             "screened": daily.filter(~screening.is_listed(F.col("building_id"), (3, 8, 11)))
-            .groupBy("date").agg(F.max("meter_reading").alias("peak")),
+            .groupBy("date", "meter").agg(F.max("meter_reading").alias("peak")),
         },
         "scenario",
     )

@@ -17,9 +17,9 @@ def daily_totals(df: DataFrame, keys: Sequence[str], ts="timestamp", value="mete
     return df.groupBy(F.to_date(ts).alias("date"), *keys).agg(F.sum(value).alias(value))
 
 
-def daily_maxima(df: DataFrame, entity="building_id", ts="timestamp", value="meter_reading") -> DataFrame:
-    """Largest reading per day and entity."""
-    return df.groupBy(floor_day(F.col(ts)).alias("date"), entity).agg(F.max(value).alias(value))
+def daily_maxima(df: DataFrame, keys: Sequence[str] = ("building_id",), ts="timestamp", value="meter_reading") -> DataFrame:
+    """Largest reading per day and key."""
+    return df.groupBy(floor_day(F.col(ts)).alias("date"), *keys).agg(F.max(value).alias(value))
 
 
 def peak_holders(daily: DataFrame, groups: Sequence[str], entity="building_id", value="meter_reading") -> DataFrame:
@@ -180,15 +180,16 @@ def top_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), accuracy: int = 10_000, slack: float | None = None) -> DataFrame:
     """Exact interpolated median per group without gathering a group in one task.
 
     A quantile sketch, merged map-side, brackets the middle: its rank error is at most
-    rows / accuracy. Only the values inside the bracket, already counted per value, are ranked.
+    rows / accuracy. Only the values inside the bracket, already counted per value, are ranked. Counts below and inside
+    the bracket are compared with the ranks wanted: a bracket that misses the middle is an error, never a wrong median.
     """
     groups = list(groups)
     value = df.select(*groups, F.col(column).alias("_v")).filter("_v IS NOT NULL")
-    slack = 2.0 / accuracy
+    slack = 2.0 / accuracy if slack is None else slack
     sketch = value.groupBy(*groups).agg(
         F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"), F.count("*").alias("_n")
     )
@@ -220,7 +221,10 @@ def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), accurac
     def at(rank):
         return F.min(F.when((F.col("_upto") >= rank) & F.col("_v").isNotNull(), F.col("_v")))
 
-    return ranked.groupBy(*groups).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    below_bracket = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0))
+    hit = (below_bracket < F.min(lower)) & (F.sum("_c") >= F.min(upper))
+    missed = F.raise_error(F.lit("the bracket misses the median: raise the accuracy")).cast("double")
+    return ranked.groupBy(*groups).agg(F.when(hit, (at(lower) + at(upper)) / 2).otherwise(missed).alias("median"))
 
 
 def fill_with_median(df: DataFrame, columns: Sequence[str], default: float) -> DataFrame:

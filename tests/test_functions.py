@@ -180,3 +180,10 @@ def test_raw_csv_tables(spark, tmp_path):
     readings, weather, buildings = tables.read_raw_tables(spark, str(tmp_path))
     assert readings.first()["meter_reading"] == 2.5
     assert weather.first()["cloud_coverage"] is None and buildings.first()["floor_count"] is None
+
+
+def test_a_bracket_that_misses_the_median_is_an_error(spark):
+    values = spark.range(50_000).select(F.col("id").cast("double").alias("v"))
+    assert summaries.exact_median(values, "v").first()["median"] == 24_999.5
+    with pytest.raises(Exception, match="misses the median"):
+        summaries.exact_median(values, "v", slack=-0.01).collect()
