@@ -150,7 +150,7 @@ def complete_panel(
         spread = nodes.withColumn("_slices", times.agg(F.collect_set("_slice")).scalar())
     spread = spread.select(*nodes.columns, F.explode("_slices").alias("_slice"))
     # a row of this side holds a whole slice of timestamps, so it is broadcast only when very short
-    cells = attach(spread, times, [*keys, "_slice"], "inner", row_limit=500)
+    cells = attach(spread, times, [*keys, "_slice"], "inner")
     absent = F.when(F.col("_present").isNull(), F.col("_times")).otherwise(F.array_except("_times", "_present"))
     missing = (
         cells.join(present, [*keys, entity, "_slice"], "left")

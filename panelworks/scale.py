@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A parameter table is broadcast only when it is proven to have at most this many rows.
+# Rows of a parameter table that may become literals of a plan.
 BROADCAST_ROW_LIMIT = 20_000
 
 
@@ -20,22 +20,14 @@ def fetch_if_small(params: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> D
     return params.sparkSession.createDataFrame(rows, params.schema)
 
 
-def attach(
-    fact: DataFrame,
-    params: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    row_limit: int = BROADCAST_ROW_LIMIT,
-) -> DataFrame:
+def attach(fact: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key parameters to a fact table.
 
-    The row count of ``params`` is checked first. A small table is broadcast, so the fact side is
-    not shuffled and a hot key costs nothing. A larger one is joined by a shuffle, where adaptive
-    execution splits skewed partitions of the fact side.
+    The parameters are written once, so that they are never computed twice, and Spark knows their size in bytes: below
+    ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast, so the fact side is not shuffled and a hot key costs
+    nothing. Larger ones are joined by a shuffle, where adaptive execution splits skewed partitions of the fact side.
     """
-    small = fetch_if_small(params, row_limit)
-    side = params if small is None else F.broadcast(small)
-    return fact.join(side, list(keys), how)
+    return fact.join(cut_lineage(params, "parameters"), list(keys), how)
 
 
 _own_folders: dict[str, str] = {}

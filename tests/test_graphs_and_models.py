@@ -153,7 +153,12 @@ def test_attach_gives_the_same_with_and_without_broadcast(spark):
     fact = spark.range(50).select((F.col("id") % 7).alias("k"))
     params = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = sorted(map(tuple, attach(fact, params, ["k"]).collect()), key=str)
-    large = sorted(map(tuple, attach(fact, params, ["k"], row_limit=2).collect()), key=str)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        large = sorted(map(tuple, attach(fact, params, ["k"]).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert small == large and len(small) == 50
 
 
