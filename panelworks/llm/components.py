@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelworks.scale import cut_lineage
@@ -22,13 +25,38 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """The links of each partition as stars around the smallest node that they reach there: few links, short chains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up] if up in parent else up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                p, q = root(a), root(b)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); the component is its smallest node."""
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    before = None
+    state = lambda: links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    links = cut_lineage(_contracted(links.filter("a <> b").select("a", "b").distinct()), "components")
+    before = state()
     for _ in range(MOST_ROUNDS):
-        links = cut_lineage(_star(_star(links, True), False), "components")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if not before[0]:
+            break
+        links = cut_lineage(_contracted(_star(_star(links, True), False)), "components")
+        now = state()
         if now == before:
             break
         before = now

@@ -374,7 +374,8 @@ def _tested(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between nodes that hold the components of all links together."""
     spark = documents.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task sends a row to each part at most, so rows grow with the square of the parts.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _keys(documents, rule, parts, _KEYS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
     replies = keys.unionByName(_keys(documents, rule, parts, _REPLIES))
     gathered = replies.unionByName(_text_rows(documents, rule, parts)).groupBy("part").applyInArrow(_involved, _INVOLVED)
@@ -383,10 +384,13 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     stars = cut_lineage(held.join(held.groupBy("key").agg(F.min("node").alias("b")), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "tree-stars")
     families = cut_lineage(components(stars).withColumnRenamed("component", "family"), "tree-families")
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    large = families.join(sizes.filter(F.col("n") > BLOCK), "family").select("node", "family")
-    tried = cut_lineage(_tested(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), involved, rule), "tree-tried")
-    known = components(tried)
-    member = families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    large = cut_lineage(families.join(sizes.filter(F.col("n") > BLOCK), "family").select("node", "family"), "tree-large")
+    member = families.withColumn("component", F.col("node"))
+    tried = None
+    if not large.isEmpty():
+        tried = cut_lineage(_tested(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), involved, rule), "tree-tried")
+        known = components(tried)
+        member = families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     # A family that is one component is done; the others are compared block by block.
     state = member.groupBy("family").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("open")).filter("open")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -401,7 +405,7 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
         .groupBy("family", "i", "j")
         .applyInArrow(_block_pair(rule), "a long, b long")
     )
-    return cut_lineage(tried.unionByName(found), "tree-links")
+    return found if tried is None else tried.unionByName(found)
 
 
 def join_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
