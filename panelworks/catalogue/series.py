@@ -10,7 +10,6 @@ from panelworks.catalogue.sql import (
 )
 from panelworks.functions.calendar import DAY
 from panelworks.operators import continuity, enrich, splits, windows
-from panelworks.scale import cut_lineage
 from panelworks.sources import stand_ins
 
 YEAR_SLICE = 384
@@ -121,10 +120,7 @@ def panel_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.withColumn("filled_day", F.dayofmonth("timestamp")).withColumnRenamed("meter_reading", "filled")
     nodes = rows.select("building_id").distinct()
     spread = nodes.withColumn("split", F.explode(F.array(*[F.lit(s) for s in splits.SPLITS])))
-    panel = cut_lineage(enrich.complete_panel(rows, spread, keys=["split"], slice_days=YEAR_SLICE), "panel")
-    filled = continuity.forward_fill(
-        panel, ["building_id", "split"], "timestamp", ["filled", "filled_day"], "observed", 0, slice_days=YEAR_SLICE
-    )
+    filled = continuity.filled_panel(rows, spread, ["filled", "filled_day"], ["split"], initial=0, slice_days=YEAR_SLICE)
     return filled.groupBy("building_id", "split", F.month("timestamp").cast("bigint").alias("month")).agg(
         F.count("*").alias("cells"), F.count_if("observed").alias("observed"), F.sum("filled").alias("filled"),
         F.sum("filled_day").alias("filled_day"),

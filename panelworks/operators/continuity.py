@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.functions.calendar import HOUR, epoch_seconds
-from panelworks.operators.ordering import SLICE_DAYS, time_slice
+from panelworks.operators.ordering import SLICE_DAYS, row_positions, time_slice
+from panelworks.scale import cut_lineage
+
+# Numbered timestamps of one stretch of a series.
+FILL_POSITIONS = 4096
 
 
 def contiguous_runs(
@@ -168,6 +172,41 @@ def forward_fill(
     return filled.withColumns(values).select(*panel.columns)
 
 
+def filled_panel(
+    readings: DataFrame,
+    nodes: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] = (),
+    entity: str = "building_id",
+    ts: str = "timestamp",
+    initial: object = 0.0,
+    slice_days: int = SLICE_DAYS,
+) -> DataFrame:
+    """Every node at every timestamp of its keys, with the last observed columns carried forward and ``observed``.
+
+    The same as ``complete_panel`` and ``forward_fill`` in one, but only observed rows are ordered: timestamps are numbered,
+    each observed row is repeated for the numbers up to the node's next one, and a row at -1 stands for ``initial``. Rows of
+    a node are cut into stretches of FILL_POSITIONS numbers; only the first number of each is ordered over the whole series.
+    """
+    keys = list(keys)
+    times = row_positions(readings.select(*keys, ts).distinct(), keys, ts, "_position", slice_days=slice_days)
+    times = cut_lineage(times, "panel-times")
+    totals = times.groupBy(*keys).agg(F.count("*").alias("_total"))
+    observed = readings.join(nodes, [*keys, entity], "left_semi").join(times, [*keys, ts]).select(*keys, entity, *columns, "_position")
+    kinds = dict(observed.dtypes)
+    before = nodes.select(*keys, entity, *[F.lit(initial).cast(kinds[c]).alias(c) for c in columns], F.lit(-1).cast(kinds["_position"]).alias("_position"))
+    rows = observed.unionByName(before.distinct()).withColumn("_part", F.floor((F.col("_position") + 1) / FILL_POSITIONS))
+    inside = Window.partitionBy(*keys, entity, "_part").orderBy("_position")
+    parts = Window.partitionBy(*keys, entity).orderBy("_part")
+    later = rows.groupBy(*keys, entity, "_part").agg(F.min("_position").alias("_first")).select(*keys, entity, "_part", F.lead("_first").over(parts).alias("_later"))
+    ended = rows.withColumn("_next", F.lead("_position").over(inside)).join(later, [*keys, entity, "_part"])
+    ended = ended.join(totals, keys) if keys else ended.withColumn("_total", totals.scalar())
+    last = F.coalesce("_next", "_later", "_total") - 1
+    first = F.greatest("_position", F.lit(0))
+    cells = ended.filter(first <= last).select(*keys, entity, *columns, F.col("_position").alias("_of"), F.explode(F.sequence(first, last)).alias("_position"))
+    return cells.join(times, [*keys, "_position"]).select(*keys, entity, ts, *columns, (F.col("_of") == F.col("_position")).alias("observed"))
+
+
 def zero_runs(
     df: DataFrame, keys: Sequence[str], ts: str, target: str, step_seconds: int = HOUR, **options
 ) -> DataFrame:

@@ -1,5 +1,6 @@
 """Runs, windows, fills and roll-outs against plain Python on random series."""
 
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -187,3 +188,16 @@ def test_rollout_state_crosses_arrow_batches(spark):
         assert run() == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_filled_panel_equals_completing_and_filling(spark, monkeypatch):
+    monkeypatch.setattr(continuity, "FILL_POSITIONS", 3)
+    rows = [(b, s, h, float(10 * b + h)) for b, s, h in itertools.product((1, 2, 3), ("train", "test"), range(9)) if (b * h + len(s)) % 4 and h % 5 != b]
+    rows.append((9, "train", 2, None))
+    df = spark.createDataFrame(rows, "building_id int, split string, h int, v double").selectExpr("building_id", "split", "timestamp_ntz'2016-01-01 00:00:00' + make_dt_interval(0, h) AS timestamp", "v")
+    nodes = df.select("building_id", "split").distinct().unionByName(spark.createDataFrame([(7, "test")], "building_id int, split string"))
+    panel = enrich.complete_panel(df, nodes, keys=["split"])
+    want = continuity.forward_fill(panel, ["building_id", "split"], "timestamp", ["v"], "observed", 0.0)
+    got = continuity.filled_panel(df, nodes, ["v"], ["split"])
+    names = ["building_id", "split", "timestamp", "v", "observed"]
+    assert sorted(map(str, got.select(names).collect())) == sorted(map(str, want.select(names).collect()))
