@@ -10,7 +10,8 @@ from panelworks.catalogue.sql import (
 )
 from panelworks.functions.calendar import DAY
 from panelworks.operators import continuity, enrich, splits, windows
-from panelworks.sources import stand_ins
+from panelworks.scale import scratch_path
+from panelworks.sources import stand_ins, tables
 
 YEAR_SLICE = 384
 
@@ -218,6 +219,60 @@ def seasonal_multiplicative(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(parts)
 
 
+WEEK = 168
+DAILY_TOTAL = """
+daily_total AS (SELECT 'all' AS meter, timestamp, sum(meter_reading) AS total FROM supplier_days GROUP BY 2)"""
+
+
+@query("window_targets_168", with_(SUPPLIER_DAYS, DAILY_TOTAL, runs_of("daily_total", ["meter"], "1 day"), f"""
+SELECT timestamp, run_position FROM runs WHERE run_position >= {WEEK}"""))
+def window_targets_168(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _daily_total(spark, folder)
+    found = continuity.window_targets(rows, [], "timestamp", WEEK, step_seconds=DAY, slice_days=YEAR_SLICE)
+    return found.select("timestamp", "run_position")
+
+
+@query("sequence_windows_168", with_(SUPPLIER_DAYS, DAILY_TOTAL, runs_of("daily_total", ["meter"], "1 day"), f"""
+listed AS (SELECT timestamp, run_position, total AS next_target,
+  first_value(timestamp) OVER w AS first_ts, sum(total) OVER w AS history, count(*) OVER w AS steps FROM runs
+  WINDOW w AS (PARTITION BY meter ORDER BY timestamp ROWS BETWEEN {WEEK} PRECEDING AND 1 PRECEDING))""", f"""
+SELECT timestamp, first_ts, round(history, 4) AS history, CAST(steps AS INTEGER) AS steps, round(next_target, 4) AS next_target
+FROM listed WHERE run_position >= {WEEK}"""))
+def sequence_windows_168(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _daily_total(spark, folder)
+    found = windows.sequence_windows(rows, [], "timestamp", ["timestamp", "total"], "total", WEEK, step_seconds=DAY, slice_days=YEAR_SLICE)
+    history = F.aggregate("sequence", F.lit(0.0), lambda acc, s: acc + s["total"])
+    return found.select(
+        "timestamp", F.col("sequence")[0]["timestamp"].alias("first_ts"), tidy(history, 4).alias("history"),
+        F.size("sequence").alias("steps"), tidy(F.col("next_target"), 4).alias("next_target"),
+    )
+
+
+WEEK_LAGS = ", ".join(f"round(lag(total, {k}) OVER w, 4) AS lag_{k}" for k in range(1, WEEK + 1))
+
+
+@query("lag_features_168", with_(SUPPLIER_DAYS, DAILY_TOTAL, runs_of("daily_total", ["meter"], "1 day"), f"""
+lagged AS (SELECT timestamp, run_position, round(total, 4) AS total, {WEEK_LAGS} FROM runs WINDOW w AS (PARTITION BY meter ORDER BY timestamp))""", f"""
+SELECT * EXCLUDE (run_position) FROM lagged WHERE run_position >= {WEEK}"""))
+def lag_features_168(spark: SparkSession, folder: str) -> DataFrame:
+    found = windows.lag_features(_daily_total(spark, folder), [], "timestamp", "total", WEEK, step_seconds=DAY, slice_days=YEAR_SLICE)
+    return rounded(found, 4)
+
+
+@query("split_contract", with_(METER_HOURS, split_of("meter_hours", ["meter"]), """
+SELECT split, CAST(ascii(meter) AS DOUBLE) AS meter, count(*) AS row_count, round(sum(meter_reading), 4) AS reading_sum,
+  min(timestamp) AS first_timestamp FROM prepared GROUP BY 1, 2"""))
+def split_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Three split tables written as CSV, read back as one after the check of their columns; features are numbers."""
+    rows = splits.time_split(stand_ins.meter_hours(spark, folder), "timestamp", ["meter"]).withColumn("meter", F.ascii("meter"))
+    base = scratch_path(spark, "splits")
+    for name in splits.SPLITS:
+        rows.filter(F.col("split") == name).drop("split").write.option("header", True).csv(f"{base}/{name}")
+    read = tables.read_splits(spark, *[f"{base}/{name}" for name in splits.SPLITS])
+    facts = F.count("*").alias("row_count"), F.sum("meter_reading").alias("reading_sum"), F.min("timestamp").alias("first_timestamp")
+    return rounded(read.groupBy("split", "meter").agg(*facts), 4)
+
+
 @query("zero_runs", with_(ZERO_INFLATED, """
 days AS (SELECT building_id, timestamp, min(actual) AS meter_reading FROM zero_inflated GROUP BY 1, 2)""", """
 zeros AS (SELECT building_id, timestamp FROM days WHERE meter_reading = 0)""", runs_of("zeros", ["building_id"], "1 day"), """
