@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelworks.llm import kernel
+from panelworks.llm import blobs, kernel
 from panelworks.llm.catalogue import read, registered
-from panelworks.scale import cut_lineage
 
 LENGTH = 50
 LEAD = 24
@@ -40,53 +39,15 @@ PREFIX = 16
 SAMPLE_DOCUMENTS, SAMPLE_ANCHORS = 20_000, 8
 # Text bytes of which a task reduces the anchors before sending them.
 BLOCK_BYTES = 12 << 20
+# Bytes of records that are sorted at once.
+RANGE_BYTES = 4 << 20
 
 _PLACE = np.uint64((1 << 31) - 1)
-_PART = "part int, kind int, payload binary"
 ANCHORS, REPLIES, TEXTS, RECORDS, SPANS = range(5)
-_codec = pa.Codec("zstd", 1) if pa.Codec.is_available("zstd") else pa.Codec("lz4")
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of any types, compressed together."""
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    head = np.array([len(raw), len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], dtype="<i8")
-    return head.tobytes() + _codec.compress(raw, asbytes=True)
-
-
-def _unpack(payload: bytes) -> list[np.ndarray]:
-    size, n = (int(x) for x in np.frombuffer(payload, "<i8", 2))
-    kinds = np.frombuffer(payload, "<i8", 2 * n, 16).reshape(n, 2)
-    raw = _codec.decompress(payload[16 + 16 * n :], decompressed_size=size, asbytes=True) if size else b""
-    out, at = [], 0
-    for kind, length in kinds.tolist():
-        dtype = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, dtype, length, at))
-        at += length * dtype.itemsize
-    return out
-
-
-def _joined(payloads: list[bytes]) -> list[np.ndarray]:
-    return [np.concatenate(p) for p in zip(*map(_unpack, payloads), strict=True)]
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return kernel.record_batch(part=pa.array([r[0] for r in rows], pa.int32()), kind=pa.array([r[1] for r in rows], pa.int32()), payload=pa.array([r[2] for r in rows], pa.binary()))
-
-
-def _split(part: np.ndarray, kind: int, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """One packed row per part."""
-    order = np.argsort(part, kind="stable")
-    kinds, first = np.unique(part[order], return_index=True)
-    return [(int(p), kind, _pack(*(a[own] for a in arrays))) for p, own in zip(kinds, np.split(order, first[1:]), strict=True)] if len(part) else []
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
 
 
 def _of_document(doc_id: np.ndarray, buckets: int) -> np.ndarray:
-    return _bucket(kernel.mix(doc_id.astype(np.int64).view(np.uint64)), buckets)
+    return blobs.bucket(kernel.mix(doc_id.astype(np.int64).view(np.uint64)), buckets)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,14 +90,14 @@ def _wide(base: np.ndarray, difference: np.ndarray) -> np.ndarray:
     return difference.astype(np.int64) + base[0]
 
 
-def _cut48(hashes: np.ndarray) -> np.ndarray:
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].ravel()
+def _replies(doc: np.ndarray, hashes: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    order = np.lexsort((hashes, doc))
+    return blobs.split(_of_document(doc[order], buckets), REPLIES, doc[order], hashes[order])
 
 
-def _uncut48(cut: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(cut) // 6, 8), dtype=np.uint8)
-    out[:, 2:] = cut.reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _spans(doc: np.ndarray, start: np.ndarray, length: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    order = np.lexsort((start, doc))
+    return blobs.split(_of_document(doc[order], buckets), SPANS, doc[order], start[order], length[order].astype(np.uint8))
 
 
 def _hash_docs(documents: DataFrame, buckets: int, kind: int) -> DataFrame:
@@ -154,17 +115,12 @@ def _hash_docs(documents: DataFrame, buckets: int, kind: int) -> DataFrame:
         several = np.concatenate([~head[1:], [False]])
         if kind == ANCHORS:
             hashes, doc, several = hashes[head], doc[head], several[head]
-            part = _bucket(hashes, buckets)
-            order = np.argsort(part, kind="stable")
-            rows = []
-            kinds, first = np.unique(part[order], return_index=True)
-            for p, own in zip(kinds, np.split(order, first[1:]), strict=True):
-                rows.append((int(p), ANCHORS, _pack(_cut48(hashes[own]), *_small(doc[own]), several[own])))
+            rows = [(p, ANCHORS, blobs.pack(hashes[own] >> np.uint64(16), *_small(doc[own]), several[own])) for p, own in blobs.groups(blobs.bucket(hashes, buckets))]
         else:
             shared = several | ~head
-            rows = _split(_of_document(doc[shared], buckets), REPLIES, doc[shared], hashes[shared])
+            rows = _replies(doc[shared], hashes[shared], buckets)
         if rows:
-            yield _rows(rows)
+            yield blobs.rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -180,7 +136,7 @@ def _hash_docs(documents: DataFrame, buckets: int, kind: int) -> DataFrame:
         if held and sum(len(h) for h, _ in held):
             yield from flush(held)
 
-    return documents.mapInArrow(run, _PART)
+    return documents.mapInArrow(run, blobs.SCHEMA)
 
 
 def _shared(buckets: int):
@@ -189,8 +145,8 @@ def _shared(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         hashes, doc, several = [], [], []
         for payload in table.column("payload").to_pylist():
-            cut, base, difference, more = _unpack(payload)
-            hashes.append(_uncut48(cut))
+            cut, base, difference, more = blobs.unpack(payload)
+            hashes.append(cut << np.uint64(16))
             doc.append(_wide(base, difference))
             several.append(more)
         hashes, doc, several = np.concatenate(hashes), np.concatenate(doc), np.concatenate(several)
@@ -198,7 +154,7 @@ def _shared(buckets: int):
         hashes, doc, several = hashes[order], doc[order], several[order]
         same = hashes[1:] == hashes[:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | several
-        return pa.Table.from_batches([_rows(_split(_of_document(doc[twice], buckets), REPLIES, doc[twice], hashes[twice]))])
+        return pa.Table.from_batches([blobs.rows(_replies(doc[twice], hashes[twice], buckets))])
 
     return run
 
@@ -210,16 +166,13 @@ def _text_blobs(documents: DataFrame, buckets: int) -> DataFrame:
         for batch in kernel.slices(batches, "text", 4 * kernel.SLICE_BYTES):
             data, offsets = kernel.text_bytes(batch.column("text"))
             doc = np.asarray(batch.column("doc_id"))
-            part = _of_document(doc, buckets)
-            order = np.argsort(part, kind="stable")
-            kinds, first = np.unique(part[order], return_index=True)
             rows = []
-            for p, own in zip(kinds, np.split(order, first[1:]), strict=True):
+            for p, own in blobs.groups(_of_document(doc, buckets)):
                 body = [data[offsets[i] : offsets[i + 1]] for i in own]
-                rows.append((int(p), TEXTS, _pack(doc[own], np.array([len(b) for b in body], dtype=np.int64), np.concatenate(body))))
-            yield _rows(rows)
+                rows.append((p, TEXTS, blobs.pack(doc[own], np.array([len(b) for b in body], dtype=np.int64), np.concatenate(body), codec=blobs.DENSE)))
+            yield blobs.rows(rows)
 
-    return documents.mapInArrow(run, _PART)
+    return documents.mapInArrow(run, blobs.SCHEMA)
 
 
 def _texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,16 +181,10 @@ def _texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     payloads = [p for p, k in zip(table.column("payload").to_pylist(), kinds, strict=True) if k == TEXTS]
     if not payloads:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    doc, size, data = _joined(payloads)
+    doc, size, data = blobs.joined(payloads)
     return doc, data, np.concatenate([[0], np.cumsum(size)])
 
 
-def _of_kind(table: pa.Table, kind: int) -> list[np.ndarray] | None:
-    kinds = np.asarray(table.column("kind"))
-    payloads = [p for p, k in zip(table.column("payload").to_pylist(), kinds, strict=True) if k == kind]
-    return _joined(payloads) if payloads else None
-
-
 def _pieces(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The documents of a group in steps of bounded size."""
     first = 0
@@ -247,12 +194,6 @@ def _pieces(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[
         first = last
 
 
-def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes of all members of the stretches."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _reduced(doc: np.ndarray, lead: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each record the first record, in ascending document order, that is equal to it; and where each begins."""
     starts = np.cumsum(size) - size
@@ -268,20 +209,37 @@ def _reduced(doc: np.ndarray, lead: np.ndarray, size: np.ndarray, body: np.ndarr
     first[other[~alike]] = other[~alike]
     other = other[alike]
     if len(other):
-        differs = body[_flat(starts[other], size[other])] != body[_flat(starts[first[other]], size[other])]
+        differs = body[blobs.flat(starts[other], size[other])] != body[blobs.flat(starts[first[other]], size[other])]
         unequal = np.add.reduceat(differs, np.cumsum(size[other]) - size[other]) > 0
         first[other[unequal]] = other[unequal]
     return first, starts
 
 
+def _prefixes(at: np.ndarray, lead: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Leading bytes of the suffix at the anchor of each record."""
+    return body[(at + lead)[:, None] + np.arange(PREFIX)].copy().view(f"S{PREFIX}").ravel()
+
+
+def _ranges(prefix: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Records in ranges of about RANGE_BYTES by their leading bytes; equal ones are never parted."""
+    if not len(prefix):
+        return
+    order = np.argsort(prefix, kind="stable")
+    ordered = prefix[order]
+    head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    before = (np.cumsum(size[order]) - size[order])[head] // RANGE_BYTES
+    for _, own in blobs.groups(np.repeat(before, np.diff(np.append(head, len(order))))):
+        yield order[own]
+
+
 def _records(buckets: int, splitters: np.ndarray):
     """Group of documents with its shared hashes to records by range, and the spans already known to go."""
 
     def run(table: pa.Table) -> pa.Table:
-        replies = _of_kind(table, REPLIES)
+        replies = blobs.of_kind(table, REPLIES)
         rows: list[tuple[int, int, bytes]] = []
         if replies is None:
-            return pa.Table.from_batches([_rows(rows)])
+            return pa.Table.from_batches([blobs.rows(rows)])
         shared = np.unique(kernel.mix(replies[1] ^ kernel.mix(replies[0].view(np.uint64))))
         found: list[list[np.ndarray]] = []
         for doc, data, offsets in _pieces(*_texts_of(table)):
@@ -290,23 +248,23 @@ def _records(buckets: int, splitters: np.ndarray):
             own = kernel.found_in(shared, kernel.mix((hashes & ~np.uint64(0xFFFF)) ^ kernel.mix(doc[row].view(np.uint64))))
             place, first, last, row = place[own], first[own], last[own], row[own]
             size = last - first + LENGTH
-            found.append([doc[row], first - offsets[row], place - first, size, data[_flat(first, size)]])
+            found.append([doc[row], first - offsets[row], place - first, size, data[blobs.flat(first, size)]])
         if not found or not sum(len(f[0]) for f in found):
-            return pa.Table.from_batches([_rows(rows)])
+            return pa.Table.from_batches([blobs.rows(rows)])
         doc, start, lead, size, body = (np.concatenate(f) for f in zip(*found, strict=True))
-        first, at = _reduced(doc, lead, size, body)
-        alone = first == np.arange(len(doc))
-        gone = ~alone & (doc[first] < doc)
-        rows += _split(_of_document(doc[gone], buckets), SPANS, doc[gone], start[gone], size[gone].astype(np.uint8))
-        # Of equal records the smallest document's stays; rows that share its doc_id stay as well.
-        kept = np.flatnonzero(~gone)
-        prefix = body[at[kept][:, None] + lead[kept][:, None] + np.arange(PREFIX)].copy().view(f"S{PREFIX}").ravel()
-        part = np.searchsorted(splitters, prefix, side="right").astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        kinds, edge = np.unique(part[order], return_index=True)
-        for p, own in zip(kinds, np.split(kept[order], edge[1:]), strict=True):
-            rows.append((int(p), RECORDS, _pack(doc[own], start[own].astype("<u4") if start.max() < 1 << 32 else start[own], lead[own].astype(np.uint8), size[own].astype(np.uint8), body[_flat(at[own], size[own])])))
-        return pa.Table.from_batches([_rows(rows)])
+        at = np.cumsum(size) - size
+        for own in _ranges(_prefixes(at, lead, body), size):
+            d, b, l, n, text = doc[own], start[own], lead[own], size[own], body[blobs.flat(at[own], size[own])]
+            first, begin = _reduced(d, l, n, text)
+            gone = d[first] < d
+            rows += _spans(d[gone], b[gone], n[gone], buckets)
+            # Of equal records the smallest document's stays; rows that share its doc_id stay as well.
+            kept = np.flatnonzero(~gone)
+            part = np.searchsorted(splitters, _prefixes(begin[kept], l[kept], text), side="right").astype(np.int32)
+            for p, some in blobs.groups(part):
+                k = kept[some]
+                rows.append((p, RECORDS, blobs.pack(d[k], b[k], l[k].astype(np.uint8), n[k].astype(np.uint8), text[blobs.flat(begin[k], n[k])])))
+        return pa.Table.from_batches([blobs.rows(rows)])
 
     return run
 
@@ -333,30 +291,38 @@ def equal_groups(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 def _sorted_bucket(buckets: int):
     """Bucket of records to the spans of strings that a smaller document has, too."""
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, start, lead, size, body = _joined(table.column("payload").to_pylist())
-        start, lead, size = start.astype(np.int64), lead.astype(np.int64), size.astype(np.int64)
+    def spans_of(doc: np.ndarray, start: np.ndarray, lead: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first, at = _reduced(doc, lead, size, body)
         whole = doc[first] < doc
         count = size - LENGTH + 1
         left = np.flatnonzero(~whole)
-        string_at = _flat(at[left], count[left])
+        string_at = blobs.flat(at[left], count[left])
         owner = np.repeat(left, count[left])
         active, group = equal_groups(body, string_at)
-        spans = [(doc[whole], start[whole], size[whole])]
+        found = [(doc[whole], start[whole], size[whole])]
         if len(active):
             who = doc[owner[active]]
-            least = np.minimum.reduceat(who, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
-            gone = active[who > least[np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))]]
-            gone = np.sort(gone)
+            new = np.concatenate([[True], group[1:] != group[:-1]])
+            least = np.minimum.reduceat(who, np.flatnonzero(new))
+            gone = np.sort(active[who > least[np.cumsum(new) - 1]])
             # Neighbouring strings of one record become one span.
-            new = np.concatenate([[True], (np.diff(gone) != 1) | (owner[gone][1:] != owner[gone][:-1])]) if len(gone) else np.zeros(0, bool)
-            head = np.flatnonzero(new)
-            length = np.diff(np.append(head, len(gone))) - 1 + LENGTH
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(gone) != 1) | (owner[gone][1:] != owner[gone][:-1])])) if len(gone) else gone
             record = owner[gone[head]]
-            spans.append((doc[record], start[record] + string_at[gone[head]] - at[record], length))
-        doc, start, length = (np.concatenate(s) for s in zip(*spans, strict=True))
-        return pa.Table.from_batches([_rows(_split(_of_document(doc, buckets), SPANS, doc, start, length.astype(np.uint8)))])
+            found.append((doc[record], start[record] + string_at[gone[head]] - at[record], np.diff(np.append(head, len(gone))) - 1 + LENGTH))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    def run(table: pa.Table) -> pa.Table:
+        # Spans already known only pass by.
+        kinds = np.asarray(table.column("kind"))
+        rows = [(table.column("part")[i].as_py(), SPANS, table.column("payload")[i].as_py()) for i in np.flatnonzero(kinds == SPANS)]
+        records = blobs.of_kind(table, RECORDS)
+        if records is not None:
+            doc, start, lead, size, body = records
+            start, lead, size = start.astype(np.int64), lead.astype(np.int64), size.astype(np.int64)
+            at = np.cumsum(size) - size
+            found = [spans_of(doc[own], start[own], lead[own], size[own], body[blobs.flat(at[own], size[own])]) for own in _ranges(_prefixes(at, lead, body), size)]
+            rows += _spans(*(np.concatenate(f) for f in zip(*found, strict=True)), buckets)
+        return pa.Table.from_batches([blobs.rows(rows)])
 
     return run
 
@@ -366,29 +332,31 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _cut_out(table: pa.Table) -> pa.Table:
     """Group of documents with its spans to the result rows."""
-    doc, data, offsets = _texts_of(table)
-    removed = np.zeros(len(data) + 1, dtype=np.int64)
-    spans = _of_kind(table, SPANS)
-    if spans is not None:
-        order = np.argsort(doc, kind="stable")
-        for side in ("left", "right"):  # rows with equal doc_id all get the spans
-            pass
-        first = np.searchsorted(doc[order], spans[0], side="left")
-        copies = np.searchsorted(doc[order], spans[0], side="right") - first
-        row = order[_flat(first, copies)]
-        begin = offsets[row] + np.repeat(spans[1], copies)
-        end = np.minimum(begin + np.repeat(spans[2].astype(np.int64), copies), offsets[row + 1])
-        begin = np.minimum(begin, end)
-        np.add.at(removed, begin, 1)
+    spans = blobs.of_kind(table, SPANS) or [np.zeros(0, np.int64)] * 3
+    order = np.argsort(spans[0], kind="stable")
+    of, starts, lengths = (x[order].astype(np.int64) for x in spans)
+    out = []
+    for doc, data, offsets in _pieces(*_texts_of(table)):
+        # Rows with equal doc_id all get the spans.
+        first = np.searchsorted(of, doc, side="left")
+        count = np.searchsorted(of, doc, side="right") - first
+        span = blobs.flat(first, count)
+        row = np.repeat(np.arange(len(doc)), count)
+        begin = offsets[row] + starts[span]
+        end = np.minimum(begin + lengths[span], offsets[row + 1])
+        removed = np.zeros(len(data) + 1, dtype=np.int64)
+        np.add.at(removed, np.minimum(begin, end), 1)
         np.add.at(removed, end, -1)
-    gone = np.cumsum(removed[:-1]) > 0
-    runs = gone.copy()
-    runs[1:] &= ~gone[:-1]
-    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    runs[heads] = gone[heads]
-    kept = ~gone
-    digest = [hashlib.sha256(data[a:b][kept[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return pa.table({"doc_id": doc, "n_bytes": np.diff(offsets), "n_removed": kernel.sums_within(gone, offsets), "n_spans": kernel.sums_within(runs, offsets), "kept_sha256": digest})
+        gone = np.cumsum(removed[:-1]) > 0
+        runs = gone.copy()
+        runs[1:] &= ~gone[:-1]
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+        runs[heads] = gone[heads]
+        kept = ~gone
+        digest = [hashlib.sha256(data[a:b][kept[a:b]].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        out.append(pa.table({"doc_id": doc, "n_bytes": np.diff(offsets), "n_removed": kernel.sums_within(gone, offsets), "n_spans": kernel.sums_within(runs, offsets), "kept_sha256": pa.array(digest, pa.string())}))
+    empty = pa.table({c: pa.array([], pa.int64() if c != "kept_sha256" else pa.string()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")})
+    return pa.concat_tables([empty, *out])
 
 
 def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
@@ -415,16 +383,16 @@ def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """RESULT of every document: what strings of LENGTH bytes that a smaller document has, too, leave of it."""
     spark = documents.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task sends a row to each part at most, so rows grow with the square of the parts.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = documents.select(F.col("doc_id").cast("long"), "text")
     named, unnamed = table.filter("doc_id is not null"), table.filter("doc_id is null")
-    hashes = _hash_docs(named, parts, ANCHORS).groupBy("part").applyInArrow(_shared(parts), _PART)
+    hashes = _hash_docs(named, parts, ANCHORS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
     replies = hashes.unionByName(_hash_docs(named, parts, REPLIES))
     texts = _text_blobs(named, parts)
     splitters = sample_splitters(named, parts)
-    found = cut_lineage(replies.unionByName(texts).groupBy("part").applyInArrow(_records(parts, splitters), _PART), "suffix-records")
-    sorted_spans = found.filter(F.col("kind") == RECORDS).groupBy("part").applyInArrow(_sorted_bucket(parts), _PART)
-    spans = found.filter(F.col("kind") == SPANS).unionByName(sorted_spans)
+    found = replies.unionByName(texts).groupBy("part").applyInArrow(_records(parts, splitters), blobs.SCHEMA)
+    spans = found.groupBy("part").applyInArrow(_sorted_bucket(parts), blobs.SCHEMA)
     cut = spans.unionByName(texts).groupBy("part").applyInArrow(_cut_out, RESULT)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     whole = unnamed.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
