@@ -33,14 +33,15 @@ from panelworks.llm.catalogue import read, registered
 
 LENGTH = 50
 LEAD = 24
-# Leading bytes that splitters compare; no more than LEAD.
-PREFIX = 16
+# Leading bytes that splitters compare, as one number; no more than LEAD.
+PREFIX = 8
 # Documents looked at for splitters, and anchors taken from each.
 SAMPLE_DOCUMENTS, SAMPLE_ANCHORS = 20_000, 8
 # Text bytes of which a task reduces the anchors before sending them.
 BLOCK_BYTES = 12 << 20
-# Bytes of records that are sorted at once.
-RANGE_BYTES = 4 << 20
+# Text bytes whose anchors are found at once, and bytes of records that are sorted at once.
+STEP_BYTES = 1 << 20
+RANGE_BYTES = 2 << 20
 
 _PLACE = np.uint64((1 << 31) - 1)
 ANCHORS, REPLIES, TEXTS, RECORDS, SPANS = range(5)
@@ -124,7 +125,7 @@ def _hash_docs(documents: DataFrame, buckets: int, kind: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in kernel.slices(batches, "text"):
+        for batch in kernel.slices(batches, "text", STEP_BYTES):
             data, offsets = kernel.text_bytes(batch.column("text"))
             place, hashes, _, _ = anchors(data, offsets)
             doc = np.asarray(batch.column("doc_id"))[np.searchsorted(offsets, place, side="right") - 1]
@@ -189,7 +190,7 @@ def _pieces(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[
     """The documents of a group in steps of bounded size."""
     first = 0
     while first < len(doc):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + kernel.SLICE_BYTES, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, side="right")) - 1)
         yield doc[first:last], data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -216,8 +217,8 @@ def _reduced(doc: np.ndarray, lead: np.ndarray, size: np.ndarray, body: np.ndarr
 
 
 def _prefixes(at: np.ndarray, lead: np.ndarray, body: np.ndarray) -> np.ndarray:
-    """Leading bytes of the suffix at the anchor of each record."""
-    return body[(at + lead)[:, None] + np.arange(PREFIX)].copy().view(f"S{PREFIX}").ravel()
+    """Leading bytes of the suffix at the anchor of each record, as numbers of the same order."""
+    return body[(at + lead)[:, None] + np.arange(PREFIX)].copy().view(">u8").ravel().astype(np.uint64)
 
 
 def _ranges(prefix: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -363,7 +364,7 @@ def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
     """Leading bytes of anchored suffixes that cut a bounded sample into ``parts`` equal parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches, "text"):
+        for batch in kernel.slices(batches, "text", STEP_BYTES):
             data, offsets = kernel.text_bytes(batch.column("text"))
             place, hashes, _, _ = anchors(data, offsets)
             row = np.searchsorted(offsets, place, side="right") - 1
@@ -376,7 +377,7 @@ def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
     total = documents.count()
     step = max(1, total // SAMPLE_DOCUMENTS)
     some = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    found = np.sort(np.array([r[0].ljust(PREFIX, b"\0") for r in some.mapInArrow(run, "prefix binary").collect()], dtype=f"S{PREFIX}"))
+    found = np.sort(np.array([int.from_bytes(r[0], "big") for r in some.mapInArrow(run, "prefix binary").collect()], dtype=np.uint64))
     return found[np.linspace(0, len(found), parts + 1)[1:-1].astype(np.int64)] if len(found) else found
 
 
