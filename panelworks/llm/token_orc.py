@@ -27,7 +27,7 @@ from panelworks.scale import scratch_path
 
 END_ID = 2
 ORC_OPTIONS = {
-    "orc.compress": "ZSTD",
+    "orc.compress": "LZ4",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from panelworks.llm import kernel
 
 # Words that one worker remembers; beyond that it keeps those met more than once.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 _CONTROL = np.zeros(256, dtype=bool)
 _CONTROL[[*range(0x00, 0x0A), *range(0x0B, 0x20), 0x7F, *range(0xC9, 0x100)]] = True
