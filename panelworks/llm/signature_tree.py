@@ -268,17 +268,17 @@ def _sets_of(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]
 class SignatureTree:
     """Levels from the leaves (single sets) to the root; a node covers FAN_OUT nodes of the level below."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray, order: np.ndarray) -> None:
-        size = np.diff(offsets)[order]
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, order: np.ndarray, component: np.ndarray) -> None:
+        size, component = np.diff(offsets)[order], component[order]
         words = np.zeros((len(order), BITS // 64), dtype=np.uint64)
         for k, i in enumerate(order):
             bit = (values[offsets[i] : offsets[i + 1]] >> np.uint64(12)) % np.uint64(BITS)
             np.bitwise_or.at(words[k], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        self.levels = [(words, words, size, size)]
+        self.levels = [(words, words, size, size, component, component)]
+        ways = (np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.minimum, np.maximum)
         while len(self.levels[-1][0]) > 1:
-            any_, all_, low, high = self.levels[-1]
-            head = np.arange(0, len(any_), FAN_OUT)
-            self.levels.append((np.bitwise_or.reduceat(any_, head), np.bitwise_and.reduceat(all_, head), np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)))
+            head = np.arange(0, len(self.levels[-1][0]), FAN_OUT)
+            self.levels.append(tuple(way.reduceat(part, head) for way, part in zip(ways, self.levels[-1], strict=True)))
 
     def raised(self, height: int) -> None:
         """Add copies of the root, so that two trees are of one height."""
@@ -287,10 +287,12 @@ class SignatureTree:
 
 
 def _possible(one: tuple, two: tuple, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
-    """Whether the largest possible overlap below two tree nodes reaches the least that a link needs."""
+    """Whether the largest possible overlap below two tree nodes reaches the least that a link needs, and whether what is
+    below them is not of one component already."""
     without = lambda a, b: np.bitwise_count(a & ~b).sum(axis=1).astype(np.int64)
     most = np.minimum(one[3][i] - without(one[1][i], two[0][j]), two[3][j] - without(two[1][j], one[0][i]))
-    return most >= rule.needed(one[2][i], two[2][j])
+    apart = (one[4][i] != two[5][j]) | (one[5][i] != two[4][j])
+    return apart & (most >= rule.needed(one[2][i], two[2][j]))
 
 
 def candidates(one: SignatureTree, two: SignatureTree, rule: Rule, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -339,10 +341,12 @@ def _block_pair(rule: Rule):
             return c
 
         sides = [np.flatnonzero(side == s) for s in (0, 1)]
+        if not len(sides[0]):
+            sides.reverse()
         same = not len(sides[1])
         orders = [s[np.lexsort((size[s], known[s]))] for s in sides]
-        one = SignatureTree(values, offsets, orders[0])
-        left, right = candidates(one, one if same else SignatureTree(values, offsets, orders[1]), rule, same)
+        one = SignatureTree(values, offsets, orders[0], known)
+        left, right = candidates(one, one if same else SignatureTree(values, offsets, orders[1], known), rule, same)
         x, y = orders[0][left], orders[0 if same else 1][right]
         links = []
         # Pairs that differ least in size come first: they link most often, and links spare later comparisons.
@@ -391,13 +395,28 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
         tried = cut_lineage(_tested(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), involved, rule), "tree-tried")
         known = components(tried)
         member = families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    # A family that is one component is done; the others are compared block by block.
-    state = member.groupBy("family").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("open")).filter("open")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("component", "node"), blocks).cast("int")
-    placed = member.join(state, "family").select("node", "family", "component", own.alias("block"), blocks.alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = placed.select("node", "family", "component", "block", other.alias("other")).select(
+    # A family that is one component is done. In the others a component of more than BLOCK nodes is a unit of its own, whose
+    # blocks meet those of other units only; the nodes of all smaller components are one unit, whose blocks meet all.
+    of_component = member.groupBy("family", "component").agg(F.count("*").alias("n"))
+    unit = F.when(F.col("n") > BLOCK, F.col("component"))
+    units = of_component.groupBy("family", unit.alias("unit")).agg(F.sum("n").alias("unit_n"), F.count("*").alias("parts"))
+    cuts = F.ceil(F.col("unit_n") / BLOCK).cast("int")
+    listed = F.transform(F.sequence(F.lit(0), cuts - 1), lambda k: F.struct((~F.col("unit").isNull()).alias("large"), F.coalesce("unit", F.lit(0)).alias("unit"), k.alias("k")))
+    open_ = units.groupBy("family").agg(F.flatten(F.collect_list(listed)).alias("others"), F.sum("parts").alias("parts")).filter("parts > 1").drop("parts")
+    open_ = cut_lineage(open_, "tree-open")
+    block = F.struct(
+        (F.col("n") > BLOCK).alias("large"), F.when(F.col("n") > BLOCK, F.col("component")).otherwise(0).alias("unit"),
+        F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("k"),
+    )
+    placed = (
+        member.join(of_component, ["family", "component"])
+        .join(open_, "family")
+        .withColumn("large", F.col("n") > BLOCK)
+        .withColumn("cuts", F.size(F.filter("others", lambda o: (o["large"] == F.col("large")) & (~o["large"] | (o["unit"] == F.col("component"))))))
+        .select("node", "family", "component", block.alias("block"), "others")
+    )
+    meets = F.filter("others", lambda o: ~(o["large"] & (o["unit"] == F.col("block.unit")) & F.col("block.large")))
+    spread = placed.select("node", "family", "component", "block", F.explode(meets).alias("other")).select(
         "node", "family", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     found = (
