@@ -16,6 +16,7 @@ HEADLINE = (
     "lag_features", "rolling_statistics", "seasonal_additive", "zero_runs", "regression_metrics", "zero_state_metrics",
     "profile_forecast_scores", "attribute_similarity", "embedding_similarity", "neighbour_features",
     "per_meter_training", "rollout_daily_series", "minimal_removal", "streaming_daily_profile",
+    "fused_graph", "panel_rollout", "autoregressive_forecast", "boosted_trees_forecast", "streaming_continuity",
 )
 
 
