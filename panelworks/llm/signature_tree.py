@@ -157,13 +157,17 @@ def _of_node(node: np.ndarray, parts: int) -> np.ndarray:
     return blobs.bucket(kernel.mix(node), parts)
 
 
-def _replies(node: np.ndarray, key: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    order = np.lexsort((key, node))
-    return blobs.split(_of_node(node[order], parts), _REPLIES, node[order], key[order])
+def _replies(node: np.ndarray, leader: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Each node with the smallest nodes that hold one of its keys, once each; a smallest node comes with itself."""
+    order = np.lexsort((leader, node))
+    node, leader = node[order], leader[order]
+    new = np.concatenate([[True], (node[1:] != node[:-1]) | (leader[1:] != leader[:-1])]) if len(node) else np.zeros(0, bool)
+    node, leader = node[new], leader[new]
+    return blobs.split(_of_node(node, parts), _REPLIES, node, leader)
 
 
 def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
-    """Kind _KEYS: (key, smallest node, held by several) per task and bucket. Kind _REPLIES: keys that nodes of a task share."""
+    """Kind _KEYS: (key, smallest node, held by several) per task and bucket. Kind _REPLIES: nodes of a task that share keys."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, node = (np.concatenate(h) for h in zip(*held, strict=True))
@@ -179,7 +183,8 @@ def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
             rows = blobs.split(blobs.bucket(key, parts), _KEYS, key, node, several)
         else:
             shared = several | ~head
-            rows = _replies(node[shared], key[shared], parts)
+            leader = node[np.maximum.accumulate(np.where(head, np.arange(len(node)), 0))]
+            rows = _replies(node[shared], leader[shared], parts)
         if rows:
             yield blobs.rows(rows)
 
@@ -211,7 +216,7 @@ def _shared(parts: int):
         head = np.flatnonzero(first)
         low, high = np.minimum.reduceat(node, head), np.maximum.reduceat(node, head)
         more = ((low != high) | np.logical_or.reduceat(several, head))[which]
-        return pa.Table.from_batches([blobs.rows(_replies(node[more], key[more], parts))])
+        return pa.Table.from_batches([blobs.rows(_replies(node[more], low[which][more], parts))])
 
     return run
 
@@ -233,31 +238,31 @@ def _text_rows(documents: DataFrame, rule: Rule, parts: int) -> DataFrame:
     return documents.mapInArrow(run, blobs.SCHEMA)
 
 
-_INVOLVED = "node long, keys array<long>, text binary"
+_INVOLVED = "node long, leaders array<long>, text binary"
 
 
 def _involved(table: pa.Table) -> pa.Table:
-    """Group of nodes with their shared keys: the texts of the nodes that share one."""
+    """Group of nodes with the leaders of their shared keys: the texts of the nodes that share one."""
     replies, texts = blobs.of_kind(table, _REPLIES), blobs.of_kind(table, _TEXTS)
-    out: dict[str, list] = {"node": [], "keys": [], "text": []}
+    out: dict[str, list] = {"node": [], "leaders": [], "text": []}
     if replies is not None and texts is not None:
         node, first = np.unique(texts[0], return_index=True)
         end = np.cumsum(texts[1])
-        for at, keys in _keys_by_node(*replies):
+        for at, leaders in _leaders_by_node(*replies):
             k = int(np.searchsorted(node, at))
             if k < len(node) and node[k] == at:
                 i = first[k]
                 out["node"].append(int(np.uint64(at).view(np.int64)))
-                out["keys"].append(keys.view(np.int64))
+                out["leaders"].append(leaders.view(np.int64))
                 out["text"].append(blobs.pack(texts[2][end[i] - texts[1][i] : end[i]]))
-    return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["text"], pa.binary())], names=list(out))
+    return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["leaders"], pa.list_(pa.int64())), pa.array(out["text"], pa.binary())], names=list(out))
 
 
-def _keys_by_node(node: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.uint64, np.ndarray]]:
+def _leaders_by_node(node: np.ndarray, leader: np.ndarray) -> Iterator[tuple[np.uint64, np.ndarray]]:
     order = np.argsort(node, kind="stable")
     kinds, first = np.unique(node[order], return_index=True)
     for at, own in zip(kinds, np.split(order, first[1:]), strict=True):
-        yield at, np.unique(key[own])
+        yield at, np.unique(leader[own])
 
 
 def _sets_of(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -384,8 +389,7 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     replies = keys.unionByName(_keys(documents, rule, parts, _REPLIES))
     gathered = replies.unionByName(_text_rows(documents, rule, parts)).groupBy("part").applyInArrow(_involved, _INVOLVED)
     involved = cut_lineage(gathered, "tree-nodes")
-    held = involved.select("node", F.explode("keys").alias("key"))
-    stars = cut_lineage(held.join(held.groupBy("key").agg(F.min("node").alias("b")), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "tree-stars")
+    stars = involved.select(F.col("node").alias("a"), F.explode("leaders").alias("b")).filter("a <> b")
     families = cut_lineage(components(stars).withColumnRenamed("component", "family"), "tree-families")
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
     large = cut_lineage(families.join(sizes.filter(F.col("n") > BLOCK), "family").select("node", "family"), "tree-large")
