@@ -6,7 +6,10 @@ texts below it (content). A node is important when its presentation varies or it
 
     importance = (1 - GAMMA) * entropy of its child sequences + GAMMA * (1 - mean entropy of its texts)
 
-with entropies to the base of the number of pages. Branches of low importance are removed from each page of the host.
+with entropies to the base of the number of pages. A branch is removed from each page of the host if it and all branches
+below it are of low importance: the mean over a wrapper says nothing of the article within it. Only elements and texts
+that are not outside by their meaning are counted.
+
 Elements that are never main text by their meaning (menus, forms, scripts, asides, ...) go on every host, also on hosts
 with few pages, where a tree tells nothing. Where a page marks its article or main part, text outside is left out, and
 inside only branches that carry a class or id can be of low importance.
@@ -60,6 +63,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+WHOLE = MAIN | {"html", "body"}
 NEVER = frozenset("nav footer aside form head menu dialog fieldset input label option".split())
 # What class, id or role says of a branch that is not main text.
 ROLES = frozenset(
@@ -84,9 +88,9 @@ class _Element:
 
 @dataclass
 class Page:
-    """What one page tells: nodes with the hash of their children, and blocks with the branches that hold them."""
+    """What one page tells: nodes with the hash of their children and their parent, and blocks with the branches that hold them."""
 
-    nodes: list[tuple[int, int]]
+    nodes: list[tuple[int, int, int]]
     blocks: list[tuple[str, tuple[_Element, ...]]]
     has_main: bool
 
@@ -119,8 +123,8 @@ def parse(html: str) -> Page:
 
     def pop() -> None:
         element = stack.pop()
-        if element.tag in BLOCKS:
-            nodes.append((element.node, _hash(*element.children)))
+        if element.tag in BLOCKS and not element.outside:
+            nodes.append((element.node, _hash(*element.children), stack[-1].node))
 
     for found in _MARKUP.finditer(html):
         if found.start() > at:
@@ -181,17 +185,16 @@ def _close(stack: list[_Element], pop, tags: tuple[str, ...]) -> None:
             return
 
 
+def candidates(page: Page) -> Iterator[tuple[str, tuple[_Element, ...]]]:
+    """Blocks that are not outside by meaning, with the block elements that hold them."""
+    for words, path in page.blocks:
+        if not (path[-1].outside or (page.has_main and not path[-1].inside_main)):
+            yield words, tuple(e for e in path if e.tag in BLOCKS)
+
+
 def main_text(page: Page, low: set[int]) -> str:
     """Blocks of the page without the branches that are outside by meaning or of low importance."""
-    kept = []
-    for words, path in page.blocks:
-        last = path[-1]
-        if last.outside or (page.has_main and not last.inside_main):
-            continue
-        if any(e.node in low and (e.styled or not e.inside_main) and e.tag not in MAIN for e in path):
-            continue
-        kept.append(words)
-    return "\n".join(kept)
+    return "\n".join(words for words, path in candidates(page) if not any(e.node in low and (e.styled or not e.inside_main) and e.tag not in WHOLE for e in path))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -201,11 +204,11 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 _SUMS = "host string, node long, kind int, feature long, n long"
-PRESENTATION, CONTENT = 0, 1
+PRESENTATION, CONTENT, ANCESTOR = 0, 1, 2
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """The merged trees: on how many pages of a host a node has a child sequence, or a text below it."""
+    """The merged trees: on how many pages of a host a node has a child sequence, or a text below it; and its ancestors."""
 
     def rows(sums: dict[tuple[str, int, int, int], int]) -> pa.RecordBatch:
         keys = list(sums)
@@ -214,6 +217,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int, int, int], int] = {}
         seen: set[tuple[str, int]] = set()
+        placed: set[tuple[str, int]] = set()
         for batch in kernel.slices(batches, "html"):
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 own = (host, _hash(html or ""))
@@ -223,10 +227,19 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(own)
                 page = parse(html)
-                found = {(node, PRESENTATION, children) for node, children in dict(page.nodes).items()}
-                for words, path in page.blocks:
+                found = {(node, PRESENTATION, children) for node, children in {n: c for n, c, _ in page.nodes}.items()}
+                for words, path in candidates(page):
                     feature = _hash(words)
-                    found.update((e.node, CONTENT, feature) for e in path[1:])
+                    found.update((e.node, CONTENT, feature) for e in path)
+                if len(placed) > HELD_SUMS:
+                    placed.clear()
+                parent = {n: p for n, _, p in page.nodes}
+                for node in parent:
+                    if (host, node) not in placed:
+                        placed.add((host, node))
+                        above = node
+                        while above := parent.get(above, 0):
+                            found.add((node, ANCESTOR, above))
                 for node, kind, feature in found:
                     sums[host, node, kind, feature] = sums.get((host, node, kind, feature), 0) + 1
                 if len(sums) > HELD_SUMS:
@@ -237,23 +250,33 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(run, _SUMS).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
-def importances(counts: DataFrame) -> DataFrame:
-    """(host, node, n_pages, importance)."""
+def node_sums(counts: DataFrame) -> DataFrame:
+    """Sums of each node in the row of the ancestor 0, and a row for each of its ancestors."""
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
     spread = F.col("n") * F.log("n")
-    sums = counts.groupBy("host", "node").agg(
+    return counts.groupBy("host", "node", F.when(F.col("kind") == ANCESTOR, F.col("feature")).otherwise(0).alias("ancestor")).agg(
         of(PRESENTATION, F.col("n")).alias("n_pages"), of(PRESENTATION, spread).alias("child_spread"), of(CONTENT, F.col("n")).alias("n_texts"), of(CONTENT, spread).alias("text_spread")
     )
+
+
+def _weighed(sums: DataFrame) -> DataFrame:
     base = F.log(F.col("n_pages").cast("double"))
     presentation = (base - F.col("child_spread") / F.col("n_pages")) / base
     content = F.when(F.col("n_texts") > 0, 1 - F.col("text_spread") / (F.col("n_texts") * base)).otherwise(0.0)
-    return sums.filter("n_pages > 1").select("host", "node", "n_pages", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+    return sums.filter("ancestor = 0 and n_pages > 1").select("host", "node", "n_pages", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+
+
+def importances(counts: DataFrame) -> DataFrame:
+    """(host, node, n_pages, importance) of the nodes on more than one page."""
+    return _weighed(node_sums(counts))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): the branches of each host that go; their number is that of the host's templates."""
-    low = importances(style_counts(pages)).filter((F.col("importance") < LOW) & (F.col("n_pages") >= LEAST_PAGES))
-    return cut_lineage(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-tree")
+    """(host, low): the branches of each host that go, with all below them; their number is that of the host's templates."""
+    sums = cut_lineage(node_sums(style_counts(pages)), "style-sums")
+    low = _weighed(sums).filter((F.col("importance") < LOW) & (F.col("n_pages") >= LEAST_PAGES)).select("host", "node")
+    above = sums.filter("ancestor <> 0").join(low, ["host", "node"], "left_anti").select("host", F.col("ancestor").alias("node")).distinct()
+    return cut_lineage(low.join(above, ["host", "node"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-tree")
 
 
 def extract(pages: DataFrame) -> DataFrame:

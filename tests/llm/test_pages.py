@@ -46,3 +46,19 @@ def test_importance_is_low_where_texts_repeat(spark):
     pages = spark.createDataFrame(_host(30), "page_id long, url string, html string")
     values = sorted(r["importance"] for r in importances(style_counts(with_host(pages))).collect() if r["n_pages"] == 30)
     assert values[0] == 0 and values[-1] > 0.8
+
+
+def test_an_article_stays_where_most_blocks_are_menu(spark):
+    menu = "".join(f'<li class="it{k}">menu item {k}</li>' for k in range(30))
+    own = lambda i: [f"Paragraph {k} of page {i}" for k in range(5)]
+    page = lambda i: f'<html><body><div class="wrap"><ul class="mm">{menu}</ul><div class="zz">{"".join(f"<p>{x}</p>" for x in own(i))}</div></div></body></html>'
+    pages = spark.createDataFrame([(i, f"http://m.example/{i}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(pages).collect()} == {i: "\n".join(own(i)) for i in range(40)}
+
+
+def test_blocks_outside_by_meaning_do_not_count(spark):
+    nav = "".join(f"<li>menu item {k}</li>" for k in range(30))
+    rows = [(i, f"http://n.example/{i}", f'<body><nav><ul>{nav}</ul></nav>Own text {i}</body>') for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    values = [r["importance"] for r in importances(style_counts(with_host(pages))).collect()]
+    assert len(values) == 1 and values[0] > 0.8
