@@ -6,20 +6,23 @@ texts below it (content). A node is important when its presentation varies or it
 
     importance = (1 - GAMMA) * entropy of its child sequences + GAMMA * (1 - mean entropy of its texts)
 
-with entropies to the base of the number of pages. A branch is removed from each page of the host if it and all branches
+with entropies to the base of the number of pages. What few pages say counts for less: of n pages, the share
+log(n) / log(n + 1) of what importance lacks to one. So a branch that one page holds is important, equal texts on two pages
+stay (0.37 at least), and on three or more they go. A branch is removed from each page of the host if it and all branches
 below it are of low importance: the mean over a wrapper says nothing of the article within it. Only elements and texts
 that are not outside by their meaning are counted.
 
 Elements that are never main text by their meaning (menus, forms, scripts, asides, ...) go on every host, also on hosts
-with few pages, where a tree tells nothing. Where a page marks its article or main part, text outside is left out, and
+with one page, where a tree tells nothing. Where a page marks its article or main part, text outside is left out, and
 inside only branches that carry a class or id can be of low importance.
 
-Counts are summed in the tasks before the shuffle, so a hot host costs no more than its distinct texts. The list of low
+Equal pages of a host count once, wherever they lie: the hashes of all pages are counted first, and only pages that have
+copies are shuffled. Counts are summed in the tasks before the shuffle, so a hot host costs no more than its distinct texts. The list of low
 branches is written once and read back, so that Spark broadcasts it by its size on disk or else shuffles.
 
 Defined cases: a null or empty html has an empty text; a null url is a host of its own; broken markup is read as far as
-it goes (an unclosed comment or script ends with the page); repeated pages are each given a text, and a task counts
-equal pages of a host once; extra columns are ignored; an empty table gives an empty result.
+it goes (an unclosed comment or script ends with the page); repeated pages are each given a text, and equal pages
+of a host count once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ from panelworks.llm.catalogue import read, registered
 from panelworks.scale import cut_lineage
 
 GAMMA = 0.9
-# Branches below this importance go, where at least so many pages of the host hold them.
-LOW, LEAST_PAGES = 0.3, 10
+# Branches below this importance go.
+LOW = 0.3
 # Sums that a task holds before it sends them.
 HELD_SUMS = 300_000
 
@@ -203,6 +206,14 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html), equal pages of a host once; pages without copies are not shuffled, only their hashes."""
+    keyed = pages.filter("html <> ''").select("host", F.xxhash64("html").alias("own"), "html")
+    copies = cut_lineage(keyed.groupBy("host", "own").count().filter("count > 1").select("host", "own"), "style-copies")
+    first = keyed.join(copies, ["host", "own"], "left_semi").groupBy("host", "own").agg(F.first("html").alias("html"))
+    return keyed.join(copies, ["host", "own"], "left_anti").unionByName(first).select("host", "html")
+
+
 _SUMS = "host string, node long, kind int, feature long, n long"
 PRESENTATION, CONTENT, ANCESTOR = 0, 1, 2
 
@@ -216,16 +227,9 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int, int, int], int] = {}
-        seen: set[tuple[str, int]] = set()
         placed: set[tuple[str, int]] = set()
         for batch in kernel.slices(batches, "html"):
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = (host, _hash(html or ""))
-                if not html or own in seen:
-                    continue
-                if len(seen) > HELD_SUMS:
-                    seen.clear()
-                seen.add(own)
                 page = parse(html)
                 found = {(node, PRESENTATION, children) for node, children in {n: c for n, c, _ in page.nodes}.items()}
                 for words, path in candidates(page):
@@ -247,7 +251,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     sums = {}
         yield rows(sums)
 
-    return pages.select("host", "html").mapInArrow(run, _SUMS).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    return distinct_pages(pages).mapInArrow(run, _SUMS).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
 def node_sums(counts: DataFrame) -> DataFrame:
@@ -274,7 +278,8 @@ def importances(counts: DataFrame) -> DataFrame:
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, low): the branches of each host that go, with all below them; their number is that of the host's templates."""
     sums = cut_lineage(node_sums(style_counts(pages)), "style-sums")
-    low = _weighed(sums).filter((F.col("importance") < LOW) & (F.col("n_pages") >= LEAST_PAGES)).select("host", "node")
+    evidence = F.log("n_pages") / F.log(F.col("n_pages") + 1)
+    low = _weighed(sums).filter(1 - evidence * (1 - F.col("importance")) < LOW).select("host", "node")
     above = sums.filter("ancestor <> 0").join(low, ["host", "node"], "left_anti").select("host", F.col("ancestor").alias("node")).distinct()
     return cut_lineage(low.join(above, ["host", "node"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-tree")
 

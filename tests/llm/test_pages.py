@@ -62,3 +62,19 @@ def test_blocks_outside_by_meaning_do_not_count(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     values = [r["importance"] for r in importances(style_counts(with_host(pages))).collect()]
     assert len(values) == 1 and values[0] > 0.8
+
+
+def test_few_pages_are_weaker_evidence_not_none(spark):
+    rows = [(i, f"http://h{n}.example/{i}", html) for n in (1, 2, 3, 9) for i, _, html in _host(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = {(r["url"].split("/")[2], r["text"].startswith("Read all")) for r in extract(pages).collect()}
+    assert kept == {("h1.example", True), ("h2.example", True), ("h3.example", False), ("h9.example", False)}
+
+
+def test_copies_in_many_partitions_count_once(spark):
+    page = lambda i: f'<body><div class="zz"><p>Story number {i}</p></div></body>'
+    rows = [(i, f"http://c.example/{i}", page(max(0, i - 9))) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 12):
+        found = extract(pages.repartitionByRange(parts, "page_id")).collect()
+        assert {r["page_id"]: r["text"] for r in found} == {i: f"Story number {max(0, i - 9)}" for i in range(12)}
