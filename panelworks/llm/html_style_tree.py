@@ -13,7 +13,9 @@ below it are of low importance: the mean over a wrapper says nothing of the arti
 that are not outside by their meaning are counted.
 
 Elements that are never main text by their meaning (menus, forms, scripts, asides, ...) go on every host, also on hosts
-with one page, where a tree tells nothing. Where a page marks its article or main part, text outside is left out, and
+with one page, where a tree tells nothing. A class, id or role says so only as a whole word of the attribute
+(`sidebar`; of `with-sidebar` the tree decides), never on html, body, an article or main part, and not on an element that
+holds the page's only article or main part. Where a page marks its article or main part, text outside is left out, and
 inside only branches that carry a class or id can be of low importance.
 
 Equal pages of a host count once, wherever they lie: the hashes of all pages are counted first, and only pages that have
@@ -49,7 +51,7 @@ HELD_SUMS = 300_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|svg|math|select|button)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|select|button)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|</(?P<end>[a-z][\w:-]*+)[^>]*+>?"
     r"|<(?P<tag>[a-z][\w:-]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<broken>[a-z][\w:-]*+)[^>]*+>?"
@@ -68,7 +70,7 @@ BLOCKS = frozenset(
 MAIN = frozenset(("article", "main"))
 WHOLE = MAIN | {"html", "body"}
 NEVER = frozenset("nav footer aside form head menu dialog fieldset input label option".split())
-# What class, id or role says of a branch that is not main text.
+# Whole words of class, id or role that say that a branch is not main text.
 ROLES = frozenset(
     "nav navigation navbar menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner "
     "sponsor sponsored promo cookie cookies consent notice alert popup modal overlay share sharing social related "
@@ -84,10 +86,17 @@ class _Element:
     tag: str
     node: int
     styled: bool
-    outside: bool
+    never: bool  # not main text, whatever it holds
+    role: bool  # not main text, unless it holds the page's only article or main part
     inside_main: bool
+    parent: _Element | None
+    outside: bool = False
+    holds_main: bool = False
     children: list[int] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.outside = self.never or self.role or (self.parent is not None and self.parent.outside)
+
 
 @dataclass
 class Page:
@@ -102,19 +111,19 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Presentation of an element, whether it carries a class or id, and whether it is not main text by its meaning."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Presentation of an element, whether it carries a class or id, and whether its kind, or its role, is not main text."""
     if not attributes or attributes.isspace():
-        return tag, False, tag in NEVER
+        return tag, False, tag in NEVER, False
     found = [(m[0].lower(), m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)]
     words = [w.lower() for _, value in found for w in _PARTS.findall(value)]
-    outside = tag in NEVER or (tag not in ("html", "body", "main") and not ROLES.isdisjoint(words)) or bool(_HIDDEN.search(attributes))
-    return " ".join([tag, *words]), bool(found), outside
+    role = tag not in WHOLE and any(w in ROLES for _, value in found for w in value.lower().split())
+    return " ".join([tag, *words]), bool(found), tag in NEVER or bool(_HIDDEN.search(attributes)), role
 
 
 def parse(html: str) -> Page:
-    root = _Element("", 0, False, False, False)
-    stack, nodes, blocks, text = [root], [], [], []
+    root = _Element("", 0, False, False, False, False, None)
+    stack, elements, nodes, blocks, text = [root], [], [], [], []
     has_main, at = False, 0
 
     def flush() -> None:
@@ -126,8 +135,8 @@ def parse(html: str) -> Page:
 
     def pop() -> None:
         element = stack.pop()
-        if element.tag in BLOCKS and not element.outside:
-            nodes.append((element.node, _hash(*element.children), stack[-1].node))
+        if element.tag in BLOCKS:
+            nodes.append((element, _hash(*element.children), stack[-1].node))
 
     for found in _MARKUP.finditer(html):
         if found.start() > at:
@@ -142,24 +151,28 @@ def parse(html: str) -> Page:
                     _close(stack, pop, ("p",))
                 if tag in CLOSES:
                     _close(stack, pop, CLOSES[tag])
-                label, styled, outside = _label(tag, found["attributes"] or "")
+                label, styled, never, role = _label(tag, found["attributes"] or "")
                 parent = stack[-1]
                 inside = parent.inside_main or tag in MAIN
-                outside = outside or parent.outside or (tag == "header" and not inside)
-                has_main = has_main or (tag in MAIN and not outside)
                 node = _hash(parent.node, label)
                 parent.children.append(node)
                 if tag not in VOID:
-                    stack.append(_Element(tag, node, styled, outside, inside))
+                    stack.append(_Element(tag, node, styled, never, role or (tag == "header" and not inside), inside, parent))
+                    elements.append(stack[-1])
+                    if tag in MAIN:
+                        has_main = has_main or not stack[-1].outside
+                        for element in stack:
+                            element.holds_main = True
             elif tag in VOID:
                 text.append(" ")
             else:
-                label, styled, outside = _label(tag, found["attributes"] or "")
-                if outside or stack[-1].outside:  # an inline element; its text must not run into the block
+                _, _, never, role = _label(tag, found["attributes"] or "")
+                if never or role or stack[-1].outside:  # an inline element; its text must not run into the block
                     flush()
                 parent = stack[-1]
                 if not (found["attributes"] or "").endswith("/"):
-                    stack.append(_Element(tag, parent.node, False, outside or parent.outside, parent.inside_main))
+                    stack.append(_Element(tag, parent.node, False, never, role, parent.inside_main, parent))
+                    elements.append(stack[-1])
         elif end:
             end = end.lower()
             if end in BLOCKS:
@@ -174,7 +187,10 @@ def parse(html: str) -> Page:
     flush()
     while len(stack) > 1:
         pop()
-    return Page(nodes, blocks, has_main)
+    if not has_main and any(e.holds_main and e.role for e in elements):
+        for e in elements:
+            e.outside = e.never or (e.role and not e.holds_main) or e.parent.outside
+    return Page([(e.node, children, above) for e, children, above in nodes if not e.outside], blocks, has_main)
 
 
 def _close(stack: list[_Element], pop, tags: tuple[str, ...]) -> None:

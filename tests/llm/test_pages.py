@@ -78,3 +78,23 @@ def test_copies_in_many_partitions_count_once(spark):
     for parts in (1, 12):
         found = extract(pages.repartitionByRange(parts, "page_id")).collect()
         assert {r["page_id"]: r["text"] for r in found} == {i: f"Story number {max(0, i - 9)}" for i in range(12)}
+
+
+def test_role_words_do_not_take_the_main_text():
+    for html, text in (
+        ('<div class="content with-sidebar"><p>one</p></div>', "one"),
+        ('<article class="post no-comments"><div class="article-header"><h1>title</h1></div><p>one</p></article>', "title\none"),
+        ('<article class="comment"><p>one</p></article>', "one"),
+        ('<div class="search"><main><p>one</p></main></div><p class="share">two</p>', "one"),
+        ('<header><article>one</article></header>', "one"),
+        ('<main>one<div class="comments"><article>two</article></div></main>', "one"),
+        ('<div class="sidebar x">one</div><div id="Search">two</div><div>three</div>', "three"),
+        ('<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><svg class="i"/><svg><text>label</text></svg></article>', "If x=2 then\nlabel"),
+    ):
+        assert main_text(parse(f"<body>{html}</body>"), set()) == text
+
+
+def test_the_tree_decides_on_parts_of_class_words(spark):
+    page = '<body><div class="site-header"><p>Our paper</p></div><div class="page with-sidebar"><p>Story number {}</p></div></body>'
+    pages = spark.createDataFrame([(i, f"http://p.example/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(pages).collect()} == {i: f"Story number {i}" for i in range(12)}
