@@ -7,6 +7,11 @@ are summed first; passages whose sum reaches the threshold look at the block max
 scored in full. All segments above the threshold are retrieved. Their items are then verified on the whole document: the
 share of the five-word shingles of the question, and of the answer (the last sentence or line), that it holds.
 
+No threshold on passages finds all that this accepts: a document may hold question and answer far apart, or a long item in
+pieces. What is accepted holds half of the item's shingles at least, so one of any choice of them that leaves out less than
+half. Each document is looked up in such a choice, the shingles that the fewest items hold, and items found there are
+verified as well. The score is that of the best passage in any case.
+
 The index is cut into shards of bounded size, and all texts are searched with each; statistics are those of all items.
 
 Defined cases: a null text has no passages; an item with no words is never found; with fewer than five words its whole
@@ -100,6 +105,48 @@ class Index:
         self.block_edges = np.searchsorted(block_term, np.arange(len(self.words) + 1))
         self.block_first, self.block_last = head, np.append(head[1:], len(entry)) if len(head) else head
         self.parts = {r["item_id"]: _item_parts(r["text"]) for r in items}
+        self.of_gram, self.grams, self.gram_edges = self._rare_grams()
+        self.by_entry: np.ndarray | None = None
+
+    def _rare_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items by shingle, the shingles in order, and where each begins: of each item the rarer ones, more than half."""
+        items = np.array(list(self.parts), dtype=np.int64)
+        sides = [side for parts in self.parts.values() for side in parts]
+        gram = np.concatenate([np.zeros(0, np.uint64), *sides])
+        sizes = np.array([len(q) + len(a) for q, a in self.parts.values()], dtype=np.int64)
+        row = np.repeat(np.arange(len(items)), sizes)
+        _, which, often = np.unique(gram, return_inverse=True, return_counts=True)
+        order = np.lexsort((gram, -often[which], row))
+        rank = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = order[2 * (rank + 1) >= sizes[row]]
+        kept = kept[np.argsort(gram[kept], kind="stable")]
+        grams, first = np.unique(gram[kept], return_index=True)
+        return items[row[kept]], grams, np.append(first, len(kept))
+
+    def holding(self, doc: np.ndarray, gram: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) of all items that a document may hold half of."""
+        known = kernel.found_in(self.grams, gram)
+        doc, at = doc[known], np.searchsorted(self.grams, gram[known])
+        pair = np.unique(doc * max(len(self.grams), 1) + at)
+        doc, at = pair // max(len(self.grams), 1), pair % max(len(self.grams), 1)
+        counts = self.gram_edges[at + 1] - self.gram_edges[at]
+        items = self.of_gram[blobs.flat(self.gram_edges[at], counts)]
+        return set(zip(np.repeat(doc, counts).tolist(), items.tolist(), strict=True))
+
+    def best_score(self, item: int, passage: np.ndarray, words: np.ndarray) -> float:
+        """Largest share of a segment of the item in any of the passages."""
+        if self.by_entry is None:
+            self.by_entry = np.argsort(self.entry, kind="stable")
+            self.entry_edges = np.searchsorted(self.entry[self.by_entry], np.arange(len(self.items) + 1))
+        best = 0.0
+        for entry in np.flatnonzero(self.items == item).tolist():
+            posting = self.by_entry[self.entry_edges[entry] : self.entry_edges[entry + 1]]
+            own = self.words[np.searchsorted(self.edges, posting, side="right") - 1]
+            known = kernel.found_in(own, words)
+            pair = np.unique(passage[known] * len(own) + np.searchsorted(own, words[known]))
+            if len(pair):
+                best = max(best, float(np.bincount(pair // len(own) - pair[0] // len(own), self.weight[posting][pair % len(own)]).max()))
+        return best
 
     def search(self, passage: np.ndarray, words: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, entry, score) of all entries above the threshold."""
@@ -181,11 +228,17 @@ def _search(documents: DataFrame, index: Index) -> DataFrame:
             of = first_half[row] + (np.arange(len(words)) - bounds[:-1][row]) // half
             owner = np.repeat(np.arange(batch.num_rows), halves)
             inner = of > first_half[row]
-            passage, entry, score = index.search(np.concatenate([of, of[inner] - 1]), np.concatenate([words, words[inner]]), int(halves.sum()))
+            in_passage, passage_words = np.concatenate([of, of[inner] - 1]), np.concatenate([words, words[inner]])
+            passage, entry, score = index.search(in_passage, passage_words, int(halves.sum()))
             doc, place = owner[passage], index.items[entry]
             best: dict[tuple[int, int], float] = {}
             for d, i, s in zip(doc.tolist(), place.tolist(), score.tolist(), strict=True):
                 best[d, i] = max(best.get((d, i), 0.0), s)
+            within = np.flatnonzero(row[: max(0, len(words) - SHINGLE + 1)] == row[SHINGLE - 1 :])
+            short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHINGLE))
+            grams = [kernel.chain(words, SHINGLE)[within], *(_shingles(words[bounds[d] : bounds[d + 1]]) for d in short)]
+            for pair in index.holding(np.concatenate([row[within], short]), np.concatenate(grams)):
+                best.setdefault(pair, -1.0)
             held: dict[int, np.ndarray] = {}
             rows = []
             for (d, i), s in best.items():
@@ -193,6 +246,9 @@ def _search(documents: DataFrame, index: Index) -> DataFrame:
                     held[d] = _shingles(words[bounds[d] : bounds[d + 1]])
                 question, answer, whole = _overlaps(index.parts[i], held[d])
                 if min(question, answer) >= PART_OVERLAP or whole >= WHOLE_OVERLAP:
+                    if s < 0:
+                        here = owner[in_passage] == d
+                        s = index.best_score(i, in_passage[here], passage_words[here])
                     rows.append((batch.column("doc_id")[d].as_py(), i, s, question, answer))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelworks.llm import kneser_ney, quality_rules, signature_tree, suffix_dedup, token_orc, window_packing
-from panelworks.llm.decontamination import find_leaks, without_leaks
+from panelworks.llm.decontamination import SQL, find_leaks, without_leaks
 from panelworks.llm.hyper_language import in_known_language, learn, predict
 from panelworks.llm.line_windows import remove_repeated_lines, without_repeated_lines
 from panelworks.scale import scratch_path
@@ -249,3 +249,32 @@ def test_benchmark_items(spark, corpus):
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(0, 1), (0, 1), (1, 1)]
     assert without_leaks(documents, items).count() == 5
     assert find_leaks(documents, items.limit(0)).count() == 0 and find_leaks(documents.limit(0), items).count() == 0
+
+
+def test_leaks_spread_over_a_document_against_the_sql(spark):
+    import duckdb
+
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    noise = lambda name, n=200: " ".join(words(name, n))
+    question, answer, long = words("q", 30), words("a", 30), words("l", 400)
+    items = [(1, " ".join(question) + ". " + " ".join(answer)), (2, " ".join(long)), (3, "two words"), (4, " ".join(question[:20] + words("z", 40)))]
+    documents = [
+        (10, " ".join([*question[:21], noise("x"), *answer[:21]])),
+        (11, " ".join([*question[:21], noise("y"), *answer[:15]])),
+        (12, " ".join(f"{' '.join(long[k : k + 16])} {noise(f'p{k}-', 150)}" for k in range(0, 400, 16))),
+        (13, " ".join(f"{' '.join(long[k : k + 16])} {noise(f'r{k}-', 150)}" for k in range(0, 400, 20))),
+        (14, "Two words"),
+        (15, " ".join([*question, noise("s", 300), *answer])),
+        (16, None),
+    ]
+    con = duckdb.connect()
+    for name, rows, key in (("benchmark", items, "item_id"), ("documents", documents, "doc_id")):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    want = sorted((d, i, round(q, 9), round(a, 9)) for d, i, q, a in con.execute(SQL).fetchall())
+    table = spark.createDataFrame(documents, "doc_id long, text string")
+    found = find_leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["question_overlap"], 9), round(r["answer_overlap"], 9)) for r in found) == want
+    assert {(d, i) for d, i, *_ in want} >= {(10, 1), (12, 2), (14, 3), (15, 1)}
+    assert all(0 < r["score"] <= 1 + 1e-9 for r in found)
+    assert min(r["score"] for r in found if r["doc_id"] == 10) < 0.5
