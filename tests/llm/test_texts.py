@@ -278,3 +278,41 @@ def test_leaks_spread_over_a_document_against_the_sql(spark):
     assert {(d, i) for d, i, *_ in want} >= {(10, 1), (12, 2), (14, 3), (15, 1)}
     assert all(0 < r["score"] <= 1 + 1e-9 for r in found)
     assert min(r["score"] for r in found if r["doc_id"] == 10) < 0.5
+
+
+def test_language_model_of_order_three(spark, documents, corpus, nothing, monkeypatch):
+    import math
+
+    tokens = [[*WORD.findall((r[1] or "").translate(FOLD)), None] for r in corpus]
+    count = Counter(t for doc in tokens for t in doc)
+    triples = Counter(t for doc in tokens for t in zip(["<s>", "<s>", *doc], ["<s>", *doc], doc))
+    pairs = Counter((b, c) for _, b, c in triples)
+    single = Counter(c for _, c in pairs)
+    after = {2: defaultdict(list), 3: defaultdict(list)}
+    for (a, b, c), n in triples.items():
+        after[3][a, b].append(n)
+    for (b, c), n in pairs.items():
+        after[2][b].append(n)
+    for share in (kneser_ney.HOT_SHARE, 1.0):  # nearly all contexts spread, and none
+        find_hot = kneser_ney.hot_contexts
+        with monkeypatch.context() as patch:
+            patch.setattr(kneser_ney, "hot_contexts", lambda texts, share=share: find_hot(texts, share))
+            model = kneser_ney.train(documents.select("text"), 3)
+        d1, d2, d3 = model.token_discounts, model.pair_discounts, model.triple_discounts
+        mass = sum(d1[min(n, 3)] for n in single.values()) / len(pairs)
+
+        def mixed(n, follow, d, lower):
+            return lower if not follow else (max(n - d[min(n, 3)], 0) + sum(d[min(k, 3)] for k in follow) * lower) / sum(follow)
+
+        def probability(a, b, c):
+            low = max(single[c] - d1[min(single[c], 3)], 0) / len(pairs) + mass / (len(count) + 1)
+            return mixed(triples[a, b, c], after[3].get((a, b)), d3, mixed(pairs[b, c], after[2].get(b), d2, low))
+
+        for a, b in (("<s>", "<s>"), ("where", "the"), next(k for k in after[3] if "<s>" not in k), ("never", "met")):
+            assert abs(sum(probability(a, b, c) for c in [*count, "unknown token"]) - 1) < 1e-9
+        want = Counter()
+        for r, doc in zip(corpus, tokens, strict=True):
+            want[r[0], len(doc), round(sum(math.log10(probability(a, b, c)) for a, b, c in zip(["<s>", "<s>", *doc], ["<s>", *doc], doc)), 6)] += 1
+        assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in kneser_ney.score(documents, model).collect()) == want
+    unlearned = kneser_ney.score(documents, kneser_ney.train(nothing.select("text"), 3)).collect()
+    assert all(r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in unlearned)
