@@ -132,9 +132,10 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
         salt = kernel.mix((level[r[head]].astype(np.uint64) << np.uint64(32)) | part)
         sets.append(r[head])
         keys.append(kernel.mix(total ^ salt))
-        # A set with so many empty parts that all common ones may be empty: such sets of a class share one more key.
+        # A set with so many empty parts that all common ones may be empty: such sets of a class share one more key. The
+        # smaller set of a pair lies in this level, so that its differences are bounded by the level's, too.
         filled = np.bincount(r[head], minlength=len(size))
-        lonely = np.flatnonzero(used & (filled <= rule.differences(size)))
+        lonely = np.flatnonzero(used & (filled <= np.minimum(rule.differences(size), parts_of[level] - 1 - SPARE)))
         sets.append(lonely)
         keys.append(kernel.mix(level[lonely].astype(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)))
     if not sets:

@@ -316,3 +316,13 @@ def test_language_model_of_order_three(spark, documents, corpus, nothing, monkey
         assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in kneser_ney.score(documents, model).collect()) == want
     unlearned = kneser_ney.score(documents, kneser_ney.train(nothing.select("text"), 3)).collect()
     assert all(r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in unlearned)
+
+
+def test_unrelated_sets_share_no_part_key():
+    import numpy as np
+
+    sizes = np.arange(300, 2000, 25)
+    values = np.random.default_rng(3).integers(1, 1 << 63, int(sizes.sum()), dtype=np.uint64)
+    sets, keys = signature_tree.part_keys(values, np.append(0, np.cumsum(sizes)), signature_tree.Rule(3, 90))
+    shared = Counter(key for _, key in set(zip(sets.tolist(), keys.tolist(), strict=True)))
+    assert max(shared.values()) == 1
