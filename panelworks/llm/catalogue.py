@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("html_style_tree", "line_windows", "hyper_language", "token_orc", "decontamination", "kneser_ney", "signature_tree", "window_packing", "suffix_dedup", "quality_rules")
+MODULES = (
+    "html_style_tree", "line_windows", "hyper_language", "token_orc", "decontamination", "kneser_ney", "signature_tree", "window_packing", "suffix_dedup",
+    "quality_rules", "conversation_repair",
+)
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
