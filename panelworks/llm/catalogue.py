@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = (
     "html_style_tree", "line_windows", "hyper_language", "token_orc", "decontamination", "kneser_ney", "signature_tree", "window_packing", "suffix_dedup",
-    "quality_rules", "hard_negatives", "conversation_repair",
+    "quality_rules", "hard_negatives", "conversation_repair", "disclosure",
 )
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
