@@ -1,15 +1,35 @@
-"""Connected components of a table of links, by alternating stars."""
+"""Connected components of a table of links, by alternating stars; tables of a checked size are finished by one task."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelworks.scale import cut_lineage
 
-MOST_ROUNDS = 60
+# Links that one task finishes: 16 bytes each, and about ten times that while it works.
+ONE_TASK = 1_000_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links with the smallest node that it reaches: labels sink along links, and pointers are doubled."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label
+        label = label[label]
+        x, y = label[one], label[two]
+        label = label.copy()
+        np.minimum.at(label, x, y)
+        np.minimum.at(label, y, x)
+        np.minimum.at(label, one, y)
+        np.minimum.at(label, two, x)
+        if (label == before).all() and (x == y).all():
+            return nodes, nodes[label]
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -25,41 +45,38 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """The links of each partition as stars around the smallest node that they reach there: few links, short chains."""
+def _contracted(links: DataFrame, names: tuple[str, str] = ("a", "b"), roots: bool = False) -> DataFrame:
+    """The links of each partition as stars around the smallest node that they reach there, ONE_TASK links at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up] if up in parent else up
-            return x
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, least = least_reached(*(np.concatenate([np.asarray(h.column(c)) for h in held]) for c in "ab"))
+        keep = slice(None) if roots else node != least
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], names=list(names))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                p, q = root(a), root(b)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            held.append(batch)
+            if not roots and sum(h.num_rows for h in held) >= ONE_TASK:
+                yield star(held)
+                held = []
+        if held:
+            yield star(held)
 
-    return links.mapInArrow(run, "a long, b long").distinct()
+    return links.mapInArrow(run, f"{names[0]} long, {names[1]} long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b); the component is its smallest node."""
+    """(node, component) of every node of ``links`` (a, b), nulls and loops aside; the component is its smallest node."""
     state = lambda: links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    links = cut_lineage(_contracted(links.filter("a <> b").select("a", "b").distinct()), "components")
-    before = state()
-    for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
-        links = cut_lineage(_contracted(_star(_star(links, True), False)), "components")
+    links = cut_lineage(_contracted(links.filter("a <> b").select("a", "b")), "components")
+    before = None
+    while True:
         now = state()
+        if now[0] <= ONE_TASK:
+            return _contracted(links.coalesce(1), ("node", "component"), True)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
+        links = cut_lineage(_contracted(_star(_star(links, True), False)), "components")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -33,8 +33,9 @@ from panelworks.scale import cut_lineage
 # Linked: PERCENT of the union is shared.
 PERCENT = 90
 SIZE_STEP = 1.25
-# Parts beyond the differences that two linked sets can have.
-SPARE = 3
+# Parts beyond the differences that two linked sets can have, and how far, in standard deviations, the parts that the
+# smallest set of a size class fills are to lie above those differences.
+SPARE, SURE = 3, 6
 # Nodes of a block, fan-out of a tree, bits of a signature.
 BLOCK, FAN_OUT, BITS = 256, 8, 2048
 # Text bytes whose keys a task reduces before sending them.
@@ -103,13 +104,31 @@ def _size_steps(largest: int) -> np.ndarray:
     return np.array(steps, dtype=np.int64)
 
 
+def _parts_of(steps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of each size class, and the differences of linked sets whose smaller one lies in it.
+
+    A hash leaves some parts of a set empty. There are so many parts that even the smallest set of the class nearly always
+    fills more than can differ; the count of filled parts has about the mean and variance of balls in bins.
+    """
+    apart = rule.differences(steps[1:] - 1)
+    parts = (apart + 1 + SPARE).astype(np.float64)
+    for _ in range(64):
+        load = np.exp(-steps[:-1] / parts)
+        filled, spread = parts * (1 - load), np.sqrt(np.maximum(0, parts * load * (1 - (1 + steps[:-1] / parts) * load)))
+        short = (filled - SURE * spread <= apart) & (parts < 2 * steps[:-1])
+        if not short.any():
+            break
+        parts = np.where(short, np.ceil(parts * 1.02 + 1), parts)
+    return parts.astype(np.int64), apart
+
+
 def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(set number, key) of all parts of all sets. Two different linked sets share a key at least."""
     size = np.diff(offsets)
     if not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     steps = _size_steps(int(size.max()) + 1)
-    parts_of = rule.differences(steps[1:] - 1) + 1 + SPARE
+    parts_of, apart = _parts_of(steps, rule)
     own = np.searchsorted(steps, size, side="right") - 1
     least = np.searchsorted(steps, -(-rule.percent * size // 100), side="right") - 1
     row = kernel.rows_of(offsets)
@@ -135,7 +154,7 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
         # A set with so many empty parts that all common ones may be empty: such sets of a class share one more key. The
         # smaller set of a pair lies in this level, so that its differences are bounded by the level's, too.
         filled = np.bincount(r[head], minlength=len(size))
-        lonely = np.flatnonzero(used & (filled <= np.minimum(rule.differences(size), parts_of[level] - 1 - SPARE)))
+        lonely = np.flatnonzero(used & (filled <= np.minimum(rule.differences(size), apart[level])))
         sets.append(lonely)
         keys.append(kernel.mix(level[lonely].astype(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)))
     if not sets:

@@ -5,11 +5,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelworks.llm import kneser_ney, quality_rules, signature_tree, suffix_dedup, token_orc, window_packing
+from panelworks.llm import components, kneser_ney, quality_rules, signature_tree, suffix_dedup, token_orc, window_packing
 from panelworks.llm.decontamination import SQL, find_leaks, without_leaks
 from panelworks.llm.hyper_language import in_known_language, learn, predict
 from panelworks.llm.line_windows import remove_repeated_lines, without_repeated_lines
@@ -318,11 +320,49 @@ def test_language_model_of_order_three(spark, documents, corpus, nothing, monkey
     assert all(r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in unlearned)
 
 
-def test_unrelated_sets_share_no_part_key():
-    import numpy as np
-
-    sizes = np.arange(300, 2000, 25)
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("sizes", [range(30, 300, 3), range(300, 2000, 25), range(2000, 20_000, 300)])
+def test_unrelated_sets_share_no_part_key(percent, sizes):
+    sizes = np.array(sizes)
     values = np.random.default_rng(3).integers(1, 1 << 63, int(sizes.sum()), dtype=np.uint64)
-    sets, keys = signature_tree.part_keys(values, np.append(0, np.cumsum(sizes)), signature_tree.Rule(3, 90))
+    sets, keys = signature_tree.part_keys(values, np.append(0, np.cumsum(sizes)), signature_tree.Rule(3, percent))
     shared = Counter(key for _, key in set(zip(sets.tolist(), keys.tolist(), strict=True)))
     assert max(shared.values()) == 1
+
+
+def test_linked_sets_share_a_part_key():
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        rule = signature_tree.Rule(3, percent)
+        for n in (1, 2, 3, 5, 9, 20, 60, 200, 1000, 5000):
+            one = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+            for share in (0.0, 0.5, 1.0):
+                # As far apart as a link allows, by dropping, adding, or both.
+                apart = int(share * rule.differences(np.array([n]))[0])
+                two = np.unique(np.concatenate([one[apart // 2 :], rng.integers(1, 1 << 63, apart - apart // 2, dtype=np.uint64)]))
+                if not signature_tree._linked(one, two, rule):
+                    continue
+                sets, keys = signature_tree.part_keys(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]), rule)
+                assert len(one) == len(two) == apart == 0 or set(keys[sets == 0]) & set(keys[sets == 1]) or (len(one) == len(two) and (one == two).all())
+
+
+def test_components_against_plain_python(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(k, k + 1) for k in range(1000, 1400)] + [(5000, k) for k in range(5001, 5200)]
+    parent = {x: x for p in links for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    want = {x: root(x) for p in links if p[0] != p[1] for x in p}
+    table = spark.createDataFrame([*links, *links[:50], (None, 3), (3, None)], "a long, b long").repartition(7)
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        found = [tuple(r) for r in components.components(table).collect()]
+        assert len(found) == len(want) and dict(found) == want
+    assert components.components(table.limit(0)).count() == 0
