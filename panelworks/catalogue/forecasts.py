@@ -9,7 +9,7 @@ from panelworks.catalogue.sql import (
     METER_HOURS, READINGS, SUPPLIER_DAYS, metrics_of, ranges_of, runs_of, split_of, with_,
 )
 from panelworks.functions.calendar import DAY, calendar_columns
-from panelworks.operators import metrics, models, ridge, splits, summaries
+from panelworks.operators import metrics, models, ridge, rollout, splits, summaries
 from panelworks.plans import forecasting
 from panelworks.plans.preparation import build_features, prepare_splits
 from panelworks.scale import cut_lineage
@@ -224,3 +224,63 @@ def panel_rollout(spark: SparkSession, folder: str) -> DataFrame:
         rows, nodes, [0.57, 0.41], step_seconds=DAY, clip_to=None, slice_days=384
     )
     return rounded(scored.select("building_id", "timestamp", "meter_reading", "prediction"), 5)
+
+
+WEEK = 168
+WEEK_LIMITS = (0.0, 60.0)
+# Days of suppliers that ship, with two further features; missing days carry the last shipped one, within each split.
+WEEK_STEPS = ["""
+shipped AS (SELECT l_suppkey AS building_id, l_shipdate AS timestamp, sum(l_quantity) AS meter_reading, sum(l_discount) AS discount,
+  CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY 1, 2)""", split_of("shipped", []), """
+nodes AS (SELECT DISTINCT building_id FROM prepared WHERE split = 'train')""", """
+panel AS (SELECT n.building_id, t.split, t.timestamp, p.meter_reading, p.discount, p.lines
+  FROM (SELECT DISTINCT split, timestamp FROM prepared) t CROSS JOIN nodes n
+  LEFT JOIN prepared p ON p.building_id = n.building_id AND p.timestamp = t.timestamp)""", """
+filled AS (SELECT building_id, split, timestamp, meter_reading AS actual,
+  coalesce(last_value(meter_reading IGNORE NULLS) OVER w, 0) AS value, coalesce(last_value(discount IGNORE NULLS) OVER w, 0) AS discount,
+  coalesce(last_value(lines IGNORE NULLS) OVER w, 0) AS lines FROM panel WINDOW w AS (PARTITION BY building_id, split ORDER BY timestamp))""", f"""
+stretched AS (SELECT *, row_number() OVER (PARTITION BY building_id, gap ORDER BY timestamp) - 1 AS place FROM (
+  SELECT *, timestamp - row_number() OVER (PARTITION BY building_id ORDER BY timestamp) * INTERVAL '1 day' AS gap FROM filled))""", f"""
+past AS (SELECT *, list(value) OVER w AS h, list(discount) OVER w AS d, list(lines) OVER w AS l, lag(split) OVER (PARTITION BY building_id, gap ORDER BY timestamp) AS before,
+  FROM stretched WINDOW w AS (PARTITION BY building_id, gap ORDER BY timestamp ROWS BETWEEN {WEEK} PRECEDING AND 1 PRECEDING))""", f"""
+todo AS (SELECT building_id, timestamp, actual, place, before, h, 0.25
+    + list_inner_product(d, list_transform(range({WEEK}), lambda k: 3.0 / ({WEEK} - k))) - list_inner_product(l, list_transform(range({WEEK}), lambda k: 0.5 / ({WEEK} - k))) AS known_part
+  FROM past WHERE split = 'test' AND place >= {WEEK})""", f"""
+rolled AS (
+  SELECT building_id, timestamp, actual, known_part + list_inner_product(h, list_transform(range({WEEK}), lambda k: 0.9 / (({WEEK} - k) * ({WEEK} - k + 1)))) AS guess, h
+  FROM todo WHERE before <> 'test' OR place = {WEEK}
+  UNION ALL
+  SELECT t.building_id, t.timestamp, t.actual,
+    t.known_part + list_inner_product(list_append(s.h[2:], least(greatest(s.guess, {WEEK_LIMITS[0]}), {WEEK_LIMITS[1]})),
+      list_transform(range({WEEK}), lambda k: 0.9 / (({WEEK} - k) * ({WEEK} - k + 1)))),
+    list_append(s.h[2:], least(greatest(s.guess, {WEEK_LIMITS[0]}), {WEEK_LIMITS[1]}))
+  FROM rolled s JOIN todo t ON t.building_id = s.building_id AND t.timestamp = s.timestamp + INTERVAL '1 day')"""]
+
+
+def _week_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    shipped = stand_ins.table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("building_id"), F.col("l_shipdate").alias("timestamp")).agg(
+        F.sum("l_quantity").alias("meter_reading"), F.sum("l_discount").alias("discount"), F.count("*").cast("double").alias("lines")
+    )
+    rows = splits.time_split(cut_lineage(shipped, "shipped"), "timestamp", slice_days=384)
+    nodes = rows.filter("split = 'train'").select("building_id")
+    weights = [[0.9 / (k * (k + 1)), 3.0 / k, -0.5 / k] for k in range(WEEK, 0, -1)]
+    return forecasting.panel_window_forecast(
+        rows, nodes, ["discount", "lines"], rollout.LinearWindow(weights, 0.25), WEEK, step_seconds=DAY, clip_to=WEEK_LIMITS, slice_days=384
+    )
+
+
+@query("panel_window_rollout", "WITH RECURSIVE " + with_(*WEEK_STEPS, """
+SELECT building_id, timestamp, round(actual, 6) AS meter_reading, round(guess, 5) AS prediction FROM rolled WHERE actual IS NOT NULL""").removeprefix("WITH "))
+def panel_window_rollout(spark: SparkSession, folder: str) -> DataFrame:
+    scored = _week_forecast(spark, folder).filter(F.col("prediction").isNotNull())
+    return rounded(scored.select("building_id", "timestamp", "meter_reading", "prediction"), 5)
+
+
+@query("panel_window_rollout_scores", "WITH RECURSIVE " + with_(*WEEK_STEPS, f"""
+scored AS (SELECT timestamp, actual AS y, least(greatest(guess, {WEEK_LIMITS[0]}), {WEEK_LIMITS[1]}) AS p FROM rolled WHERE actual IS NOT NULL)""", f"""
+measured AS ({metrics_of("scored", "y", "p", [])})""", """
+SELECT *, (SELECT count(*) FROM prepared WHERE split = 'test') - (SELECT count(*) FROM scored) AS skipped_row_count,
+  (SELECT count(*) FROM prepared WHERE split = 'test' AND building_id NOT IN (SELECT building_id FROM nodes)) AS unknown_row_count,
+  (SELECT count(DISTINCT timestamp) FROM scored) AS evaluated_timestamp_count FROM measured""").removeprefix("WITH "))
+def panel_window_rollout_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(rollout.roll_out_scores(_week_forecast(spark, folder), "meter_reading", "timestamp", limits=WEEK_LIMITS, known=F.col("known")))

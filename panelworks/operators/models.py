@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from panelworks.functions.calendar import HOUR
 from panelworks.functions.scaling import clip, to_number
 from panelworks.operators import metrics
-from panelworks.operators.continuity import contiguous_runs
+from panelworks.operators.rollout import LinearWindow, roll_out_windows
 
 
 @dataclass
@@ -95,30 +94,6 @@ def early_stop(history: Iterable[tuple[int, float]], patience: int = 3) -> tuple
     return best_round, best_score
 
 
-def _roll_out(weights: np.ndarray, intercept: float, low: float | None, high: float | None, target: str):
-    window = len(weights)
-    newest_last = weights[::-1]
-
-    def roll(batches):
-        # only the last rows of the batch before are kept, with their predictions written back
-        tail = np.empty(0)
-        for rows in batches:
-            values = np.concatenate([tail, rows[target].to_numpy(float)])
-            predict = rows["_predict"].to_numpy(bool)
-            forecast = np.full(len(rows), np.nan)
-            for row in np.flatnonzero(predict):
-                place = row + len(tail)
-                guess = float(values[place - window : place] @ newest_last + intercept)
-                guess = guess if np.isfinite(guess) else 0.0
-                forecast[row] = guess
-                values[place] = guess if low is None else min(max(guess, low), high)
-            tail = values[-window:]
-            out = rows.drop(columns=["_predict"]).assign(prediction=forecast)
-            yield out[predict]
-
-    return roll
-
-
 def roll_out_forecast(
     df: DataFrame,
     keys: Sequence[str],
@@ -134,33 +109,10 @@ def roll_out_forecast(
 
     ``weights[0]`` belongs to the hour just before. A row is predicted when its run, counted through
     earlier splits, has enough rows before it; other rows keep their measured value as history, and a
-    gap starts over. Runs are spread over partitions and sorted there; a task streams through its
-    rows in Arrow batches and remembers just the last ``window`` values.
+    gap starts over. See ``rollout.roll_out_windows``, of which this is the case without further features.
     """
-    window = len(weights)
-    keys = list(keys)
-    span = df.filter(F.col("split") == split).agg(F.min(ts).alias("first"), F.max(ts).alias("last")).first()
-    kind = df.schema[ts].dataType
-    # the split and the window before it are all that can matter, and the bounds reach the scan
-    earliest = F.lit(span["first"]).cast(kind) - F.make_dt_interval(secs=F.lit(window * step_seconds))
-    recent = df.filter((F.col(ts) >= earliest) & (F.col(ts) <= F.lit(span["last"]).cast(kind)))
-    runs = contiguous_runs(recent, keys, ts, step_seconds)
-    place = F.col("run_position")
-    in_run = Window.partitionBy(*keys, "run_start").orderBy(ts)
-    first_predicted = F.min(F.when(F.col("_predict"), place)).over(
-        in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    rows = (
-        runs.withColumn("_predict", (F.col("split") == split) & (place >= window))
-        .repartition(*keys, "run_start")
-        .withColumn("_first", first_predicted)
-        .filter(place >= F.col("_first") - window)
-        .sortWithinPartitions(*keys, "run_start", ts)
-        .select(*keys, ts, F.col(target).cast("double").alias(target), "split", "_predict")
-    )
-    schema = T.StructType(
-        [f for f in rows.schema.fields if f.name != "_predict"] + [T.StructField("prediction", T.DoubleType())]
+    oldest_first = [[w] for w in list(weights)[::-1]]
+    rolled = roll_out_windows(
+        df, keys, ts, target, [], LinearWindow(oldest_first, intercept), len(oldest_first), split, write_back, step_seconds
     )
-    low, high = write_back if write_back else (None, None)
-    roll = _roll_out(np.asarray(weights, dtype=float), float(intercept), low, high, target)
-    return rows.mapInPandas(roll, schema)
+    return rolled.filter(F.col("prediction").isNotNull())

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelworks.functions.calendar import HOUR
 from panelworks.operators import metrics
-from panelworks.operators.continuity import forward_fill
+from panelworks.operators.continuity import filled_panel, forward_fill
 from panelworks.operators.enrich import complete_panel
 from panelworks.operators.models import roll_out_forecast
 from panelworks.operators.ordering import SLICE_DAYS
 from panelworks.operators.profile import fit_profile, predict_profile
 from panelworks.operators.ridge import fit_ridge, lag_weights
+from panelworks.operators.rollout import Predict, roll_out_windows
 from panelworks.operators.splits import SPLITS
 from panelworks.operators.windows import lag_features
 from panelworks.scale import cut_lineage
@@ -80,3 +81,34 @@ def panel_forecast(
     return rolled.join(cells.filter("observed").select(entity, ts, F.col("_actual")), [entity, ts]).select(
         entity, ts, F.col("_actual").alias(target), "split", "prediction"
     )
+
+
+def panel_window_forecast(
+    prepared: DataFrame,
+    nodes: DataFrame,
+    features: Sequence[str],
+    predict: Predict,
+    window: int,
+    entity: str = "building_id",
+    ts: str = "timestamp",
+    target: str = "meter_reading",
+    split: str = "test",
+    step_seconds: int = HOUR,
+    clip_to: tuple[float, float] | None = (0.0, 1.0),
+    slice_days: int = SLICE_DAYS,
+) -> DataFrame:
+    """Roll a model on windows of the target and ``features`` out over the completed panel.
+
+    A node that is not observed in an hour keeps its last observed features (0 before the first one, within each split), and
+    its prediction as target. The result has every observed row of the split with ``prediction``, null where the panel has
+    no full window before it or the node is not in ``nodes``, and ``known``: whether it is.
+    """
+    columns = [target, *features]
+    known = nodes.select(entity).distinct()
+    spread = known.withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS])))
+    rows = prepared.select(entity, ts, "split", *(F.col(c).cast("double").alias(c) for c in columns))
+    cells = cut_lineage(filled_panel(rows, spread, columns, ["split"], entity, ts, 0.0, slice_days), "filled")
+    rolled = roll_out_windows(cells, [entity], ts, target, features, predict, window, split, clip_to, step_seconds, ["observed"])
+    seen = rolled.filter("observed").select(entity, ts, target, "split", "prediction", F.lit(True).alias("known"))
+    unknown = rows.filter(F.col("split") == split).join(known, entity, "left_anti")
+    return seen.unionByName(unknown.select(entity, ts, target, "split", F.lit(None).cast("double").alias("prediction"), F.lit(False).alias("known")))
