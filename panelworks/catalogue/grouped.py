@@ -285,75 +285,83 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 RATIO_LIMIT = 1.34
 PEAK_SHARE = 1.2
-REMOVAL = [READINGS, """
-daily AS (SELECT CAST(timestamp AS DATE) AS date, building_id, sum(meter_reading) AS v FROM readings WHERE meter = 'purchase' GROUP BY 1, 2)""", """
-tops AS (SELECT date, building_id, v FROM daily QUALIFY row_number() OVER (PARTITION BY date ORDER BY v DESC, building_id) = 1)""", f"""
-candidates AS (SELECT building_id, row_number() OVER (ORDER BY building_id) - 1 AS i FROM (
-  SELECT building_id FROM daily WHERE v > {PEAK_SHARE} * (SELECT median(v) FROM tops)
-  UNION SELECT building_id FROM (SELECT building_id, count(*) AS days FROM tops GROUP BY 1 ORDER BY days DESC, building_id LIMIT 2)))""", """
-subsets AS (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM candidates)) AS BIGINT))) AS s)""", """
-peaks AS (SELECT s, date, max(v) AS peak FROM subsets CROSS JOIN daily LEFT JOIN candidates USING (building_id)
-  WHERE i IS NULL OR (s >> i) & 1 = 0 GROUP BY 1, 2)""", """
-tried AS (SELECT s, bit_count(s) AS size, max(peak) AS max, avg(peak) AS mean, median(peak) AS median, max(peak) / median(peak) AS ratio
-  FROM peaks GROUP BY 1)""", f"""
-solved AS (SELECT * FROM tried WHERE ratio <= {RATIO_LIMIT} AND size = (SELECT min(size) FROM tried WHERE ratio <= {RATIO_LIMIT}))""", """
-best AS (SELECT s FROM solved ORDER BY round(ratio, 9), round(max, 9), round(mean, 9) LIMIT 1)"""]
+# Every meter is searched for itself: sizes upwards, each set as bits, until one solves it. Sets grow only while the best value
+# that always stays could still be within the limit of the median.
+REMOVAL_CANDIDATES = [READINGS, """
+daily AS (SELECT meter, CAST(timestamp AS DATE) AS date, building_id, sum(meter_reading) AS v FROM readings GROUP BY 1, 2, 3)""", """
+tops AS (SELECT meter, date, building_id, v FROM daily QUALIFY row_number() OVER (PARTITION BY meter, date ORDER BY v DESC, building_id) = 1)""", f"""
+candidates AS (SELECT meter, building_id, row_number() OVER (PARTITION BY meter ORDER BY building_id) - 1 AS i FROM (
+  SELECT meter, building_id FROM daily JOIN (SELECT meter, {PEAK_SHARE} * median(v) AS most FROM tops GROUP BY 1) USING (meter) WHERE v > most
+  UNION SELECT meter, building_id FROM (SELECT meter, building_id, count(*) AS days FROM tops GROUP BY 1, 2)
+    QUALIFY row_number() OVER (PARTITION BY meter ORDER BY days DESC, building_id) <= 12))"""]
+_MIDDLE = "list_aggregate(peaks, 'median')"
+_PEAKS = "list_filter(list_transform(days, lambda d: list_max(list_transform(list_filter(d, lambda e: e.i IS NULL OR (({s} >> e.i) & 1) = 0), lambda e: e.v))), lambda p: p IS NOT NULL)"
+REMOVAL = [*REMOVAL_CANDIDATES, """
+per_day AS (SELECT meter, date, list({'i': i, 'v': v}) AS entries, max(v) FILTER (WHERE i IS NULL) AS rest FROM daily LEFT JOIN candidates USING (meter, building_id) GROUP BY 1, 2)""", """
+per_meter AS (SELECT meter, list(list_filter(entries, lambda e: rest IS NULL OR e.i IS NULL OR e.v > rest)) AS days, CASE WHEN count(rest) = count(*) THEN max(rest) END AS stays,
+  (SELECT count(*) FROM candidates c WHERE c.meter = per_day.meter) AS n FROM per_day GROUP BY 1)""", f"""
+search AS (
+  SELECT meter, 0 AS size, -1::BIGINT AS last, 0::BIGINT AS s, {_PEAKS.format(s="0::BIGINT")} AS peaks FROM per_meter
+  UNION ALL
+  SELECT meter, size + 1, i, s | (1::BIGINT << i), {_PEAKS.format(s="(s | (1::BIGINT << i))")}
+  FROM (SELECT *, bool_or(list_max(peaks) / {_MIDDLE} <= {RATIO_LIMIT}) OVER (PARTITION BY meter) AS done FROM search) JOIN per_meter USING (meter) JOIN candidates USING (meter)
+  WHERE NOT coalesce(done, false) AND i > last AND (stays IS NULL OR coalesce(stays / {_MIDDLE} <= {RATIO_LIMIT}, true)))""", f"""
+tried AS (SELECT meter, size, s, list_max(peaks) AS max, list_avg(peaks) AS mean, {_MIDDLE} AS median, list_max(peaks) / {_MIDDLE} AS ratio FROM search)""", f"""
+solved AS (SELECT * FROM tried WHERE ratio <= {RATIO_LIMIT})"""]
 
 
 def removal_search(spark: SparkSession, folder: str):
-    """Readings of one meter, their daily totals, the candidates, the solutions and the search log."""
-    rows = stand_ins.readings(spark, folder).filter("meter = 'purchase'")
-    daily = cut_lineage(summaries.daily_totals(rows, ["building_id"]), "daily")
-    middle = summaries.series_summary(summaries.peak_holders(daily, ["date"]), "meter_reading").first()["median"]
-    candidates = removal.removal_candidates(daily, PEAK_SHARE * middle, top_holders=2)
-    solutions, log = removal.minimal_removal(daily, candidates, RATIO_LIMIT)
+    """Readings, their daily totals per meter, the solutions and the search log."""
+    rows = stand_ins.readings(spark, folder)
+    daily = cut_lineage(summaries.daily_totals(rows, ["meter", "building_id"]), "daily")
+    candidates = removal.candidate_set(daily, keys=["meter"], peak_share=PEAK_SHARE)
+    solutions, log = removal.minimal_removal(daily, candidates, RATIO_LIMIT, ["meter"])
     return rows, daily, solutions, log
 
 
-@query("minimal_removal", with_(*REMOVAL, """
-SELECT CAST(size AS INTEGER) AS removed_count, (SELECT string_agg(building_id, ',' ORDER BY building_id) FROM candidates WHERE (s >> i) & 1 = 1) AS removed,
-  round(max, 6) AS max, round(mean, 6) AS mean, round(median, 6) AS median, round(ratio, 6) AS ratio FROM solved"""))
+@query("minimal_removal", "WITH RECURSIVE " + with_(*REMOVAL, """
+SELECT meter, CAST(size AS INTEGER) AS removed_count,
+  coalesce((SELECT string_agg(building_id, ',' ORDER BY building_id) FROM candidates c WHERE c.meter = solved.meter AND (s >> i) & 1 = 1), '') AS removed,
+  round(max, 6) AS max, round(mean, 6) AS mean, round(median, 6) AS median, round(ratio, 6) AS ratio FROM solved""").removeprefix("WITH "))
 def minimal_removal(spark: SparkSession, folder: str) -> DataFrame:
     _, _, solutions, _ = removal_search(spark, folder)
     listed = F.array_join(F.col("removed").cast("array<string>"), ",")
-    return rounded(solutions.select(F.size("removed").alias("removed_count"), listed.alias("removed"), "max", "mean", "median", "ratio"))
+    return rounded(solutions.select("meter", F.size("removed").alias("removed_count"), listed.alias("removed"), "max", "mean", "median", "ratio"))
 
 
-@query("removal_search_log", with_(*REMOVAL, f"""
-SELECT CAST(size AS BIGINT) AS remove_count, count(*) AS combinations, count(*) FILTER (WHERE ratio <= {RATIO_LIMIT}) AS solutions FROM tried
-WHERE size <= coalesce((SELECT min(size) FROM solved), 99) GROUP BY 1"""))
+@query("removal_search_log", "WITH RECURSIVE " + with_(*REMOVAL, f"""
+SELECT meter, CAST(size AS BIGINT) AS remove_count, CAST(factorial(any_value(n)::INTEGER) // (factorial(size) * factorial(any_value(n)::INTEGER - size)) AS BIGINT) AS combinations,
+  count(*) AS scored, count(*) FILTER (WHERE ratio <= {RATIO_LIMIT}) AS solutions FROM tried JOIN per_meter USING (meter) GROUP BY 1, size""").removeprefix("WITH "))
 def removal_search_log(spark: SparkSession, folder: str) -> DataFrame:
     _, _, _, log = removal_search(spark, folder)
-    return spark.createDataFrame(log, "remove_count bigint, combinations bigint, solutions bigint")
+    return log
 
 
-@query("removal_impact", with_(*REMOVAL, """
-SELECT building_id, count(*) AS rows_to_delete FROM readings JOIN candidates USING (building_id)
-WHERE meter = 'purchase' AND ((SELECT s FROM best) >> i) & 1 = 1 GROUP BY 1"""))
+@query("removal_impact", "WITH RECURSIVE " + with_(*REMOVAL, """
+best AS (SELECT meter, s FROM solved QUALIFY row_number() OVER (PARTITION BY meter ORDER BY round(ratio, 9), round(max, 9), round(mean, 9)) = 1)""", """
+SELECT meter, building_id, count(*) AS rows_to_delete FROM readings JOIN candidates USING (meter, building_id) JOIN best USING (meter)
+WHERE (s >> i) & 1 = 1 GROUP BY 1, 2""").removeprefix("WITH "))
 def removal_impact(spark: SparkSession, folder: str) -> DataFrame:
     rows, _, solutions, _ = removal_search(spark, folder)
-    best = solutions.first()
-    return removal.removal_impact(rows, best["removed"] if best else [])
+    return removal.removal_impact(rows, removal.best_removal(solutions, ["meter"]), ["meter"])
 
 
 @query("removal_comparison", with_(READINGS, """
-cells AS (SELECT CAST(timestamp AS DATE) AS date, building_id, meter_reading AS v FROM readings WHERE meter = 'purchase')""", """
+cells AS (SELECT meter, CAST(timestamp AS DATE) AS date, building_id, meter_reading AS v FROM readings)""", """
 schemes AS (SELECT 'none' AS scheme, CAST([] AS BIGINT[]) AS ids UNION ALL SELECT 'three', [2, 42, 121] UNION ALL SELECT 'six', [2, 42, 121, 3, 8, 11])""", """
-peaks AS (SELECT scheme, date, max(v) FILTER (WHERE NOT list_contains(ids, building_id)) AS peak,
-  count(*) FILTER (WHERE list_contains(ids, building_id)) AS removed FROM schemes CROSS JOIN cells GROUP BY 1, 2)""", """
-SELECT scheme, CAST(sum(removed) AS BIGINT) AS removed_rows, round(max(peak), 6) AS max, round(avg(peak), 6) AS mean, round(median(peak), 6) AS median,
-  round(max(peak) / median(peak), 6) AS ratio FROM peaks GROUP BY 1"""))
+peaks AS (SELECT meter, scheme, date, max(v) FILTER (WHERE NOT list_contains(ids, building_id)) AS peak,
+  count(*) FILTER (WHERE list_contains(ids, building_id)) AS removed FROM schemes CROSS JOIN cells GROUP BY 1, 2, 3)""", """
+SELECT meter, scheme, CAST(sum(removed) AS BIGINT) AS removed_rows, round(max(peak), 6) AS max, round(avg(peak), 6) AS mean, round(median(peak), 6) AS median,
+  round(max(peak) / median(peak), 6) AS ratio FROM peaks GROUP BY 1, 2"""))
 def removal_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.readings(spark, folder).filter("meter = 'purchase'")
     schemes = {"none": [], "three": [2, 42, 121], "six": [2, 42, 121, 3, 8, 11]}
-    return rounded(removal.compare_removals(rows, schemes))
+    return rounded(removal.compare_removals(stand_ins.readings(spark, folder), schemes, keys=["meter"]))
 
 
-@query("candidate_union", with_(*REMOVAL[:4], "SELECT building_id FROM candidates"))
+@query("candidate_union", with_(*REMOVAL_CANDIDATES, "SELECT meter, building_id FROM candidates"))
 def candidate_union(spark: SparkSession, folder: str) -> DataFrame:
-    daily = summaries.daily_totals(stand_ins.readings(spark, folder).filter("meter = 'purchase'"), ["building_id"])
-    middle = summaries.series_summary(summaries.peak_holders(daily, ["date"]), "meter_reading").first()["median"]
-    return removal.candidate_set(daily, PEAK_SHARE * middle, top_holders=2)
+    daily = cut_lineage(summaries.daily_totals(stand_ins.readings(spark, folder), ["meter", "building_id"]), "daily")
+    return removal.candidate_set(daily, keys=["meter"], peak_share=PEAK_SHARE)
 
 
 @query("importance_from_correlation", """

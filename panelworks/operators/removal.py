@@ -1,132 +1,166 @@
-"""Smallest set of entities to remove so that the daily peak series becomes even."""
+"""Smallest set of entities to remove so that the daily peak series becomes even, for every key at once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelworks.operators.summaries import peak_holders
+from panelworks.scale import attach, cut_lineage
 
+# Bits of a set that one number holds.
+BITS = 60
 
-def frequent_holders(daily: DataFrame, top: int = 12, entity="building_id", value="meter_reading") -> DataFrame:
-    """Entities that hold the daily peak most often; ties in id order."""
-    return (
-        peak_holders(daily, ["date"], entity, value)
-        .groupBy(entity)
-        .agg(F.count("*").alias("days"))
-        .orderBy(F.desc("days"), entity)
-        .limit(top)
-        .select(entity)
-    )
+
+def frequent_holders(daily: DataFrame, top: int = 12, keys: Sequence[str] = (), entity="building_id", value="meter_reading") -> DataFrame:
+    """Per key the entities that hold the daily peak most often; ties in id order."""
+    held = peak_holders(daily, [*keys, "date"], entity, value).groupBy(*keys, entity).agg(F.count("*").alias("_days"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_days"), entity))
+    return held.withColumn("_place", place).filter(F.col("_place") <= top).select(*keys, entity)
 
 
 def candidate_set(
-    daily: DataFrame, peak_limit: float | None = None, top_holders: int = 12, entity="building_id", value="meter_reading"
+    daily: DataFrame,
+    peak_limit: float | None = None,
+    top_holders: int = 12,
+    keys: Sequence[str] = (),
+    entity="building_id",
+    value="meter_reading",
+    peak_share: float | None = None,
 ) -> DataFrame:
-    """Entities that ever exceed ``peak_limit``, united with those that hold the daily peak most often."""
-    chosen = frequent_holders(daily, top_holders, entity, value)
+    """Per key the entities that ever exceed a limit, united with those that hold the daily peak most often.
+
+    The limit is ``peak_limit``, or ``peak_share`` times the median of the key's daily peaks.
+    """
+    keys = list(keys)
+    chosen = frequent_holders(daily, top_holders, keys, entity, value)
     if peak_limit is not None:
-        chosen = chosen.union(daily.filter(F.col(value) > peak_limit).select(entity)).distinct()
-    return chosen
-
-
-def removal_candidates(daily: DataFrame, *args, limit: int = 1000, **options) -> list:
-    """The candidate set as a sorted list; the search over its subsets needs it to be short."""
-    found = [row[0] for row in candidate_set(daily, *args, **options).limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} removal candidates; raise the peak limit")
-    return sorted(found)
-
-
-def _days_with_ranked_candidates(daily: DataFrame, candidates: Sequence, entity: str, value: str) -> DataFrame:
-    """Per day: the candidates' values, and the best value that cannot be removed. One row for all days."""
-    is_candidate = F.col(entity).isin(list(candidates))
-    per_day = daily.groupBy("date").agg(
-        F.max(F.when(~is_candidate, F.col(value))).alias("rest"),
-        F.collect_list(F.when(is_candidate, F.struct(F.col(entity).alias("id"), F.col(value).alias("value")))).alias(
-            "removable"
-        ),
+        chosen = chosen.union(daily.filter(F.col(value) > peak_limit).select(*keys, entity))
+    if peak_share is not None:
+        peaks = daily.groupBy(*keys, "date").agg(F.max(value).alias("_peak")).groupBy(*keys).agg((peak_share * F.median("_peak")).alias("_limit"))
+        limited = attach(daily, peaks, keys, "inner") if keys else daily.withColumn("_limit", peaks.scalar())
+        chosen = chosen.union(limited.filter(F.col(value) > F.col("_limit")).select(*keys, entity))
+    return chosen.distinct()
+
+
+def _same(keys: Sequence[str]) -> list[str]:
+    """Keys to join on; without any, all rows are of one."""
+    return list(keys) or ["_all"]
+
+
+def _numbered(candidates: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
+    """Candidates with their position in id order, per key."""
+    return candidates.withColumn("_position", F.row_number().over(Window.partitionBy(*keys).orderBy(entity)) - 1)
+
+
+def ranked_days(daily: DataFrame, numbered: DataFrame, keys: Sequence[str], entity="building_id", value="meter_reading") -> DataFrame:
+    """Per key and day the best value that stays, and the removable ones above it: the ranked list as far as it can matter."""
+    placed = attach(daily, numbered, [*keys, entity])
+    best = placed.groupBy(*keys, "date").agg(
+        F.max(F.when(F.col("_position").isNull(), F.col(value))).alias("rest"),
+        F.collect_list(F.when(F.col("_position").isNotNull(), F.struct(F.col(value).alias("value"), F.col("_position").alias("position")))).alias("_held"),
     )
-    return per_day.agg(F.collect_list(F.struct("date", "rest", "removable")).alias("days"))
+    return best.select(*keys, "date", "rest", F.filter("_held", lambda e: F.col("rest").isNull() | (e["value"] > F.col("rest"))).alias("removable"))
+
+
+def _holds(words: Column, position: Column) -> Column:
+    """Whether a set, BITS positions to a number, holds a position."""
+    word = F.get(words, F.floor(position / BITS).cast("int"))
+    return F.call_function("shiftright", word, (position % BITS).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def evaluate_removals(combinations: DataFrame, daily: DataFrame, candidates: Sequence, entity: str, value: str) -> DataFrame:
-    """Max, mean, median and max / median of the daily peak after each removal.
+def _with(words: Column, position: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (position % BITS).cast("int"))
+    return F.transform(words, lambda w, i: F.when(i == F.floor(position / BITS), w.bitwiseOR(bit)).otherwise(w))
 
-    The days are one bounded array (a calendar of days with at most all candidates in each), so every
-    combination is scored where it stands, without a shuffle.
+
+def evaluate_removals(sets: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Max, mean, median and max / median of the daily peaks that each set of positions leaves.
+
+    ``days`` as ``ranked_days`` gives them. Sets meet the days of their key in a join and are summed up per set; days on
+    which nothing is left do not count.
     """
-    days = _days_with_ranked_candidates(daily, candidates, entity, value).scalar()
-
-    def peak(day):
-        left = F.filter(day["removable"], lambda r: ~F.array_contains(F.col("removed"), r["id"]))
-        return F.greatest(day["rest"], F.array_max(F.transform(left, lambda r: r["value"])))
-
-    peaks = F.array_sort(F.array_compact(F.transform(F.col("_days"), peak)))
-    n = F.size("_peaks")
-    middle = (
-        F.element_at("_peaks", F.floor((n + 1) / 2).cast("int"))
-        + F.element_at("_peaks", (F.floor(n / 2) + 1).cast("int"))
-    ) / 2
-    total = F.aggregate("_peaks", F.lit(0.0), lambda acc, x: acc + x)
+    left = F.filter("removable", lambda e: ~_holds(F.col("words"), e["position"]))
+    peak = F.greatest("rest", F.array_max(F.transform(left, lambda e: e["value"])))
+    each = attach(sets, days, keys, "inner").select(*keys, "words", "last", peak.alias("_peak"))
     return (
-        combinations.withColumn("_days", days)
-        .withColumn("_peaks", peaks)
-        .select("removed", F.array_max("_peaks").alias("max"), (total / n).alias("mean"), middle.alias("median"))
+        each.groupBy(*keys, "words", "last")
+        .agg(F.max("_peak").alias("max"), F.avg("_peak").alias("mean"), F.median("_peak").alias("median"))
         .withColumn("ratio", F.try_divide("max", "median"))
     )
 
 
 def minimal_removal(
     daily: DataFrame,
-    candidates: Sequence,
+    candidates: DataFrame,
     ratio_limit: float = 2.0,
+    keys: Sequence[str] = (),
     entity: str = "building_id",
     value: str = "meter_reading",
-) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """All smallest removals that bring max / median to the limit, best first, and the search log.
+) -> tuple[DataFrame, DataFrame]:
+    """Per key, all smallest removals that bring max / median to the limit, and the log of the search.
+
+    ``candidates`` has one row per key and entity. Sizes are tried upwards, all keys together; a key ends at its first size
+    with a solution, the whole search when no key is open. Sets are bit sets that grow by later positions only. Removing more
+    never lowers the peak below the best value that always stays, nor raises the median, so a set for which that value over
+    its median exceeds the limit is not extended (unless some day has nothing that stays).
 
-    Sizes are tried upwards, one job per size, and the search ends at the first size with a solution.
-    The log has (size, combinations, solutions). The table is empty when no removal works.
+    Solutions: keys, ``removed`` (sorted), max, mean, median, ratio. Log: keys, remove_count, combinations (all of that size),
+    scored (those not ruled out), solutions.
     """
-    spark = daily.sparkSession
-    names = F.array(*[F.lit(c) for c in candidates])
-    # combinations as ascending candidate positions; the next size extends each by a later candidate
-    level = spark.range(1).select(F.array().cast("array<int>").alias("chosen"))
-    log = []
-    for size in range(len(candidates) + 1):
-        if size:
-            last = F.coalesce(F.try_element_at("chosen", F.lit(-1)), F.lit(-1))
-            later = F.explode(F.sequence(last + 1, F.lit(len(candidates) - 1))).alias("_next")
-            extended = level.filter(last < len(candidates) - 1).select("chosen", later)
-            level = extended.select(F.array_append("chosen", F.col("_next")).alias("chosen"))
-        spread = level.repartition(spark.sparkContext.defaultParallelism)
-        combinations = spread.select(F.transform("chosen", lambda i: F.get(names, i)).alias("removed"))
-        scored = evaluate_removals(combinations, daily, candidates, entity, value)
-        solutions = scored.filter(F.col("ratio") <= ratio_limit)
-        found = solutions.count()
-        log.append((size, level.count(), found))
-        if found:
+    plain, keys = list(keys), _same(keys)
+    if not plain:
+        daily, candidates = daily.withColumn("_all", F.lit(0)), candidates.withColumn("_all", F.lit(0))
+    numbered = cut_lineage(_numbered(candidates, keys, entity), "removal-candidates")
+    names = numbered.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_position", entity))), lambda c: c[entity]).alias("_names"))
+    days = cut_lineage(ranked_days(daily, numbered, keys, entity, value), "removal-days")
+    facts = days.groupBy(*keys).agg(F.when(F.count("rest") == F.count("*"), F.max("rest")).alias("_floor"))
+    facts = cut_lineage(facts.join(names, keys, "left").select(*keys, "_floor", F.coalesce("_names", F.array().cast(names.schema["_names"].dataType)).alias("_names")), "removal-facts")
+    size = F.size("_names")
+    level = facts.select(*keys, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.ceil(size / BITS).cast("int"), F.lit(1))).alias("words"), F.lit(-1).alias("last"))
+    scored_levels, logs = [], []
+    count = 0
+    while True:
+        scored = cut_lineage(evaluate_removals(level, days, keys), "removal-level")
+        solved = scored.filter(F.col("ratio") <= ratio_limit)
+        scored_levels.append(solved)
+        # The factors of n over k, in an order that keeps every step whole.
+        combinations = F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.lit(1).cast("decimal(38,0)"), lambda c, i: F.call_function("div", c * (size - i + 1), i).cast("decimal(38,0)")) if count else F.lit(1).cast("decimal(38,0)")
+        logs.append(
+            scored.groupBy(*keys).agg(F.count("*").alias("scored"), F.count_if(F.col("ratio") <= ratio_limit).alias("solutions")).join(facts, keys)
+            .select(*plain, F.lit(count).cast("bigint").alias("remove_count"), combinations.cast("bigint").alias("combinations"), "scored", "solutions")
+        )
+        hopeful = F.col("_floor").isNull() | F.coalesce(F.col("_floor") / F.col("median") <= ratio_limit, F.lit(True))
+        open_ = scored.join(solved.select(*keys).distinct(), keys, "left_anti").join(facts, keys).filter(hopeful & (F.col("last") + 1 < size))
+        if open_.isEmpty():
             break
-    return solutions.orderBy("ratio", "max", "mean", "removed"), log
+        grown = open_.select(*keys, "words", F.explode(F.sequence(F.col("last") + 1, size - 1)).alias("last"))
+        level = grown.select(*keys, _with(F.col("words"), F.col("last")).alias("words"), "last")
+        count += 1
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    held = F.filter("_names", lambda _, i: _holds(F.col("words"), i))
+    solutions = union(scored_levels).join(facts, keys).select(*plain, held.alias("removed"), "max", "mean", "median", "ratio")
+    return solutions, union(logs)
 
 
-def removal_impact(df: DataFrame, removed: Sequence, entity: str = "building_id") -> DataFrame:
-    """Rows each removal deletes."""
-    return (
-        df.filter(F.col(entity).isin(list(removed)))
-        .groupBy(entity)
-        .agg(F.count("*").alias("rows_to_delete"))
-        .orderBy(F.desc("rows_to_delete"), entity)
-    )
+def best_removal(solutions: DataFrame, keys: Sequence[str] = (), entity: str = "building_id") -> DataFrame:
+    """Per key the entities of the best solution, by ratio, max, mean and then ids."""
+    best = F.min_by("removed", F.struct("ratio", "max", "mean", "removed"))
+    return solutions.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.explode("_best").alias(entity))
+
+
+def removal_impact(df: DataFrame, removed: DataFrame, keys: Sequence[str] = (), entity: str = "building_id") -> DataFrame:
+    """Rows that removing each entity of ``removed`` (keys, entity) deletes."""
+    return attach(df, removed, [*keys, entity], "left_semi").groupBy(*keys, entity).agg(F.count("*").alias("rows_to_delete"))
 
 
 def compare_removals(
-    df: DataFrame, schemes: dict[str, Sequence], entity="building_id", ts="timestamp", value="meter_reading"
+    df: DataFrame, schemes: dict[str, Sequence], entity="building_id", ts="timestamp", value="meter_reading", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Daily-peak summary and rows removed per scheme, all from one scan of the readings."""
-    daily = df.groupBy(F.to_date(ts).alias("date"), entity).agg(
+    """Daily-peak summary and rows removed per key and scheme, all from one scan of the readings."""
+    daily = df.groupBy(*keys, F.to_date(ts).alias("date"), entity).agg(
         F.max(value).alias(value), F.count("*").alias("_rows")
     )
     entries = F.array(
@@ -137,12 +171,12 @@ def compare_removals(
     )
     # the readings were reduced to one row per day and entity before they are repeated per scheme
     each = daily.select("*", F.inline(entries)).withColumn("_gone", F.array_contains("ids", F.col(entity)))
-    by_day = each.groupBy("scheme", "date").agg(
+    by_day = each.groupBy(*keys, "scheme", "date").agg(
         F.max(F.when(~F.col("_gone"), F.col(value))).alias("_peak"),
         F.sum(F.when(F.col("_gone"), F.col("_rows")).otherwise(0)).alias("_removed"),
     )
     return (
-        by_day.groupBy("scheme")
+        by_day.groupBy(*keys, "scheme")
         .agg(
             F.sum("_removed").alias("removed_rows"),
             F.max("_peak").alias("max"),

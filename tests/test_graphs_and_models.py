@@ -1,6 +1,7 @@
 """Neighbour search against brute force, graph identities, fitted models, removal search and streams."""
 
 import itertools
+import math
 import statistics
 
 import numpy as np
@@ -162,34 +163,63 @@ def test_attach_gives_the_same_with_and_without_broadcast(spark):
     assert small == large and len(small) == 50
 
 
-def test_minimal_removal_matches_brute_force(spark):
+def _removal_ratio(rows, gone):
+    days = {}
+    for d, b, v in rows:
+        if b not in gone:
+            days[d] = max(v, days.get(d, 0.0))
+    return max(days.values()) / statistics.median(days.values()) if days else None
+
+
+def _smallest_removals(rows, candidates, limit):
+    for size in range(len(candidates) + 1):
+        ratios = {c: _removal_ratio(rows, c) for c in itertools.combinations(candidates, size)}
+        good = {c: r for c, r in ratios.items() if r is not None and r <= limit}
+        if good:
+            return size, good
+    return None, {}
+
+
+def test_minimal_removal_of_every_key_matches_brute_force(spark):
     rng = np.random.default_rng(9)
-    rows = [(f"2016-01-{d + 1:02d}", b, float(rng.integers(5, 15) * (4 if b in (2, 5) and d % 6 == 0 else 1))) for d in range(28) for b in range(9)]
-    daily = spark.createDataFrame(rows, "date string, building_id int, meter_reading double")
-    candidates = [1, 2, 5, 7]
-    solutions, log = removal.minimal_removal(daily, candidates, 1.5)
-
-    def ratio(gone):
-        days = {}
-        for d, b, v in rows:
-            if b not in gone:
-                days[d] = max(v, days.get(d, 0.0))
-        return max(days.values()) / statistics.median(days.values())
-
-    for size in range(5):
-        good = {c for c in itertools.combinations(candidates, size) if ratio(c) <= 1.5}
+    candidates = {"a": [1, 2, 5, 7], "b": [0, 1, 2, 3, 4, 5, 6], "c": [3], "d": list(range(9)), "e": [1, 2]}
+    rows = {
+        key: [(f"2016-01-{d + 1:02d}", b, float(rng.integers(5, 15) * (4 if b in (2, 5) and d % 6 == 0 else 1))) for d in range(28) for b in range(9) if key != "e" or b in (1, 2) or d % 4]
+        for key in candidates
+    }
+    daily = spark.createDataFrame([(k, *r) for k, own in rows.items() for r in own], "meter string, date string, building_id int, meter_reading double")
+    chosen = spark.createDataFrame([(k, c) for k, own in candidates.items() for c in own], "meter string, building_id int")
+    solutions, log = removal.minimal_removal(daily, chosen, 1.5, ["meter"])
+    found = {k: {tuple(r["removed"]): r["ratio"] for r in solutions.filter(F.col("meter") == k).collect()} for k in candidates}
+    logged = {k: [(r["remove_count"], r["combinations"], r["solutions"]) for r in log.filter(F.col("meter") == k).orderBy("remove_count").collect()] for k in candidates}
+    for key, own in candidates.items():
+        size, good = _smallest_removals(rows[key], own, 1.5)
+        assert found[key] == pytest.approx(good)
+        assert all(n == math.comb(len(own), k) for k, n, _ in logged[key])
         if good:
-            break
-    assert log[-1][0] == size and log[-1][2] == len(good)
-    assert {tuple(r["removed"]) for r in solutions.collect()} == good
-    for row in solutions.collect():
-        assert row["ratio"] == pytest.approx(ratio(row["removed"]))
+            assert logged[key][-1][0] == size and logged[key][-1][2] == len(good)
+    assert any(found.values()) and not all(found.values())
+    best = {(r["meter"], r["building_id"]) for r in removal.best_removal(solutions, ["meter"]).collect()}
+    assert best == {(k, b) for k, own in found.items() if own for b in min(own, key=lambda c: (own[c], c))}
+
+
+def test_minimal_removal_without_keys_and_with_many_candidates(spark):
+    rows = [(f"2016-01-{d + 1:02d}", b, 10.0 + (30.0 if (b, d) in ((61, 3), (75, 9)) else b / 100)) for d in range(15) for b in range(80)]
+    daily = spark.createDataFrame(rows, "date string, building_id int, meter_reading double")
+    solutions, log = removal.minimal_removal(daily, spark.range(5, 80).select(F.col("id").cast("int").alias("building_id")), 2.0)
+    assert [r["removed"] for r in solutions.collect()] == [[61, 75]]
+    assert [(r["remove_count"], r["combinations"]) for r in log.orderBy("remove_count").collect()] == [(0, 1), (1, 75), (2, 75 * 37)]
 
 
 def test_removal_without_solution_is_empty(spark):
     daily = spark.createDataFrame([("d1", 1, 1.0), ("d2", 1, 9.0), ("d3", 1, 1.0)], "date string, building_id int, meter_reading double")
-    solutions, log = removal.minimal_removal(daily, [7], 2.0)
-    assert solutions.count() == 0 and [row[0] for row in log] == [0, 1]
+    nobody = spark.createDataFrame([(7,)], "building_id int")
+    solutions, log = removal.minimal_removal(daily, nobody, 2.0)
+    # What always stays is over the limit, so that nothing is tried beyond the empty set.
+    assert solutions.count() == 0 and [row["remove_count"] for row in log.collect()] == [0]
+    everyone = spark.createDataFrame([(1,)], "building_id int")
+    assert removal.minimal_removal(daily, everyone, 2.0)[0].count() == 0
+    assert removal.minimal_removal(daily, nobody.limit(0), 20.0)[0].first()["removed"] == []
 
 
 def test_continuity_state_over_several_batches(spark, tmp_path):
