@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelworks.catalogue.registry import query, rounded
 from panelworks.catalogue.sql import (
-    METER_HOURS, READINGS, SUPPLIER_DAYS, metrics_of, ranges_of, runs_of, split_of, with_,
+    BUILDINGS, METER_HOURS, METRIC_COLUMNS, READINGS, SUPPLIER_DAYS, WEATHER, metrics_of, ranges_of, runs_of, split_of, sums_of, with_,
 )
+from panelworks.functions.bins import BEAUFORT_EDGES
 from panelworks.functions.calendar import DAY, calendar_columns
 from panelworks.operators import metrics, models, ridge, rollout, splits, summaries
+from panelworks.operators.ordering import row_positions
 from panelworks.plans import forecasting
 from panelworks.plans.preparation import build_features, prepare_splits
 from panelworks.scale import cut_lineage
@@ -69,11 +71,61 @@ FEATURES = ["site_id", "primary_use", "square_feet", "age", "floor_count", "wind
             "hour_datetime", "day_week", "day_month_datetime", "square_feet_missing", "wind_speed_missing"]
 
 
-@query("ridge_forecast")
+# The scaled feature table in SQL, and ridge models solved by elimination: the sums of products of the standardised columns
+# of a group are a matrix with the right side as last column; step k clears column k of all other rows. Leaving a feature out
+# means to clear its row and column first, which makes its weight zero.
+WIDE = [READINGS, BUILDINGS, WEATHER, """
+coded AS (SELECT b.*, code FROM buildings b LEFT JOIN (SELECT primary_use, row_number() OVER (ORDER BY primary_use) - 1 AS code
+  FROM (SELECT DISTINCT primary_use FROM buildings)) USING (primary_use))""", f"""
+wide AS (SELECT building_id, meter, timestamp, meter_reading, site_id, code AS primary_use, square_feet, 2016 - year_built AS age, floor_count,
+  CAST(trunc(wind_direction / 22.5) AS INTEGER) % 16 AS wind_direction, wind_speed,
+  CASE WHEN wind_speed IS NOT NULL THEN {" + ".join(f"(wind_speed >= {e})::INTEGER" for e in BEAUFORT_EDGES)} END AS beaufort_scale,
+  hour(timestamp) AS hour_datetime, isodow(timestamp) - 1 AS day_week, day(timestamp) AS day_month_datetime,
+  (square_feet IS NULL)::INTEGER AS square_feet_missing, (wind_speed IS NULL)::INTEGER AS wind_speed_missing
+  FROM readings LEFT JOIN coded USING (building_id) LEFT JOIN weather USING (site_id, timestamp))""", split_of("wide", ["meter"]), ranges_of("prepared", ["meter"]), f"""
+rows AS (SELECT meter, split, row_number() OVER () AS id, CASE WHEN target_max - target_min <= 0 THEN 0 ELSE (ln(1 + meter_reading) - target_min) / (target_max - target_min) END AS y,
+  [{", ".join(f"{c}::DOUBLE" for c in FEATURES)}] AS x FROM prepared JOIN ranges USING (meter))"""]
+
+
+def _ridge_sql(groups: list[str], alphas: list[float] = [1.0], variants: dict[str, list[str]] | None = None, features: list[str] = FEATURES, scored: str = "true") -> list[str]:  # noqa: B006
+    """CTEs from ``rows`` (id, groups, split, y, x) to ``scored`` (groups, split, variant, alpha, y, p)."""
+    variants = {"all": features} if variants is None else variants
+    n = len(features)
+    gs = "".join(f"{g}, " for g in groups)
+    by = f"GROUP BY {', '.join(groups)}" if groups else ""
+    of = lambda t: f"USING ({', '.join(groups)})" if groups else "ON true"
+    left_out = " UNION ALL ".join(f"SELECT '{name}' AS variant, CAST({[k + 1 for k, f in enumerate(features) if f not in chosen]} AS INTEGER[]) AS gone" for name, chosen in variants.items())
+    return [f"""
+cells AS (SELECT {gs}id, split, y, unnest(x) AS v, unnest(range(1, {n + 1})) AS j FROM rows)""", f"""
+facts AS (SELECT {gs}j, coalesce(avg(v), 0) AS mean, coalesce(sqrt(var_pop(v) * count(v) / count(*)), 0) AS std FROM cells WHERE split = 'train' GROUP BY {gs}j)""", f"""
+means AS (SELECT {gs}avg(y) AS my FROM rows WHERE split = 'train' {by})""", f"""
+standard AS (SELECT {gs}id, split, y, list(CASE WHEN std > 0 THEN (coalesce(v, mean) - mean) / std ELSE 0 END ORDER BY j) AS z FROM cells JOIN facts USING ({gs}j) GROUP BY {gs}id, split, y)""", f"""
+sides AS (SELECT {gs}id, list_append(z, y - my) AS z FROM standard JOIN means {of("means")} WHERE split = 'train')""", f"""
+products AS (SELECT {gs}i, j, sum(z[i] * z[j]) AS v FROM sides, range(1, {n + 1}) a(i), range(1, {n + 2}) b(j) GROUP BY {gs}i, j)""", f"""
+squares AS (SELECT {gs}list(line ORDER BY i) AS m FROM (SELECT {gs}i, list(v ORDER BY j) AS line FROM products GROUP BY {gs}i) {by})""", f"""
+starts AS (SELECT {gs}variant, alpha, list_transform(m, lambda line, i: list_transform(line, lambda v, j:
+    CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN 0 ELSE v END + CASE WHEN i = j THEN alpha ELSE 0 END)) AS m
+  FROM squares CROSS JOIN ({left_out}) CROSS JOIN (SELECT unnest({alphas}::DOUBLE[]) AS alpha))""", f"""
+solving AS (SELECT {gs}variant, alpha, 1 AS k, m FROM starts UNION ALL
+  SELECT {gs}variant, alpha, k + 1, list_transform(m, lambda line, i:
+    CASE WHEN i = k THEN list_transform(line, lambda v: v / m[k][k]) ELSE list_transform(line, lambda v, j: v - line[k] / m[k][k] * m[k][j]) END) FROM solving WHERE k <= {n})""", f"""
+weights AS (SELECT {gs}variant, alpha, list_transform(m, lambda line: line[{n + 1}]) AS w FROM solving WHERE k = {n + 1})""", f"""
+scored AS (SELECT {gs}{"" if "split" in groups else "split, "}variant, alpha, y, least(greatest(my + list_inner_product(w, z), 0), 1) AS p
+  FROM standard JOIN means {of("means")} JOIN weights {of("weights")} WHERE {scored})"""]
+
+
+def _with_ridge(*parts: str) -> str:
+    return "WITH RECURSIVE " + with_(*parts).removeprefix("WITH ")
+
+
+# One model of all meters, scored per meter.
+@query("ridge_forecast", _with_ridge(*WIDE, *_ridge_sql([]), """
+of_meter AS (SELECT r.meter, s.split, s.y, least(greatest(my + list_inner_product(w, z), 0), 1) AS p
+  FROM standard s JOIN rows r USING (id) CROSS JOIN means CROSS JOIN weights)""", metrics_of("of_meter", "y", "p", ["meter", "split"])))
 def ridge_forecast(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
     model = ridge.fit_ridge(rows, FEATURES, "meter_reading")
-    return models.score_and_measure(model, rows, "meter_reading", ["meter", "split"])
+    return rounded(models.score_and_measure(model, rows, "meter_reading", ["meter", "split"]))
 
 
 # One standardised feature has a closed form: the ridge weight is Sxy / (Sxx + alpha), and Sxx is the row count.
@@ -89,52 +141,83 @@ def ridge_single_feature(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.score(rows, None, None).select("meter", "split", "timestamp", "prediction"))
 
 
-def _trees(rows: DataFrame, rounds: int = 5):
-    return models.fit_boosted_trees(rows, FEATURES, "meter_reading", depth=4, rounds=rounds, step=0.2, max_bins=64)
+# Depth, step, bins and shares of rows and features are the operator's; the search is given up after ten rounds without gain.
+PATIENCE = 10
 
 
 @query("boosted_trees_forecast")
 def boosted_trees_forecast(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
-    return models.score_and_measure(_trees(rows), rows, "meter_reading", ["meter", "split"])
+    model = models.fit_boosted_trees(rows, FEATURES, "meter_reading", patience=PATIENCE)
+    return models.score_and_measure(model, rows, "meter_reading", ["meter", "split"])
 
 
 @query("importance_ranking")
 def importance_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.rank_importance(_trees(prepared(spark, folder), 3).importances(spark), top=12)
-
-
-@query("per_meter_training")
+    model = models.fit_boosted_trees(prepared(spark, folder), FEATURES, "meter_reading", patience=PATIENCE)
+    return summaries.rank_importance(model.importances(spark), top=12)
+
+
+# The staged errors of a made-up history: the error of every day's total against the mean of all days, in the order of days.
+@query("best_round", with_(SUPPLIER_DAYS, """
+days AS (SELECT timestamp, sum(meter_reading) AS v FROM supplier_days GROUP BY 1)""", """
+history AS (SELECT CAST(row_number() OVER (ORDER BY timestamp) AS INTEGER) AS round, abs(v - (SELECT avg(v) FROM days)) AS error FROM days)""", """
+running AS (SELECT *, min(error) OVER (ORDER BY round) AS best FROM history)""", """
+placed AS (SELECT *, (SELECT min(h.round) FROM history h WHERE h.error = r.best AND h.round <= r.round) AS best_round FROM running r)""", """
+ended AS (SELECT min(round) AS last FROM placed WHERE round - best_round >= 100)""", """
+SELECT best_round, round(best, 6) AS best_error, round - best_round >= 100 AS stopped FROM placed
+WHERE round = coalesce((SELECT last FROM ended), (SELECT max(round) FROM placed))"""))
+def best_round(spark: SparkSession, folder: str) -> DataFrame:
+    days = cut_lineage(stand_ins.supplier_days(spark, folder).groupBy("timestamp").agg(F.sum("meter_reading").alias("v")), "days")
+    ordered = row_positions(days, [], "timestamp", "_place", slice_days=384)
+    history = ordered.select((F.col("_place") + 1).cast("int").alias("round"), F.abs(F.col("v") - days.agg(F.avg("v")).scalar()).alias("error"))
+    return rounded(models.staged_choice(history, 100))
+
+
+@query("per_meter_training", _with_ridge(*WIDE, *_ridge_sql(["meter"]), metrics_of("scored", "y", "p", ["meter", "split", "variant", "alpha"])))
 def per_meter_training(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
     family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", keys=["meter"])
     scored = ridge.score_ridge_family(rows, family, FEATURES, ["meter"])
-    return models.measure_family(scored, "meter_reading", ["meter", "split"])
+    return rounded(models.measure_family(scored, "meter_reading", ["meter", "split"]))
+
+
+PENALTIES = [0.1, 10.0, 1000.0]
 
 
-@query("best_penalty")
+@query("best_penalty", _with_ridge(*WIDE, *_ridge_sql([], PENALTIES, scored="split = 'valid'"), """
+SELECT alpha, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse FROM scored GROUP BY alpha ORDER BY sqrt(avg((p - y) * (p - y))), alpha LIMIT 1"""))
 def best_penalty(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
-    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", [0.1, 10.0, 1000.0])
+    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", PENALTIES)
     scored = ridge.score_ridge_family(rows.filter("split = 'valid'"), family, FEATURES)
-    return models.select_best(models.measure_family(scored, "meter_reading", []), "alpha")
-
-
-@query("feature_ablation")
+    return rounded(models.select_best(models.measure_family(scored, "meter_reading", []), "alpha"))
+
+
+_WEATHER = {"wind_direction", "wind_speed", "beaufort_scale"}
+_CALENDAR = {"hour_datetime", "day_week", "day_month_datetime"}
+VARIANTS = {
+    "baseline": FEATURES,
+    "no_weather": [f for f in FEATURES if f not in _WEATHER],
+    "no_calendar": [f for f in FEATURES if f not in _CALENDAR],
+    "no_missing_flags": [f for f in FEATURES if not f.endswith("_missing")],
+}
+
+
+@query("feature_ablation", _with_ridge(*WIDE, *_ridge_sql(["meter"], variants=VARIANTS, scored="split = 'test'"), f"""
+sums AS (SELECT meter, variant, {sums_of("y", "p")} FROM scored GROUP BY 1, 2)""", """
+finished AS (SELECT variant, n, sse / n AS mse, sae / n AS mae, sle / n AS sle, CASE WHEN yy - y * y / n <= 0 THEN 0 ELSE 1 - sse / (yy - y * y / n) END AS r2 FROM sums)""", """
+pooled AS (SELECT variant, sum(mse * n) / sum(n) AS mse, sum(mae * n) / sum(n) AS mae, sqrt(sum(mse * n) / sum(n)) AS rmse, sqrt(sum(sle * n) / sum(n)) AS rmsle,
+  CASE WHEN sum(CASE WHEN r2 < 1 THEN mse * n / (1 - r2) ELSE 0 END) <> 0 THEN 1 - sum(mse * n) / sum(CASE WHEN r2 < 1 THEN mse * n / (1 - r2) ELSE 0 END) ELSE 1 END AS r2,
+  CAST(sum(n) AS BIGINT) AS evaluated_row_count FROM finished GROUP BY 1)""", """
+SELECT variant, round(mse, 6) AS mse, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(rmsle, 6) AS rmsle, round(r2, 6) AS r2, evaluated_row_count,
+  round(rmsle - (SELECT rmsle FROM pooled WHERE variant = 'baseline'), 6) AS delta_rmsle FROM pooled"""))
 def feature_ablation(spark: SparkSession, folder: str) -> DataFrame:
     rows = prepared(spark, folder)
-    weather = {"wind_direction", "wind_speed", "beaufort_scale"}
-    calendar = {"hour_datetime", "day_week", "day_month_datetime"}
-    variants = {
-        "baseline": FEATURES,
-        "no_weather": [f for f in FEATURES if f not in weather],
-        "no_calendar": [f for f in FEATURES if f not in calendar],
-        "no_missing_flags": [f for f in FEATURES if not f.endswith("_missing")],
-    }
-    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", keys=["meter"], variants=variants)
+    family = ridge.fit_ridge_family(rows, FEATURES, "meter_reading", keys=["meter"], variants=VARIANTS)
     scored = ridge.score_ridge_family(rows.filter("split = 'test'"), family, FEATURES, ["meter"])
     per_meter = models.measure_family(scored, "meter_reading", ["meter"])
-    return metrics.delta_from_baseline(metrics.pool_metrics(per_meter, ["variant"]), "rmsle")
+    return rounded(metrics.delta_from_baseline(metrics.pool_metrics(per_meter, ["variant"]), "rmsle"))
 
 
 # With one standardised feature per meter the family has the same closed form.
@@ -156,12 +239,33 @@ def ridge_family_single_feature(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scores)
 
 
-@query("autoregressive_forecast")
+LAGS = 24
+_KEPT_GUESS = "least(greatest(s.guess, 0), 1)"
+
+
+@query("autoregressive_forecast", _with_ridge(METER_HOURS, split_of("meter_hours", ["meter"]), ranges_of("prepared", ["meter"]), """
+scaled AS (SELECT meter, timestamp, split, CASE WHEN target_max - target_min <= 0 THEN 0 ELSE (ln(1 + meter_reading) - target_min) / (target_max - target_min) END AS y
+  FROM prepared JOIN ranges USING (meter))""", """
+training AS (SELECT * FROM scaled WHERE split = 'train')""", runs_of("training", ["meter"], name="train_runs"), f"""
+rows AS (SELECT row_number() OVER () AS id, 'train' AS split, y, list_reverse(h) AS x FROM (
+  SELECT y, run_position, list(y) OVER (PARTITION BY meter, segment ORDER BY timestamp ROWS BETWEEN {LAGS} PRECEDING AND 1 PRECEDING) AS h FROM train_runs) WHERE run_position >= {LAGS})""",
+    *_ridge_sql([], features=[f"lag_{k}" for k in range(1, LAGS + 1)]), """
+params AS (SELECT list_transform(w, lambda v, j: v / std[j]) AS raw, my - list_inner_product(list_transform(w, lambda v, j: v / std[j]), mean) AS base
+  FROM weights CROSS JOIN means CROSS JOIN (SELECT list(mean ORDER BY j) AS mean, list(std ORDER BY j) AS std FROM facts))""", runs_of("scaled", ["meter"]), f"""
+todo AS (SELECT meter, timestamp, y, run_position, before, list_reverse(h) AS h FROM (
+  SELECT *, lag(split) OVER (PARTITION BY meter ORDER BY timestamp) AS before,
+    list(y) OVER (PARTITION BY meter, segment ORDER BY timestamp ROWS BETWEEN {LAGS} PRECEDING AND 1 PRECEDING) AS h FROM runs) WHERE split = 'test' AND run_position >= {LAGS})""", f"""
+rolled AS (
+  SELECT meter, timestamp, y, base + list_inner_product(raw, h) AS guess, h FROM todo CROSS JOIN params WHERE before <> 'test' OR run_position = {LAGS}
+  UNION ALL
+  SELECT t.meter, t.timestamp, t.y, base + list_inner_product(raw, list_prepend({_KEPT_GUESS}, s.h[1:{LAGS - 1}])), list_prepend({_KEPT_GUESS}, s.h[1:{LAGS - 1}])
+  FROM rolled s JOIN todo t ON t.meter = s.meter AND t.timestamp = s.timestamp + INTERVAL '1 hour' CROSS JOIN params)""",
+    metrics_of("rolled", "y", "guess", ["meter"])))
 def autoregressive_forecast(spark: SparkSession, folder: str) -> DataFrame:
     hours = cut_lineage(stand_ins.meter_hours(spark, folder).withColumn("building_id", F.lit(0)), "hours")
     rows = cut_lineage(prepare_splits(hours), "prepared")
-    scored = forecasting.autoregressive_forecast(rows, ["meter"], window=6)
-    return metrics.regression_metrics(scored, "meter_reading", "prediction", ["meter"])
+    scored = forecasting.autoregressive_forecast(rows, ["meter"], window=LAGS)
+    return rounded(metrics.regression_metrics(scored, "meter_reading", "prediction", ["meter"]))
 
 
 def _rollout_sql(source: str, keys: list[str], step: str, weights: tuple[float, ...]) -> str:

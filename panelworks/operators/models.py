@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelworks.functions.calendar import HOUR
 from panelworks.functions.scaling import clip, to_number
 from panelworks.operators import metrics
 from panelworks.operators.rollout import LinearWindow, roll_out_windows
+from panelworks.scale import cut_lineage
 
 
 @dataclass
@@ -21,6 +23,7 @@ class TreeModel:
 
     features: list[str]
     model: object
+    history: DataFrame | None = None
 
     def score(self, df: DataFrame, low: float | None = 0.0, high: float | None = 1.0, output="prediction") -> DataFrame:
         """Add the clipped prediction."""
@@ -41,6 +44,34 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return ready.drop(*filled)
 
 
+def staged_choice(history: DataFrame, patience: int) -> DataFrame:
+    """The best round of a staged history (round, error), given up after ``patience`` rounds without a new best.
+
+    One row: ``best_round``, ``best_error``, and ``stopped``, whether the history is long enough to give up. What lies beyond the
+    round at which patience ends does not count, however good; of equal errors the first wins. A history has a row per round.
+    """
+    in_order = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    best = F.min(F.struct("error", "round")).over(in_order)
+    waited = history.withColumn("_best", best).withColumn("_waited", F.col("round") - F.col("_best.round"))
+    seen = waited.withColumn("_over", F.max(F.when(F.col("_waited") >= patience, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = seen.filter(F.coalesce(F.col("_over"), F.lit(0)) == 0)
+    last = F.max_by(F.struct("_best", "_waited"), "round")
+    return kept.agg(last.alias("_last")).select(
+        F.col("_last._best.round").alias("best_round"), F.col("_last._best.error").alias("best_error"), (F.col("_last._waited") >= patience).alias("stopped")
+    )
+
+
+def first_trees(fitted: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The ensemble of the first ``count`` rounds."""
+    java, gateway = fitted._java_obj, SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for k, (tree, weight) in enumerate(zip(list(java.trees())[:count], list(java.treeWeights())[:count])):
+        trees[k], weights[k] = tree, weight
+    cut = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{fitted.uid}_{count}", trees, weights, java.numFeatures()))
+    return cut.setFeaturesCol(fitted.getFeaturesCol()).setPredictionCol(fitted.getPredictionCol())
+
+
 def fit_boosted_trees(
     df: DataFrame,
     features: Sequence[str],
@@ -52,17 +83,42 @@ def fit_boosted_trees(
     feature_subset: str = "0.8",
     max_bins: int = 256,
     seed: int = 42,
-    tolerance: float = 0.0,
+    patience: int = 100,
 ) -> TreeModel:
-    """Boosted regression trees on the training rows, stopped by the error on the validation rows."""
-    known = df.filter("split IN ('train', 'valid')").withColumn("_validation", F.col("split") == "valid")
-    ready = _assembled(known, features).select("_x", target, "_validation")
-    fitted = GBTRegressor(
-        featuresCol="_x", labelCol=target, predictionCol="_raw", maxDepth=depth, maxIter=rounds, stepSize=step,
-        subsamplingRate=subsample, featureSubsetStrategy=feature_subset, maxBins=max_bins, seed=seed,
-        validationIndicatorCol="_validation", validationTol=tolerance,
-    ).fit(ready)
-    return TreeModel(list(features), fitted)
+    """Boosted regression trees on the training rows, up to the round with the least error on the validation rows.
+
+    The search is given up after ``patience`` rounds without gain, or at ``rounds``. The fit starts with twice the patience and
+    is repeated with twice the rounds while that is not enough; rounds that were fitted before come out the same, since each
+    takes its seed from its number. ``history`` of the result has the validation error after every round.
+    """
+    known = df.filter("split IN ('train', 'valid')")
+    ready = cut_lineage(_assembled(known, features).select("_x", F.col(target).cast("double").alias("_y"), "split"), "trees")
+    train, valid = ready.filter("split = 'train'"), ready.filter("split = 'valid'")
+    count = min(rounds, 2 * patience)
+    while True:
+        fitted = GBTRegressor(
+            featuresCol="_x", labelCol="_y", predictionCol="_raw", maxDepth=depth, maxIter=count, stepSize=step,
+            subsamplingRate=subsample, featureSubsetStrategy=feature_subset, maxBins=max_bins, seed=seed,
+        ).fit(train)
+        errors = fitted.evaluateEachIteration(valid, "squared")
+        history = df.sparkSession.createDataFrame([(k, float(e)) for k, e in enumerate(errors, 1)], "round int, error double").coalesce(1)
+        choice = staged_choice(history, patience).first()
+        if choice["stopped"] or count >= rounds:
+            break
+        count = min(rounds, 2 * count)
+    return TreeModel(list(features), first_trees(fitted, choice["best_round"]), history)
+
+
+def fit_boosted_trees_by_key(df: DataFrame, key: str, features: Sequence[str], target: str, **options) -> dict[object, TreeModel]:
+    """One ensemble per value of ``key`` (a meter: few values), each stopped by validation rows of its own."""
+    values = [r[0] for r in df.filter("split = 'train'").select(key).distinct().orderBy(key).collect()]
+    return {v: fit_boosted_trees(df.filter(F.col(key) == F.lit(v)), features, target, **options) for v in values}
+
+
+def score_by_key(df: DataFrame, key: str, fitted: dict[object, TreeModel], **options) -> DataFrame:
+    """Every row scored by the model of its key; rows of other keys are left out."""
+    parts = [model.score(df.filter(F.col(key) == F.lit(v)), **options) for v, model in fitted.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def measure_family(scored: DataFrame, target: str, groups: Sequence[str]) -> DataFrame:
@@ -81,19 +137,6 @@ def select_best(scores: DataFrame, candidate: str, score: str = "rmse", groups:
     return scores.groupBy(*groups).agg(best.alias("_best")).select(*groups, "_best.*")
 
 
-def early_stop(history: Iterable[tuple[int, float]], patience: int = 3) -> tuple[int, float]:
-    """Best round of a validation history that is given up after ``patience`` rounds without gain."""
-    best_round, best_score, waited = -1, float("inf"), 0
-    for round_number, score in history:
-        if score < best_score:
-            best_round, best_score, waited = round_number, score, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return best_round, best_score
-
-
 def roll_out_forecast(
     df: DataFrame,
     keys: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelworks.functions.scaling import clip, to_number
 from panelworks.operators.splits import fit_imputed_scaler, standardise
-from panelworks.scale import BROADCAST_ROW_LIMIT, attach
+from panelworks.scale import attach, cut_lineage
 
 
 @dataclass
@@ -85,8 +85,33 @@ def _sum_products(keys: list[str], columns: list[str]):
     return accumulate
 
 
-def _key_of(row, keys: Sequence[str]) -> tuple:
-    return tuple(row[k] for k in keys)
+def _solver(keys: list[str], features: list[str], variants: dict[str, list[str]], alphas: list[float]):
+    """Each row is one key with its statistics and cross products; it becomes one row per variant and penalty."""
+    width = len(features) + 1
+
+    def solve(batches):
+        for batch in batches:
+            fitted = {name: [] for name in [*keys, "variant", "alpha", "intercept", "weights", "means"]}
+            for row in batch.to_dict("records"):
+                matrix = np.zeros(width * width)
+                matrix[[c["cell"] for c in row["_cells"]]] = [c["value"] for c in row["_cells"]]
+                matrix = matrix.reshape(width, width)
+                stds = np.array([row[f"_std_{c}"] for c in features])
+                for name, chosen in variants.items():
+                    places = [features.index(c) for c in chosen]
+                    block, moment = matrix[np.ix_(places, places)], matrix[places, -1]
+                    for alpha in alphas:
+                        weights = np.zeros(len(features))
+                        weights[places] = np.linalg.solve(block + alpha * np.eye(len(places)), moment)
+                        weights = np.divide(weights, stds, out=np.zeros(len(features)), where=stds > 0)
+                        for column, value in zip(
+                            fitted,
+                            [*(row[k] for k in keys), name, alpha, row["_y_mean"], weights.tolist(), [row[f"_mean_{c}"] for c in features]],
+                        ):
+                            fitted[column].append(value)
+            yield pd.DataFrame(fitted)
+
+    return solve
 
 
 def fit_ridge_family(
@@ -96,18 +121,17 @@ def fit_ridge_family(
     alphas: Iterable[float] = (1.0,),
     keys: Sequence[str] = (),
     variants: dict[str, Sequence[str]] | None = None,
-    key_limit: int = BROADCAST_ROW_LIMIT,
 ) -> DataFrame:
     """Ridge models for every key, penalty and feature subset.
 
     All of them need only the cross products of the standardised training columns: they are summed
-    per key in one pass, and each small system is solved afterwards. The result has one row per
-    model: ``keys``, ``variant``, ``alpha``, ``intercept``, and per feature its weight on the raw
-    value and the mean that replaces a missing one. The keys are few by nature (meters); more than
-    ``key_limit`` of them is an error.
+    per key in one pass, and the small systems of each key are solved by the task that holds its sums,
+    so there may be as many keys as there are groups. The result has one row per model: ``keys``,
+    ``variant``, ``alpha``, ``intercept``, and per feature its weight on the raw value and the mean
+    that replaces a missing one. Keys are not null.
     """
-    spark, features, keys = df.sparkSession, list(features), list(keys)
-    variants = {"all": features} if variants is None else variants
+    features, keys = list(features), list(keys)
+    variants = {name: list(chosen) for name, chosen in ({"all": features} if variants is None else variants).items()}
     train = df.filter("split = 'train'").select(
         *keys, *[to_number(F.col(c)).alias(c) for c in features], F.col(target).cast("double").alias("_y")
     )
@@ -118,18 +142,14 @@ def fit_ridge_family(
             F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_mean_{c}"),
             F.coalesce(F.sqrt(F.var_pop(c) * F.count(c) / F.count("*")), F.lit(0.0)).alias(f"_std_{c}"),
         ]
-    stats = train.groupBy(*keys).agg(*facts)
-    rows = stats.limit(key_limit + 1).collect()
-    if len(rows) > key_limit:
-        raise ValueError(f"more than {key_limit} models to fit")
-    known = {_key_of(r, keys): r for r in rows if r["_n"]}
-    if not known:
+    stats = cut_lineage(train.groupBy(*keys).agg(*facts).filter("_n > 0"), "ridge-statistics")
+    if stats.isEmpty():
         raise ValueError("no training rows")
-    local = spark.createDataFrame(rows, stats.schema)
     if keys:
-        joined = train.join(F.broadcast(local), keys)
+        joined = train.join(stats, keys)
     else:
-        joined = train.withColumns({c: F.lit(rows[0][c]) for c in stats.columns})
+        only = stats.first()
+        joined = train.withColumns({c: F.lit(only[c]) for c in stats.columns})
     deviations = [
         F.when(F.col(f"_std_{c}") > 0, (F.coalesce(F.col(c), F.col(f"_mean_{c}")) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}"))
         .otherwise(0.0)
@@ -140,30 +160,13 @@ def fit_ridge_family(
     ready = joined.select(*keys, *deviations, (F.col("_y") - F.col("_y_mean")).alias("_y"))
     schema = T.StructType([*[train.schema[k] for k in keys], T.StructField("_cells", T.ArrayType(T.DoubleType()))])
     partial = ready.mapInPandas(_sum_products(keys, columns), schema)
-    cells = (
-        partial.select(*keys, F.posexplode("_cells").alias("_cell", "_value"))
-        .groupBy(*keys, "_cell")
-        .agg(F.sum("_value").alias("_value"))
+    summed = (
+        partial.select(*keys, F.posexplode("_cells").alias("cell", "_value"))
+        .groupBy(*keys, "cell")
+        .agg(F.sum("_value").alias("value"))
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("cell", "value")).alias("_cells"))
     )
-    width = len(columns)
-    products = {key: np.zeros(width * width) for key in known}
-    for row in cells.collect():
-        products[_key_of(row, keys)][row["_cell"]] = row["_value"]
-
-    fitted = []
-    for key, stat in known.items():
-        matrix = products[key].reshape(width, width)
-        for name, chosen in variants.items():
-            places = [features.index(c) for c in chosen]
-            block, moment = matrix[np.ix_(places, places)], matrix[places, -1]
-            for alpha in alphas:
-                solved = np.linalg.solve(block + alpha * np.eye(len(places)), moment)
-                weights = np.zeros(len(features))
-                for place, weight in zip(places, solved):
-                    std = stat[f"_std_{features[place]}"]
-                    weights[place] = weight / std if std > 0 else 0.0
-                means = [float(stat[f"_mean_{c}"]) for c in features]
-                fitted.append((*key, name, float(alpha), float(stat["_y_mean"]), weights.tolist(), means))
     model_schema = T.StructType(
         [
             *[train.schema[k] for k in keys],
@@ -172,7 +175,8 @@ def fit_ridge_family(
             T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("means", T.ArrayType(T.DoubleType())),
         ]
     )
-    return spark.createDataFrame(fitted, model_schema)
+    each = summed.join(stats, keys) if keys else summed.withColumns({c: F.lit(only[c]) for c in stats.columns})
+    return each.mapInPandas(_solver(keys, features, variants, [float(a) for a in alphas]), model_schema)
 
 
 def score_ridge_family(

@@ -142,10 +142,41 @@ def test_boosted_trees_beat_the_mean(spark):
     score = models.score_and_measure(tree, df.filter("split = 'test'"), "y", []).first()
     assert score["r2"] > 0.2
     assert tree.importances(spark).count() == 3
-
-
-def test_early_stop_and_selection(spark):
-    assert models.early_stop([(1, 0.5), (2, 0.4), (3, 0.45), (4, 0.41), (5, 0.42), (6, 0.1)], patience=3) == (2, 0.4)
+    errors = [r["error"] for r in tree.history.orderBy("round").collect()]
+    assert tree.model.getNumTrees == int(np.argmin(errors)) + 1
+    valid = tree.score(df.filter("split = 'valid'"), None, None)
+    assert valid.agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0] == pytest.approx(min(errors))
+
+
+def test_trees_per_key_have_validation_rows_of_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "train" if i < 60 else "valid" if i < 80 else "test", float(x), float(x * (k + 1) + rng.normal(0, 0.1))) for k in range(2) for i, x in enumerate(rng.random(90))]
+    df = spark.createDataFrame(rows, "meter int, split string, a double, y double")
+    fitted = models.fit_boosted_trees_by_key(df, "meter", ["a"], "y", depth=2, rounds=6, step=0.5, max_bins=16, patience=2)
+    scored = models.score_by_key(df, "meter", fitted, low=None, high=None)
+    assert list(fitted) == [0, 1] and scored.count() == len(rows)
+    slope = {r["meter"]: r["s"] for r in scored.groupBy("meter").agg(F.regr_slope("prediction", "a").alias("s")).collect()}
+    assert slope[1] > 1.5 > slope[0]
+
+
+@pytest.mark.parametrize(
+    "errors, patience, wanted",
+    [
+        ([0.5, 0.4, 0.45, 0.41, 0.42, 0.1], 3, (2, 0.4, True)),
+        ([0.5, 0.6, 0.4, 0.7, 0.3, 0.35], 2, (5, 0.3, False)),
+        ([0.5, 0.6, 0.4, 0.7, 0.3, 0.35, 0.4, 0.1], 2, (5, 0.3, True)),
+        ([0.5, 0.6, 0.7], 2, (1, 0.5, True)),
+        ([0.3, 0.3, 0.3, 0.3, 0.2], 3, (1, 0.3, True)),
+        ([0.3, 0.3, 0.3, 0.2], 3, (4, 0.2, False)),
+        ([0.4], 1, (1, 0.4, False)),
+    ],
+)
+def test_patience(spark, errors, patience, wanted):
+    history = spark.createDataFrame(list(enumerate(errors, 1)), "round int, error double")
+    assert tuple(models.staged_choice(history, patience).first()) == wanted
+
+
+def test_selection(spark):
     scores = spark.createDataFrame([(1.0, 0.3), (2.0, 0.2), (3.0, 0.2)], "alpha double, rmse double")
     assert models.select_best(scores, "alpha").first()["alpha"] == 2.0
 
