@@ -15,8 +15,9 @@ the suffixes at anchors are handled, and every string belongs to exactly one of
 4. The covered bytes of each document are merged and cut out.
 
 Defined cases: a null text is empty; texts shorter than LENGTH are kept whole; rows with equal doc_id are one document
-and never remove each other's bytes; rows with a null doc_id are left as they are and remove nothing; extra columns are
-ignored; an empty table gives an empty result.
+and never remove each other's bytes; rows with a null doc_id are left as they are and remove nothing; very long texts are
+looked at in overlapping steps, so that a task needs about ten times the longest text; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ PREFIX = 8
 # Documents looked at for splitters, and anchors taken from each.
 SAMPLE_DOCUMENTS, SAMPLE_ANCHORS = 20_000, 8
 # Text bytes of which a task reduces the anchors before sending them.
-BLOCK_BYTES = 12 << 20
-# Text bytes whose anchors are found at once, and bytes of records that are sorted at once.
-STEP_BYTES = 1 << 20
-RANGE_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+# Text bytes whose anchors are found at once (which takes about 60 times that), and bytes of records that are sorted at once.
+STEP_BYTES = 1 << 18
+RANGE_BYTES = 1 << 20
+# Text bytes of a group of documents or range of records, which one task holds.
+PART_BYTES = 8 << 20
 
 _PLACE = np.uint64((1 << 31) - 1)
 ANCHORS, REPLIES, TEXTS, RECORDS, SPANS = range(5)
@@ -52,7 +55,24 @@ def _of_document(doc_id: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place and hash of each anchor, and the first and last start of the strings that belong to it."""
+    """Place and hash of each anchor, and the first and last start of the strings that belong to it.
+
+    Long data are looked at in steps that overlap by a string less a byte; an anchor met in two steps is one.
+    """
+    if len(data) < 2 * STEP_BYTES:
+        return _anchors(data, offsets)
+    found = []
+    for a in range(0, len(data) - LENGTH + 1, STEP_BYTES):
+        b = min(a + STEP_BYTES + LENGTH - 1, len(data))
+        inside = offsets[np.searchsorted(offsets, a, side="right") : np.searchsorted(offsets, b)] - a
+        place, hashes, first, last = _anchors(data[a:b], np.concatenate([[0], inside, [b - a]]))
+        found.append((place + a, hashes, first + a, last + a))
+    place, hashes, first, last = (np.concatenate(f) for f in zip(*found, strict=True))
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+    return place[head], hashes[head], first[head], last[np.append(head[1:], len(place)) - 1] if len(place) else last
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
         return none, none.astype(np.uint64), none, none
@@ -195,6 +215,18 @@ def _pieces(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[
         first = last
 
 
+def _overlapping(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """The same with long documents in pieces that overlap by a string less a byte, and the place of the first byte in its
+    document. An anchor's stretch may be cut so; its strings still meet in the sort."""
+    for doc, data, offsets in _pieces(doc, data, offsets):  # noqa: PLR1704, B020
+        if len(doc) > 1 or len(data) < 2 * STEP_BYTES:
+            yield doc, data, offsets, 0
+        else:
+            for a in range(0, len(data) - LENGTH + 1, STEP_BYTES):
+                part = data[a : a + STEP_BYTES + LENGTH - 1]
+                yield doc, part, np.array([0, len(part)]), a
+
+
 def _reduced(doc: np.ndarray, lead: np.ndarray, size: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each record the first record, in ascending document order, that is equal to it; and where each begins."""
     starts = np.cumsum(size) - size
@@ -243,13 +275,13 @@ def _records(buckets: int, splitters: np.ndarray):
             return pa.Table.from_batches([blobs.rows(rows)])
         shared = np.unique(kernel.mix(replies[1] ^ kernel.mix(replies[0].view(np.uint64))))
         found: list[list[np.ndarray]] = []
-        for doc, data, offsets in _pieces(*_texts_of(table)):
+        for doc, data, offsets, skipped in _overlapping(*_texts_of(table)):
             place, hashes, first, last = anchors(data, offsets)
             row = np.searchsorted(offsets, place, side="right") - 1
             own = kernel.found_in(shared, kernel.mix((hashes & ~np.uint64(0xFFFF)) ^ kernel.mix(doc[row].view(np.uint64))))
             place, first, last, row = place[own], first[own], last[own], row[own]
             size = last - first + LENGTH
-            found.append([doc[row], first - offsets[row], place - first, size, data[blobs.flat(first, size)]])
+            found.append([doc[row], first - offsets[row] + skipped, place - first, size, data[blobs.flat(first, size)]])
         if not found or not sum(len(f[0]) for f in found):
             return pa.Table.from_batches([blobs.rows(rows)])
         doc, start, lead, size, body = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -345,10 +377,10 @@ def _cut_out(table: pa.Table) -> pa.Table:
         row = np.repeat(np.arange(len(doc)), count)
         begin = offsets[row] + starts[span]
         end = np.minimum(begin + lengths[span], offsets[row + 1])
-        removed = np.zeros(len(data) + 1, dtype=np.int64)
+        removed = np.zeros(len(data) + 1, dtype=np.int32)
         np.add.at(removed, np.minimum(begin, end), 1)
         np.add.at(removed, end, -1)
-        gone = np.cumsum(removed[:-1]) > 0
+        gone = np.cumsum(removed[:-1], dtype=np.int32) > 0
         runs = gone.copy()
         runs[1:] &= ~gone[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -360,8 +392,8 @@ def _cut_out(table: pa.Table) -> pa.Table:
     return pa.concat_tables([empty, *out])
 
 
-def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
-    """Leading bytes of anchored suffixes that cut a bounded sample into ``parts`` equal parts."""
+def sample_splitters(documents: DataFrame, parts: int, total: int) -> np.ndarray:
+    """Leading bytes of anchored suffixes that cut a bounded sample of ``total`` documents into ``parts`` equal parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, "text", STEP_BYTES):
@@ -374,7 +406,6 @@ def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
             yield kernel.record_batch(prefix=pa.array([data[p : p + PREFIX].tobytes() for p in some], pa.binary()))
 
     # Documents are taken by a hash of their id, so that the sample does not depend on how rows are spread.
-    total = documents.count()
     step = max(1, total // SAMPLE_DOCUMENTS)
     some = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     found = np.sort(np.array([int.from_bytes(r[0], "big") for r in some.mapInArrow(run, "prefix binary").collect()], dtype=np.uint64))
@@ -384,14 +415,15 @@ def sample_splitters(documents: DataFrame, parts: int) -> np.ndarray:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """RESULT of every document: what strings of LENGTH bytes that a smaller document has, too, leave of it."""
     spark = documents.sparkSession
-    # A task sends a row to each part at most, so rows grow with the square of the parts.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = documents.select(F.col("doc_id").cast("long"), "text")
     named, unnamed = table.filter("doc_id is not null"), table.filter("doc_id is null")
+    # A task sends a row to each part at most, so rows grow with the square of the parts.
+    total, size = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     hashes = _hash_docs(named, parts, ANCHORS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
     replies = hashes.unionByName(_hash_docs(named, parts, REPLIES))
     texts = _text_blobs(named, parts)
-    splitters = sample_splitters(named, parts)
+    splitters = sample_splitters(named, parts, total)
     found = replies.unionByName(texts).groupBy("part").applyInArrow(_records(parts, splitters), blobs.SCHEMA)
     spans = found.groupBy("part").applyInArrow(_sorted_bucket(parts), blobs.SCHEMA)
     cut = spans.unionByName(texts).groupBy("part").applyInArrow(_cut_out, RESULT)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,3 +367,36 @@ def test_components_against_plain_python(spark, monkeypatch):
         found = [tuple(r) for r in components.components(table).collect()]
         assert len(found) == len(want) and dict(found) == want
     assert components.components(table.limit(0)).count() == 0
+
+
+def test_anchors_of_long_texts_in_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [30, 40_000, 0, 49, 50, 9_000, 200]
+    data = rng.integers(97, 101, sum(sizes)).astype(np.uint8)
+    data[500:900] = 97  # ties
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    whole = suffix_dedup._anchors(data, offsets)
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 700)
+    for one, two in zip(whole, suffix_dedup.anchors(data, offsets), strict=True):
+        assert one.tolist() == two.tolist()
+
+
+def test_memory_of_anchors_of_a_long_text():
+    data = np.random.default_rng(7).integers(97, 123, 20 << 20).astype(np.uint8)
+    suffix_dedup.anchors(data[: 1 << 20], np.array([0, 1 << 20]))
+    tracemalloc.start()
+    suffix_dedup.anchors(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data)
+
+
+def test_repeats_across_the_steps_of_a_long_text(spark):
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefgh ", np.uint8)
+    long = letters[rng.integers(0, 9, 3 << 20)].tobytes().decode()
+    passage = long[(1 << 18) - 100 : (1 << 18) + 150]
+    rows = [(2, long), (1, "x" * 60 + passage), (3, long[: 1 << 20] + "end"), (4, None)]
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1]["n_removed"], found[2]["n_removed"], found[2]["n_spans"]) == (0, 250, 1)
+    assert (found[3]["n_removed"], found[3]["n_spans"], found[4]["n_bytes"]) == (1 << 20, 1, 0)
