@@ -273,14 +273,14 @@ def labelled_union(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("set_difference", """
-SELECT DISTINCT l_suppkey AS building_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01'
-EXCEPT SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-08'""")
+@query("set_difference", with_("""
+sales AS (SELECT l_partkey AS building_id, l_shipdate AS timestamp FROM lineitem)""", split_of("sales", []), """
+SELECT DISTINCT building_id FROM prepared WHERE split = 'test' EXCEPT SELECT building_id FROM prepared WHERE split = 'valid'"""))
 def set_difference(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "building_id")
-    late = rows.filter("l_shipdate >= timestamp_ntz'2001-10-01'").select("building_id")
-    early = rows.filter("l_shipdate < timestamp_ntz'1995-01-08'").select("building_id")
-    return late.subtract(early)
+    sales = stand_ins.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("building_id"), F.col("l_shipdate").alias("timestamp"))
+    rows = splits.time_split(sales, "timestamp", slice_days=384)
+    of = lambda name: rows.filter(F.col("split") == name).select("building_id")
+    return of("test").subtract(of("valid"))
 
 
 RATIO_LIMIT = 1.34

@@ -51,12 +51,11 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("dictionary_join", """
-WITH codes AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority
-  FROM orders WHERE o_orderstatus = 'F'))
+WITH codes AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders))
 SELECT o_orderkey, code FROM orders LEFT JOIN codes USING (o_orderpriority)""")
 def dictionary_join(spark: SparkSession, folder: str) -> DataFrame:
     orders = stand_ins.table(spark, folder, "orders")
-    codes = enrich.value_codes(orders.filter("o_orderstatus = 'F'"), "o_orderpriority")
+    codes = enrich.value_codes(orders, "o_orderpriority")
     return orders.join(codes, "o_orderpriority", "left").select("o_orderkey", F.col("code").cast("bigint").alias("code"))
 
 
@@ -71,37 +70,41 @@ def node_reindex(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("building_id", "site_id", "primary_use", "floor_count")
 
 
-NODES = """nodes AS (SELECT building_id, row_number() OVER (ORDER BY building_id) - 1 AS node
-  FROM (SELECT DISTINCT building_id FROM readings WHERE meter = 'signup'))"""
+# Order lines by shipping day: an order is known if one of its lines lies in the training split.
+SHIPMENTS = """shipments AS (SELECT l_orderkey AS building_id, l_linenumber AS line, l_shipdate AS timestamp FROM lineitem)"""
 
 
-@query("node_lookup", with_(READINGS, NODES, """
-SELECT building_id, timestamp, coalesce(node, -1) AS node FROM readings LEFT JOIN nodes USING (building_id) WHERE meter = 'purchase'"""))
+def shipments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stand_ins.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("building_id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("timestamp")
+    )
+    return splits.time_split(rows, "timestamp", slice_days=384)
+
+
+@query("node_lookup", with_(SHIPMENTS, split_of("shipments", []), """
+nodes AS (SELECT building_id, row_number() OVER (ORDER BY building_id) - 1 AS node FROM (SELECT DISTINCT building_id FROM prepared WHERE split = 'train'))""", """
+SELECT building_id, line, timestamp, coalesce(node, -1) AS node FROM prepared LEFT JOIN nodes USING (building_id)"""))
 def node_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.readings(spark, folder)
-    located = enrich.locate_nodes(rows.filter("meter = 'purchase'"), rows.filter("meter = 'signup'"))
-    return located.select("building_id", "timestamp", F.col("node").cast("bigint").alias("node"))
+    rows = shipments(spark, folder)
+    located = enrich.locate_nodes(rows, rows.filter("split = 'train'"))
+    return located.select("building_id", "line", "timestamp", F.col("node").cast("bigint").alias("node"))
 
 
-@query("unknown_node_counts", with_(READINGS, split_of("readings", ["meter"]), """
-nodes AS (SELECT DISTINCT building_id FROM prepared WHERE split = 'train' AND meter = 'click')""", """
+@query("unknown_node_counts", with_(SHIPMENTS, split_of("shipments", []), """
+nodes AS (SELECT DISTINCT building_id FROM prepared WHERE split = 'train')""", """
 SELECT split, count(*) AS raw_row_count, count(n.building_id) AS included_row_count,
   count(*) - count(n.building_id) AS unknown_node_row_count
 FROM prepared p LEFT JOIN nodes n USING (building_id) GROUP BY 1"""))
 def unknown_node_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = splits.time_split(stand_ins.readings(spark, folder), "timestamp", ["meter"])
-    nodes = rows.filter("split = 'train' AND meter = 'click'")
-    return enrich.unknown_node_counts(enrich.locate_nodes(rows, nodes), ["split"])
+    rows = shipments(spark, folder)
+    return enrich.unknown_node_counts(enrich.locate_nodes(rows, rows.filter("split = 'train'")), ["split"])
 
 
-@query("unseen_entities", """
-SELECT DISTINCT l_partkey AS building_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01'
-  AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')""")
+@query("unseen_entities", with_(SHIPMENTS, split_of("shipments", []), """
+SELECT DISTINCT building_id FROM prepared WHERE split = 'test' AND building_id NOT IN (SELECT building_id FROM prepared WHERE split <> 'test')"""))
 def unseen_entities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stand_ins.table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "building_id")
-    return enrich.unseen_entities(
-        rows.filter("l_shipdate >= timestamp_ntz'2001-06-01'"), rows.filter("l_shipdate < timestamp_ntz'1996-01-01'")
-    )
+    rows = shipments(spark, folder)
+    return enrich.unseen_entities(rows.filter("split = 'test'"), rows.filter("split <> 'test'"))
 
 
 @query("panel_grid", with_(SUPPLIER_DAYS, """
