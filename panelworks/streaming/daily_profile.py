@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelworks.functions.calendar import DAY, epoch_seconds
 from panelworks.scale import scratch_path
@@ -45,52 +45,82 @@ def daily_profile(
     )
 
 
-def write_in_order(rows: DataFrame, ts: str, slices: int, label: str) -> str:
-    """Write rows as files of a folder, one time slice after the other, for a stream to read in that order."""
+def write_in_order(rows: DataFrame, ts: str, slices: int, label: str) -> Iterator[str]:
+    """Write rows into a folder, one time slice after the other; the folder is given after each slice, for a stream to read.
+
+    A slice is as many files as the shuffle has partitions, each a range of times.
+    """
     folder = scratch_path(rows.sparkSession, label)
     second = epoch_seconds(F.col(ts))
     first, last = rows.agg(F.min(second), F.max(second)).first()
     if first is None:
         rows.write.parquet(folder)
-        return folder
+        yield folder
+        return
     step = (last - first) // slices + 1
     for start in range(first, last + 1, step):
         part = rows.filter((second >= start) & (second < start + step))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        part.repartitionByRange(ts).write.mode("append").parquet(folder)
+        yield folder
 
 
 def run_to_table(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Drain the available input and return the result so far.
+    """Drain the available input and return the result so far; a run with the ``folder`` of an earlier one goes on there.
 
-    Each batch is written to its own folder named by its number, so a repeated batch overwrites itself and the result is
-    exactly once. A run with the ``folder`` of an earlier one goes on where that stopped, and returns the batches of both.
-    In update mode the last row of each of ``keys`` counts.
+    In append mode each batch is written to its own folder named by its number, so a repeated batch overwrites itself and the
+    result is exactly once. In update mode there is one current table with a row of each of ``keys``: a batch is merged into
+    the version before it and written as the version of its own number, so a repeated batch makes the same version again.
+    Readers take the newest finished version; all but the one before it are removed.
     """
     spark = stream.sparkSession
     folder = folder or scratch_path(spark, label)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number:012d}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number:012d}")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        earlier = [v for v in _versions(session, folder) if v < number]
+        rows = batch
+        if earlier:
+            old = session.read.schema(stream.schema).parquet(_version(folder, earlier[-1]))
+            same = [old[k].eqNullSafe(batch[k]) for k in keys]
+            rows = old.join(batch, same, "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(_version(folder, number))
+        for version in earlier[:-1]:
+            _files(session, folder)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(_version(folder, version)), True)
 
     query = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(keep)
+        .foreachBatch(merge if mode == "update" else keep)
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
-    if not _written(spark, folder):
-        return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
     if mode == "update":
-        last = F.max_by(F.struct(*stream.columns), "_batch").alias("_last")
-        return rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(last).select("_last.*")
-    return rows.drop("_batch")
+        versions = _versions(spark, folder)
+        return spark.read.schema(stream.schema).parquet(_version(folder, versions[-1])) if versions else spark.createDataFrame([], stream.schema)
+    files, path = _files(spark, f"{folder}/rows")
+    if not files.exists(path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _version(folder: str, number: int) -> str:
+    return f"{folder}/current/version={number:012d}"
 
 
-def _written(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished versions of a current table, in order."""
+    files, path = _files(spark, f"{folder}/current")
+    if not files.exists(path):
+        return []
+    numbers = [int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(path)]
+    jvm = spark.sparkContext._jvm
+    return sorted(n for n in numbers if files.exists(jvm.org.apache.hadoop.fs.Path(f"{_version(folder, n)}/_SUCCESS")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelworks.operators import graph, models, removal, ridge
 from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
 from panelworks.scale import attach
-from panelworks.streaming.continuity_state import continuity_stream
+from panelworks.streaming.continuity_state import continuity_stream, late_rows, placed
 from panelworks.streaming.daily_profile import daily_profile, read_file_stream, run_to_table
 
 METRIC = attribute_metric(equal={"site": 0.6}, near={"size": (0.4, 2.0)})
@@ -270,6 +270,42 @@ def test_continuity_state_over_several_batches(spark, tmp_path):
     assert not any(e for (k, _), e in flags.items() if k == 2) and len(flags) == 20
 
 
+def _continuity(spark, source, folder, hours, watermark):
+    rows = [(k, h) for k, own in hours.items() for h in own]
+    table = spark.createDataFrame(rows, "key int, h int").selectExpr("key", "timestamp_ntz'2016-01-01 00:00:00' + make_dt_interval(0, h) AS timestamp")
+    table.coalesce(1).write.mode("append").parquet(source)
+    stream = read_file_stream(spark, source, "*.parquet", table.schema)
+    return run_to_table(continuity_stream(stream, ["key"], "timestamp", 2, watermark=watermark), "ends", "append", folder)
+
+
+def test_finished_series_leave_no_state_and_late_rows_leave_by_the_side(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/out"
+    state = lambda: {r["key"]["key"]: r["value"]["groupState"]["length"] for r in spark.read.format("statestore").load(f"{folder}/state").collect()}
+    _continuity(spark, source, folder, {1: [0, 1, 2], 2: [0, 1, 2]}, "3 hours")
+    assert state() == {1: 3, 2: 3}
+    # Series 1 has ended; series 2 brings a row that it had already, and one from before its last.
+    rows = _continuity(spark, source, folder, {2: [3, 2, 4, 1]}, "3 hours")
+    assert sorted((r["key"], r["timestamp"].hour) for r in late_rows(rows).collect()) == [(2, 1), (2, 2)]
+    _continuity(spark, source, folder, {2: [5, 6, 7, 8]}, "3 hours")
+    rows = _continuity(spark, source, folder, {2: [9], 3: [9]}, "3 hours")
+    assert state() == {2: 10, 3: 1}
+    got = {(r["key"], r["timestamp"].hour): (r["run_position"], r["evaluable"]) for r in placed(rows).collect()}
+    assert got == {(2, h): (h, h >= 2) for h in range(10)} | {(1, h): (h, h >= 2) for h in range(3)} | {(3, 9): (0, False)}
+
+
+def test_current_table_holds_one_row_a_key_and_few_versions(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in range(5):
+        spark.range(part * 30, part * 30 + 30).selectExpr(
+            "timestamp_ntz'2016-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) AS ts", "nullif(id % 3, 2) AS meter", "cast(id as double) AS v"
+        ).write.mode("append").parquet(source)
+        table = spark.read.parquet(source)
+        profile = daily_profile(read_file_stream(spark, source, "*.parquet", table.schema), "ts", "v", ["meter"])
+        current = run_to_table(profile, "current", "update", folder, ["date", "meter"])
+        assert sorted(map(tuple, current.collect()), key=str) == sorted(map(tuple, daily_profile(table, "ts", "v", ["meter"]).collect()), key=str)
+    assert len(list((tmp_path / "out" / "current").iterdir())) <= 2
+
+
 def test_streamed_profile_equals_batch(spark, tmp_path):
     source = f"{tmp_path}/events"
     for part in range(3):
