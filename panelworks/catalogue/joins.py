@@ -10,6 +10,7 @@ from panelworks.catalogue.sql import (
 )
 from panelworks.operators import continuity, enrich, splits
 from panelworks.plans.preparation import build_features
+from panelworks.scale import cut_lineage
 from panelworks.sources import stand_ins
 
 
@@ -122,6 +123,17 @@ def panel_grid(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("panel_gaps", with_(SUPPLIER_DAYS, """
+times AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS place FROM (SELECT DISTINCT timestamp FROM supplier_days))""", """
+missing AS (SELECT building_id, timestamp, place, place - row_number() OVER (PARTITION BY building_id ORDER BY place) AS island
+  FROM times CROSS JOIN (SELECT DISTINCT building_id FROM supplier_days) ANTI JOIN supplier_days USING (building_id, timestamp))""", """
+SELECT building_id, min(timestamp) AS first_missing, max(timestamp) AS last_missing, count(*) AS cells FROM missing GROUP BY building_id, island"""))
+def panel_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut_lineage(stand_ins.supplier_days(spark, folder), "days")
+    gaps = enrich.gap_intervals(rows, rows.select("building_id"), slice_days=384)
+    return gaps.withColumn("cells", F.col("cells").cast("bigint"))
+
+
 @query("history_stitch", with_(METER_HOURS, split_of("meter_hours", ["meter"]), runs_of("prepared", ["meter"]), """
 first AS (SELECT meter, split, min(timestamp) AS first_ts FROM runs WHERE split <> 'train' GROUP BY 1, 2)""", """
 SELECT meter, f.split, first_ts, least(run_position, 24) AS history_rows,

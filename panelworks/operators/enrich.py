@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelworks.functions.bins import beaufort_number, compass_sector
 from panelworks.functions.calendar import calendar_columns
-from panelworks.operators.ordering import SLICE_DAYS, time_slice
+from panelworks.operators.ordering import SLICE_DAYS, row_positions
 from panelworks.scale import BROADCAST_ROW_LIMIT, attach, cut_lineage
 
+# Numbers of timestamps that are ordered together when gaps are looked for.
+GAP_POSITIONS = 4096
+
 
 def join_buildings(readings: DataFrame, buildings: DataFrame, entity: str = "building_id") -> DataFrame:
     """Left join of the building attributes.
@@ -125,6 +128,47 @@ def unseen_entities(later: DataFrame, earlier: DataFrame, entity: str = "buildin
     return later.select(entity).distinct().join(earlier.select(entity).distinct(), entity, "left_anti")
 
 
+def _gaps(readings: DataFrame, nodes: DataFrame, keys: list[str], entity: str, ts: str, slice_days: int) -> tuple[DataFrame, DataFrame]:
+    """Stretches of missing cells per node as first and last position, and the positions of the timestamps per key.
+
+    Timestamps that occur are numbered; what lies between one observed number of a node and its next one is a gap. Only
+    observed rows are ordered, in parts of GAP_POSITIONS numbers; the first number of each part is ordered over the series.
+    """
+    times = cut_lineage(row_positions(readings.select(*keys, ts).distinct(), keys, ts, "_position", slice_days=slice_days), "panel-times")
+    totals = times.groupBy(*keys).agg(F.count("*").alias("_total"))
+    observed = readings.select(*keys, entity, ts).distinct().join(nodes, [*keys, entity], "left_semi").join(times, [*keys, ts]).select(*keys, entity, "_position")
+    start = nodes.withColumn("_position", F.lit(-1).cast(dict(times.dtypes)["_position"]))
+    rows = observed.unionByName(start).withColumn("_part", F.floor((F.col("_position") + 1) / GAP_POSITIONS))
+    inside = Window.partitionBy(*keys, entity, "_part").orderBy("_position")
+    parts = Window.partitionBy(*keys, entity).orderBy("_part")
+    later = rows.groupBy(*keys, entity, "_part").agg(F.min("_position").alias("_first")).select(*keys, entity, "_part", F.lead("_first").over(parts).alias("_later"))
+    ended = rows.withColumn("_next", F.lead("_position").over(inside)).join(later, [*keys, entity, "_part"])
+    ended = ended.join(totals, keys) if keys else ended.withColumn("_total", totals.scalar())
+    following = F.coalesce("_next", "_later", "_total")
+    gaps = ended.select(*keys, entity, (F.col("_position") + 1).alias("_from"), (following - 1).alias("_to")).filter("_from <= _to")
+    return gaps, times
+
+
+def gap_intervals(
+    readings: DataFrame,
+    nodes: DataFrame,
+    entity: str = "building_id",
+    ts: str = "timestamp",
+    keys: Sequence[str] = (),
+    slice_days: int = SLICE_DAYS,
+) -> DataFrame:
+    """Missing cells of the panel as stretches: node, first and last missing timestamp, and their number.
+
+    The panel is every node of ``nodes`` (keys and entity) at every timestamp that occurs for its keys. No cell is made.
+    """
+    keys = list(keys)
+    gaps, times = _gaps(readings, nodes.select(*keys, entity).distinct(), keys, entity, ts, slice_days)
+    at = lambda place, name: times.select(*keys, F.col("_position").alias(place), F.col(ts).alias(name))
+    return gaps.join(at("_from", "first_missing"), [*keys, "_from"]).join(at("_to", "last_missing"), [*keys, "_to"]).select(
+        *keys, entity, "first_missing", "last_missing", (F.col("_to") - F.col("_from") + 1).alias("cells")
+    )
+
+
 def complete_panel(
     readings: DataFrame,
     nodes: DataFrame,
@@ -136,27 +180,13 @@ def complete_panel(
     """Every node at every timestamp that occurs, with ``observed`` marking the rows that exist.
 
     ``nodes`` has the columns ``keys`` and ``entity``; rows of other nodes are left out. Existing rows
-    pass through unshuffled. Only the missing cells are made: per node and time slice, the timestamps
-    of the slice minus those the node has, both arrays bounded by the hours of a slice.
+    pass through unshuffled. Missing cells are stretches between observed rows, made into rows here.
     """
     keys = list(keys)
     nodes = nodes.select(*keys, entity).distinct()
-    stamps = readings.select(*keys, entity, ts).withColumn("_slice", time_slice(F.col(ts), slice_days))
-    times = stamps.select(*keys, "_slice", ts).distinct().groupBy(*keys, "_slice").agg(F.collect_set(ts).alias("_times"))
-    present = stamps.groupBy(*keys, entity, "_slice").agg(F.collect_set(ts).alias("_present"))
-    if keys:
-        spread = attach(nodes, times.groupBy(*keys).agg(F.collect_set("_slice").alias("_slices")), keys, "inner")
-    else:
-        spread = nodes.withColumn("_slices", times.agg(F.collect_set("_slice")).scalar())
-    spread = spread.select(*nodes.columns, F.explode("_slices").alias("_slice"))
-    # a row of this side holds a whole slice of timestamps, so it is broadcast only when very short
-    cells = attach(spread, times, [*keys, "_slice"], "inner")
-    absent = F.when(F.col("_present").isNull(), F.col("_times")).otherwise(F.array_except("_times", "_present"))
-    missing = (
-        cells.join(present, [*keys, entity, "_slice"], "left")
-        .select(*nodes.columns, F.explode(absent).alias(ts))
-        .withColumn("observed", F.lit(False))
-    )
+    gaps, times = _gaps(readings, nodes, keys, entity, ts, slice_days)
+    cells = gaps.select(*keys, entity, F.explode(F.sequence("_from", "_to")).alias("_position"))
+    missing = cells.join(times, [*keys, "_position"]).select(*keys, entity, ts).withColumn("observed", F.lit(False))
     known = readings.join(nodes, [*keys, entity], "left_semi").withColumn("observed", F.lit(True))
     return known.unionByName(missing, allowMissingColumns=True)
 

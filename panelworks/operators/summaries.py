@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelworks.functions.bins import equal_width_bin
 from panelworks.functions.calendar import floor_day
 from panelworks.functions.scaling import percent, to_number
-from panelworks.scale import attach
+from panelworks.scale import attach, cut_lineage
 
 
 def daily_totals(df: DataFrame, keys: Sequence[str], ts="timestamp", value="meter_reading") -> DataFrame:
@@ -180,51 +180,50 @@ def top_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), accuracy: int = 10_000, slack: float | None = None) -> DataFrame:
-    """Exact interpolated median per group without gathering a group in one task.
+def exact_median(df: DataFrame, column: str, groups: Sequence[str] = (), most: int = 10_000, ranges: int = 4096) -> DataFrame:
+    """Exact interpolated median of finite numbers per group, by selection: no group is ever ordered as a whole.
 
-    A quantile sketch, merged map-side, brackets the middle: its rank error is at most
-    rows / accuracy. Only the values inside the bracket, already counted per value, are ranked. Counts below and inside
-    the bracket are compared with the ranks wanted: a bracket that misses the middle is an error, never a wrong median.
+    A group is cut into ``ranges`` ranges of equal width; their counts, summed before the shuffle, tell the range that holds the
+    middle, and only that is cut again, until it has at most ``most`` rows or one value. Those rows alone are ranked. Each
+    step reads the table once; 10^9 rows need two steps, and no table of doubles more than six.
     """
     groups = list(groups)
+    keys = groups or ["_all"]
     value = df.select(*groups, F.col(column).alias("_v")).filter("_v IS NOT NULL")
-    slack = 2.0 / accuracy if slack is None else slack
-    sketch = value.groupBy(*groups).agg(
-        F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"), F.count("*").alias("_n")
-    )
-    # the sketch rounds to existing values; widen by one rank on each side for tiny groups
-    bracket = sketch.select(
-        *groups,
-        F.when(F.col("_n") > accuracy, F.col("_q")[0]).alias("_low"),
-        F.when(F.col("_n") > accuracy, F.col("_q")[1]).alias("_high"),
-        "_n",
-    )
-    if groups:
-        marked = attach(value, bracket, groups)
-    else:
-        row = bracket.first()
-        marked = value.withColumns(
-            {c: F.lit(row[c]).cast(bracket.schema[c].dataType) for c in ("_low", "_high", "_n")}
-        )
-    below = F.coalesce(F.col("_v") < F.col("_low"), F.lit(False))
-    above = F.coalesce(F.col("_v") > F.col("_high"), F.lit(False))
-    counted = (
-        marked.filter(~above)
-        .groupBy(*groups, "_n", F.when(~below, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto))
+    value = value if groups else value.withColumn("_all", F.lit(0))
+    whole = value.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    bounds = cut_lineage(whole.withColumns({"_below": F.lit(0).cast("bigint"), "_inside": F.col("_n")}), "median-bounds")
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-
-    def at(rank):
-        return F.min(F.when((F.col("_upto") >= rank) & F.col("_v").isNotNull(), F.col("_v")))
-
-    below_bracket = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0))
-    hit = (below_bracket < F.min(lower)) & (F.sum("_c") >= F.min(upper))
-    missed = F.raise_error(F.lit("the bracket misses the median: raise the accuracy")).cast("double")
-    return ranked.groupBy(*groups).agg(F.when(hit, (at(lower) + at(upper)) / 2).otherwise(missed).alias("median"))
+    is_open = (F.col("_inside") > most) & (F.col("_low") < F.col("_high"))
+    while not bounds.filter(is_open).isEmpty():
+        inside = attach(value, bounds.filter(is_open), keys, "inner").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        # Halves, so that the width of no range overflows.
+        share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        counted = inside.groupBy(*keys, "_n", "_below", F.least(F.floor(share * ranges), F.lit(ranges - 1)).alias("_range")).agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")
+        )
+        in_order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumn("_upto", F.sum("_c").over(in_order) + F.col("_below"))
+        holding = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.struct("_range", "_upto", "_c", "_first", "_last")))
+        found = ranked.groupBy(*keys, "_n").agg(holding(lower).alias("_a"), holding(upper).alias("_b"))
+        # In two ranges the middle is the last value of one and the first of the other.
+        apart = F.col("_a._range") < F.col("_b._range")
+        narrowed = found.select(
+            *keys, "_n",
+            F.when(apart, F.col("_a._last")).otherwise(F.col("_a._first")).alias("_low"),
+            F.when(apart, F.col("_b._first")).otherwise(F.col("_a._last")).alias("_high"),
+            (F.col("_a._upto") - F.col("_a._c")).alias("_below"), F.when(apart, 0).otherwise(F.col("_a._c")).cast("bigint").alias("_inside"),
+        )
+        bounds = cut_lineage(bounds.filter(~is_open).unionByName(narrowed), "median-bounds")
+    # Known already: both middle values, or the only one.
+    known = bounds.filter((F.col("_inside") == 0) | (F.col("_low") == F.col("_high"))).select(*groups, ((F.col("_low") + F.col("_high")) / 2).cast("double").alias("median"))
+    rest = bounds.filter((F.col("_inside") > 0) & (F.col("_low") < F.col("_high")))
+    few = attach(value, rest, keys, "inner").filter(F.col("_v").between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_n", "_below", "_v").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = few.withColumn("_upto", F.sum("_c").over(upto) + F.col("_below"))
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    middle = placed.groupBy(*keys, "_n").agg(((at(lower) + at(upper)) / 2).cast("double").alias("median"))
+    return known.unionByName(middle.select(*groups, "median"))
 
 
 def fill_with_median(df: DataFrame, columns: Sequence[str], default: float) -> DataFrame:
