@@ -3,8 +3,9 @@
 Every document gets a few counts of its whole text. Ratios of these counts are summarised per language and source by
 mergeable logarithmic histograms (quantile sketches of bounded relative error): a sketch is a set of (bin, count) rows,
 and merging is a sum, so a hot source is summed before the shuffle and the result does not depend on the order of rows.
-Each limit is a fence beyond the upper quartile of the document's own group; groups with few documents use the sketch of
-their language, and small languages the sketch of all. Documents are then joined with the limits of their group.
+Each limit is a fence beyond the upper quartile of the document's own group, drawn towards that of its language, and this
+towards that of all, the more the fewer documents there are: of n documents the own fence counts n / (n + PRIOR). Documents
+are then joined with the limits of their group.
 
 Defined cases: a null or empty text has no words and fails the base rule; null language or source is a group of its own;
 repeated rows are judged each for itself; extra columns are ignored; an empty table gives an empty result.
@@ -30,8 +31,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 BIN_WIDTH = 0.05
 # Ratios below this count as zero.
 SMALLEST = 1e-4
-# Documents that a group needs for a sketch of its own.
-GROUP_MINIMUM = 200
+# Documents with which a group's own fence counts as much as the coarser one.
+PRIOR = 200
 # Quartile distances above the upper quartile, and the least distance per ratio.
 FENCE = 4.0
 LEAST_DISTANCE = {"symbol_ratio": 0.05, "duplicate_line_ratio": 0.1, "repeat_ratio": 0.04, "word_length": 1.0}
@@ -157,16 +158,15 @@ def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def adaptive_limits(counts: DataFrame) -> DataFrame:
-    """Limits of every (lang, source): its own, or those of its language or of all where it has too few documents."""
+    """Limits of every (lang, source): its own fences and those of its language and of all, weighed by their documents."""
     fine = cut_lineage(sketches(counts, ["lang", "source"]), "quality-sketch")
     own = limits(fine, ["lang", "source"])
     of_lang = limits(merged(fine, ["lang"]), ["lang"])
     of_all = limits(merged(fine, []), []).first()  # a handful of numbers
     rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
     joined = own.join(rename(of_lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    pick = lambda r: (
-        F.when(F.col("n_documents") >= GROUP_MINIMUM, F.col(r)).when(F.col("l_n_documents") >= GROUP_MINIMUM, F.col(f"l_{r}")).otherwise(F.lit(of_all[r]).cast("double"))
-    )
+    blend = lambda n, own, coarser: (n * own + PRIOR * coarser) / (n + PRIOR)
+    pick = lambda r: blend(F.col("n_documents"), F.col(r), blend(F.col("l_n_documents"), F.col(f"l_{r}"), F.lit(of_all[r]).cast("double")))
     return joined.select("lang", "source", *(pick(r).alias(f"{r}_limit") for r in RATIOS))
 
 

@@ -1,6 +1,7 @@
 """Operators on texts against plain Python."""
 
 import hashlib
+import math
 import re
 import tracemalloc
 import zlib
@@ -236,6 +237,49 @@ def test_quality_counts_and_limits(documents, corpus, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def _ratios(r):
+    words, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+    return {"symbol_ratio": r["n_symbols"] / words, "duplicate_line_ratio": r["n_dup_lines"] / lines, "repeat_ratio": r["n_repeat_words"] / words, "word_length": r["word_chars"] / words}
+
+
+def _fences(rows):
+    """Upper fence per ratio from logarithmic bins, and the number of documents."""
+    out = {}
+    for ratio, least in quality_rules.LEAST_DISTANCE.items():
+        values = [_ratios(r)[ratio] for r in rows]
+        bins = sorted(-(10**9) if v < quality_rules.SMALLEST else math.floor(math.log(v) / quality_rules.BIN_WIDTH) for v in values)
+
+        def quantile(share):
+            at = bins[max(0, math.ceil(share * len(bins)) - 1)]
+            return 0.0 if at == -(10**9) else math.exp((at + 0.5) * quality_rules.BIN_WIDTH)
+
+        low, high = quantile(0.25), quantile(0.75)
+        out[ratio] = high + quality_rules.FENCE * max(high - low, least)
+    return len(rows), out
+
+
+def test_quality_limits_and_verdicts_against_plain_python(documents, corpus):
+    judged = [r.asDict() for r in quality_rules.judge(documents).collect()]
+    of = {(d, t): (lang, source) for d, t, lang, source, _ in corpus}
+    groups = {r["doc_id"]: next(v for (d, _), v in of.items() if d == r["doc_id"]) for r in judged}
+    full = [r for r in judged if r["n_words"]]
+    blend = lambda n, own, coarser: {k: (n * own[k] + quality_rules.PRIOR * coarser[k]) / (n + quality_rules.PRIOR) for k in own}
+    _, all_ = _fences(full)
+    verdicts = Counter()
+    for r in judged:
+        lang, source = groups[r["doc_id"]]
+        own = [x for x in full if groups[x["doc_id"]] == (lang, source)]
+        if not own:
+            continue
+        limits = blend(*_fences(own), blend(*_fences([x for x in full if groups[x["doc_id"]][0] == lang]), all_))
+        for ratio, limit in limits.items():
+            assert math.isclose(r[f"{ratio}_limit"], limit, rel_tol=1e-9), (r, ratio)
+        within = all(_ratios(r)[k] <= limits[k] for k in limits)
+        assert r["kept"] == (within and not r["base_failed"])
+        verdicts[r["base_failed"], r["kept"]] += 1
+    assert verdicts[False, True] > 30 and verdicts[True, False]
+
+
 def test_sketches_merge_to_the_sketch_of_all(documents):
     counts = quality_rules.text_counts(documents, ("lang", "source"))
     rows = lambda df: Counter((r["ratio"], r["bin"], r["n"]) for r in df.collect())
