@@ -4,7 +4,8 @@
    linked sets of its size can differ in, so that two linked nodes have a whole part in common. Nodes that share a part
    belong to one family; every other pair is ruled out. Part hashes travel packed, and tasks reduce what they share.
 2. A family of more than BLOCK nodes is first tried against the smallest node of each part; if that links all of it, it
-   is done. What remains is cut into blocks of BLOCK nodes, and every pair of blocks of a family is one task.
+   is done. Otherwise it gives way to overlapping families, one about each smallest node, so that chains of shared parts do
+   not bring all their nodes together. Families are cut into blocks of BLOCK nodes; every pair of blocks is one task.
 3. A task builds a signature tree over each block: a tree node holds the OR (and the AND) of the token bitmaps below it
    and the range of set sizes. Both trees are descended together; a pair of tree nodes is dropped when the largest
    possible overlap is too small, or when all below is one component already. What is left is compared exactly.
@@ -400,6 +401,18 @@ def _tested(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _neighbourhoods(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, family): a large family in overlapping parts, one about each smallest holder of a key.
+
+    Tasks send the smallest of their own holders of a key, which is told the smallest of all: every holder is at most two steps
+    from that one. So all nodes that share a key are in the part of its smallest holder, however long the chains of a family.
+    """
+    itself = nodes.select("node", F.col("node").alias("family"))
+    direct = itself.unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("family")))
+    further = direct.withColumnRenamed("family", "a").join(stars, "a").select("node", F.col("b").alias("family"))
+    return direct.unionByName(further).distinct()
+
+
 def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between nodes that hold the components of all links together."""
     spark = documents.sparkSession
@@ -416,9 +429,12 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     member = families.withColumn("component", F.col("node"))
     tried = None
     if not large.isEmpty():
-        tried = cut_lineage(_tested(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), involved, rule), "tree-tried")
+        within = cut_lineage(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "tree-stars")
+        tried = cut_lineage(_tested(within, involved, rule), "tree-tried")
         known = components(tried)
-        member = families.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+        small = families.join(large.select("node"), "node", "left_anti")
+        grouped = cut_lineage(small.unionByName(_neighbourhoods(large.select("node"), within)), "tree-groups")
+        member = grouped.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     # A family that is one component is done. In the others a component of more than BLOCK nodes is a unit of its own, whose
     # blocks meet those of other units only; the nodes of all smaller components are one unit, whose blocks meet all.
     of_component = member.groupBy("family", "component").agg(F.count("*").alias("n"))

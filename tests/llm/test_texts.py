@@ -182,6 +182,18 @@ def test_join_of_a_large_family_goes_through_blocks(spark):
     assert Counter(map(tuple, found.collect())) == _smallest(rows, 3, 90)
 
 
+def test_join_of_a_long_chain_of_shared_parts(spark):
+    # Each text shares most of its words with the next one, too few for a link; here and there two are closer.
+    rows, at = [], 0
+    for i in range(420):
+        at += 3 if i % 9 == 0 else 14
+        rows.append((i, " ".join(f"w{k}" for k in range(at, at + 200)), None, None, None))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    found = Counter(map(tuple, signature_tree.join_components(table).collect()))
+    assert found == _smallest(rows, 3, 90)
+    assert 300 < len({r[2] for r in found}) < 420
+
+
 def test_language_model(spark, documents, corpus, nothing):
     texts = documents.select("text")
     model = kneser_ney.train(texts)
