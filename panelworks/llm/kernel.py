@@ -38,6 +38,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             last = max(first + 1, int(np.searchsorted(step, before + limit, side="right")))
             yield batch.slice(first, last - first)
             first = last
+    # The worker lives on; what this task has freed is for the executor's other tasks.
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

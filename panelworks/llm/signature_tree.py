@@ -40,7 +40,9 @@ SPARE, SURE = 3, 6
 # Nodes of a block, fan-out of a tree, bits of a signature.
 BLOCK, FAN_OUT, BITS = 256, 8, 2048
 # Text bytes whose keys a task reduces before sending them.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+# Text bytes of a part of nodes, which one task holds, and pairs of texts that it opens at once.
+PART_BYTES, TESTED = 8 << 20, 64
 _KEYS, _REPLIES, _TEXTS = range(3)
 
 
@@ -391,8 +393,8 @@ def _tested(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                some = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, TESTED):
+                some = batch.slice(first, TESTED)
                 sets = [_sets_of(some.column(c).to_pylist(), rule) for c in ("text_a", "text_b")]
                 linked = [_linked(*(v[o[k] : o[k + 1]] for v, o in sets), rule) for k in range(some.num_rows)]
                 yield kernel.record_batch(a=some.column("a").filter(pa.array(linked, pa.bool_())), b=some.column("b").filter(pa.array(linked, pa.bool_())))
@@ -417,7 +419,8 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links between nodes that hold the components of all links together."""
     spark = documents.sparkSession
     # A task sends a row to each part at most, so rows grow with the square of the parts.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     keys = _keys(documents, rule, parts, _KEYS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
     replies = keys.unionByName(_keys(documents, rule, parts, _REPLIES))
     gathered = replies.unionByName(_text_rows(documents, rule, parts)).groupBy("part").applyInArrow(_involved, _INVOLVED)
