@@ -43,6 +43,8 @@ BLOCK, FAN_OUT, BITS = 256, 8, 2048
 BLOCK_BYTES = 8 << 20
 # Text bytes of a part of nodes, which one task holds, and pairs of texts that it opens at once.
 PART_BYTES, TESTED = 8 << 20, 64
+# Text bytes whose shingles are formed at once, which takes about 60 times that.
+STEP_BYTES = 1 << 19
 _KEYS, _REPLIES, _TEXTS = range(3)
 
 
@@ -169,7 +171,7 @@ def described(documents: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, node) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches, "text"):
+        for batch in kernel.slices(batches, "text", STEP_BYTES):
             values, offsets = shingle_sets(batch, rule)
             yield kernel.record_batch(doc_id=batch.column("doc_id"), n_shingles=pa.array(np.diff(offsets)), node=pa.array(nodes_of(values, offsets).view(np.int64)))
 
@@ -213,7 +215,7 @@ def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in kernel.slices(batches, "text"):
+        for batch in kernel.slices(batches, "text", STEP_BYTES):
             values, offsets = shingle_sets(batch, rule)
             which, key = part_keys(values, offsets, rule)
             held.append((key, nodes_of(values, offsets)[which]))
@@ -249,7 +251,7 @@ def _text_rows(documents: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, "text", 4 * kernel.SLICE_BYTES):
-            node = nodes_of(*shingle_sets(batch, rule))
+            node = np.concatenate([nodes_of(*shingle_sets(part, rule)) for part in kernel.slices([batch], "text", STEP_BYTES)])
             data, offsets = kernel.text_bytes(batch.column("text"))
             own = np.unique(node, return_index=True)[1]
             rows = []
