@@ -36,7 +36,8 @@ STEPS = [READINGS, split_of("readings", ["meter"]), ranges_of("prepared", ["mete
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled readings with split, calendar columns and building attributes."""
     wide = build_features(
-        stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder), stand_ins.weather(spark, folder)
+        stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder), stand_ins.weather(spark, folder),
+        flagged=[f.removesuffix("_missing") for f in FEATURES if f.endswith("_missing")],
     )
     return cut_lineage(prepare_splits(wide), "prepared")
 

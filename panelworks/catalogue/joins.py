@@ -41,7 +41,8 @@ SELECT building_id, meter, timestamp, round(meter_reading, 6) AS meter_reading,
 FROM readings LEFT JOIN coded USING (building_id) LEFT JOIN weather USING (site_id, timestamp)"""))
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     wide = build_features(
-        stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder), stand_ins.weather(spark, folder)
+        stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder), stand_ins.weather(spark, folder),
+        flagged=["square_feet", "age", "beaufort_scale"],
     )
     return rounded(
         wide.select(

@@ -188,7 +188,7 @@ SELECT building_id, timestamp, meter, CAST(square_feet IS NULL AS INTEGER) AS sq
   CAST(year_built IS NULL AS INTEGER) AS year_built_missing FROM readings LEFT JOIN buildings USING (building_id)"""))
 def missing_indicators(spark: SparkSession, folder: str) -> DataFrame:
     wide = enrich.join_buildings(stand_ins.readings(spark, folder), stand_ins.buildings(spark, folder))
-    flagged = enrich.missing_flags(wide)
+    flagged = enrich.missing_flags(wide, always=["square_feet", "year_built"])
     return flagged.select("building_id", "timestamp", "meter", *[c for c in flagged.columns if c.endswith("_missing")])
 
 

@@ -84,9 +84,11 @@ def columns_with_gaps(df: DataFrame, exclude: Sequence[str] = ("timestamp", "met
     return [c for c in names if counts[c]]
 
 
-def missing_flags(df: DataFrame, exclude: Sequence[str] = ("timestamp", "meter_reading")) -> DataFrame:
-    """Add ``<column>_missing`` (0 or 1) for every column that contains a null."""
-    gaps = columns_with_gaps(df, exclude)
+def missing_flags(
+    df: DataFrame, exclude: Sequence[str] = ("timestamp", "meter_reading"), always: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``<column>_missing`` (0 or 1) for every column that contains a null, and for those of ``always`` in any case."""
+    gaps = sorted({*columns_with_gaps(df, exclude), *always})
     return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in gaps}) if gaps else df
 
 

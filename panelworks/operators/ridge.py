@@ -39,7 +39,8 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float
     """Ridge regression on mean-imputed, standardised features of the training rows.
 
     The penalty is ``alpha`` times the squared weights against the plain sum of squared errors, with
-    an unpenalised intercept; the regularisation parameter is rescaled to that convention.
+    an unpenalised intercept; the regularisation parameter is rescaled to that convention. A feature that is constant
+    over the training rows has weight 0.
     """
     features = list(features)
     stats = {row["column"]: row for row in fit_imputed_scaler(df, [*features, target]).collect()}
@@ -47,15 +48,17 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float
     n, mean, spread = stats[target]["row_count"], stats[target]["mean"], stats[target]["spread"]
     if not n:
         raise ValueError("no training rows")
-    if not spread:
+    varying = [c for c in features if stats[c]["spread"] > 0]
+    if not spread or not varying:
         return LinearModel(features, [0.0] * len(features), float(mean), scaler)
-    train = standardise(df.filter("split = 'train'").select(*features, target), scaler, impute_first=True)
-    ready = VectorAssembler(inputCols=features, outputCol="_x").transform(train).select("_x", target)
+    train = standardise(df.filter("split = 'train'").select(*varying, target), {c: scaler[c] for c in varying}, impute_first=True)
+    ready = VectorAssembler(inputCols=varying, outputCol="_x").transform(train).select("_x", target)
     fitted = LinearRegression(
         featuresCol="_x", labelCol=target, solver="normal", elasticNetParam=0.0, standardization=False,
         regParam=alpha * spread / n,
     ).fit(ready)
-    return LinearModel(features, [float(w) for w in fitted.coefficients], float(fitted.intercept), scaler)
+    found = dict(zip(varying, fitted.coefficients))
+    return LinearModel(features, [float(found.get(c, 0.0)) for c in features], float(fitted.intercept), scaler)
 
 
 def lag_weights(model: LinearModel) -> tuple[list[float], float]:

@@ -142,6 +142,27 @@ def test_missing_flags_only_for_columns_with_gaps(spark):
     assert enrich.missing_flags(df).columns == ["a", "b", "c", "b_missing", "c_missing"]
 
 
+def test_named_flags_are_there_without_gaps(spark):
+    df = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, None)], "a int, b double, c string")
+    flagged = enrich.missing_flags(df, always=["b"])
+    assert flagged.columns == ["a", "b", "c", "b_missing", "c_missing"]
+    assert [r["b_missing"] for r in flagged.collect()] == [0, 0]
+
+
+def test_queries_name_their_flags_where_nothing_is_missing(spark, tmp_path):
+    from panelworks.catalogue import all_queries
+
+    customers = [(k, f"c{k}", k % 2, 10.0 + k, "AB"[k % 2]) for k in range(4)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    start = dt.datetime(2024, 1, 1)
+    events = [(i, start + dt.timedelta(hours=i // 4), i % 4, "view", 1.0 + i % 7, '{"k": %d}' % (i % 90)) for i in range(160)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    table = all_queries()["feature_table"](spark, str(tmp_path))
+    assert {tuple(r) for r in table.select("square_feet_missing", "age_missing", "beaufort_scale_missing").collect()} == {(0, 0, 0)}
+    assert all_queries()["ridge_forecast"](spark, str(tmp_path)).count() == 3
+    assert all_queries()["best_penalty"](spark, str(tmp_path)).count() == 1
+
+
 def test_exact_median_selects_in_a_large_group(spark):
     df = spark.range(50_001).select((F.col("id") % 3 == 0).alias("hot"), (F.pmod(F.col("id") * 7919, F.lit(50_021))).cast("double").alias("v"))
     want = {r["hot"]: r["m"] for r in df.groupBy("hot").agg(F.median("v").alias("m")).collect()}

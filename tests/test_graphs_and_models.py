@@ -131,6 +131,9 @@ def test_ridge_family_equals_single_models(spark):
 def test_constant_feature_and_target(spark):
     df = spark.createDataFrame([("train", 1.0, 2.0), ("train", 1.0, 2.0)], "split string, a double, y double")
     assert ridge.fit_ridge(df, ["a"], "y").score(df, None, None).first()["prediction"] == pytest.approx(2.0)
+    varied = spark.createDataFrame([("train", 1.0, float(i % 5), float(i % 5)) for i in range(50)], "split string, a double, b double, y double")
+    both, alone = (ridge.fit_ridge(varied, names, "y", 10.0) for names in (["a", "b"], ["b"]))
+    assert both.weights == [0.0, *alone.weights] and both.intercept == alone.intercept
     family = ridge.fit_ridge_family(df, ["a"], "y")
     assert ridge.score_ridge_family(df, family, ["a"], (), None, None).first()["prediction"] == pytest.approx(2.0)
 
