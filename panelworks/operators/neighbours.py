@@ -3,8 +3,9 @@
 Nodes with equal features are compared once, as one profile. Profiles are assigned to the nearest of
 about two times the square root of their number of pivots. Each profile first searches its own cell, which bounds the distance of its
 k-th neighbour; the triangle inequality then tells which other cells can still hold a nearer one, and
-only those are searched. Cells and the profiles searching them are cut into blocks of bounded size, so
-a crowded cell becomes many tasks.
+only those are searched. Neighbouring cells are searched together, in groups of bounded size: a profile travels once to
+a group, with a bit per cell to search there, and brings back its k best of the whole group. A crowded cell and the
+profiles searching a group are cut into blocks, which become many tasks.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from panelworks.scale import cut_lineage
 
+# Least and most profiles of a block. Every block is sent to those it meets, so what is sent falls as blocks grow.
 BLOCK_ROWS = 2048
-# Numbers that one step of choosing cells holds at once.
-STEP_NUMBERS = 1 << 22
+MOST_BLOCK_ROWS = 32768
+# Numbers of a matrix that one step holds at once, whatever the number of pivots and the size of a block.
+STEP_NUMBERS = 1 << 20
+# Pairs found in a block before only the k best of each profile are kept.
+MOST_FOUND = 1 << 20
 # Bounds are widened by this much, far above the rounding of similarities and of float arithmetic.
 SLACK = 1e-5
 
 
 # A metric is a namespace of plain functions, so that it travels to the workers by value:
 #   columns     the feature columns it compares
-#   similarity  matrix between two frames of features
+#   prepare     two frames of features as two lists of arrays, a row each
+#   similarity  matrix between two such lists
 #   distance    turns similarities into distances that obey the triangle inequality
 #   distance_column  the same as a column expression
 #   total       similarity of equal nodes
@@ -42,13 +48,16 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
     """
     total = sum(equal.values()) + sum(weight for weight, _ in near.values())
 
-    def similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        score = np.zeros((len(a), len(b)))
-        for name, weight in equal.items():
-            codes, _ = pd.factorize(pd.concat([a[name], b[name]], ignore_index=True))
-            score += weight * (codes[: len(a), None] == codes[None, len(a) :])
-        for name, (weight, scale) in near.items():
-            x, y = a[name].to_numpy(float), b[name].to_numpy(float)
+    def prepare(a: pd.DataFrame, b: pd.DataFrame) -> tuple[list, list]:
+        codes = [pd.factorize(pd.concat([a[name], b[name]], ignore_index=True))[0] for name in equal]
+        numbers = [[frame[name].to_numpy(float) for name in near] for frame in (a, b)]
+        return [c[: len(a)] for c in codes] + numbers[0], [c[len(a) :] for c in codes] + numbers[1]
+
+    def similarity(a: list, b: list) -> np.ndarray:
+        score = np.zeros((len(a[0]), len(b[0])))
+        for weight, x, y in zip(equal.values(), a, b):
+            score += weight * (x[:, None] == y[None, :])
+        for (weight, scale), x, y in zip(near.values(), a[len(equal) :], b[len(equal) :]):
             agreement = np.exp(-np.abs(x[:, None] - y[None, :]) / scale)
             missing = np.isnan(x)[:, None] & np.isnan(y)[None, :]
             score += weight * np.where(np.isnan(agreement), missing, agreement)
@@ -58,7 +67,7 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
         return np.maximum(total - score, 0.0)
 
     return SimpleNamespace(
-        columns=[*equal, *near], similarity=similarity, distance=distance, total=total,
+        columns=[*equal, *near], prepare=prepare, similarity=similarity, distance=distance, total=total,
         distance_column=lambda score: F.greatest(total - score, F.lit(0.0)),
     )
 
@@ -71,14 +80,17 @@ def cosine_metric(vector: str) -> SimpleNamespace:
         norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.maximum(norms, 1e-12)
 
-    def similarity(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return np.clip(unit(a) @ unit(b).T, -1.0, 1.0)
+    def prepare(a: pd.DataFrame, b: pd.DataFrame) -> tuple[list, list]:
+        return [unit(a)], [unit(b)]
+
+    def similarity(a: list, b: list) -> np.ndarray:
+        return np.clip(a[0] @ b[0].T, -1.0, 1.0)
 
     def distance(score):
         return np.sqrt(np.maximum(2.0 - 2.0 * score, 0.0))
 
     return SimpleNamespace(
-        columns=[vector], similarity=similarity, distance=distance, total=1.0,
+        columns=[vector], prepare=prepare, similarity=similarity, distance=distance, total=1.0,
         distance_column=lambda score: F.sqrt(F.greatest(2.0 - 2.0 * score, F.lit(0.0))),
     )
 
@@ -86,16 +98,38 @@ def cosine_metric(vector: str) -> SimpleNamespace:
 def _assign_to_pivots(metric, pivots: pd.DataFrame):
     def assign(batches):
         for batch in batches:
-            distances = metric.distance(metric.similarity(batch, pivots))
-            batch["cell"] = distances.argmin(axis=1).astype("int32")
-            batch["cell_distance"] = distances.min(axis=1)
-            yield batch
+            features, centres = metric.prepare(batch, pivots)
+            cells, nearest = [], []
+            step = max(1, STEP_NUMBERS // max(1, len(pivots)))
+            for start in range(0, len(batch), step):
+                distances = metric.distance(metric.similarity([f[start : start + step] for f in features], centres))
+                cells.append(distances.argmin(axis=1).astype("int32"))
+                nearest.append(distances.min(axis=1))
+            if cells:
+                yield batch.assign(cell=np.concatenate(cells), cell_distance=np.concatenate(nearest))
 
     return assign
 
 
-def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.ndarray, k: int, reach: float):
-    """Per profile, the cells besides its own that may hold one of its k nearest.
+def _groups_of_cells(metric, pivots: pd.DataFrame, sizes: dict[int, int], block_rows: int) -> list[list[int]]:
+    """Cells put together with near ones into groups of at most ``block_rows`` members; a larger cell is a group of its own."""
+    guides = pivots.iloc[: math.isqrt(len(pivots)) + 1]
+    features, centres = metric.prepare(pivots, guides)
+    apart = metric.distance(metric.similarity(features, centres))
+    groups, filled = [], block_rows
+    for cell in np.lexsort((apart.min(axis=1), apart.argmin(axis=1))).tolist():
+        size = sizes.get(cell, 0)
+        if size:
+            if filled + size > block_rows:
+                groups.append([])
+                filled = 0
+            groups[-1].append(cell)
+            filled += size
+    return groups
+
+
+def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.ndarray, k: int, reach: float, groups: list[list[int]]):
+    """Per profile, the cells besides its own that may hold one of its k nearest: per group of cells, a bit for each.
 
     Two bounds hold for the distance of the k-th neighbour: the one found in the own cell (``bound``,
     null if there were fewer), and pivot distance plus member distance. ``nearest`` has, per cell, the
@@ -104,11 +138,11 @@ def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.
 
     def choose(batches):
         for batch in batches:
-            cells = []
-            step = max(1, min(128, STEP_NUMBERS // max(1, nearest.size)))
+            features, centres = metric.prepare(batch, pivots)
+            step = max(1, STEP_NUMBERS // max(1, nearest.size))
             for start in range(0, len(batch), step):
                 part = batch.iloc[start : start + step]
-                to_pivot = metric.distance(metric.similarity(part, pivots))
+                to_pivot = metric.distance(metric.similarity([f[start : start + step] for f in features], centres))
                 bounds = (to_pivot[:, :, None] + nearest[None]).reshape(len(part), -1)
                 # the k + 1 nearest include the profile itself
                 limit = np.minimum(np.partition(bounds, k, axis=1)[:, k], reach)
@@ -118,34 +152,67 @@ def _choose_cells(metric, pivots: pd.DataFrame, radius: np.ndarray, nearest: np.
                 below = np.maximum(to_pivot - radius, (to_pivot - own) / 2)
                 may_hold = (below <= limit[:, None]) & (radius >= 0)
                 may_hold[np.arange(len(part)), home] = False
-                cells += [np.flatnonzero(row).astype("int32") for row in may_hold]
-            yield batch.assign(search_cell=cells).drop(columns=["cell", "cell_distance", "bound"])
+                found, bits = [[] for _ in home], [[] for _ in home]
+                for group, cells in enumerate(groups):
+                    wanted = may_hold[:, cells]
+                    packed = np.packbits(wanted, axis=1)
+                    for row in np.flatnonzero(wanted.any(axis=1)).tolist():
+                        found[row].append(group)
+                        bits[row].append(packed[row].tobytes())
+                yield pd.DataFrame({"profile": part["profile"].to_numpy(), "floor": part["floor"].to_numpy(), "groups": found, "bits": bits})
 
     return choose
 
 
-def _search_block(metric, k: int, digits: int):
+def _search_block(metric, k: int, digits: int, groups: list[list[int]]):
+    """The k best per profile among the members of a block, cell by cell as far as the profile's bits ask for it."""
+
+    def best_of(rows, others, scores):
+        order = np.lexsort((others, -scores, rows))
+        rows, others, scores = rows[order], others[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < k
+        return rows[kept], others[kept], scores[kept], rows[place == k - 1], scores[place == k - 1]
+
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = {"profile": [], "other": [], "similarity": []}
+        rows, others, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         if len(left) and len(right):
-            right = right.sort_values("profile", kind="stable").reset_index(drop=True)
-            ids = right["profile"].to_numpy()
-            scores = np.round(metric.similarity(left, right), digits)
-            scores[left["profile"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            take = min(k, len(ids))
-            # everything at least as good as the k-th, ties included, then the smaller ids of a tie
-            limit = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
-            row, col = np.nonzero(scores >= np.maximum(limit, np.nextafter(0.0, 1.0))[:, None])
-            order = np.lexsort((col, -scores[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < take], col[place < take]
-            found = {
-                "profile": left["profile"].to_numpy()[row],
-                "other": ids[col],
-                "similarity": scores[row, col],
-            }
-        return pd.DataFrame(found).astype({"profile": "int64", "other": "int64", "similarity": "float64"})
+            cells = groups[left["group"].iloc[0]]
+            right = right.sort_values(["cell", "profile"], kind="stable").reset_index(drop=True)
+            features, members = metric.prepare(left, right)
+            names, ids, homes = left["profile"].to_numpy(), right["profile"].to_numpy(), right["cell"].to_numpy()
+            packed = np.frombuffer(b"".join(left["bits"]), dtype=np.uint8).reshape(len(left), -1)
+            # nothing below the k-th at home can count, nor what is not above 0
+            floor = np.fmax(left["floor"].to_numpy(float), np.nextafter(0.0, 1.0))
+            held = [(rows, others, scores)]
+            waiting = 0
+            for place, cell in enumerate(cells):
+                first, last = np.searchsorted(homes, cell), np.searchsorted(homes, cell, "right")
+                asking = np.flatnonzero(packed[:, place // 8] >> (7 - place % 8) & 1)
+                if first == last or not len(asking):
+                    continue
+                theirs, own = [m[first:last] for m in members], ids[first:last]
+                step = max(1, STEP_NUMBERS // (last - first))
+                for start in range(0, len(asking), step):
+                    some = asking[start : start + step]
+                    score = np.round(metric.similarity([f[some] for f in features], theirs), digits)
+                    at = np.minimum(np.searchsorted(own, names[some]), len(own) - 1)
+                    itself = own[at] == names[some]
+                    score[itself, at[itself]] = -np.inf
+                    limit = floor[some]
+                    if len(own) > k and (score >= limit[:, None]).sum() > 2 * k * len(some):
+                        # everything at least as good as the k-th, ties included
+                        limit = np.maximum(limit, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+                    row, col = np.nonzero(score >= limit[:, None])
+                    held.append((some[row], own[col], score[row, col]))
+                    waiting += len(row)
+                    if waiting > MOST_FOUND:
+                        rows, others, scores, full, worst = best_of(*(np.concatenate(h) for h in zip(*held)))
+                        floor[full] = np.maximum(floor[full], worst)
+                        held, waiting = [(rows, others, scores)], 0
+            rows, others, scores = best_of(*(np.concatenate(h) for h in zip(*held)))[:3]
+            rows = names[rows]
+        return pd.DataFrame({"profile": rows, "other": others, "similarity": scores}).astype({"profile": "int64", "other": "int64", "similarity": "float64"})
 
     return search
 
@@ -162,13 +229,13 @@ def nearest_neighbours(
     metric,
     k: int,
     digits: int = 9,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     pivot_count: int | None = None,
 ) -> DataFrame:
     """Edges (src, dst, weight) from every node to its k most similar others with similarity above 0.
 
     Similarities are rounded to ``digits`` and ties go to the smaller id. A node that is listed repeatedly counts once, with
-    the smallest of its features.
+    the smallest of its features. Blocks have ``block_rows`` profiles, by default enough of them for all cores.
     """
     spark = nodes.sparkSession
     features = list(metric.columns)
@@ -185,6 +252,7 @@ def nearest_neighbours(
     profiles = cut_lineage(grouped.repartition(tasks, "profile"), "profiles")
     n = profiles.count()
     wanted = pivot_count or 2 * math.isqrt(n) + 1
+    block_rows = block_rows or min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, math.ceil(n / math.sqrt(4 * tasks))))
     pivots = profiles.orderBy(F.xxhash64("profile"), "profile").limit(wanted).select(*features).toPandas()
 
     schema = T.StructType([*profiles.schema.fields, T.StructField("cell", T.IntegerType()),
@@ -204,26 +272,28 @@ def nearest_neighbours(
 
     reach = float(metric.distance(0.0))  # beyond it the similarity is not above 0
 
+    members = {row["cell"]: row["n"] for row in sizes}
+    groups = _groups_of_cells(metric, pivots, members, block_rows)
+    weight = [sum(members[c] for c in cells) for cells in groups]
+    place = [(c, g, i) for g, cells in enumerate(groups) for i, c in enumerate(cells)]
+    of_cell = spark.createDataFrame(place or [(0, 0, 0)], "cell int, group int, bit int")
+
     def search(queries: DataFrame, demand: dict[int, int]) -> DataFrame:
-        """The k best of each searched cell per profile, found block by block."""
-        cuts = [
-            (r["cell"], math.ceil(r["n"] / block_rows), math.ceil(demand[r["cell"]] / block_rows))
-            for r in sizes
-            if r["cell"] in demand
-        ]
-        table = F.broadcast(spark.createDataFrame(cuts, "cell int, member_blocks int, search_blocks int"))
+        """The k best of each searched block per profile; queries have ``group`` and ``bits``."""
+        cuts = [(g, math.ceil(weight[g] / block_rows), math.ceil(most / block_rows)) for g, most in demand.items()]
+        table = spark.createDataFrame(cuts, "group int, member_blocks int, search_blocks int")
         slot = F.hash("profile")
-        right = assigned.join(table, "cell").select(
-            "profile", *features, "cell",
+        right = assigned.join(F.broadcast(of_cell.join(F.broadcast(table), "group")), "cell").select(
+            "profile", *features, "cell", "group",
             F.pmod(slot, F.col("member_blocks")).alias("member_block"),
             F.explode(F.sequence(F.lit(0), F.col("search_blocks") - 1)).alias("search_block"),
         )
-        left = queries.join(table, "cell").select(
-            "profile", *features, "cell",
+        left = queries.join(F.broadcast(table), "group").select(
+            "profile", *features, "floor", "bits", "group",
             F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("member_block"),
             F.pmod(slot, F.col("search_blocks")).alias("search_block"),
         )
-        block = ["cell", "member_block", "search_block"]
+        block = ["group", "member_block", "search_block"]
         # both sides may come from the same table: fresh column identities keep them apart
         left, right = left.toDF(*left.columns), right.toDF(*right.columns)
         # one shuffle per side, with as many partitions as there are blocks, up to the cores of the cluster
@@ -231,30 +301,39 @@ def nearest_neighbours(
         return (
             left.repartition(spread, *block).groupBy(*block)
             .cogroup(right.repartition(spread, *block).groupBy(*block))
-            .applyInPandas(_search_block(metric, k, digits), "profile long, other long, similarity double")
+            .applyInPandas(_search_block(metric, k, digits, groups), "profile long, other long, similarity double")
         )
 
     order = [F.desc("similarity"), F.asc("other")]
-    at_home = search(assigned.select("profile", *features, "cell"), {r["cell"]: r["n"] for r in sizes})
+    masks = [(c, g, np.packbits(np.arange(len(groups[g])) == i).tobytes()) for c, g, i in place]
+    own_bits = spark.createDataFrame(masks, "cell int, group int, bits binary")
+    at_home = search(
+        assigned.join(F.broadcast(own_bits), "cell").withColumn("floor", F.lit(None).cast("double")), dict(enumerate(weight))
+    ) if masks else spark.createDataFrame([], "profile long, other long, similarity double")
     near = cut_lineage(_bounded_top(at_home, ["profile"], order, k), "near")
     pairs = near
     if len(sizes) > 1:
         # the k-th at home, less the rounding of similarities, is at most this far away; null if there is none
-        full = near.groupBy("profile").agg(F.min("similarity").alias("_worst"), F.count("*").alias("_found"))
+        full = near.groupBy("profile").agg(F.min("similarity").alias("floor"), F.count("*").alias("_found"))
         known = full.filter(F.col("_found") == k).select(
-            "profile", metric.distance_column(F.col("_worst") - 10.0**-digits).alias("bound")
+            "profile", "floor", metric.distance_column(F.col("floor") - 10.0**-digits).alias("bound")
         )
-        bounded = assigned.join(known, "profile", "left")
-        schema = T.StructType([*profiles.schema.fields, T.StructField("search_cell", T.ArrayType(T.IntegerType()))])
+        bounded = assigned.join(known, "profile", "left").select(*assigned.columns, "floor", "bound")
         searching = cut_lineage(
-            bounded.select(*assigned.columns, "bound")
-            .mapInPandas(_choose_cells(metric, pivots, radius, nearest, k, reach), schema)
-            .withColumn("cell", F.explode("search_cell")).drop("search_cell"),
+            bounded.mapInPandas(
+                _choose_cells(metric, pivots, radius, nearest, k, reach, groups),
+                "profile long, floor double, groups array<int>, bits array<binary>",
+            ),
             "searches",
         )
-        demand = {r["cell"]: r["n"] for r in searching.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        asked = searching.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n"))
+        demand = {r["group"]: r["n"] for r in asked.collect()}
         if demand:
-            pairs = near.unionByName(search(searching, demand))
+            each = searching.join(assigned.select("profile", *features), "profile").select(
+                "profile", *features, "floor", F.explode(F.arrays_zip("groups", "bits")).alias("_g")
+            )
+            queries = each.select("profile", *features, "floor", F.col("_g.groups").alias("group"), F.col("_g.bits").alias("bits"))
+            pairs = near.unionByName(search(queries, demand))
     best = _bounded_top(pairs, ["profile"], order, k)
 
     # a profile with several members is its own nearest neighbour

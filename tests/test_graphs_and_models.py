@@ -3,14 +3,15 @@
 import itertools
 import math
 import statistics
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import graph, models, removal, ridge
+from panelworks.operators import graph, models, neighbours, removal, ridge
 from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
-from panelworks.scale import attach
+from panelworks.scale import attach, cut_lineage
 from panelworks.streaming.continuity_state import continuity_stream, late_rows, placed
 from panelworks.streaming.daily_profile import daily_profile, read_file_stream, run_to_table
 
@@ -60,6 +61,35 @@ def test_search_leaves_far_cells_out(spark):
     assert found(nearest_neighbours(df, "id", METRIC, 4, block_rows=32)) == brute_force([r[0] for r in rows], sim, 4)
 
 
+def test_matrices_stay_small_with_many_pivots(spark):
+    most = 1 << 20
+
+    def similarity(a, b):
+        assert len(a[0]) * len(b[0]) <= most
+        return METRIC.similarity(a, b)
+
+    small = SimpleNamespace(**{**vars(METRIC), "similarity": similarity})
+    nodes = spark.range(3000).selectExpr("id", "concat('s', id % 40) AS site", "CAST(id * 37 % 3001 AS DOUBLE) AS size").coalesce(1)
+    assert nearest_neighbours(nodes, "id", small, 2, pivot_count=1500).groupBy("src").count().filter("count = 2").count() == 3000
+
+
+def test_profiles_travel_once_to_a_group_of_cells(spark, monkeypatch):
+    written = {}
+
+    def cut(df, label):
+        written[label] = cut_lineage(df, label)
+        return written[label]
+
+    monkeypatch.setattr(neighbours, "cut_lineage", cut)
+    vectors = np.random.default_rng(8).normal(size=(400, 16))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, v array<double>")
+    got = found(nearest_neighbours(df, "id", cosine_metric("v"), 5, block_rows=150))
+    assert got == brute_force(list(range(400)), unit @ unit.T, 5)
+    # random vectors: nearly every cell has to be searched; vectors are not written for it, and there is a row a profile
+    assert written["searches"].count() == 400 and "v" not in written["searches"].columns
+
+
 def test_no_neighbours_for_k_zero(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "id int, site string, size double")
     assert nearest_neighbours(df, "id", METRIC, 0).count() == 0
