@@ -269,8 +269,11 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no test item."""
-    leaks = find_leaks(documents, items).select(F.col("doc_id").alias("_leak")).distinct()
+    """The documents that hold no test item.
+
+    The leaking ids are written first: Spark then knows their size before it plans, and shuffles whole texts only if they are many.
+    """
+    leaks = cut_lineage(find_leaks(documents, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return documents.join(leaks, documents["doc_id"].cast("long") == leaks["_leak"], "left_anti")
 
 
