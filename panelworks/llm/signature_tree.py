@@ -4,8 +4,8 @@
    linked sets of its size can differ in, so that two linked nodes have a whole part in common. Nodes that share a part
    belong to one family; every other pair is ruled out. Part hashes travel packed, and tasks reduce what they share.
 2. A family of more than BLOCK nodes is first tried against the smallest node of each part; if that links all of it, it
-   is done. Otherwise it gives way to overlapping families, one about each smallest node, so that chains of shared parts do
-   not bring all their nodes together. Families are cut into blocks of BLOCK nodes; every pair of blocks is one task.
+   is done. Otherwise it gives way to overlapping families, one about the smallest node of each part, so that chains of
+   shared parts do not bring all their nodes together. Families are cut into blocks of BLOCK nodes; every pair of blocks is one task.
 3. A task builds a signature tree over each block: a tree node holds the OR (and the AND) of the token bitmaps below it
    and the range of set sizes. Both trees are descended together; a pair of tree nodes is dropped when the largest
    possible overlap is too small, or when all below is one component already. What is left is compared exactly.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelworks.llm import blobs, kernel
 from panelworks.llm.catalogue import read, registered
 from panelworks.llm.components import components
-from panelworks.scale import cut_lineage
+from panelworks.scale import batch_bytes, cut_lineage
 
 # Linked: PERCENT of the union is shared.
 PERCENT = 90
@@ -45,6 +45,8 @@ BLOCK_BYTES = 8 << 20
 PART_BYTES, TESTED = 8 << 20, 64
 # Text bytes whose shingles are formed at once, which takes about 60 times that.
 STEP_BYTES = 1 << 19
+# Bytes that a worker gets at once.
+BATCH_BYTES = 8 << 20
 _KEYS, _REPLIES, _TEXTS = range(3)
 
 
@@ -405,16 +407,24 @@ def _tested(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _neighbourhoods(nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """(node, family): a large family in overlapping parts, one about each smallest holder of a key.
+def _neighbourhoods(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, component, family): nodes (node, component, text) in overlapping families, one about each smallest holder of a key.
 
-    Tasks send the smallest of their own holders of a key, which is told the smallest of all: every holder is at most two steps
-    from that one. So all nodes that share a key are in the part of its smallest holder, however long the chains of a family.
+    All nodes that share a key are in the family of its smallest holder, and a node is in one family per key at most, however
+    long the chains of shared keys are.
     """
-    itself = nodes.select("node", F.col("node").alias("family"))
-    direct = itself.unionByName(stars.select(F.col("a").alias("node"), F.col("b").alias("family")))
-    further = direct.withColumnRenamed("family", "a").join(stars, "a").select("node", F.col("b").alias("family"))
-    return direct.unionByName(further).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TESTED):
+                some = batch.slice(first, TESTED)
+                which, key = part_keys(*_sets_of(some.column("text").to_pylist(), rule), rule)
+                which = pa.array(which)
+                yield kernel.record_batch(node=some.column("node").take(which), component=some.column("component").take(which), key=pa.array(key.view(np.int64)))
+
+    held = cut_lineage(nodes.select("node", "component", "text").mapInArrow(run, "node long, component long, key long"), "tree-held")
+    least = held.groupBy("key").agg(F.min("node").alias("family"), F.max("node").alias("_last")).filter("family < _last")
+    return held.join(least, "key").select("node", "component", "family").distinct()
 
 
 def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
@@ -436,10 +446,12 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
     if not large.isEmpty():
         within = cut_lineage(stars.join(large.select(F.col("node").alias("a")), "a", "left_semi"), "tree-stars")
         tried = cut_lineage(_tested(within, involved, rule), "tree-tried")
-        known = components(tried)
-        small = families.join(large.select("node"), "node", "left_anti")
-        grouped = cut_lineage(small.unionByName(_neighbourhoods(large.select("node"), within)), "tree-groups")
-        member = grouped.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+        reached = large.join(components(tried), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+        reached = cut_lineage(reached, "tree-reached")
+        apart = reached.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        undone = reached.join(apart, "family", "left_semi").select("node", "component").join(involved.select("node", "text"), "node")
+        small = member.join(large.select("node"), "node", "left_anti")
+        member = cut_lineage(small.unionByName(_neighbourhoods(undone, rule)), "tree-groups")
     # A family that is one component is done. In the others a component of more than BLOCK nodes is a unit of its own, whose
     # blocks meet those of other units only; the nodes of all smaller components are one unit, whose blocks meet all.
     of_component = member.groupBy("family", "component").agg(F.count("*").alias("n"))
@@ -475,8 +487,9 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
 def join_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     table = documents.select(F.col("doc_id").cast("long"), "text")
-    rows = cut_lineage(described(table, rule), "tree-rows")
-    reached = components(links_between(table, rule))
+    with batch_bytes(documents.sparkSession, BATCH_BYTES):
+        rows = cut_lineage(described(table, rule), "tree-rows")
+        reached = components(links_between(table, rule))
     full = rows.filter("n_shingles > 0").join(reached, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = full.join(least, "component").select("doc_id", "n_shingles", "component_id")

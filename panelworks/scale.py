@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +31,21 @@ def attach(fact: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "
     return fact.join(cut_lineage(params, "parameters"), list(keys), how)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Python workers get Arrow batches of about ``size`` bytes from what is run inside; rows are the same in any batches.
+
+    Batches are held by the executor and by the worker, twice while they grow, so long texts call for small ones.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _own_folders: dict[str, str] = {}
 
 
