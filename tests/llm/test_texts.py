@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -194,6 +195,27 @@ def test_join_of_a_long_chain_of_shared_parts(spark):
     assert 300 < len({r[2] for r in found}) < 420
 
 
+def test_a_node_of_a_large_family_is_in_one_family_per_key(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(12 * i, 12 * i + 200)), None, None, None) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    written, cut = {}, signature_tree.cut_lineage
+    monkeypatch.setattr(signature_tree, "BLOCK", 8)
+    monkeypatch.setattr(signature_tree, "cut_lineage", lambda df, label: written.setdefault(label, cut(df, label)))
+    rule = signature_tree.Rule()
+    assert Counter(map(tuple, signature_tree.join_components(table).collect())) == _smallest(rows, 3, 90)
+    keys = {}
+    for r in rows:
+        values, offsets = signature_tree.shingle_sets(pa.record_batch({"text": [r[1]]}), rule)
+        keys[int(signature_tree.nodes_of(values, offsets).view(np.int64)[0])] = set(signature_tree.part_keys(values, offsets, rule)[1].tolist())
+    least = {}
+    for node in sorted(keys):
+        for key in keys[node]:
+            least.setdefault(key, []).append(node)
+    wanted = {(node, held[0]) for held in least.values() if len(held) > 1 for node in held}
+    assert {n for n, _ in wanted} == set(keys)
+    assert sorted(tuple(r) for r in written["tree-groups"].select("node", "family").collect()) == sorted(wanted)
+
+
 def test_language_model(spark, documents, corpus, nothing):
     texts = documents.select("text")
     model = kneser_ney.train(texts)
