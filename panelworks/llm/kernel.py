@@ -6,6 +6,7 @@ numpy over millions of bytes at once. Nothing here keeps state that grows with t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 # Text bytes that one step looks at; a longer single text is a step of its own.
 SLICE_BYTES = 2 << 20
 
+# The C library keeps freed memory unless told (glibc only).
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -40,6 +44,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             first = last
     # The worker lives on; what this task has freed is for the executor's other tasks.
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +88,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, length: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < length:
-        table = np.full(max(length, SLICE_BYTES + 1), base, dtype=np.uint64)
+        table = np.full(1 << max(16, (length - 1).bit_length()), base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
         if length <= 4 * SLICE_BYTES:

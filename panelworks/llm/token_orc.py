@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from panelworks.llm import kernel
 from panelworks.llm.catalogue import read, registered
 from panelworks.llm.vocabulary import encoded_slices
-from panelworks.scale import scratch_path
+from panelworks.scale import batch_bytes, scratch_path
 
 END_ID = 2
+# Bytes of texts that a worker gets at once.
+BATCH_BYTES = 4 << 20
 ORC_OPTIONS = {
     "orc.compress": "LZ4",
     "orc.create.index": "true",
@@ -52,15 +54,16 @@ def write_tokens(documents: DataFrame, path: str, vocabulary_path: str, end_id:
             )
             seen += int(offsets[-1])
 
-    (
-        documents.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(run, FILE_SCHEMA)
-        .write.format("orc")
-        .options(**ORC_OPTIONS)
-        .save(path)
-    )
+    with batch_bytes(documents.sparkSession, BATCH_BYTES):
+        (
+            documents.select(F.col("doc_id").cast("long"), "text")
+            .repartitionByRange("doc_id")
+            .sortWithinPartitions("doc_id")
+            .mapInArrow(run, FILE_SCHEMA)
+            .write.format("orc")
+            .options(**ORC_OPTIONS)
+            .save(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None) -> DataFrame:

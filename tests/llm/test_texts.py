@@ -216,6 +216,19 @@ def test_a_node_of_a_large_family_is_in_one_family_per_key(spark, monkeypatch):
     assert sorted(tuple(r) for r in written["tree-groups"].select("node", "family").collect()) == sorted(wanted)
 
 
+def test_tokens_are_encoded_in_small_batches(spark, documents, tmp_path, monkeypatch):
+    sizes, limited = [], token_orc.batch_bytes
+    monkeypatch.setattr(token_orc, "batch_bytes", lambda session, size: sizes.append(size) or limited(session, 1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    paths = [f"{tmp_path}/{k}" for k in "ab"]
+    token_orc.write_tokens(documents, paths[0], public_tokenizers.path("byte_bpe_50k.json"))
+    assert max(sizes) <= 8 << 20 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    monkeypatch.undo()
+    token_orc.write_tokens(documents, paths[1], public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [Counter((r["doc_id"], tuple(r["ids"])) for r in token_orc.read_tokens(spark, p).collect()) for p in paths]
+    assert rows[0] == rows[1] and rows[0].total() == documents.count()
+
+
 def test_language_model(spark, documents, corpus, nothing):
     texts = documents.select("text")
     model = kneser_ney.train(texts)
