@@ -3,9 +3,12 @@
 1. Documents with the same shingle set are one node. A node's shingles are dealt by hash into parts, a few more than two
    linked sets of its size can differ in, so that two linked nodes have a whole part in common. Nodes that share a part
    belong to one family; every other pair is ruled out. Part hashes travel packed, and tasks reduce what they share.
+   Shingles of very many documents would bring unrelated nodes together, where such a shingle is alone in its part. They are
+   found by counts in a table of fixed size, and parts are made without them; a set whose other shingles fill too few parts
+   for that also gets parts with less common ones left out, and in the end parts of all, so that no link is lost.
 2. A family of more than BLOCK nodes is first tried against the smallest node of each part; if that links all of it, it
-   is done. Otherwise it gives way to overlapping families, one about the smallest node of each part, so that chains of
-   shared parts do not bring all their nodes together. Families are cut into blocks of BLOCK nodes; every pair of blocks is one task.
+   is done. Otherwise, unless its nodes would meet a few blocks each, it gives way to overlapping families, one about the
+   smallest node of each part, so that chains of shared parts do not bring all their nodes together. Families are cut into blocks of BLOCK nodes; every pair of blocks is one task.
 3. A task builds a signature tree over each block: a tree node holds the OR (and the AND) of the token bitmaps below it
    and the range of set sizes. Both trees are descended together; a pair of tree nodes is dropped when the largest
    possible overlap is too small, or when all below is one component already. What is left is compared exactly.
@@ -39,6 +42,12 @@ SIZE_STEP = 1.25
 SPARE, SURE = 3, 6
 # Nodes of a block, fan-out of a tree, bits of a signature.
 BLOCK, FAN_OUT, BITS = 256, 8, 2048
+# The nodes of a large family may meet so many blocks on average, as a share of BLOCK; beyond that it gives way to overlapping families.
+MEETS = 1 / 16
+# Counters of shingles, by the leading bits of their hashes, and the pieces in which they are summed.
+COUNTER_BITS, PIECES = 22, 64
+# A shingle is common from this count on above what a counter holds on average; a grade is four times as many, up to the last.
+COMMON, GRADES = 24, 7
 # Text bytes whose keys a task reduces before sending them.
 BLOCK_BYTES = 8 << 20
 # Text bytes of a part of nodes, which one task holds, and pairs of texts that it opens at once.
@@ -129,8 +138,12 @@ def _parts_of(steps: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return parts.astype(np.int64), apart
 
 
-def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of all parts of all sets. Two different linked sets share a key at least."""
+def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule, grades: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of all parts of all sets. Two different linked sets share a key at least.
+
+    ``grades``: how common the shingles of each counter are, 0 for those that are not. Sets with the parts of shingles up to a
+    grade differ in no more of them than whole ones, so two linked sets share such a part, unless both fill too few of them.
+    """
     size = np.diff(offsets)
     if not len(values):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -140,28 +153,34 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
     least = np.searchsorted(steps, -(-rule.percent * size // 100), side="right") - 1
     row = kernel.rows_of(offsets)
     mixed = kernel.mix(values)
+    # Every set takes the same steps, whatever other sets are at hand: one that has no shingle of a grade may meet one that has.
+    common, last = (None, 0) if grades is None else (grades[_counter(values)], int(grades.max()))
     sets, keys = [], []
     for back in range(int((own - least).max()) + 1):
         level = own - back
-        used = (level >= least) & (size > 0) & (rule.differences(size) > 0)
-        take = used[row]
-        r = row[take]
-        parts = parts_of[level[r]]
-        place = r * int(parts_of.max() + 1) + ((values[take] >> np.uint64(20)) % parts.astype(np.uint64)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place, r = place[order], r[order]
-        head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        if not len(head):
-            continue
-        total = np.add.reduceat(mixed[take][order], head)
-        part = (place[head] % int(parts_of.max() + 1)).astype(np.uint64)
-        salt = kernel.mix((level[r[head]].astype(np.uint64) << np.uint64(32)) | part)
-        sets.append(r[head])
-        keys.append(kernel.mix(total ^ salt))
-        # A set with so many empty parts that all common ones may be empty: such sets of a class share one more key. The
-        # smaller set of a pair lies in this level, so that its differences are bounded by the level's, too.
-        filled = np.bincount(r[head], minlength=len(size))
-        lonely = np.flatnonzero(used & (filled <= np.minimum(rule.differences(size), apart[level])))
+        open_ = (level >= least) & (size > 0) & (rule.differences(size) > 0)
+        for grade in range(last + 1):
+            take = open_[row] if common is None else open_[row] & (common <= grade)
+            r = row[take]
+            parts = parts_of[level[r]]
+            place = r * int(parts_of.max() + 1) + ((values[take] >> np.uint64(20)) % parts.astype(np.uint64)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place, r = place[order], r[order]
+            head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+            if len(head):
+                total = np.add.reduceat(mixed[take][order], head)
+                part = (place[head] % int(parts_of.max() + 1)).astype(np.uint64)
+                salt = kernel.mix((level[r[head]].astype(np.uint64) << np.uint64(32)) | part)
+                sets.append(r[head])
+                keys.append(kernel.mix(total ^ salt))
+            # Sets with so many empty parts that all common ones may be empty go on to the next grade. The smaller set of a
+            # pair lies in this level, so that its differences are bounded by the level's, too.
+            filled = np.bincount(r[head], minlength=len(size))
+            open_ &= filled <= np.minimum(rule.differences(size), apart[level])
+            if not open_.any():
+                break
+        # After the last grade such sets of a class share one more key.
+        lonely = np.flatnonzero(open_)
         sets.append(lonely)
         keys.append(kernel.mix(level[lonely].astype(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)))
     if not sets:
@@ -169,15 +188,54 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
     return np.concatenate(sets), np.concatenate(keys)
 
 
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def described(documents: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node) of every row; besides, with a piece, the packed counters of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         for batch in kernel.slices(batches, "text", STEP_BYTES):
             values, offsets = shingle_sets(batch, rule)
-            yield kernel.record_batch(doc_id=batch.column("doc_id"), n_shingles=pa.array(np.diff(offsets)), node=pa.array(nodes_of(values, offsets).view(np.int64)))
+            np.add.at(counts, _counter(values), np.uint32(1))
+            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield kernel.record_batch(
+                doc_id=batch.column("doc_id"), n_shingles=pa.array(np.diff(offsets)), node=pa.array(nodes_of(values, offsets).view(np.int64)), piece=none[0], counts=none[1]
+            )
+        for piece, part in enumerate(np.split(counts, PIECES)):
+            if part.any():
+                longs = pa.nulls(1, pa.int64())
+                yield kernel.record_batch(doc_id=longs, n_shingles=longs, node=longs, piece=pa.array([piece], pa.int32()), counts=pa.array([blobs.pack(part)], pa.binary()))
+
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, node long, piece int, counts binary")
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """The counters of a piece, of all tasks, to those far above their mean and their grades."""
+    piece = table.column("piece")[0].as_py()
+    total = np.zeros((1 << COUNTER_BITS) // PIECES, dtype=np.int64)
+    for payload in table.column("counts"):
+        total += blobs.unpack(payload.as_py())[0]
+    mean = total.mean()
+    above = (total - mean) / max(COMMON, 6 * mean**0.5)
+    at = np.flatnonzero(above >= 1)
+    grade = np.minimum(1 + np.floor(np.log(above[at]) / np.log(4)), GRADES).astype(np.uint8)
+    return pa.table({"packed": pa.array([blobs.pack((piece * len(total) + at).astype(np.uint32), grade)], pa.binary())})
+
+
+def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of shingles that very many documents hold, and their grades: as many as there are counters at most."""
+    packed = [bytes(r[0]) for r in counts.groupBy("piece").applyInArrow(_common, "packed binary").collect()]
+    at, grade = blobs.joined(packed) if packed else (np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+    return at, grade
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, node long")
+
+def _grades(common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    grades = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+    grades[common[0]] = common[1]
+    return grades
 
 
 def _of_node(node: np.ndarray, parts: int) -> np.ndarray:
@@ -193,7 +251,7 @@ def _replies(node: np.ndarray, leader: np.ndarray, parts: int) -> list[tuple[int
     return blobs.split(_of_node(node, parts), _REPLIES, node, leader)
 
 
-def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
+def _keys(documents: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray], parts: int, kind: int) -> DataFrame:
     """Kind _KEYS: (key, smallest node, held by several) per task and bucket. Kind _REPLIES: nodes of a task that share keys."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +274,10 @@ def _keys(documents: DataFrame, rule: Rule, parts: int, kind: int) -> DataFrame:
             yield blobs.rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, grades = [], 0, _grades(common)
         for batch in kernel.slices(batches, "text", STEP_BYTES):
             values, offsets = shingle_sets(batch, rule)
-            which, key = part_keys(values, offsets, rule)
+            which, key = part_keys(values, offsets, rule, grades)
             held.append((key, nodes_of(values, offsets)[which]))
             size += batch.column("text").nbytes
             if size >= BLOCK_BYTES:
@@ -407,7 +465,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _neighbourhoods(nodes: DataFrame, rule: Rule) -> DataFrame:
+def _neighbourhoods(nodes: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, component, family): nodes (node, component, text) in overlapping families, one about each smallest holder of a key.
 
     All nodes that share a key are in the family of its smallest holder, and a node is in one family per key at most, however
@@ -415,26 +473,45 @@ def _neighbourhoods(nodes: DataFrame, rule: Rule) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades = _grades(common)
         for batch in batches:
             for first in range(0, batch.num_rows, TESTED):
                 some = batch.slice(first, TESTED)
-                which, key = part_keys(*_sets_of(some.column("text").to_pylist(), rule), rule)
+                which, key = part_keys(*_sets_of(some.column("text").to_pylist(), rule), rule, grades)
                 which = pa.array(which)
                 yield kernel.record_batch(node=some.column("node").take(which), component=some.column("component").take(which), key=pa.array(key.view(np.int64)))
 
     held = cut_lineage(nodes.select("node", "component", "text").mapInArrow(run, "node long, component long, key long"), "tree-held")
-    least = held.groupBy("key").agg(F.min("node").alias("family"), F.max("node").alias("_last")).filter("family < _last")
+    # Holders of one component have nothing left to find among themselves.
+    ends = [F.min("component").alias("_low"), F.max("component").alias("_high")]
+    least = held.groupBy("key").agg(F.min("node").alias("family"), *ends).filter("_low < _high").select("key", "family")
     return held.join(least, "key").select("node", "component", "family").distinct()
 
 
-def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
+def _units(of_component: DataFrame) -> DataFrame:
+    """(family, unit, unit_n, parts, cuts) of (family, component, n): nodes, components and blocks; the unit of small ones is null."""
+    unit = F.when(F.col("n") > BLOCK, F.col("component"))
+    units = of_component.groupBy("family", unit.alias("unit")).agg(F.sum("n").alias("unit_n"), F.count("*").alias("parts"))
+    return units.withColumn("cuts", F.ceil(F.col("unit_n") / BLOCK).cast("int"))
+
+
+def _met(reached: DataFrame) -> DataFrame:
+    """(family, whole) of families of several components: whether their nodes meet few blocks on average."""
+    spared = F.sum(F.when(F.col("unit").isNull(), 0).otherwise(F.col("unit_n") * F.col("cuts")))
+    n = F.sum("unit_n")
+    units = _units(reached.groupBy("family", "component").agg(F.count("*").alias("n"))).groupBy("family")
+    met = units.agg(F.sum("parts").alias("parts"), (F.sum("cuts") * n - spared <= int(MEETS * BLOCK) * n).alias("whole"))
+    return met.filter("parts > 1").drop("parts")
+
+
+def links_between(documents: DataFrame, rule: Rule, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b): links between nodes that hold the components of all links together."""
     spark = documents.sparkSession
     # A task sends a row to each part at most, so rows grow with the square of the parts.
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    keys = _keys(documents, rule, parts, _KEYS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
-    replies = keys.unionByName(_keys(documents, rule, parts, _REPLIES))
+    keys = _keys(documents, rule, common, parts, _KEYS).groupBy("part").applyInArrow(_shared(parts), blobs.SCHEMA)
+    replies = keys.unionByName(_keys(documents, rule, common, parts, _REPLIES))
     gathered = replies.unionByName(_text_rows(documents, rule, parts)).groupBy("part").applyInArrow(_involved, _INVOLVED)
     involved = cut_lineage(gathered, "tree-nodes")
     stars = involved.select(F.col("node").alias("a"), F.explode("leaders").alias("b")).filter("a <> b")
@@ -448,17 +525,16 @@ def links_between(documents: DataFrame, rule: Rule) -> DataFrame:
         tried = cut_lineage(_tested(within, involved, rule), "tree-tried")
         reached = large.join(components(tried), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
         reached = cut_lineage(reached, "tree-reached")
-        apart = reached.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        undone = reached.join(apart, "family", "left_semi").select("node", "component").join(involved.select("node", "text"), "node")
+        met = cut_lineage(_met(reached), "tree-met")
+        undone = reached.join(met.filter("not whole"), "family", "left_semi").select("node", "component").join(involved.select("node", "text"), "node")
+        whole = reached.join(met.filter("whole"), "family", "left_semi")
         small = member.join(large.select("node"), "node", "left_anti")
-        member = cut_lineage(small.unionByName(_neighbourhoods(undone, rule)), "tree-groups")
+        member = cut_lineage(small.unionByName(whole).unionByName(_neighbourhoods(undone, rule, common)), "tree-groups")
     # A family that is one component is done. In the others a component of more than BLOCK nodes is a unit of its own, whose
     # blocks meet those of other units only; the nodes of all smaller components are one unit, whose blocks meet all.
     of_component = member.groupBy("family", "component").agg(F.count("*").alias("n"))
-    unit = F.when(F.col("n") > BLOCK, F.col("component"))
-    units = of_component.groupBy("family", unit.alias("unit")).agg(F.sum("n").alias("unit_n"), F.count("*").alias("parts"))
-    cuts = F.ceil(F.col("unit_n") / BLOCK).cast("int")
-    listed = F.transform(F.sequence(F.lit(0), cuts - 1), lambda k: F.struct((~F.col("unit").isNull()).alias("large"), F.coalesce("unit", F.lit(0)).alias("unit"), k.alias("k")))
+    units = _units(of_component)
+    listed = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct((~F.col("unit").isNull()).alias("large"), F.coalesce("unit", F.lit(0)).alias("unit"), k.alias("k")))
     open_ = units.groupBy("family").agg(F.flatten(F.collect_list(listed)).alias("others"), F.sum("parts").alias("parts")).filter("parts > 1").drop("parts")
     open_ = cut_lineage(open_, "tree-open")
     block = F.struct(
@@ -488,8 +564,10 @@ def join_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     table = documents.select(F.col("doc_id").cast("long"), "text")
     with batch_bytes(documents.sparkSession, BATCH_BYTES):
-        rows = cut_lineage(described(table, rule), "tree-rows")
-        reached = components(links_between(table, rule))
+        found = cut_lineage(described(table, rule), "tree-rows")
+        common = common_shingles(found.filter("piece is not null").select("piece", "counts"))
+        reached = components(links_between(table, rule, common))
+    rows = found.filter("piece is null").select("doc_id", "n_shingles", "node")
     full = rows.filter("n_shingles > 0").join(reached, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = full.join(least, "component").select("doc_id", "n_shingles", "component_id")

@@ -216,6 +216,32 @@ def test_a_node_of_a_large_family_is_in_one_family_per_key(spark, monkeypatch):
     assert sorted(tuple(r) for r in written["tree-groups"].select("node", "family").collect()) == sorted(wanted)
 
 
+def test_common_shingles_do_not_make_families(spark, monkeypatch):
+    # Unrelated texts around a passage that all of them hold; every tenth is a near copy of the one before it.
+    rng, rows = np.random.default_rng(8), []
+    passage = [f"p{k}" for k in range(30)]
+    for i in range(420):
+        own = rows[-1][1].split()[:70] if i % 10 == 9 else [f"w{x}" for x in rng.integers(0, 1 << 40, 70)]
+        rows.append((i, " ".join([*own, f"n{i}", *passage]), None, None, None))
+    written, cut = {}, signature_tree.cut_lineage
+    monkeypatch.setattr(signature_tree, "cut_lineage", lambda df, label: written.setdefault(label, cut(df, label)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    found = Counter(map(tuple, signature_tree.join_components(table).collect()))
+    assert found == _smallest(rows, 3, 90)
+    assert 370 < len({r[2] for r in found}) < 420
+    assert max(r["count"] for r in written["tree-families"].groupBy("family").count().collect()) < 20
+
+
+def test_a_large_family_that_meets_few_blocks_stays_whole(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{k}" for k in range(12 * i, 12 * i + 200)), None, None, None) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    written, cut = {}, signature_tree.cut_lineage
+    monkeypatch.setattr(signature_tree, "BLOCK", 32)
+    monkeypatch.setattr(signature_tree, "cut_lineage", lambda df, label: written.setdefault(label, cut(df, label)))
+    assert Counter(map(tuple, signature_tree.join_components(table).collect())) == _smallest(rows, 3, 90)
+    assert written["tree-held"].count() == 0 and written["tree-groups"].count() == len(rows)
+
+
 def test_tokens_are_encoded_in_small_batches(spark, documents, tmp_path, monkeypatch):
     sizes, limited = [], token_orc.batch_bytes
     monkeypatch.setattr(token_orc, "batch_bytes", lambda session, size: sizes.append(size) or limited(session, 1))
@@ -442,6 +468,26 @@ def test_linked_sets_share_a_part_key():
                 assert len(one) == len(two) == apart == 0 or set(keys[sets == 0]) & set(keys[sets == 1]) or (len(one) == len(two) and (one == two).all())
 
 
+def test_linked_sets_share_a_part_key_without_common_shingles():
+    rng = np.random.default_rng(9)
+    for percent in (80, 90):
+        rule = signature_tree.Rule(3, percent)
+        for n in (5, 9, 20, 60, 200, 1000):
+            for common in (0.1, 0.5, 0.9, 1.0):
+                one = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+                apart = int(rule.differences(np.array([n]))[0])
+                two = np.unique(np.concatenate([one[apart // 2 :], rng.integers(1, 1 << 63, apart - apart // 2, dtype=np.uint64)]))
+                grades = np.zeros(1 << signature_tree.COUNTER_BITS, dtype=np.uint8)
+                some = np.concatenate([one, two])
+                some = some[rng.random(len(some)) < common]
+                grades[signature_tree._counter(some)] = rng.integers(1, 6, len(some))
+                if not signature_tree._linked(one, two, rule) or np.array_equal(one, two):
+                    continue
+                # Each in a batch of its own, as in tasks.
+                keys = [set(signature_tree.part_keys(x, np.array([0, len(x)]), rule, grades)[1].tolist()) for x in (one, two)]
+                assert keys[0] & keys[1]
+
+
 def test_components_against_plain_python(spark, monkeypatch):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(k, k + 1) for k in range(1000, 1400)] + [(5000, k) for k in range(5001, 5200)]
