@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -10,7 +11,7 @@ from panelworks.functions.scaling import to_number
 from panelworks.operators.enrich import value_codes
 from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
 from panelworks.operators.summaries import fill_with_median
-from panelworks.scale import attach
+from panelworks.scale import attach, cut_lineage
 
 # Weights and scales of the attribute similarity.
 SITE_WEIGHT = 0.35
@@ -21,6 +22,8 @@ FLOOR_WEIGHT = 0.10
 AGE_SCALE = 10.0
 FLOOR_SCALE = 3.0
 TOP_K = 20
+# Readings that a task sums, about.
+MOST_SUMS = 1_000_000
 
 ATTRIBUTES = attribute_metric(
     equal={"site_id": SITE_WEIGHT, "primary_use": PRIMARY_USE_WEIGHT},
@@ -85,17 +88,61 @@ def edge_list(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     )
 
 
+def _packed(panel: DataFrame, node: str, ts: str, columns: Sequence[str]) -> DataFrame:
+    """The panel as arrays, a row per node and quarter of a year: ``dst``, ``_ts`` and an array per column."""
+    when = F.date_trunc("quarter", ts) if panel.schema[ts].dataType.typeName().startswith(("timestamp", "date")) else F.lit(0)
+    rows = panel.select(F.col(node).cast("long").alias("dst"), when.alias("_quarter"), F.struct(F.col(ts).alias("_ts"), *columns).alias("_row"))
+    packed = rows.filter("dst IS NOT NULL").groupBy("dst", "_quarter").agg(F.collect_list("_row").alias("_rows"))
+    return packed.select("dst", F.col("_rows._ts").alias("_ts"), *[F.col("_rows")[c].alias(f"_{c}") for c in columns])
+
+
+def _weighted_sums(edges: DataFrame, packed: DataFrame, columns: Sequence[str], ts: str, parts: int) -> DataFrame:
+    """Weighted sums per ``src`` and timestamp. Series travel as arrays to the nodes they count for, and are opened there."""
+    keys = [c for c in ("dst", "made") if c in packed.columns]
+    sent = edges.join(packed, keys).select("src", "weight", "_ts", *[f"_{c}" for c in columns]).repartition(parts, "src")
+    rows = sent.select("src", "weight", *[f"_{c}" for c in columns], F.posexplode("_ts").alias("_at", ts))
+    return rows.groupBy("src", ts).agg(*[F.sum(F.col("weight") * F.get(f"_{c}", "_at")).alias(c) for c in columns])
+
+
 def aggregate_neighbours(
     edges: DataFrame, panel: DataFrame, columns: Sequence[str], ts: str = "timestamp", node: str = "building_id"
 ) -> DataFrame:
     """Weighted sum of the neighbours' features per hour and node.
 
-    The join on the neighbour is an ordinary equality join: adaptive execution splits a node that
-    many others point to, and the sum is combined map-side before its shuffle.
+    A series crosses the network as arrays, once per edge, and not as rows; the sums are made where the node is, without
+    another shuffle. The join on the neighbour is an ordinary equality join: adaptive execution splits a node that many
+    others point to. Nodes whose neighbours and weights are the same (as those of equal buildings are) share one sum,
+    which then counts as a neighbour of weight 1.
     """
-    features = panel.select(F.col(node).cast("long").alias("dst"), ts, *columns)
-    return (
-        edges.join(features, "dst")
-        .groupBy(ts, F.col("src").alias(node))
-        .agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns])
+    spark = edges.sparkSession
+    every = edges.groupBy("src").agg(F.collect_list(F.struct("dst", "weight")).alias("_every"))
+    own = lambda e: F.coalesce(e["dst"] == F.col("src"), F.lit(False))
+    lists = every.select(
+        "src", F.array_sort(F.filter("_every", lambda e: ~own(e))).alias("_list"), F.filter("_every", own).alias("_own")
+    )
+    # two hashes from different seeds tell lists apart
+    hashes = {"_key": F.xxhash64("_list"), "_check": F.xxhash64(F.lit("check"), "_list")}
+    lists = cut_lineage(lists.withColumns(hashes), "neighbour-lists")
+    packed = cut_lineage(_packed(panel, node, ts, columns), "packed-panel")
+    shared = cut_lineage(
+        lists.filter(F.size("_list") > 1).groupBy("_key", "_check").agg(F.min("src").alias("_first"), F.count("*").alias("_n")).filter("_n > 1"),
+        "shared-lists",
     )
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nodes, degree = lists.agg(F.count("*"), F.sum(F.size("_list") + 1)).first()
+    cells = packed.agg(F.sum(F.size("_ts"))).first()[0] or 0
+    parts = max(tasks, math.ceil(cells * (degree or 0) / max(nodes, 1) / MOST_SUMS))
+    opened = lambda table, name: table.select("src", F.explode(name).alias("_e")).select("src", "_e.dst", "_e.weight")
+    if shared.isEmpty():
+        summed = _weighted_sums(opened(lists, F.concat("_list", "_own")), packed, columns, ts, parts)
+    else:
+        of_first = lists.join(shared.withColumnRenamed("_first", "src").select("src"), "src", "left_semi")
+        sums = _weighted_sums(opened(of_first, "_list"), packed, columns, ts, parts)
+        made = _packed(sums, "src", ts, columns).withColumn("made", F.lit(True))
+        placed = lists.join(shared.select("_key", "_check", "_first"), ["_key", "_check"], "left")
+        alone = F.when(F.col("_first").isNull(), F.concat("_list", "_own")).otherwise(F.col("_own"))
+        direct = opened(placed, alone).withColumn("made", F.lit(False))
+        through = placed.filter("_first IS NOT NULL").select("src", F.col("_first").alias("dst"), F.lit(1.0).alias("weight"), F.lit(True).alias("made"))
+        whole = packed.withColumn("made", F.lit(False)).unionByName(made)
+        summed = _weighted_sums(direct.unionByName(through), whole, columns, ts, parts)
+    return summed.select(ts, F.col("src").alias(node), *columns)

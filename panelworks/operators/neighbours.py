@@ -6,6 +6,9 @@ k-th neighbour; the triangle inequality then tells which other cells can still h
 only those are searched. Neighbouring cells are searched together, in groups of bounded size: a profile travels once to
 a group, with a bit per cell to search there, and brings back its k best of the whole group. A crowded cell and the
 profiles searching a group are cut into blocks, which become many tasks.
+
+Nodes whose similarity is a sum of agreements per column are found by boxes instead (``boxes``): pivots times profiles is too
+much for millions of them. ``pivot_count`` has no meaning there.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from panelworks.operators.boxes import nearest_by_boxes
 from panelworks.scale import cut_lineage
 
 # Least and most profiles of a block. Every block is sent to those it meets, so what is sent falls as blocks grow.
@@ -38,6 +42,9 @@ SLACK = 1e-5
 #   distance    turns similarities into distances that obey the triangle inequality
 #   distance_column  the same as a column expression
 #   total       similarity of equal nodes
+# Where the similarity is a sum of agreements per column, boxes bound it better than pivots do:
+#   parts       weight of each column, and the scale in which numbers agree, None where a column counts when equal
+#   near        the number columns, which come last
 
 
 def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float]]) -> SimpleNamespace:
@@ -58,9 +65,15 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
         for weight, x, y in zip(equal.values(), a, b):
             score += weight * (x[:, None] == y[None, :])
         for (weight, scale), x, y in zip(near.values(), a[len(equal) :], b[len(equal) :]):
-            agreement = np.exp(-np.abs(x[:, None] - y[None, :]) / scale)
-            missing = np.isnan(x)[:, None] & np.isnan(y)[None, :]
-            score += weight * np.where(np.isnan(agreement), missing, agreement)
+            agreement = x[:, None] - y[None, :]
+            np.abs(agreement, out=agreement)
+            agreement /= -scale
+            np.exp(agreement, out=agreement)
+            if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                missing = np.isnan(x)[:, None] & np.isnan(y)[None, :]
+                agreement = np.where(np.isnan(agreement), missing, agreement)
+            agreement *= weight
+            score += agreement
         return score
 
     def distance(score):
@@ -68,6 +81,7 @@ def attribute_metric(equal: dict[str, float], near: dict[str, tuple[float, float
 
     return SimpleNamespace(
         columns=[*equal, *near], prepare=prepare, similarity=similarity, distance=distance, total=total,
+        parts=[*((weight, None) for weight in equal.values()), *near.values()], near=list(near),
         distance_column=lambda score: F.greatest(total - score, F.lit(0.0)),
     )
 
@@ -243,8 +257,12 @@ def nearest_neighbours(
         empty = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                               T.StructField("weight", T.DoubleType())])
         return spark.createDataFrame([], empty)
-    listed = nodes.select(F.col(node).cast("long").alias("node"), F.struct(*features).alias("_f"))
+    in_boxes = hasattr(metric, "parts")
+    kinds = {f: ("double" if f in metric.near else "string") if in_boxes else nodes.schema[f].dataType for f in features}
+    listed = nodes.select(F.col(node).cast("long").alias("node"), F.struct(*[F.col(f).cast(t).alias(f) for f, t in kinds.items()]).alias("_f"))
     source = cut_lineage(listed.groupBy("node").agg(F.min("_f").alias("_f")).select("node", "_f.*"), "nodes")
+    if in_boxes:
+        return nearest_by_boxes(source, metric, k, digits, block_rows)
 
     grouped = source.groupBy(*features).agg(F.min("node").alias("profile"), F.count("*").alias("members"))
     # comparing is heavy for few bytes, so the spread is set by the cores and not by the size

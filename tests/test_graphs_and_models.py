@@ -6,10 +6,12 @@ import statistics
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.operators import graph, models, neighbours, removal, ridge
+from panelworks.operators import boxes, graph, models, neighbours, removal, ridge
 from panelworks.operators.neighbours import attribute_metric, cosine_metric, nearest_neighbours
 from panelworks.scale import attach, cut_lineage
 from panelworks.streaming.continuity_state import continuity_stream, late_rows, placed
@@ -90,6 +92,68 @@ def test_profiles_travel_once_to_a_group_of_cells(spark, monkeypatch):
     assert written["searches"].count() == 400 and "v" not in written["searches"].columns
 
 
+@pytest.mark.parametrize("block_rows", [9, 60, None])
+def test_boxes_find_all_neighbours_with_missing_values(spark, block_rows):
+    rng = np.random.default_rng(11)
+    metric = attribute_metric({"site": 0.4, "use": 0.3}, {"size": (0.2, 1.0), "age": (0.1, 10.0)})
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    rows = [(i, pick(["a", "b", None]), pick(["x", "y", "z"]), pick([None, float(rng.normal())]), pick([None, 3.0, float(i % 9)])) for i in range(150)]
+    rows += [(i, "a", "x", 0.5, None) for i in range(150, 190)]  # more equal nodes than k
+    df = spark.createDataFrame(rows, "id int, site string, use string, size double, age double")
+
+    def near(a, b, scale):
+        return float(a is None and b is None) if a is None or b is None else math.exp(-abs(a - b) / scale)
+
+    sim = [[0.4 * (a[1] == b[1]) + 0.3 * (a[2] == b[2]) + 0.2 * near(a[3], b[3], 1.0) + 0.1 * near(a[4], b[4], 10.0) for b in rows] for a in rows]
+    got = found(nearest_neighbours(df, "id", metric, 6, block_rows=block_rows))
+    assert got == brute_force([r[0] for r in rows], sim, 6)
+
+
+def test_a_cell_is_not_compared_with_all_of_itself():
+    compared = []
+
+    def similarity(a, b):
+        compared.append(len(a[0]) * len(b[0]))
+        return METRIC.similarity(a, b)
+
+    n, rng = 6000, np.random.default_rng(12)
+    frame = pd.DataFrame({"profile": range(n), "site": [f"s{i % 5}" for i in range(n)], "size": rng.random(n) * 40})
+    table = pa.Table.from_pandas(frame).append_column("nodes", pa.array([[i] for i in range(n)])).append_column("cell", pa.array(np.zeros(n, dtype="int32")))
+    box = ({"site": np.array(["s0", "s4"], dtype=object)}, np.array([0]), (np.array([[0.5, 0.0]]), np.array([[1.5, 40.0]]), np.zeros((1, 2), bool)))
+    at_home, _ = boxes._search(SimpleNamespace(**{**vars(METRIC), "similarity": similarity}), ["site"], ["size"], 5, 9, box)
+    result = at_home(table)
+    assert sum(compared) < 0.1 * n * n
+    for i in (0, 17, 5999):
+        alike = METRIC.similarity(*METRIC.prepare(frame.iloc[i : i + 1], frame))[0].round(9)
+        assert result["others"][i].as_py() == sorted(range(n), key=lambda j: (-alike[j] if j != i else -1.0, j))[:6]
+
+
+def test_equal_neighbour_lists_are_summed_once(spark, monkeypatch):
+    sent, weighted_sums = [], graph._weighted_sums
+
+    def counted(edges, *others):
+        sent.append(edges.count())
+        return weighted_sums(edges, *others)
+
+    monkeypatch.setattr(graph, "_weighted_sums", counted)
+    edges = [(s, d, 0.1 * (d + 1)) for s in range(10, 30) for d in range(5)] + [(s, s, 0.5) for s in range(31)] + [(30, 1, 0.25), (30, 29, 2.0), (31, 99, 1.0)]
+    panel = [(n, f"2024-0{1 + 3 * (h % 2)}-01 0{h}:00:00", None if (n, h) == (1, 2) else n + h / 10, n * h) for n in range(31) for h in range(4) if (n + h) % 3]
+    df = spark.createDataFrame(panel, "building_id int, timestamp string, a double, b bigint").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    got = graph.aggregate_neighbours(spark.createDataFrame(edges, "src bigint, dst bigint, weight double"), df, ["a", "b"])
+    expected = {}
+    for s, d, w in edges:
+        for n, t, a, b in panel:
+            if n == d:
+                old = expected.get((s, t), (None, None))
+                expected[s, t] = (old[0] if a is None else (old[0] or 0) + w * a, (old[1] or 0) + w * b)
+    rows = {(r["building_id"], str(r["timestamp"])): (r["a"], r["b"]) for r in got.collect()}
+    assert rows.keys() == expected.keys()
+    for key, (a, b) in expected.items():
+        assert rows[key][1] == pytest.approx(b) and (rows[key][0] is None if a is None else rows[key][0] == pytest.approx(a))
+    # the list of the twenty goes out once and comes back as one edge for each of them
+    assert sent == [5, 20 + len(edges) - 100]
+
+
 def test_no_neighbours_for_k_zero(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "id int, site string, size double")
     assert nearest_neighbours(df, "id", METRIC, 0).count() == 0
