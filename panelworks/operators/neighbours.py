@@ -5,7 +5,8 @@ about two times the square root of their number of pivots. Each profile first se
 k-th neighbour; the triangle inequality then tells which other cells can still hold a nearer one, and
 only those are searched. Neighbouring cells are searched together, in groups of bounded size: a profile travels once to
 a group, with a bit per cell to search there, and brings back its k best of the whole group. A crowded cell and the
-profiles searching a group are cut into blocks, which become many tasks.
+profiles searching a group are cut into blocks, which become many tasks. Vectors are compared in single precision first, with
+room for its error, and exactly where that may matter.
 
 Nodes whose similarity is a sum of agreements per column are found by boxes instead (``boxes``): pivots times profiles is too
 much for millions of them. ``pivot_count`` has no meaning there.
@@ -42,6 +43,8 @@ SLACK = 1e-5
 #   distance    turns similarities into distances that obey the triangle inequality
 #   distance_column  the same as a column expression
 #   total       similarity of equal nodes
+#   rough       a cheaper matrix of similarities and its largest error, to tell which pairs need the exact one
+#   pairs       exact similarities of some pairs
 # Where the similarity is a sum of agreements per column, boxes bound it better than pivots do:
 #   parts       weight of each column, and the scale in which numbers agree, None where a column counts when equal
 #   near        the number columns, which come last
@@ -103,8 +106,19 @@ def cosine_metric(vector: str) -> SimpleNamespace:
     def distance(score):
         return np.sqrt(np.maximum(2.0 - 2.0 * score, 0.0))
 
+    def rough(a: list, b: list) -> tuple[np.ndarray, float]:
+        # half of the bytes; the error of a sum of products is below its number of terms times the rounding of one
+        return a[0].astype(np.float32) @ b[0].astype(np.float32).T, (a[0].shape[1] + 8) * 2.0**-23
+
+    def pairs(a: list, b: list, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        found, step = np.zeros(len(row)), max(1, STEP_NUMBERS // max(1, a[0].shape[1]))
+        for start in range(0, len(row), step):
+            part = slice(start, start + step)
+            found[part] = np.einsum("ij,ij->i", a[0][row[part]], b[0][column[part]])
+        return np.clip(found, -1.0, 1.0)
+
     return SimpleNamespace(
-        columns=[vector], prepare=prepare, similarity=similarity, distance=distance, total=1.0,
+        columns=[vector], prepare=prepare, similarity=similarity, distance=distance, total=1.0, rough=rough, pairs=pairs,
         distance_column=lambda score: F.sqrt(F.greatest(2.0 - 2.0 * score, F.lit(0.0))),
     )
 
@@ -209,16 +223,21 @@ def _search_block(metric, k: int, digits: int, groups: list[list[int]]):
                 step = max(1, STEP_NUMBERS // (last - first))
                 for start in range(0, len(asking), step):
                     some = asking[start : start + step]
-                    score = np.round(metric.similarity([f[some] for f in features], theirs), digits)
+                    points = [f[some] for f in features]
+                    score, error = metric.rough(points, theirs)
                     at = np.minimum(np.searchsorted(own, names[some]), len(own) - 1)
                     itself = own[at] == names[some]
                     score[itself, at[itself]] = -np.inf
-                    limit = floor[some]
+                    error += 10.0**-digits
+                    limit = floor[some] - error
                     if len(own) > k and (score >= limit[:, None]).sum() > 2 * k * len(some):
-                        # everything at least as good as the k-th, ties included
-                        limit = np.maximum(limit, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+                        # everything that may be as good as the k-th, ties included
+                        limit = np.maximum(limit, -np.partition(-score, k - 1, axis=1)[:, k - 1] - 2 * error)
                     row, col = np.nonzero(score >= limit[:, None])
-                    held.append((some[row], own[col], score[row, col]))
+                    exact = np.round(metric.pairs(points, theirs, row, col), digits)
+                    kept = exact >= floor[some][row]
+                    row, col = row[kept], col[kept]
+                    held.append((some[row], own[col], exact[kept]))
                     waiting += len(row)
                     if waiting > MOST_FOUND:
                         rows, others, scores, full, worst = best_of(*(np.concatenate(h) for h in zip(*held)))

@@ -154,6 +154,27 @@ def test_equal_neighbour_lists_are_summed_once(spark, monkeypatch):
     assert sent == [5, 20 + len(edges) - 100]
 
 
+def test_vectors_are_compared_in_single_precision_first(spark):
+    exact = []
+    metric = cosine_metric("v")
+
+    def similarity(a, b):
+        exact.append(len(a[0]) * len(b[0]))
+        return cosine_metric("v").similarity(a, b)
+
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(3, 700)).repeat(20, axis=0) + 1e-7 * rng.normal(size=(60, 700))  # apart by less than single precision shows
+    frame = pd.DataFrame({"profile": range(60), "v": vectors.tolist(), "group": 0, "cell": 0, "bits": [b"\x80"] * 60, "floor": np.nan})
+    search = neighbours._search_block(SimpleNamespace(**{**vars(metric), "similarity": similarity}), 4, 15, [[0]])
+    got = search(frame, frame[["profile", "v", "cell"]])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    alike = np.einsum("id,jd->ij", unit, unit).clip(-1, 1).round(15)
+    assert not exact and len(got) == 240
+    for i, part in got.groupby("profile"):
+        best = sorted((alike[i, j] for j in range(60) if j != i), reverse=True)[:4]
+        assert part["similarity"].tolist() == pytest.approx(best, abs=3e-15)
+
+
 def test_no_neighbours_for_k_zero(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0)], "id int, site string, size double")
     assert nearest_neighbours(df, "id", METRIC, 0).count() == 0
